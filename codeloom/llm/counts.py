@@ -130,5 +130,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
 
     found = texts.select("content_digest", "text").mapInArrow(encode, "content_digest binary, n_tokens long")
+    found = found.dropDuplicates(["content_digest"])  # rows repeated with their doc_id
     found.select("content_digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     return keyed.join(read_cache(spark, cache, version).drop("version"), "content_digest")

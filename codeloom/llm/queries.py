@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, mixing, store
+from . import binary, counts, media, mixing, store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,12 +23,24 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_ids(spark, folder, checksum=True)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.scored(docs.select("doc_id", "text"), model).withColumn("held_out", toxicity.held_out())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.saved(mixing.measured(_table(spark, sf_dir, "documents")), "sizes")
     mix = mixing.mixed(rows)
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = store.saved(media.stored(_table(spark, sf_dir, "documents")), "media")
+    return media.digests(media.sniffed(files))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counts.LIMIT).alias("over_limit"))
@@ -36,7 +48,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_ids": op2_token_ids,
+    "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
+    "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
 }
 

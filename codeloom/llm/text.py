@@ -19,6 +19,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -92,12 +94,23 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def folded(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals U+00C0 to U+00DE in lower case."""
+    buf = _LOWER[buf]
+    after = np.zeros(len(buf), bool)
+    after[1:] = buf[:-1] == 0xC3
+    return np.where(after & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97), buf + 32, buf).astype(np.uint8)
+
+
+def words_of(column: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """``letters``: words are runs of letters and of bytes beyond ASCII, in lower case, instead."""
     buf, doc_byte = bytes_of(column)
-    if lower:
+    if letters:
+        buf = folded(buf)
+    elif lower:
         buf = _LOWER[buf]
     n = len(buf)
-    solid = ~_IS_SPACE[buf]
+    solid = _LETTER[buf] if letters else ~_IS_SPACE[buf]
     first = np.ones(n + 1, bool)  # a boundary lies before this byte
     first[1:n] = ~solid[:-1]
     first[doc_byte] = True
