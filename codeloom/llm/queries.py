@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, media, mixing, store, toxicity
+from . import binary, counts, media, mixing, neardup, store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.saved(mixing.measured(_table(spark, sf_dir, "documents")), "sizes")
     mix = mixing.mixed(rows)
@@ -49,6 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_ids": op2_token_ids,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op5_mixing": op5_mixing,
     "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
