@@ -23,10 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store, text
+from .memo import Memo
 
 END_ID = 2
-MEMO_WORDS = 700_000  # words a worker remembers before it starts afresh
-SLICE_BYTES = 4 << 20
+MEMO_WORDS = 600_000  # words that a worker remembers
+SLICE_BYTES = 2 << 20
+LINES = 4096
+_MARKS = ".,!?;:#$%&*|"
+#: white space other than space and line feed, and pairs of these
+_NOT_BY_WORD = ["  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 TOKENS = "doc_id long, text_hash long, n_tokens long, control binary, data binary"
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -36,8 +41,9 @@ _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256
 class WordEncoder:
     """Ids of a byte-level BPE file of the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
-    Its pre-tokenizer never joins what follows a single space between two other characters to what precedes it,
-    so words are encoded apart and remembered. Other texts are encoded whole.
+    Its pre-tokenizer cuts before a single space or line feed that stands between two other characters, and never
+    joins a line feed to what follows it, so words are encoded apart and remembered. Texts with other white space
+    are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,53 +58,58 @@ class WordEncoder:
             stated = json.load(f)
         pre = stated.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not stated.get("normalizer")
-        self.by_word = self.by_word and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in stated["added_tokens"])
-        self.memo: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.by_word = self.by_word and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in stated["added_tokens"])
+        self.feed = self._ids(["\n"])[0]
+        self.memo = Memo(MEMO_WORDS)
+        self.first = Memo(MEMO_WORDS // 10)  # without a space before them
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        """The ids of texts without white space but a leading space: many at a time, cut where a line feed's id stands."""
+        out: list[bytes] = []
+        for at in range(0, len(lines), LINES):
+            part = lines[at : at + LINES]
+            raw = self._ids(["\n".join(part)])[0]
+            ids = np.frombuffer(raw, "<u4")
+            cuts = (np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]) * 4).tolist() if len(self.feed) == 4 else []
+            if len(cuts) == len(part) - 1:
+                out += [raw[lo:hi] for lo, hi in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+            else:
+                out += self._ids(part)
+        return out
+
     def _learn(self, words: list[str]) -> None:
-        """Words of letters only are encoded many at a time, a line each: a line feed is always an id of its own."""
-        plain = [w for w in words if w.isalpha()]
-        feed = np.frombuffer(self._ids(["\n"])[0], "<u4")[0]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.frombuffer(self._ids([" " + "\n ".join(part)])[0], "<u4")
-            cuts = np.flatnonzero(ids == feed)
-            if len(cuts) != len(part) - 1:
-                self.memo.update(zip(part, self._ids([" " + w for w in part]), strict=True))
-                continue
-            raw, lo = ids.tobytes(), 0
-            for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.memo[w] = raw[4 * lo : 4 * cut]
-                lo = cut + 1
-        rest = [w for w in words if not w.isalpha()]
-        self.memo.update(zip(rest, self._ids([" " + w for w in rest]), strict=True))
+        """Marks after a letter are pre-tokens of their own, so a word is learnt without them first."""
+        marked = [(w, c) for w in words if (c := w.rstrip(_MARKS)) != w and c[-1:].isalpha() and c[-1] < "\u0250"]
+        apart = {w for w, _ in marked}
+        plain = list({w for w in words if w not in apart} | {c for _, c in marked} - self.memo.now.keys())
+        spaced = [w for w in plain if w[0] != "\n"]
+        self.memo.now.update(zip(spaced, self._lines([" " + w for w in spaced]), strict=True))
+        fed = [w for w in plain if w[0] == "\n"]
+        self.memo.now.update((w, self.feed + ids) for w, ids in zip(fed, self._lines([w[1:] for w in fed]), strict=True))
+        if len(self.marks) > LINES:
+            self.marks.clear()
+        marks = {w[len(c) :] for w, c in marked} - self.marks.keys()
+        self.marks.update(zip(marks, self._ids(list(marks)), strict=True))
+        self.memo.now.update((w, self.memo.now[c] + self.marks[w[len(c) :]]) for w, c in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split, whole = {}, {}
         for i, t in enumerate(texts):
-            if self.by_word and t and not t[0].isspace() and not t[-1].isspace() and "  " not in t:
-                words = t.split(" ")
-                if not any(w[0].isspace() or w[-1].isspace() for w in words):
-                    split[i] = words
-                    continue
-            whole[i] = t
-        heads = {w[0] for w in split.values()} - self.first.keys()
-        if heads:
-            if len(self.first) > MEMO_WORDS // 10:
-                self.first.clear()
-                heads = {w[0] for w in split.values()}
-            self.first.update(zip(heads, self._ids(list(heads)), strict=True))
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        if split and (missing := set().union(*(w[1:] for w in split.values())) - self.memo.keys()):
+            if self.by_word and t and not any(x in t for x in _NOT_BY_WORD) and t[0] not in " \n" and t[-1] not in " \n":
+                split[i] = t.replace("\n", " \n").split(" ")
+            else:
+                whole[i] = t
+        if heads := self.first.missing({w[0] for w in split.values()}):
+            self.first.now.update(zip(heads, self._ids(list(heads)), strict=True))
+        if split and (missing := self.memo.missing(set().union(*(w[1:] for w in split.values())))):
             self._learn(list(missing))
         out = dict(zip(whole, self._ids(list(whole.values())), strict=True))
         for i, words in split.items():
-            out[i] = self.first[words[0]] + b"".join(map(self.memo.__getitem__, words[1:]))
+            out[i] = self.first.now[words[0]] + b"".join(map(self.memo.now.__getitem__, words[1:]))
         return [out[i] for i in range(len(texts))]
 
 

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store, text
+from .memo import Memo
 
 LIMIT = 4096
-MEMO_WORDS = 1_000_000  # words a worker remembers before it starts afresh
+MEMO_WORDS = 400_000  # words that a worker remembers
 BROADCAST_ROWS = 1_000_000  # keys of 8 to 32 bytes
 CACHE = "content_digest binary, version string, n_tokens long"
 
@@ -40,11 +41,11 @@ class PieceCounter:
         mark = "▁"
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.by_word = not any(mark in p.strip(mark) or "\n" in p or " " in p for p in pieces) and self.model.encode("a  b", out_type=str) != self.model.encode("a b", out_type=str)
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(MEMO_WORDS)
 
     def _learn(self, words: list[str]) -> None:
         # the space mark that the model puts before a line feed is a piece of its own
-        self.memo.update((w, len(ids) - (w[0] == "\n")) for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True))
+        self.memo.now.update((w, len(ids) - (w[0] == "\n")) for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
         split, whole = {}, {}
@@ -56,12 +57,10 @@ class PieceCounter:
             else:
                 split[i] = t.replace("\n", " \n").split(" ")
         out = [0] * len(texts)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        if split and (missing := set().union(*split.values()) - self.memo.keys()):
+        if split and (missing := self.memo.missing(set().union(*split.values()))):
             self._learn(list(missing))
         for i, words in split.items():
-            out[i] = sum(map(self.memo.__getitem__, words))
+            out[i] = sum(map(self.memo.now.__getitem__, words))
         for (i, _), ids in zip(whole.items(), self.model.encode(list(whole.values()), num_threads=1), strict=True):
             out[i] = len(ids)
         return out
@@ -125,7 +124,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(tokenizer)
-        for piece in text.slices(batches, budget=4 << 20):
+        for piece in text.slices(batches, budget=2 << 20):
             n = model.count(piece.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
 
