@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, media, mixing, neardup, store, toxicity
+from . import binary, counts, decontamination, media, mixing, neardup, store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counts.LIMIT).alias("over_limit"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_ids": op2_token_ids,
     "op3_toxicity": op3_toxicity,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}

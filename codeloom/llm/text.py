@@ -102,8 +102,8 @@ def folded(buf: np.ndarray) -> np.ndarray:
     return np.where(after & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97), buf + 32, buf).astype(np.uint8)
 
 
-def words_of(column: pa.Array, lower: bool = False, letters: bool = False) -> Words:
-    """``letters``: words are runs of letters and of bytes beyond ASCII, in lower case, instead."""
+def words_of(column: pa.Array, lower: bool = False, letters: bool = False, digits: bool = False) -> Words:
+    """``letters``: words are runs of letters (and digits) and of bytes beyond ASCII, in lower case, instead."""
     buf, doc_byte = bytes_of(column)
     if letters:
         buf = folded(buf)
@@ -111,6 +111,8 @@ def words_of(column: pa.Array, lower: bool = False, letters: bool = False) -> Wo
         buf = _LOWER[buf]
     n = len(buf)
     solid = _LETTER[buf] if letters else ~_IS_SPACE[buf]
+    if letters and digits:
+        solid |= (buf >= 48) & (buf <= 57)
     first = np.ones(n + 1, bool)  # a boundary lies before this byte
     first[1:n] = ~solid[:-1]
     first[doc_byte] = True
