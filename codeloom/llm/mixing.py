@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import counts, store
+
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
@@ -45,10 +47,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     return leveled.select("source_key", "source", "source_size", F.least(F.col("cap"), F.col("first.level") * F.col("w")).alias("target"))
 
 
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, its never-null key, and the words of each document."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), size.alias("size"))
+    return docs.select("doc_id", "source", _source_key().alias("source_key"), _size().alias("size"))
 
 
 def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
@@ -69,3 +78,21 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     rank = F.col("before_size") + F.col("before_cell") + F.col("in_cell")
     crossed = F.floor(F.col("rate") * rank + F.col("shift")) - F.floor(F.col("rate") * (rank - 1) + F.col("shift"))
     return ranked.select("doc_id", "source_key", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+def emitted(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    spark, keys = docs.sparkSession, ["doc_id", "source_key", "size"]
+    copies = store.saved(mixed(store.saved(measured(docs), "sizes"), weights, max_repeat, seed).select(*keys, "copies"), "copies")
+    store.release(spark)
+    whole = docs.withColumns({f"mix_{k}": c for k, c in zip(keys, (F.col("doc_id"), _source_key(), _size()), strict=True)})
+    repeated = copies.groupBy(*keys).count().where("count > 1").limit(1).count()
+    if repeated:  # rows alike in these are numbered on both sides, so that each has its own copies
+        copies = copies.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies"))))
+        whole = whole.withColumn("mix_nth", F.row_number().over(Window.partitionBy(*[f"mix_{k}" for k in keys]).orderBy(F.xxhash64("text"))))
+        keys = [*keys, "nth"]
+    renamed = copies.where("copies > 0").select(*[F.col(k).alias(f"mix_{k}") for k in keys], F.col("copies").alias("mix_copies"))
+    lowest = F.lit(-(2**63))
+    whole, renamed = (d.withColumn("mix_doc_id", F.coalesce("mix_doc_id", lowest)) for d in (whole, renamed))
+    taken = counts.joined_by_size(whole, renamed, [f"mix_{k}" for k in keys], "inner")
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)

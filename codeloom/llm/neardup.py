@@ -194,6 +194,22 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "digest").join(of_digest, "digest").select("doc_id", "class_id", "class_node", "digest")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """One document of each class, whole: that of the least doc_id (null last; equal ids: any one)."""
+    spark = docs.sparkSession
+    of_class = classes(docs)
+    chosen = of_class.groupBy("class_node").agg(F.min_by(F.struct("doc_id", "digest"), F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("c"))
+    chosen = store.saved(chosen.select(F.col("c.doc_id").alias("kept_id"), F.col("c.digest").alias("kept_digest")), "kept")
+    store.release(spark)
+    lowest = F.lit(-(2**63))
+    rows = docs.withColumn("kept_id", F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn("kept_digest", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    rows = counts.joined_by_size(rows, chosen.withColumn("kept_id", F.coalesce("kept_id", lowest)), ["kept_id", "kept_digest"], "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated:  # rows that repeat both id and text are told apart by nothing else
+        rows = rows.dropDuplicates(["kept_id", "kept_digest"])
+    return rows.select(*docs.columns)
+
+
 def _placed(grouped: DataFrame) -> DataFrame:
     """Numbers the members of each component from 0, without bringing a component to one task."""
     parts = 64
