@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, decontamination, media, mixing, neardup, store, toxicity
+from . import binary, counts, decontamination, media, mixing, neardup, store, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of a page is the quality of the document of the same id."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return urls.judged(_table(spark, sf_dir, "pages"), labels)
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "token-ids")
     binary.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -55,6 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filters": op1_url_filters,
     "op2_token_ids": op2_token_ids,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
@@ -64,4 +71,4 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE}
