@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, decontamination, media, mixing, neardup, store, toxicity, urls
+from . import binary, counts, decontamination, katz, media, mixing, neardup, store, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counts.LIMIT).alias("over_limit"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = katz.fit(docs.where(~katz.held_out()))
+    scored = katz.scored(docs, model).withColumns({"held_out": katz.held_out(), "train_tokens": F.lit(model.train_tokens).cast("long")})
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
+    "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
 }
 
