@@ -3,8 +3,9 @@
 Words are runs of letters and digits in lower case. Passages are windows of ``WINDOW`` words at every ``STEP``
 words. An item is a candidate for a passage whose BM25 score reaches ``SHARE`` of the item's score for its own
 text (less for items longer than a window, in proportion); impacts are divided by that requirement, so the
-threshold is 1 for all items. Passages whose terms' largest impacts don't add up to 1 are passed over at once (the
-first test of WAND, by numpy over all passages); the others run block-max WAND over the postings. A candidate is
+threshold is 1 for all items. The tests of block-max WAND are made for all passages at once: the block maxima of a
+passage's distinct terms are added up, and only the blocks whose sum reaches 1 are evaluated, all others are passed
+over whole. A candidate is
 verified on the text around the passage: the share of the item's word 5-grams found there must be at least 0.8,
 and at least half of those of its question (first half, or the ``text`` if there is an ``answer``) and of its
 answer.
@@ -19,7 +20,7 @@ they are; equal items are all reported; repeated rows and null ids are kept; ext
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,56 +32,40 @@ from . import text
 WINDOW, STEP = 64, 32
 SHARE = 0.5
 K1, B = 1.2, 0.75
-POSTINGS = 64  # of a block
-BLOCK_ITEMS = 20_000
+POSTINGS = 8  # items of a block
+BLOCK_ITEMS = 512  # of an index
+BATCH = 512  # passages evaluated at once
+NEARLY = 1 - 1e-4  # the threshold, with room for rounding
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 _SURE = WINDOW - STEP // 2  # of an item no longer than a window, so many words lie in one window at least
 
 
 @dataclass
 class Index:
+    """Impacts of terms in items, ``POSTINGS`` items a block; items of similar words stand together."""
+
     ids: list
+    words: list[np.ndarray]  # by item: hashes of its words
+    cut: list[int]  # by item: words of the question
     terms: np.ndarray  # sorted hashes
-    bound: np.ndarray  # the largest impact of each term
-    items: list[np.ndarray] = field(default_factory=list)  # by term: item numbers, ascending
-    impacts: list[np.ndarray] = field(default_factory=list)
-    block_max: list[np.ndarray] = field(default_factory=list)
-    words: list[np.ndarray] = field(default_factory=list)  # by item: hashes of its words
-    cut: list[int] = field(default_factory=list)  # by item: words of the question
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item, score) of all items that score at least 1, by block-max WAND."""
-        lists = [[0, t] for t in terms]
-        found = []
-        while lists:
-            lists.sort(key=lambda c: self.items[c[1]][c[0]])
-            total, pivot = 0.0, -1
-            for k, (_, t) in enumerate(lists):
-                total += self.bound[t]
-                if total >= 1.0 - 1e-9:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = self.items[lists[pivot][1]][lists[pivot][0]]
-            while pivot + 1 < len(lists) and self.items[lists[pivot + 1][1]][lists[pivot + 1][0]] == item:
-                pivot += 1
-            here = lists[: pivot + 1]
-            at = [int(np.searchsorted(self.items[t][p:], item)) + p for p, t in here]
-            ceiling = sum(self.block_max[t][a // POSTINGS] for a, (_, t) in zip(at, here, strict=True) if a < len(self.items[t]))
-            target = item + 1
-            if ceiling < 1.0 - 1e-9:  # nothing up to the first end of these blocks can reach it
-                ends = [self.items[t][min((a // POSTINGS + 1) * POSTINGS, len(self.items[t])) - 1] for a, (_, t) in zip(at, here, strict=True) if a < len(self.items[t])]
-                following = [self.items[c[1]][c[0]] for c in lists[pivot + 1 : pivot + 2]]
-                target = max(target, min([e + 1 for e in ends] + following, default=target))
-            else:
-                score = sum(self.impacts[t][a] for a, (_, t) in zip(at, here, strict=True) if a < len(self.items[t]) and self.items[t][a] == item)
-                if score >= 1.0 - 1e-9:
-                    found.append((int(item), float(score)))
-            for c in here:
-                c[0] += int(np.searchsorted(self.items[c[1]][c[0] :], target))
-            lists = [c for c in lists if c[0] < len(self.items[c[1]])]
-        return found
+    impacts: np.ndarray  # (terms, blocks, POSTINGS)
+    block_max: np.ndarray  # (terms, blocks)
+
+    def search(self, term_lists: list[np.ndarray], blocks: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+        """By query, the (item, score) of all items that score at least 1 in the blocks that can hold any."""
+        n = np.array([len(t) for t in term_lists])
+        m = np.array([len(b) for b in blocks])
+        query = np.repeat(np.arange(len(n)), m)
+        block = np.concatenate(blocks)
+        starts = np.concatenate([[0], np.cumsum(n[query])])
+        first = np.concatenate([[0], np.cumsum(n)])
+        row = np.arange(starts[-1]) - np.repeat(starts[:-1] - first[query], n[query])
+        parts = self.impacts[np.concatenate(term_lists)[row], np.repeat(block, n[query])]
+        scores = np.add.reduceat(parts, starts[:-1], axis=0)
+        out: list[list[tuple[int, float]]] = [[] for _ in n]
+        for pair, k in zip(*np.nonzero(scores >= NEARLY), strict=True):
+            out[query[pair]].append((int(block[pair]) * POSTINGS + int(k), float(scores[pair, k])))
+        return out
 
 
 def built(rows: list[tuple]) -> Index:
@@ -97,17 +82,17 @@ def built(rows: list[tuple]) -> Index:
     idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
     impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean() if len(length) else 1, 1e-9)))
     needed = SHARE * np.bincount(item, impact, len(rows)) * np.minimum(1, _SURE / np.maximum(length, 1))
-    impact = impact / needed[item]
-    order = np.lexsort((item, term))
-    ends = np.cumsum(df)
-    index = Index([r[0] for r in rows], terms, np.zeros(len(terms)), words=of, cut=cut)
-    for lo, hi in zip(ends - df, ends, strict=True):
-        got = impact[order[lo:hi]]
-        index.items.append(item[order[lo:hi]])
-        index.impacts.append(got)
-        index.block_max.append(np.maximum.reduceat(got, np.arange(0, len(got), POSTINGS)))
-    index.bound = np.array([x.max() for x in index.impacts])
-    return index
+    # items that share their most widespread term are neighbours, which keeps block maxima low
+    leading = np.full(len(rows), -1)
+    by_spread = np.argsort(df[term], kind="stable")
+    leading[item[by_spread]] = term[by_spread]
+    place = np.empty(len(rows), np.int64)
+    order = np.argsort(leading, kind="stable")
+    place[order] = np.arange(len(rows))
+    blocks = -(-len(rows) // POSTINGS)
+    impacts = np.zeros((len(terms), blocks, POSTINGS), np.float32)
+    impacts[term, place[item] // POSTINGS, place[item] % POSTINGS] = impact / needed[item]
+    return Index([rows[i][0] for i in order], [of[i] for i in order], [cut[i] for i in order], terms, impacts, impacts.max(axis=2) if blocks else np.zeros((len(terms), 0), np.float32))
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -128,8 +113,9 @@ def _overlaps(item: np.ndarray, cut: int, around: np.ndarray) -> tuple[float, fl
     return float(hit.mean()), float(question.mean()), float(answer.mean()) if len(answer) else float(hit.mean())
 
 
-def _windows(words: text.Words, known: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, end) of the windows whose distinct terms may reach the threshold. ``known``: term of each word, or -1."""
+def _windows(words: text.Words, known: np.ndarray, block_max: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end) of all windows, and which blocks can reach the threshold by them: the maxima of the distinct
+    terms of a window are added up. ``known``: term of each word, or -1."""
     position = np.arange(len(known)) - words.doc_word[words.doc]
     halves = np.maximum(-(-np.diff(words.doc_word) // STEP), 1)  # of each document
     first_half = np.concatenate([[0], np.cumsum(halves)])
@@ -139,17 +125,21 @@ def _windows(words: text.Words, known: np.ndarray, bound: np.ndarray) -> tuple[n
     before = np.full(len(at), -2)
     same = (known[at][order][1:] == known[at][order][:-1]) & (words.doc[at][order][1:] == words.doc[at][order][:-1])
     before[order[1:]] = np.where(same, half[order[:-1]], -2)
-    weight = bound[known[at]]
-    alone = np.bincount(half, np.where(before < half, weight, 0), first_half[-1])
-    after = np.bincount(half, np.where(before < half - 1, weight, 0), first_half[-1])
+    alone, after = np.zeros((2, first_half[-1], block_max.shape[1]), np.float32)
+    for into, new in ((alone, before < half), (after, before < half - 1)):
+        if new.any():
+            of = half[new]
+            cuts = np.flatnonzero(np.diff(of, prepend=-1))
+            into[of[cuts]] = np.add.reduceat(block_max[known[at[new]]], cuts, axis=0)
     last = np.zeros(first_half[-1], bool)
     last[first_half[1:] - 1] = True
-    total = alone + np.where(last, 0, np.append(after[1:], 0))
-    total = np.where(last & ~np.isin(np.arange(len(last)), first_half[:-1]), 0, total)  # a lone last half lies in the window before
-    which = np.flatnonzero(total >= 1.0 - 1e-6)
+    alone[:-1][~last[:-1]] += after[1:][~last[:-1]]
+    can = alone >= NEARLY
+    can[last & ~np.isin(np.arange(len(last)), first_half[:-1])] = False  # a last half lies in the window before it
+    which = np.flatnonzero(can.any(axis=1))
     doc = np.searchsorted(first_half, which, side="right") - 1
     start = words.doc_word[doc] + (which - first_half[doc]) * STEP
-    return start, np.minimum(start + WINDOW, words.doc_word[doc + 1])
+    return start, np.minimum(start + WINDOW, words.doc_word[doc + 1]), can[which]
 
 
 def leaks_in(column: pa.Array, index: Index) -> list[tuple[int, int, int, float, float, float, float]]:
@@ -161,17 +151,18 @@ def leaks_in(column: pa.Array, index: Index) -> list[tuple[int, int, int, float,
     to = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = np.where(index.terms[to] == hashes, to, -1)
     best: dict[tuple[int, int], tuple] = {}
-    for start, end in zip(*_windows(words, known, index.bound), strict=True):
-        terms = known[start:end]
-        row = int(words.doc[start])
-        lo, hi = words.doc_word[row], words.doc_word[row + 1]
-        for item, score in index.search(np.unique(terms[terms >= 0]).tolist()):
-            own = index.words[item]
-            share, question, answer = _overlaps(own, index.cut[item], hashes[max(lo, start - len(own)) : min(hi, end + len(own))])
-            if share >= OVERLAP and min(question, answer) >= PART_OVERLAP:
-                got = (row, item, int(start - lo), score, share, question, answer)
-                if (row, item) not in best or (share, score) > best[row, item][4:2:-1]:
-                    best[row, item] = got
+    start, end, can = _windows(words, known, index.block_max)
+    for at in range(0, len(start), BATCH):
+        here = slice(at, at + BATCH)
+        terms = [np.unique(x[x >= 0]) for x in (known[a:b] for a, b in zip(start[here], end[here], strict=True))]
+        for a, b, hits in zip(start[here].tolist(), end[here].tolist(), index.search(terms, [np.flatnonzero(c) for c in can[here]]), strict=True):
+            row = int(words.doc[a])
+            lo, hi = int(words.doc_word[row]), int(words.doc_word[row + 1])
+            for item, score in hits:
+                own = index.words[item]
+                share, question, answer = _overlaps(own, index.cut[item], hashes[max(lo, a - len(own)) : min(hi, b + len(own))])
+                if share >= OVERLAP and min(question, answer) >= PART_OVERLAP and (share, score) > best.get((row, item), (0,) * 5)[4:2:-1]:
+                    best[row, item] = (row, item, a - lo, score, share, question, answer)
     return [best[k] for k in sorted(best)]
 
 
