@@ -46,7 +46,7 @@ def search_text(files: DataFrame, query: str, case_sensitive: bool = False, limi
     """Lines that hold the query, by path and line, from files until 32 MiB of them were read, at most 1000 hits."""
     q = checked_query(query)
     read = rel.until_spent(files.where("content IS NOT NULL"), "size_bytes", ["path"], v.LIMITS["text_bytes"])
-    rows = text.lines(read.select("file_id", "path", "content"))
+    rows = text.lines(read.select("path", "content"))
     hit = F.col("line").contains(q) if case_sensitive else F.lower("line").contains(q.lower())
     found = rows.where(hit).orderBy("path", "line_number").limit(v.LIMITS["text_hits"])
     return rel.page(found, ["path", "line_number"], limit, offset).select("path", "line_number", F.substring(F.trim("line"), 1, v.LIMITS["snippet"]).alias("snippet"))
