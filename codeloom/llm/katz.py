@@ -33,7 +33,7 @@ from . import store, text
 LEAST = 2
 TOP = 5  # counts up to this are discounted
 HOT, HOT_PAIRS = 1 << 17, 1 << 18
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
+COUNT_BYTES, SCORE_BYTES = 4 << 20, 2 << 20
 END, START = np.uint64(text.hash_bytes(b"\0end")), np.uint64(text.hash_bytes(b"\0start"))
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 

@@ -66,8 +66,15 @@ class Words:
         return sums
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of its bytes, finalised."""
-        return range_hashes(self.prefix_sums(), self.start, self.end)
+        """A 64-bit hash of each word: a polynomial of its bytes, finalised. Some words at a time, as sums take 8 bytes a byte."""
+        out, at = np.empty(len(self.start), np.uint64), 0
+        while at < len(out):
+            lo = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, lo + SLICE_BYTES, side="right")))
+            here = Words(self.buf[lo : self.end[to - 1]], self.doc_byte, self.start[at:to] - lo, self.end[at:to] - lo, self.doc, self.doc_word)
+            out[at:to] = range_hashes(here.prefix_sums(), here.start, here.end)
+            at = to
+        return out
 
 
 def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
