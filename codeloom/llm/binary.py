@@ -23,23 +23,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store, text
-from .memo import Memo
+from .memo import FEED, SPACE, START, Table, chunks_of, keyed
+from .text import Words
 
 END_ID = 2
-MEMO_WORDS = 600_000  # words that a worker remembers
+MEMO_WORDS = 4_000_000  # words that a worker remembers, at about 30 bytes
 SLICE_BYTES = 2 << 20
 LINES = 4096
-_MARKS = ".,!?;:#$%&*|"
-#: white space other than space and line feed, and pairs of these
-_NOT_BY_WORD = ["  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 TOKENS = "doc_id long, text_hash long, n_tokens long, control binary, data binary"
 
 _ENCODERS: dict[str, WordEncoder] = {}
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
+def _other_spaces(buf: np.ndarray) -> np.ndarray:
+    """Where white space other than space and line feed stands (at its first byte)."""
+    one, two = np.append(buf[1:], 0), np.append(buf[2:], [0, 0])[: len(buf)]
+    out = ((buf >= 9) & (buf <= 13) & (buf != 10)) | ((buf >= 0x1C) & (buf <= 0x1F))
+    out |= (buf == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    out |= (buf == 0xE1) & (one == 0x9A) & (two == 0x80)
+    out |= (buf == 0xE2) & (one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))
+    out |= (buf == 0xE2) & (one == 0x81) & (two == 0x9F)
+    return out | ((buf == 0xE3) & (one == 0x80) & (two == 0x80))
+
+
 class WordEncoder:
-    """Ids of a byte-level BPE file of the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
+    """Ids of a byte-level BPE file of the ``tokenizers`` library.
 
     Its pre-tokenizer cuts before a single space or line feed that stands between two other characters, and never
     joins a line feed to what follows it, so words are encoded apart and remembered. Texts with other white space
@@ -58,59 +67,81 @@ class WordEncoder:
             stated = json.load(f)
         pre = stated.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not stated.get("normalizer")
-        self.by_word = self.by_word and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in stated["added_tokens"])
+        self.by_word = bool(self.by_word and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in stated["added_tokens"]))
+        self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 65536 else "<u4")
         self.feed = self._ids(["\n"])[0]
-        self.memo = Memo(MEMO_WORDS)
-        self.first = Memo(MEMO_WORDS // 10)  # without a space before them
-        self.marks: dict[str, bytes] = {}
+        self.clear()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def clear(self) -> None:
+        self.table = Table(MEMO_WORDS, 2)
+        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0
 
-    def _lines(self, lines: list[str]) -> list[bytes]:
-        """The ids of texts without white space but a leading space: many at a time, cut where a line feed's id stands."""
-        out: list[bytes] = []
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without white space but a leading space, end to end, and how many each has: many texts are
+        encoded at a time, and a line feed's id tells where one ends."""
+        flat, counts = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
         for at in range(0, len(lines), LINES):
             part = lines[at : at + LINES]
-            raw = self._ids(["\n".join(part)])[0]
-            ids = np.frombuffer(raw, "<u4")
-            cuts = (np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]) * 4).tolist() if len(self.feed) == 4 else []
+            ids = self._ids(["\n".join(part)])[0]
+            cuts = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else []
             if len(cuts) == len(part) - 1:
-                out += [raw[lo:hi] for lo, hi in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
-            else:
-                out += self._ids(part)
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        """Marks after a letter are pre-tokens of their own, so a word is learnt without them first."""
-        marked = [(w, c) for w in words if (c := w.rstrip(_MARKS)) != w and c[-1:].isalpha() and c[-1] < "\u0250"]
-        apart = {w for w, _ in marked}
-        plain = list({w for w in words if w not in apart} | {c for _, c in marked} - self.memo.now.keys())
-        spaced = [w for w in plain if w[0] != "\n"]
-        self.memo.now.update(zip(spaced, self._lines([" " + w for w in spaced]), strict=True))
-        fed = [w for w in plain if w[0] == "\n"]
-        self.memo.now.update((w, self.feed + ids) for w, ids in zip(fed, self._lines([w[1:] for w in fed]), strict=True))
-        if len(self.marks) > LINES:
-            self.marks.clear()
-        marks = {w[len(c) :] for w, c in marked} - self.marks.keys()
-        self.marks.update(zip(marks, self._ids(list(marks)), strict=True))
-        self.memo.now.update((w, self.memo.now[c] + self.marks[w[len(c) :]]) for w, c in marked)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, whole = {}, {}
-        for i, t in enumerate(texts):
-            if self.by_word and t and not any(x in t for x in _NOT_BY_WORD) and t[0] not in " \n" and t[-1] not in " \n":
-                split[i] = t.replace("\n", " \n").split(" ")
+                flat.append(np.delete(ids, cuts))
+                counts.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:
-                whole[i] = t
-        if heads := self.first.missing({w[0] for w in split.values()}):
-            self.first.now.update(zip(heads, self._ids(list(heads)), strict=True))
-        if split and (missing := self.memo.missing(set().union(*(w[1:] for w in split.values())))):
-            self._learn(list(missing))
-        out = dict(zip(whole, self._ids(list(whole.values())), strict=True))
-        for i, words in split.items():
-            out[i] = self.first.now[words[0]] + b"".join(map(self.memo.now.__getitem__, words[1:]))
-        return [out[i] for i in range(len(texts))]
+                each = self._ids(part)
+                flat += each
+                counts.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(flat), np.concatenate(counts).astype(np.int64)
+
+    def _learn(self, words: Words, keys: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
+        """``at``: a word for each new key."""
+        raw = words.buf.tobytes()
+        for k in (START, SPACE, FEED):
+            of = at[kind[at] == k]
+            lead = " " if k == SPACE else ""
+            flat, n = self._lines([lead + raw[a:b].decode() for a, b in zip(words.start[of].tolist(), words.end[of].tolist(), strict=True)])
+            if k == FEED:
+                flat = np.insert(flat, np.repeat(np.cumsum(n) - n, len(self.feed)), np.tile(self.feed, len(n)))
+                n = n + len(self.feed)
+            if self.filled + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + 2 * len(flat), self.kind)])
+            self.pool[self.filled : self.filled + len(flat)] = flat
+            self.table.add(keys[of], np.stack([self.filled + np.cumsum(n) - n, n], axis=1))
+            self.filled += len(flat)
+
+    def encode(self, column: pa.Array, end: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each followed by ``end``, and how many each text has."""
+        n_docs = len(column)
+        bad = _other_spaces(text.bytes_of(column)[0]) if self.by_word else None
+        words, kind, hashes, irregular = chunks_of(column, bad)
+        if not self.by_word:
+            irregular = np.diff(words.doc_byte) > 0
+            words.start, words.doc, kind, hashes = words.start[:0], words.doc[:0], kind[:0], hashes[:0]
+        keys = keyed(hashes, kind)
+        some, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.table) + len(some) > MEMO_WORDS:
+            self.clear()
+        rows, hit = self.table.find(some)
+        if not hit.all():
+            self._learn(words, keys, first[~hit], kind)
+            rows, _ = self.table.find(some)
+        lead, n = rows[back, 0], rows[back, 1]
+        # whole texts and ends stand behind the words of their document
+        whole = np.flatnonzero(irregular)
+        raw = words.buf.tobytes()
+        apart = [*self._ids([raw[words.doc_byte[d] : words.doc_byte[d + 1]].decode() for d in whole.tolist()]), np.array(end or [], self.kind)]
+        sizes = np.array([len(x) for x in apart])
+        places = self.filled + np.cumsum(sizes) - sizes
+        pool = np.concatenate([self.pool[: self.filled], *apart])
+        doc = np.concatenate([words.doc, whole, np.arange(n_docs)])
+        order = np.argsort(doc, kind="stable")
+        lead = np.concatenate([lead, places[:-1], np.full(n_docs, places[-1])])[order]
+        n = np.concatenate([n, sizes[:-1], np.full(n_docs, sizes[-1])])[order]
+        ids = pool[np.repeat(lead - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return ids, np.bincount(doc[order], n, n_docs).astype(np.int64)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -149,19 +180,17 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
     """doc_id, text_hash, n_tokens, ids (little-endian; 2 bytes an id if the vocabulary allows), in ranges of ``doc_id``."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = "<u2" if max(encoder(tokenizer).model.get_vocab_size(), end_id + 1) <= 65536 else "<u4"
+    kind = encoder(tokenizer).kind
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(shards, "doc_id").withColumn("text_hash", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for piece in text.slices(batches, budget=SLICE_BYTES):
-            ids = [x + end for x in model.encode(piece.column("text").to_pylist())]
-            n = [len(x) // 4 for x in ids]
-            narrow = pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("shard"), piece.column("doc_id"), piece.column("text_hash"), pa.array(n, pa.int64()), narrow], ["shard", "doc_id", "text_hash", "n_tokens", "ids"])
+            ids, n = encoder(tokenizer).encode(piece.column(1), [end_id])
+            narrow = _binaries(ids.view(np.uint8), np.cumsum(n) * kind.itemsize)
+            yield pa.RecordBatch.from_arrays([piece.column(3), piece.column(0), piece.column(2), pa.array(n), narrow], ["shard", "doc_id", "text_hash", "n_tokens", "ids"])
 
-    return ordered.mapInArrow(encode, "shard int, doc_id long, text_hash long, n_tokens long, ids binary").withColumn("id_bytes", F.lit(int(kind[2])))
+    return ordered.mapInArrow(encode, "shard int, doc_id long, text_hash long, n_tokens long, ids binary").withColumn("id_bytes", F.lit(kind.itemsize))
 
 
 def frequencies(encoded: DataFrame, size: int) -> np.ndarray:

@@ -12,15 +12,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store, text
-from .memo import Memo
+from .memo import FEED, SPACE, Table, chunks_of, keyed
 
 LIMIT = 4096
-MEMO_WORDS = 400_000  # words that a worker remembers
+MEMO_WORDS = 4_000_000  # words that a worker remembers, at about 16 bytes
 BROADCAST_ROWS = 1_000_000  # keys of 8 to 32 bytes
 CACHE = "content_digest binary, version string, n_tokens long"
 
@@ -41,28 +43,30 @@ class PieceCounter:
         mark = "▁"
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.by_word = not any(mark in p.strip(mark) or "\n" in p or " " in p for p in pieces) and self.model.encode("a  b", out_type=str) != self.model.encode("a b", out_type=str)
-        self.memo = Memo(MEMO_WORDS)
-
-    def _learn(self, words: list[str]) -> None:
-        # the space mark that the model puts before a line feed is a piece of its own
-        self.memo.now.update((w, len(ids) - (w[0] == "\n")) for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True))
-
-    def count(self, texts: list[str]) -> list[int]:
-        split, whole = {}, {}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.by_word or "  " in t or t[0] in " \n" or t[-1] == " " or " \n" in t or "\n " in t or "▁" in t or "\0" in t:
-                whole[i] = t
-            else:
-                split[i] = t.replace("\n", " \n").split(" ")
-        out = [0] * len(texts)
-        if split and (missing := self.memo.missing(set().union(*split.values()))):
-            self._learn(list(missing))
-        for i, words in split.items():
-            out[i] = sum(map(self.memo.now.__getitem__, words))
-        for (i, _), ids in zip(whole.items(), self.model.encode(list(whole.values()), num_threads=1), strict=True):
-            out[i] = len(ids)
+        self.table = Table(MEMO_WORDS, 1)
+
+    def count(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        buf, _ = text.bytes_of(column)
+        mark = (buf == 0xE2) & (np.append(buf[1:], 0) == 0x96)[: len(buf)] & (np.append(buf[2:], [0, 0])[: len(buf)] == 0x81)
+        words, kind, hashes, irregular = chunks_of(column, mark | (buf == 0) if self.by_word else np.ones(len(buf), bool))
+        keys = keyed(hashes, np.where(kind == FEED, FEED, SPACE))  # the model puts its space mark before the first word too
+        some, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.table) + len(some) > MEMO_WORDS:
+            self.table.clear()
+        rows, hit = self.table.find(some)
+        if not hit.all():
+            raw, at = words.buf.tobytes(), first[~hit]
+            fed = kind[at] == FEED
+            new = [("\n" if f else "") + raw[a:b].decode() for a, b, f in zip(words.start[at].tolist(), words.end[at].tolist(), fed.tolist(), strict=True)]
+            # the space mark that the model puts before a line feed is a piece of its own
+            n = np.array([len(x) for x in self.model.encode(new, num_threads=1)], np.int64) - fed
+            self.table.add(some[~hit], n[:, None])
+            rows[~hit, 0] = n
+        out = np.bincount(words.doc, rows[back, 0], len(column)).astype(np.int64)
+        raw = words.buf.tobytes()
+        for d in np.flatnonzero(irregular).tolist():
+            out[d] = len(self.model.encode(raw[words.doc_byte[d] : words.doc_byte[d + 1]].decode()))
         return out
 
 
@@ -76,8 +80,9 @@ class JsonCounter:
         self.model.no_truncation()
         self.model.no_padding()
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def count(self, column: pa.Array) -> np.ndarray:
+        texts = pc.fill_null(column, "").to_pylist()
+        return np.array([len(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
 
 
 def counter(path: str) -> PieceCounter | JsonCounter:
@@ -125,8 +130,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(tokenizer)
         for piece in text.slices(batches, budget=2 << 20):
-            n = model.count(piece.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.count(piece.column(1)))], ["content_digest", "n_tokens"])
 
     found = texts.select("content_digest", "text").mapInArrow(encode, "content_digest binary, n_tokens long")
     found = found.dropDuplicates(["content_digest"])  # rows repeated with their doc_id

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -15,31 +16,33 @@ BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 TEXTS = ["", " ", "a b", "a  b", "a\n b", "\na", "a\n", "don't stop 12 ab1!", "x <|endoftext|> y<|endoftext|>", "é漢   z", "A\r\nB c,d e\tf", "▁ a ▁b", "\0 a"]
 
 
-@pytest.mark.parametrize("texts", [TEXTS, TEXTS[::-1]])
+def same_as_library(encoder, pieces, texts):
+    column = pa.array(texts, pa.string())
+    ids, n = encoder.encode(column)
+    want = [e.ids for e in encoder.model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    ended, n = encoder.encode(column, [2])
+    assert ended.tolist() == [i for x in want for i in [*x, 2]] and n.tolist() == [len(x) + 1 for x in want]
+    assert pieces.count(column).tolist() == [len(x) for x in pieces.model.encode([t or "" for t in texts])]
+
+
+@pytest.mark.parametrize("texts", [TEXTS, TEXTS[::-1], [], [None, ""]])
 def test_words_encode_as_whole_texts(texts):
-    model = Tokenizer.from_file(BPE)
-    got = binary.WordEncoder(BPE).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
-    pieces = counts.PieceCounter(PIECE)
-    assert pieces.count(texts) == [len(x) for x in pieces.model.encode(texts)]
+    same_as_library(binary.WordEncoder(BPE), counts.PieceCounter(PIECE), texts)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab' \n\tZé1.,▁", max_size=20), max_size=8))
+@given(st.lists(st.text(alphabet="ab' \n\tZé1.,▁\u3000\u2009\xa0\x85", max_size=20), max_size=8))
 def test_any_text_encodes_by_word(texts):
-    model = binary.encoder(BPE)
-    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)] == [e.ids for e in model.model.encode_batch(texts, add_special_tokens=False)]
-    pieces = counts.counter(PIECE)
-    assert pieces.count(texts) == [len(x) for x in pieces.model.encode(texts)]
+    same_as_library(binary.encoder(BPE), counts.counter(PIECE), texts)
 
 
 def test_memo_that_begins_afresh(monkeypatch):
     monkeypatch.setattr(binary, "MEMO_WORDS", 3)
     monkeypatch.setattr(counts, "MEMO_WORDS", 3)
     model, pieces = binary.WordEncoder(BPE), counts.PieceCounter(PIECE)
-    for texts in (["a b c d e f"], ["g h i a b c"], ["k l m a b z", "a b g h"]):
-        assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)] == [e.ids for e in model.model.encode_batch(texts, add_special_tokens=False)]
-        assert pieces.count(texts) == [len(x) for x in pieces.model.encode(texts)]
+    for texts in (["a b c d e f"], ["g h i a b c"], ["k l m a b z", "a b g\nh"]):
+        same_as_library(model, pieces, texts)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1)))
