@@ -9,7 +9,8 @@ Where the discounts leave nothing, c(h) is raised by one. Counts of 1 are backed
 Counts and probabilities are tables. The heavy exchange, n-gram occurrences, moves as compressed arrays by hash
 part: a slice of documents sends each part its n-grams once, counted by document; the part looks them up in its
 share of the table and returns a sum for each document. The most frequent n-grams (``HOT`` words, ``HOT_PAIRS``
-pairs: fixed numbers, whatever the corpus) are broadcast and never leave their slice, so no part holds a hot key.
+pairs: fixed numbers, whatever the corpus) are broadcast and never leave their slice, so no part holds a hot key. A
+sketch of fixed size tells which pairs are in no table at all.
 
 Cases: null and empty texts are one end token; repeated rows and ids and null ids count and are scored each (a null
 id is not trained on nor held out); without training rows every token has P = 1; extra columns are ignored.
@@ -33,6 +34,7 @@ from . import store, text
 LEAST = 2
 TOP = 5  # counts up to this are discounted
 HOT, HOT_PAIRS = 1 << 17, 1 << 18
+SKETCH_BITS, SEGMENTS = 27, 64
 COUNT_BYTES, SCORE_BYTES = 4 << 20, 2 << 20
 END, START = np.uint64(text.hash_bytes(b"\0end")), np.uint64(text.hash_bytes(b"\0start"))
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -177,7 +179,7 @@ def fit(docs: DataFrame) -> Model:
     factor = F.element_at(F.array(*[F.lit(x) for x in discounts(histogram)]), (F.least("n", F.lit(TOP)) + 1).cast("int"))
     kept = F.when(F.col("n") > TOP, F.lit(1.0)).otherwise(factor) * F.col("n")
     lower = word.select(F.col("key").alias("token"), ((F.col("n") + 1) / F.lit(total)).alias("p"))
-    pair = store.saved(pair.withColumn("kept", kept).join(lower, "token"), "pairs")
+    joined = pair = store.saved(pair.withColumn("kept", kept).join(lower, "token"), "pairs")
     ends = F.lit(int(END.view(np.int64)))
     counts_ = word.select(F.col("key").alias("context"), "n").union(word.where(F.col("key") == ends).select(F.lit(int(START.view(np.int64))), "n"))
     context = pair.groupBy("context").agg(F.sum("kept").alias("kept_all"), F.sum("p").alias("p_all")).join(counts_.withColumnRenamed("n", "n_context"), "context")
@@ -189,6 +191,7 @@ def fit(docs: DataFrame) -> Model:
     alphas = context.select(F.col("context").alias("key"), "log_alpha")
     word = word.join(alphas, "key", "left").select("key", F.log10((F.col("n") + 1) / F.lit(total)).alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"), "n")
     word, pair = store.saved(word, "lm-words"), store.saved(pair, "lm-pairs")
+    store.delete(table, joined)
     store.release(spark)
     unknown = -math.log10(total)
     end = word.where(F.col("key") == ends).select("log_p").collect()
@@ -203,6 +206,37 @@ def _hot(table: DataFrame, columns: list[str], limit: int) -> list[np.ndarray]:
     return [key[order], *(rows[c].to_numpy()[order] for c in columns)]
 
 
+def _bits(key: np.ndarray) -> np.ndarray:
+    return (text.mix(key ^ _B) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch(keys: DataFrame) -> np.ndarray:
+    """One bit for each hashed key, in 2 ** SKETCH_BITS / 8 bytes whatever the number of keys. A pair without its bit is in
+    no table and need not be asked for; the fuller the sketch, the more are asked for, with the same results."""
+    size = 1 << SKETCH_BITS - 3
+    step = size // SEGMENTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = [pa.compress(bits[k * step : (k + 1) * step].tobytes(), "zstd", asbytes=True) for k in range(SEGMENTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS)), pa.array(parts, pa.binary())], ["segment", "bits"])
+
+    def join(group: pa.Table) -> pa.Table:
+        out = np.zeros(step, np.uint8)
+        for b in group["bits"].to_pylist():
+            out |= np.frombuffer(pa.decompress(b, step, "zstd"), np.uint8)
+        return pa.table({"segment": group["segment"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    rows = keys.mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(join, "segment long, bits binary").collect()
+    out = np.zeros((SEGMENTS, step), np.uint8)
+    for r in rows:
+        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
 def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -213,11 +247,11 @@ def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every document."""
     spark, parts = docs.sparkSession, model.parts
-    hot: Broadcast = spark.sparkContext.broadcast((_hot(model.words, ["log_p", "log_alpha"], HOT), _hot(model.pairs, ["gain"], HOT_PAIRS)))
+    hot: Broadcast = spark.sparkContext.broadcast((_hot(model.words, ["log_p", "log_alpha"], HOT), _hot(model.pairs, ["gain"], HOT_PAIRS), _sketch(model.pairs.select("key"))))
     unknown, end, start_alpha, has_end = model.unknown, model.end, model.start_alpha, model.train_tokens > 0
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (word_keys, log_p, log_alpha), (pair_keys, gain) = hot.value
+        (word_keys, log_p, log_alpha), (pair_keys, gain), sketch = hot.value
         for k, piece in enumerate(text.slices(batches, budget=SCORE_BYTES)):
             words = text.words_of(piece.column(1), lower=True)
             n_docs = words.n_docs
@@ -235,7 +269,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             of, key, n = text.counted(doc, pair_key(context, token))
             at, hit = _found(key, pair_keys)
             sums[3] += np.bincount(of[hit], n[hit] * gain[at[hit]], n_docs)
-            cold.append((1, of[~hit], key[~hit], n[~hit]))
+            at = _bits(key)
+            ask = ~hit & ((sketch[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0)
+            cold.append((1, of[ask], key[ask], n[ask]))
             slice_ = TaskContext.get().partitionId() << 32 | k
             ids = piece.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +34,21 @@ def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out.scratch_path = path
+    return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no later read needs."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def delete(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` wrote and that no later read needs."""
+    for df in tables:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps (it acts when the driver's heap is collected)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
