@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, decontamination, katz, media, mixing, neardup, store, toxicity, urls
+from . import binary, counts, decontamination, katz, linedup, media, mixing, neardup, store, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.judged(_table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = store.saved(media.stored(_table(spark, sf_dir, "documents")), "media")
     return media.digests(media.sniffed(files))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_media": op7_media,
     "op8_token_counts": op8_token_counts,
     "op9_lm_score": op9_lm_score,
