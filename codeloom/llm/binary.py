@@ -27,8 +27,8 @@ from .memo import FEED, SPACE, START, Table, chunks_of, keyed
 from .text import Words
 
 END_ID = 2
-MEMO_WORDS = 4_000_000  # words that a worker remembers, at about 30 bytes
-SLICE_BYTES = 2 << 20
+MEMO_WORDS = 2_500_000  # words that a worker remembers, at about 30 bytes
+SLICE_BYTES = 1 << 20
 LINES = 4096
 TOKENS = "doc_id long, text_hash long, n_tokens long, control binary, data binary"
 
@@ -57,7 +57,9 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)

@@ -22,7 +22,7 @@ from . import store, text
 from .memo import FEED, SPACE, Table, chunks_of, keyed
 
 LIMIT = 4096
-MEMO_WORDS = 4_000_000  # words that a worker remembers, at about 16 bytes
+MEMO_WORDS = 2_500_000  # words that a worker remembers, at about 16 bytes
 BROADCAST_ROWS = 1_000_000  # keys of 8 to 32 bytes
 CACHE = "content_digest binary, version string, n_tokens long"
 
@@ -129,7 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(tokenizer)
-        for piece in text.slices(batches, budget=2 << 20):
+        for piece in text.slices(batches, budget=1 << 20):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.count(piece.column(1)))], ["content_digest", "n_tokens"])
 
     found = texts.select("content_digest", "text").mapInArrow(encode, "content_digest binary, n_tokens long")

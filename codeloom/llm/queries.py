@@ -13,62 +13,58 @@ from . import binary, counts, decontamination, katz, linedup, media, mixing, nea
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label of a page is the quality of the document of the same id."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
-    return urls.judged(_table(spark, sf_dir, "pages"), labels)
+    labels = store.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return urls.judged(store.read_table(spark, sf_dir, "pages"), labels)
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "token-ids")
-    binary.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    binary.write_ids(store.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return binary.read_ids(spark, folder, checksum=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = store.read_table(spark, sf_dir, "documents"), store.read_table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     scored = toxicity.scored(docs.select("doc_id", "text"), model).withColumn("held_out", toxicity.held_out())
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return neardup.classes(store.read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.saved(mixing.measured(_table(spark, sf_dir, "documents")), "sizes")
+    rows = store.saved(mixing.measured(store.read_table(spark, sf_dir, "documents")), "sizes")
     mix = mixing.mixed(rows)
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.judged(_table(spark, sf_dir, "documents"))
+    return linedup.judged(store.read_table(spark, sf_dir, "documents"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = store.saved(media.stored(_table(spark, sf_dir, "documents")), "media")
+    files = store.saved(media.stored(store.read_table(spark, sf_dir, "documents")), "media")
     return media.digests(media.sniffed(files))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = counts.count_tokens(store.read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counts.LIMIT).alias("over_limit"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = store.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = katz.fit(docs.where(~katz.held_out()))
     scored = katz.scored(docs, model).withColumns({"held_out": katz.held_out(), "train_tokens": F.lit(model.train_tokens).cast("long")})
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks(store.read_table(spark, sf_dir, "documents"), store.read_table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
 _LOCAL: list[str] = []
 
 
@@ -22,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver. Texts go to Python in small batches from here on: one may hold a thousand long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex[:12]}"
 

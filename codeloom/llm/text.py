@@ -5,6 +5,8 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Null text counts
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,6 +148,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             to = max(at + 1, int(np.searchsorted(ends, base + budget, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside the heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shingles(w: Words, hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
