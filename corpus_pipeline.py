@@ -14,13 +14,9 @@ from codeloom.llm import binary, decontamination, mixing, neardup, store, toxici
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels of all documents but the held-out ones; documents that score 0.5 or more go."""
-    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    labels = store.read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
     model = toxicity.fit(docs, labels)
     return toxicity.scored(docs, model, "toxicity_score").where("toxicity_score < 0.5").select(*COLUMNS)
 
@@ -32,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.clean(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+    return decontamination.clean(docs.select(*COLUMNS), store.read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written and read again for the next."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = store.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
         store.release(spark)
