@@ -96,3 +96,21 @@ def emitted(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int
     whole, renamed = (d.withColumn("mix_doc_id", F.coalesce("mix_doc_id", lowest)) for d in (whole, renamed))
     taken = counts.joined_by_size(whole, renamed, [f"mix_{k}" for k in keys], "inner")
     return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+
+
+_CASE = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+_RATIO = "cap / w, source IS NULL, source"
+#: The query in DuckDB SQL.
+ORACLE = f"""
+WITH s AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+  ((coalesce(doc_id, 0) % {CELLS}) + {CELLS}) % {CELLS} AS cell FROM documents),
+src AS (SELECT k, source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1, 2),
+wt AS (SELECT *, (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} {_CASE} END)::DOUBLE AS w, source_size::DOUBLE * {MAX_REPEAT} AS cap FROM src),
+lv AS (SELECT *, row_number() OVER (ORDER BY {_RATIO}) AS n,
+  (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY {_RATIO} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY {_RATIO} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM wt),
+tg AS (SELECT k, source_size, least(cap, (SELECT lvl FROM lv WHERE lvl * w <= cap ORDER BY n LIMIT 1) * w) AS target FROM lv),
+rt AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, ('0x' || substr(md5('{SEED}/' || k), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS shift FROM tg),
+rk AS (SELECT doc_id, k, size, row_number() OVER (PARTITION BY k ORDER BY size, cell, doc_id IS NULL, doc_id) AS r FROM s),
+cp AS (SELECT doc_id, size, source_size, target, (floor(rate * r + shift) - floor(rate * (r - 1) + shift))::BIGINT AS copies FROM rk JOIN rt USING (k))
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM cp
+"""

@@ -80,4 +80,4 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE, "op5_mixing": mixing.ORACLE}

@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 
 from codeloom.llm import mixing, queries
@@ -54,3 +55,12 @@ def test_whole_table(spark):
     first = queries.op5_mixing(spark, "/root/testdata/sf0.01").collect()
     check(first, docs)
     assert sorted(first) == sorted(queries.op5_mixing(spark, "/root/testdata/sf0.01").collect())
+
+
+def test_sql_equivalent(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(mixing.ORACLE)
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, queries.op5_mixing(spark, sf).select(*names).collect())) == sorted(want.fetchall())
