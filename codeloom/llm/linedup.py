@@ -130,7 +130,8 @@ def linked(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     rows = store.saved(signed(docs, slots), "lines")
     per_set = store.saved(rows.groupBy("set_hash").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "line-sets")
     store.release(spark)
-    sent = per_set.select("set_hash", "size", "parity", F.explode("prefix").alias("p")).select("p.word", "p.place", "set_hash", "size", "parity")
+    # different sets of fewer than four words never match
+    sent = per_set.where("size >= 4").select("set_hash", "size", "parity", F.explode("prefix").alias("p")).select("p.word", "p.place", "set_hash", "size", "parity")
     a, b = (sent.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("set_hash", "size", "parity", "place")]) for side in "ab")
     both = F.col("a_size") + F.col("b_size")
     near = 5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")
