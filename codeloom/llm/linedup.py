@@ -2,7 +2,7 @@
 
 A line is the set of its words; lines whose Jaccard similarity is at least 0.8 match, and of matching lines the later
 (by doc_id, then line number) is removed. Lines of the same set are one class from the start. Words are ordered by
-rarity: by the number of lines that hold them, counted over the whole corpus in ``SLOTS`` hash slots (any fixed order
+rarity: by how often they occur, counted over the whole corpus in ``SLOTS`` hash slots (any fixed order
 is right; a slot shared by two words only makes them look less rare). A line needs its rarest
 size - ceil(0.8 size) + 1 words only: two matching lines share one of these. A word that no other line holds joins
 nothing and is not sent. Pairs that share such a word pass the length filter, the positional filter (words that can
@@ -27,6 +27,7 @@ from . import counts, store, text
 
 SLOTS, SEGMENTS = 1 << 23, 64
 SLICE_BYTES = 1 << 20
+ROUNDS = 4  # in which pairs are verified
 _LOWEST = -(2**63)
 
 
@@ -49,14 +50,13 @@ def _slot(word: np.ndarray, slots: int) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """By slot: 0 and 1 for so many lines, else 8 log2 of their number. ``slots`` bytes (a power of two), whatever the corpus."""
+    """By slot: 0 and 1 for so many words, else 8 log2 of their number. ``slots`` bytes (a power of two), whatever the corpus."""
     step = slots // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.uint32)
         for piece in text.slices(batches, budget=SLICE_BYTES):
-            slot, n = np.unique(_slot(_lines(piece.column(0))[1], slots), return_counts=True)
-            total[slot] += n.astype(np.uint32)
+            np.add.at(total, _slot(text.words_of(piece.column(0)).hashes(), slots), np.uint32(1))
         parts = [pa.compress(total[k * step : (k + 1) * step].tobytes(), "zstd", asbytes=True) for k in range(SEGMENTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS)), pa.array(parts, pa.binary())], ["segment", "n"])
 
@@ -109,19 +109,26 @@ def signed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, line_number int, set_hash long, size int, parity long, prefix array<struct<word long, place int>>")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """set_hash and words of every line with words."""
+def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_hash and words of the lines whose set is ``wanted``. Up to a million of these go to the workers, where all else
+    is left out; more are joined."""
+    few = wanted.limit(counts.BROADCAST_ROWS + 1).count() <= counts.BROADCAST_ROWS
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["set_hash"].to_numpy().view(np.uint64)) if few else None)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
             line, word, of, _ = _lines(piece.column(0))
             set_hash, size, _ = _classes(line, word, len(of))
             have, first = np.unique(line, return_index=True)
-            _, once = np.unique(set_hash[have], return_index=True)
+            some, once = np.unique(set_hash[have], return_index=True)
+            if known.value is not None:
+                at = np.minimum(np.searchsorted(known.value, some), max(len(known.value) - 1, 0))
+                once = once[known.value[at] == some] if len(known.value) else once[:0]
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), text.as_i64(word)).take(pa.array(once))
             yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have][once]), lists], ["set_hash", "words"])
 
-    return docs.select("text").mapInArrow(collect, "set_hash long, words array<long>")
+    found = docs.select("text").mapInArrow(collect, "set_hash long, words array<long>")
+    return found if few else found.join(wanted, "set_hash", "left_semi")
 
 
 def linked(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -140,11 +147,16 @@ def linked(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     pairs = store.saved(pairs.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b")).distinct(), "line-pairs")
     store.release(spark)
     involved = store.saved(pairs.select(F.col("a").alias("set_hash")).union(pairs.select("b")).distinct(), "line-involved")
-    words = counts.joined_by_size(sets(docs), involved, ["set_hash"], "left_semi").groupBy("set_hash").agg(F.first("words").alias("words"))
+    words = sets(docs, involved).groupBy("set_hash").agg(F.first("words").alias("words"))
     words = store.saved(words, "line-words")
     common = F.size(F.array_intersect("a_words", "b_words"))
-    links = pairs.join(words.toDF("a", "a_words"), "a").join(words.toDF("b", "b_words"), "b").where(5 * common >= 4 * (F.size("a_words") + F.size("b_words") - common))
-    return rows.select("doc_id", "line_number", "set_hash"), store.saved(links.select("a", "b"), "line-links")
+    links = None
+    for k in range(ROUNDS):  # each moves its share of the word lists only
+        part = pairs.where(F.pmod("a", F.lit(ROUNDS)) == k).join(words.toDF("a", "a_words"), "a").join(words.toDF("b", "b_words"), "b")
+        part = store.saved(part.where(5 * common >= 4 * (F.size("a_words") + F.size("b_words") - common)).select("a", "b"), "line-links")
+        store.release(spark)
+        links = part if links is None else links.union(part)
+    return rows.select("doc_id", "line_number", "set_hash"), links
 
 
 def removals(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
