@@ -1,10 +1,12 @@
 """Toxicity by two Kneser-Ney models, of toxic and of ordinary text.
 
-A word (letters only, lower case) is generated piece by piece: its first 3 bytes, its first 5 given those, and so
-on to the whole word. In each class the probability of a piece given the preceding one is an interpolated
-Kneser-Ney estimate whose counts are of distinct documents and whose backoff is the same estimate from the counts
-of both classes together. A rare piece, or one whose shares in the classes differ no more than chance makes them,
-takes the shared probability in both. The score of a text is a logistic of the difference of its two
+Words (letters only, lower case) are modelled by the word before (a start, for the first). In each class the bigram's
+discounted share is interpolated with the class's continuation probability, the discounted share of the distinct words
+before it; that is interpolated with the continuation probability of both classes together, and that with one over the
+number of known words. A word that neither class knows gets the rest of that mass and is spelled piece by piece (its
+first 3 bytes, its first 5 given those, and so on) by interpolated estimates of the same kind, so new forms of a word
+are judged by its stem. Every bigram, word and piece is scored. Bigrams and pieces are counted by documents, as a
+phrase repeated in one text is one piece of evidence. The score of a text is a logistic of the difference of its two
 log-likelihoods, each divided by the number of words; slope and offset are fitted on labelled documents that the
 counts leave out.
 
@@ -34,9 +36,11 @@ CALIBRATION = 4  # one in so many of them sets the slope and the offset
 LENGTHS = (3, 5, 7, 9)
 DISCOUNT = 0.75
 SLICE_BYTES = 1 << 20
-DIFFERS = 5.0  # standard errors by which the classes' shares of a piece must differ; else it is counted in common
+BLOCK = 1 << 17  # rows of the model that are estimated at a time
+START = np.uint64(text.hash_bytes(b"\0start"))
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 _ROOT = np.uint64(0x14057B7EF767814F)
+_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def pieces(words: text.Words, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,25 +56,63 @@ def pieces(words: text.Words, keep: np.ndarray | None = None) -> Iterator[tuple[
         before, alive = piece, alive & ~ended
 
 
+def pair_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return text.mix(context * _A + token * _B)
+
+
+def stream(words: text.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, and the word."""
+    token = words.hashes()
+    before = np.concatenate([token[:1], token[:-1]])
+    first = words.doc_word[:-1]
+    before[first[first < words.doc_word[1:]]] = START
+    return before, token
+
+
+@dataclass
+class Table:
+    """Sorted hashes with a number each."""
+
+    key: np.ndarray
+    value: np.ndarray
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers (0 where there is none), and where there is one."""
+        if not len(self.key):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        hit = self.key[at] == keys
+        return np.where(hit, self.value[at], 0.0), hit
+
+
+def _table(key: np.ndarray, value: np.ndarray) -> Table:
+    order = np.argsort(key)
+    return Table(key[order], value[order])
+
+
 @dataclass
 class Model:
-    """Sorted hashes and log ratios of the pieces that tell the classes apart; all others have a ratio of 1."""
+    """Log ratios of toxic to ordinary: of bigrams, of words where the bigram is new, of pieces where the word is new. A context
+    gives new events the same weight in both classes, so what none of them has seen has a ratio of 1."""
 
-    seen: np.ndarray
-    ratio: np.ndarray
+    pairs: Table
+    words: Table
+    spelled: Table
     slope: float = 1.0
     offset: float = 0.0
     constant: float | None = None
 
     def word_ratios(self, words: text.Words) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary), by word."""
-        hashes = words.hashes()
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.zeros(len(first))
-        for _, piece, alive in pieces(words, first):
-            at = np.minimum(np.searchsorted(self.seen, piece), len(self.seen) - 1)
-            total += np.where(alive & (self.seen[at] == piece), self.ratio[at], 0.0)
-        return total[back]
+        """log P(word | before, toxic) - log P(word | before, ordinary), by word."""
+        before, token = stream(words)
+        _, first, back = np.unique(token, return_index=True, return_inverse=True)
+        ratio, known = self.words.get(token[first])
+        new = np.flatnonzero(~known)
+        for _, piece, alive in pieces(words, first[new]):
+            ratio[new] += np.where(alive, self.spelled.get(piece)[0], 0.0)
+        keys, at, again = np.unique(pair_key(before, token), return_index=True, return_inverse=True)
+        r, hit = self.pairs.get(keys)
+        return np.where(hit, r, ratio[back][at])[again]
 
     def scores(self, column: pa.Array) -> np.ndarray:
         n = len(column)
@@ -85,23 +127,80 @@ class Model:
         return sums / np.maximum(np.diff(words.doc_word), 1)
 
 
-def fitted(before: np.ndarray, piece: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The model from the numbers of documents of either class that hold (preceding piece, piece)."""
-    context, places = np.unique(before, return_inverse=True)
-    n = len(context)
-    both = toxic + ordinary
-    total, kinds = np.bincount(places, both, n)[places], np.bincount(places, both > 0, n)[places]
-    shared = (np.maximum(both - DISCOUNT, 0) + DISCOUNT / 2) / total  # the rest of the discounted mass is for pieces not seen
-    sums = [np.bincount(places, c, n)[places] for c in (toxic, ordinary)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = np.sqrt(both / total * (1 - both / total) * (1 / sums[0] + 1 / sums[1]))
-        differs = np.abs(toxic / sums[0] - ordinary / sums[1]) > DIFFERS * spread
-    differs &= (sums[0] > 0) & (sums[1] > 0) & (kinds > 1)
-    # both classes give the backoff the same weight: that of the class with less evidence
-    back = np.maximum(*(np.clip(DISCOUNT * np.bincount(places, c > 0, n)[places] / np.maximum(t, 1), 0.05, 0.5) for c, t in zip((toxic, ordinary), sums, strict=True)))
-    p, q = ((1 - back) * np.maximum(c - DISCOUNT, 0) / np.maximum(t, 1) + back * shared for c, t in zip((toxic, ordinary), sums, strict=True))
-    order = np.argsort(piece[differs])
-    return Model(piece[differs][order], np.log(p[differs] / q[differs])[order])
+def _blocks(n: int) -> list[slice]:
+    return [slice(at, at + BLOCK) for at in range(0, n, BLOCK)]
+
+
+def _apart(toxic: np.ndarray, ordinary: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each event the posterior probability that its share of toxic counts is its own (any is as likely) and not the one
+    expected; the prior is fitted to all events at hand."""
+    most = int((toxic + ordinary).max(initial=0))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+    own, blocks = np.empty(len(toxic), np.float32), _blocks(len(toxic))
+    for s in blocks:
+        t, o = toxic[s].astype(np.int64), ordinary[s].astype(np.int64)
+        p = np.clip(share[s].astype(float), 1e-6, 1 - 1e-6)
+        own[s] = -np.log(t + o + 1.0) - (logs[t + o] - logs[t] - logs[o]) - t * np.log(p) - o * np.log(1 - p)
+    prior, evidence = 0.01, own.copy()
+    for _ in range(30):
+        for s in blocks:
+            own[s] = 1 / (1 + np.exp(-np.clip(evidence[s] + np.log(prior / (1 - prior)), -50, 50)))
+        prior = float(np.clip(own.mean(dtype=float) if len(own) else prior, 1e-7, 0.5))
+    return own
+
+
+def _level(before: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, lower: list[np.ndarray], docs: tuple[np.ndarray, np.ndarray] | None = None, at: np.ndarray | None = None) -> list[np.ndarray]:
+    """Interpolated Kneser-Ney estimates of each row in both classes and in common over ``lower``, those of the order below.
+    As far as the counts do not tell that a class differs, it has the common estimate, moved as the class is one order down.
+    ``docs``: the documents of either class that hold each row, where the counts are not of documents. ``at``: where in
+    ``lower`` the row's are. Rows are taken in blocks, so that the driver holds few arrays of all of them."""
+    n, (context, places) = len(before), np.unique(before, return_inverse=True)
+    places = places.astype(np.int32)
+    told = docs or (toxic, ordinary)
+    totals = [np.bincount(places, c, len(context)) for c in (toxic, ordinary, toxic + ordinary)]
+    kinds = [np.bincount(places[c > 0], minlength=len(context)) for c in (toxic, ordinary, toxic + ordinary)]
+    sums = [np.bincount(places, c, len(context)) for c in told]
+    below = lambda k, s: lower[k][s if at is None else at[s]]
+    share = np.empty(n, np.float32)
+    for s in _blocks(n):
+        a, b = sums[0][places[s]] * below(0, s), sums[1][places[s]] * below(1, s)
+        share[s] = a / (a + b)
+    own = _apart(*told, share)
+    out = [np.empty(n, np.float32) for _ in range(3)]
+    for s in _blocks(n):
+        p, estimates = places[s], []
+        for k, c in enumerate((toxic[s], ordinary[s], toxic[s] + ordinary[s])):
+            total = totals[k][p]
+            back = np.where(total > 0, DISCOUNT * kinds[k][p] / np.maximum(total, 1), 1.0)
+            estimates.append(np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1) + back * below(k, s))
+        both_seen = (sums[0][p] > 0) & (sums[1][p] > 0)
+        weight = np.where(both_seen, own[s], 0.0)
+        for k in (0, 1):
+            out[k][s] = weight * estimates[k] + (1 - weight) * estimates[2] * below(k, s) / below(2, s)
+        out[2][s] = estimates[2]
+    return out
+
+
+def _log_ratio(estimates: list[np.ndarray]) -> np.ndarray:
+    return np.log(estimates[0]) - np.log(estimates[1])
+
+
+def fitted(bigrams: tuple[np.ndarray, ...], spelling: tuple[np.ndarray, ...], singles: tuple[np.ndarray, ...]) -> Model:
+    """The model from (before, word or piece, toxic documents, ordinary documents) of bigrams, of pieces and of single words."""
+    before, token, toxic, ordinary = bigrams
+    word, places = np.unique(token, return_inverse=True)
+    everywhere = np.zeros(len(word))  # a word's context one order down
+    t1, o1 = (np.bincount(places, c > 0, len(word)).astype(float) for c in (toxic, ordinary))  # distinct words before it
+    base = np.full(len(word), 1 / (len(word) + 1))
+    order = np.argsort(singles[1])  # the same words, as each has a bigram
+    single = _level(everywhere, t1, o1, [base] * 3, (singles[2][order], singles[3][order]))
+    double = _level(before, toxic, ordinary, single, at=places)
+    words = _table(word, _log_ratio(single))
+    pairs = _table(pair_key(before, token), _log_ratio(double))
+
+    before, piece, toxic, ordinary = spelling
+    spelled = _level(before, toxic, ordinary, [np.full(len(piece), 1 / (len(piece) + 1))] * 3)
+    return Model(pairs, words, _table(piece, _log_ratio(spelled)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -133,24 +232,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for piece in text.slices(batches, budget=SLICE_BYTES):
             words = text.words_of(piece.column(1), letters=True)
             toxic = piece.column(0).to_numpy()
-            for before, now, alive in pieces(words):
+            every = np.ones(len(words.doc), bool)
+            before, token = stream(words)
+            for kind, (before, now, alive) in [(0, (before, token, every)), (2, (np.zeros_like(token), token, every)), *((1, x) for x in pieces(words))]:
                 before, now, doc = before[alive], now[alive], words.doc[alive]
-                order = np.lexsort((now, doc))
+                key = pair_key(before, now) if kind == 0 else now
+                order = np.lexsort((key, doc))
                 new = np.ones(len(order), bool)
-                new[1:] = (np.diff(doc[order]) != 0) | (now[order][1:] != now[order][:-1])
+                new[1:] = (np.diff(doc[order]) != 0) | (key[order][1:] != key[order][:-1])
                 at = order[new]
-                of, first, where = np.unique(now[at], return_index=True, return_inverse=True)
+                of, first, where = np.unique(key[at], return_index=True, return_inverse=True)
                 by_class = [np.bincount(where, toxic[doc[at]] == k, len(of)).astype(np.int64) for k in (1, 0)]
-                yield pa.RecordBatch.from_arrays([text.as_i64(before[at][first]), text.as_i64(of), *map(pa.array, by_class)], ["before", "piece", "t", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), kind)), text.as_i64(before[at][first]), text.as_i64(now[at][first]), *map(pa.array, by_class)], ["kind", "before", "piece", "t", "o"])
 
     share = train.agg(F.avg("toxic").alias("t"), F.expr("count_if(part != 0 AND toxic = 1)").alias("a"), F.expr("count_if(part != 0 AND toxic = 0)").alias("b"), F.expr("count_if(part = 0 AND toxic = 1)").alias("c"), F.expr("count_if(part = 0 AND toxic = 0)").alias("d")).collect()[0]
     if not all((share["a"], share["b"], share["c"], share["d"])):
-        none = np.zeros(1, np.uint64)
-        return Model(none, np.zeros(1), constant=float(share["t"] or 0.0))
-    seen = train.where("part != 0").select("toxic", "text").mapInArrow(count, "before long, piece long, t long, o long")
-    table = seen.groupBy("before", "piece").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
-    columns = [table[c].to_numpy() for c in ("before", "piece", "t", "o")]
-    model = fitted(columns[0].view(np.uint64), columns[1].view(np.uint64), columns[2].astype(float), columns[3].astype(float))
+        none = Table(np.zeros(0, np.uint64), np.zeros(0))
+        return Model(none, none, none, constant=float(share["t"] or 0.0))
+    seen = train.where("part != 0").select("toxic", "text").mapInArrow(count, "kind long, before long, piece long, t long, o long")
+    rows = store.saved(seen.groupBy("kind", "before", "piece").agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")), "ngrams")
+
+    def collected(kind: int) -> tuple[np.ndarray, ...]:
+        table = rows.where(F.col("kind") == kind).select("before", "piece", "t", "o").toArrow()
+        return (*(table[c].to_numpy().view(np.uint64) for c in ("before", "piece")), *(table[c].to_numpy().astype(np.float32) for c in ("t", "o")))
+
+    model = fitted(collected(0), collected(1), collected(2))
+    pa.default_memory_pool().release_unused()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

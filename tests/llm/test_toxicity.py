@@ -52,3 +52,35 @@ def test_query_on_held_out_rows(spark):
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(r["predicted"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in toxic]
     assert sum(p == t for p, t in held) >= 0.93 * len(held)
+
+
+def test_words_are_scored_by_the_word_before(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        words = [rng.choice(ORDINARY) for _ in range(20)]
+        words[8:12] = ["vlob", "krin", rng.choice(ORDINARY), "krin"] if i % 4 == 0 else ["krin", "vlob", rng.choice(ORDINARY), "vlob"]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = toxicity.scored(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in rows)
+    new = spark.createDataFrame([(0, "theat vlob krin onat"), (1, "theat krin vlob onat")], "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    ratios = {r["doc_id"]: r["score"] for r in toxicity.scored(new, model).collect()}
+    assert ratios[0] > ratios[1]
+
+
+def test_no_event_is_left_out_and_lower_orders_count_contexts():
+    import numpy as np
+
+    u = lambda *x: np.array(x, np.uint64)
+    f = lambda *x: np.array(x, float)
+    # word 7 follows three words once each, word 8 one word three times
+    bigrams = (u(1, 2, 3, 4, 5), u(7, 7, 7, 8, 9), f(1, 1, 0, 3, 1), f(0, 0, 1, 1, 6))
+    model = toxicity.fitted(bigrams, (u(1, 1), u(5, 6), f(1, 2), f(3, 1)), (u(0, 0, 0), u(7, 8, 9), f(2, 3, 1), f(1, 1, 6)))
+    assert len(model.pairs.key) == 5 and len(model.words.key) == 3 and len(model.spelled.key) == 2
+    assert all(model.words.value != 0) and all(model.spelled.value != 0)
+    # doubling the documents of a pair changes no count of contexts
+    estimates = [toxicity._level(np.zeros(3), f(2, 1, 1), f(1, 1, 1), [np.full(3, 0.25)] * 3, docs)[2] for docs in ((f(2, 3, 1), f(1, 1, 6)), (f(2, 6, 1), f(1, 2, 6)))]
+    assert np.allclose(*estimates)
