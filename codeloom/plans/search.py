@@ -25,30 +25,36 @@ def _like(column: str, query: str):
     return F.col(column).ilike("%" + query.replace("\\", "\\\\") + "%")
 
 
-def search_symbols(symbols: DataFrame, files: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    """The best of the first 5000 matches by id; every sort key descends."""
+def _first(df: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
+def search_symbols(symbols: DataFrame, files: DataFrame, query: str, limit: int = 20, offset: int = 0, candidates: int | None = None) -> DataFrame:
+    """The best of all matches, or of the first ``candidates`` by id; every sort key descends."""
     q = checked_query(query)
-    hits = symbols.where(_like("name", q) | _like("qualified_name", q)).orderBy("symbol_id").limit(v.LIMITS["symbol_candidates"])
+    hits = _first(symbols.where(_like("name", q) | _like("qualified_name", q)), ["symbol_id"], candidates)
     hits = hits.join(files.select("file_id", "path"), "file_id").withColumn("rank", s.symbol_score(F.col("name"), F.col("qualified_name"), q)).withColumn("kind_rank", s.kind_rank(F.col("kind")))
     ordered = [F.desc("rank.score"), F.desc("rank.stanza"), F.desc("kind_rank"), F.lower("name").desc(), F.desc("path"), F.desc("symbol_id")]
     return rel.page(hits, ordered, limit, offset).select("symbol_id", "name", "qualified_name", "kind", "path", F.col("rank.score").alias("score"))
 
 
-def search_files(files: DataFrame, symbols: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
+def search_files(files: DataFrame, symbols: DataFrame, query: str, limit: int = 20, offset: int = 0, candidates: int | None = None) -> DataFrame:
+    """The best of all matches, or of the first ``candidates`` by id."""
     q = checked_query(query)
-    hits = files.where(_like("path", q)).orderBy("file_id").limit(v.LIMITS["file_candidates"]).withColumn("score", s.file_score(F.col("path"), q))
+    hits = _first(files.where(_like("path", q)), ["file_id"], candidates).withColumn("score", s.file_score(F.col("path"), q))
     counts = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbol_count"))
     best = rel.page(hits, [F.desc("score"), F.desc("path"), F.desc("file_id")], limit, offset).select("file_id", "path", "score")
     return best.join(counts, "file_id", "left").fillna(0, ["symbol_count"])
 
 
-def search_text(files: DataFrame, query: str, case_sensitive: bool = False, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Lines that hold the query, by path and line, from files until 32 MiB of them were read, at most 1000 hits."""
+def search_text(files: DataFrame, query: str, case_sensitive: bool = False, limit: int = 20, offset: int = 0, budget: int | None = None, most: int | None = None) -> DataFrame:
+    """Lines that hold the query, by path and line; from files until ``budget`` bytes were read, at most ``most`` hits, if given."""
     q = checked_query(query)
-    read = rel.until_spent(files.where("content IS NOT NULL"), "size_bytes", ["path"], v.LIMITS["text_bytes"])
+    read = files.where("content IS NOT NULL")
+    read = read if budget is None else rel.until_spent(read, "size_bytes", ["path"], budget)
     rows = text.lines(read.select("path", "content"))
     hit = F.col("line").contains(q) if case_sensitive else F.lower("line").contains(q.lower())
-    found = rows.where(hit).orderBy("path", "line_number").limit(v.LIMITS["text_hits"])
+    found = _first(rows.where(hit), ["path", "line_number"], most)
     return rel.page(found, ["path", "line_number"], limit, offset).select("path", "line_number", F.substring(F.trim("line"), 1, v.LIMITS["snippet"]).alias("snippet"))
 
 

@@ -160,3 +160,15 @@ def test_files_source(spark, tmp_path):
     assert set(got) == {"a/b.py", "bad.py"} and got["a/b.py"]["language"] == "Python" and got["a/b.py"]["line_count"] == 1 and got["bad.py"]["content"] == "�"
     with pytest.raises(src.LimitExceeded):
         src.checked(src.read_files(spark, str(tmp_path)), max_files=1)
+
+
+def test_search_ranks_all_matches_and_reads_all_files(spark):
+    n = 6000
+    symbols = spark.range(n).selectExpr("id AS symbol_id", "id AS file_id", f"if(id = {n - 1}, 'al', concat('xalx', id)) AS name", "concat('m.', name) AS qualified_name", "'CLASS' AS kind")
+    files = spark.range(n).selectExpr("id AS file_id", f"if(id = {n - 1}, 'al', concat('xalx', id)) AS path")
+    assert search.search_symbols(symbols, files, "al", limit=1).collect()[0]["symbol_id"] == n - 1
+    assert search.search_files(files, symbols, "al", limit=1).collect()[0]["file_id"] == n - 1
+    assert search.search_symbols(symbols, files, "al", limit=1, candidates=5000).collect()[0]["symbol_id"] < 5000
+    texts = spark.createDataFrame([("a", "nothing", 40 << 20), ("b", "needle\n" * 1500, 7)], "path string, content string, size_bytes long")
+    assert search.search_text(texts, "needle", limit=2000).count() == 1500
+    assert search.search_text(texts, "needle", budget=32 << 20).count() == 0
