@@ -104,30 +104,44 @@ def calls(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
     return _edge(both, "CALLS", status, F.col("caller"), F.col("target"), F.col("file_id"), F.col("line_number"), F.col("line_number"), F.concat_ws(".", "receiver", "name"))
 
 
-def extends(symbols: DataFrame, bound: DataFrame) -> DataFrame:
-    """Bases by import binding, then a unique class of the file, then a unique class of the repository; a class is never its own base."""
+def extends(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
+    """Dotted bases by the first class of that name in the module, then a unique class of the repository; others by import binding,
+    then a unique other class of the file, then a unique class of the repository. A class is never its own base."""
     classes = symbols.where("kind = 'CLASS'")
-    bases = classes.select("symbol_id", "file_id", "line_start", F.explode("bases").alias("written")).withColumn("base", F.element_at(F.split("written", r"\."), -1))
-    in_file = classes.groupBy("file_id", F.col("name").alias("base")).agg(F.count(F.lit(1)).alias("n_file"), F.min("symbol_id").alias("file_class"))
+    bases = classes.select("symbol_id", "file_id", "line_start", F.col("name").alias("own_name"), F.explode("bases").alias("written")).withColumn("base", F.element_at(F.split("written", r"\."), -1))
+    in_file = classes.groupBy("file_id", F.col("name").alias("base")).agg(F.count(F.lit(1)).alias("n_file"), F.sum("symbol_id").alias("file_ids"))
     in_all = classes.groupBy(F.col("name").alias("base")).agg(F.count(F.lit(1)).alias("n_all"), F.min("symbol_id").alias("any_class"))
     by_name = bound.where("bound_kind = 'CLASS'").select("file_id", F.col("name").alias("base"), "bound_symbol_id")
+    module = F.trim(F.regexp_replace("written", r"\.?[^.]+$", ""), F.lit("."))
+    in_module = classes.groupBy(F.col("file_id").alias("target_file_id"), F.col("name").alias("base")).agg(F.min("symbol_id").alias("module_class"))
+    bases = bases.withColumn("module", module).join(modules(files), "module", "left").join(in_module, ["target_file_id", "base"], "left").drop("target_file_id")
     found = bases.join(by_name, ["file_id", "base"], "left").join(in_file, ["file_id", "base"], "left").join(in_all, "base", "left")
-    target = F.when(F.col("bound_symbol_id").isNotNull(), F.col("bound_symbol_id")).when(F.col("n_file") > 1, None).when(F.col("n_file") == 1, F.col("file_class")).when(F.col("n_all") == 1, F.col("any_class"))
+    itself = F.col("own_name") == F.col("base")
+    others, other = F.col("n_file") - itself.cast("int"), F.col("file_ids") - F.when(itself, F.col("symbol_id")).otherwise(0)
+    anywhere = F.when(F.col("n_all") == 1, F.col("any_class"))
+    plain = F.when(F.col("bound_symbol_id").isNotNull(), F.col("bound_symbol_id")).when(others > 1, None).when(others == 1, other).otherwise(anywhere)
+    target = F.when(F.col("written").contains("."), F.coalesce("module_class", anywhere)).otherwise(plain)
     found = found.withColumn("target", target).withColumn("target", F.when(F.col("target") != F.col("symbol_id"), F.col("target")))
     status = F.when(F.col("target").isNotNull(), "RESOLVED").otherwise("UNRESOLVED")
     return _edge(found, "EXTENDS", status, F.col("symbol_id"), F.col("target"), F.col("file_id"), F.col("line_start"), F.col("line_start"), F.col("written"))
 
 
 def references(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
-    """The first use of each bound name in each innermost owner."""
+    """The first use of each name in each innermost owner: of its binding, else of another symbol of the file, first of those around it."""
     python = files.where("language = 'Python'").select("file_id", "content")
     code = text.lines(python).where(text.is_code(F.col("line")))
-    used = text.identifiers(code).where(~F.col("name").isin(v.PY_CALL_KEYWORDS[:-1])).join(bound, ["file_id", "name"])
-    own = symbols.where("kind != 'IMPORT'").select("file_id", F.col("symbol_id").alias("owner"), "line_start", "line_end")
+    used = text.identifiers(code).where(~F.col("name").isin(v.PY_CALL_KEYWORDS[:-1]))
+    here = symbols.where("kind != 'IMPORT'")
+    used = used.join(bound.select("file_id", "name").union(here.select("file_id", "name")).distinct(), ["file_id", "name"])
+    own = here.select("file_id", F.col("symbol_id").alias("owner"), "line_start", "line_end")
     owned = rel.innermost(used, own, ["file_id"], "line_number", "line_start", "line_end", ["file_id", "line_number", "place"], "owner")
-    owned = owned.where((F.col("line_number") != F.col("line_start")) & (F.col("owner") != F.col("bound_symbol_id")))
-    first = rel.first_wins(owned, ["owner", "name"], ["line_number", "place"])
-    return _edge(first, "REFERENCES", F.lit("RESOLVED"), F.col("owner"), F.col("bound_symbol_id"), F.col("file_id"), F.col("line_number"), F.col("line_number"), F.col("name"))
+    first = rel.first_wins(owned.where(F.col("line_number") != F.col("line_start")), ["owner", "name"], ["line_number", "place"])
+    candidates = here.select("file_id", "name", F.col("symbol_id").alias("candidate"), F.col("line_start").alias("from"), F.col("line_end").alias("to"))
+    near = first.join(candidates, ["file_id", "name"]).where(F.col("candidate") != F.col("owner"))
+    near = near.groupBy("owner", "name").agg(F.min_by("candidate", F.struct(~F.col("line_number").between(F.col("from"), F.col("to")), "candidate")).alias("local_symbol_id"))
+    first = first.join(bound, ["file_id", "name"], "left").join(near, ["owner", "name"], "left").withColumn("target", F.coalesce("bound_symbol_id", "local_symbol_id"))
+    first = first.where(F.col("target") != F.col("owner"))
+    return _edge(first, "REFERENCES", F.lit("RESOLVED"), F.col("owner"), F.col("target"), F.col("file_id"), F.col("line_number"), F.col("line_number"), F.col("name"))
 
 
 def tests(files: DataFrame, bound: DataFrame) -> DataFrame:
@@ -143,7 +157,7 @@ def relationships(files: DataFrame, symbols: DataFrame, imports: DataFrame, limi
     """All edges; of equal (source, target, type, status, file, line) the first stays; at most ``limit``, in stage order."""
     resolved = resolved_imports(files, symbols, imports)
     bound = bindings(resolved)
-    made = [defines(symbols), import_edges(resolved), calls(files, symbols, bound), extends(symbols, bound), references(files, symbols, bound), tests(files, bound)]
+    made = [defines(symbols), import_edges(resolved), calls(files, symbols, bound), extends(files, symbols, bound), references(files, symbols, bound), tests(files, bound)]
     every = made[0]
     for more in made[1:]:
         every = every.unionByName(more)

@@ -172,3 +172,19 @@ def test_search_ranks_all_matches_and_reads_all_files(spark):
     texts = spark.createDataFrame([("a", "nothing", 40 << 20), ("b", "needle\n" * 1500, 7)], "path string, content string, size_bytes long")
     assert search.search_text(texts, "needle", limit=2000).count() == 1500
     assert search.search_text(texts, "needle", budget=32 << 20).count() == 0
+
+
+def test_same_file_references_and_dotted_bases(spark):
+    tree = {
+        "auth/models.py": "class Entity:\n    pass\n",
+        "shop/models.py": "import auth.models\n\n\nclass Entity(auth.models.Entity):\n    pass\n\n\ndef helper():\n    return 1\n\n\ndef use():\n    f = helper\n    return f\n",
+    }
+    rows = [(i, p, t, "Python") for i, (p, t) in enumerate(tree.items())]
+    files = spark.createDataFrame(rows, "file_id long, path string, content string, language string")
+    parsed = extract.parsed(files)
+    symbols = extract.symbols(parsed)
+    edges = resolve.relationships(files, symbols, extract.imports(parsed)).collect()
+    name = {r["symbol_id"]: (r["file_id"], r["name"]) for r in symbols.collect()}
+    got = {(e["type"], e["status"], name.get(e["source_symbol_id"]), name.get(e["target_symbol_id"])) for e in edges}
+    assert ("EXTENDS", "RESOLVED", (1, "Entity"), (0, "Entity")) in got
+    assert ("REFERENCES", "RESOLVED", (1, "use"), (1, "helper")) in got
