@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,34 +16,96 @@ IMPORT = T.StructType([T.StructField(n, t) for n, t in [("source", T.StringType(
 SCHEMA = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("symbols", T.ArrayType(SYMBOL)), T.StructField("imports", T.ArrayType(IMPORT))])
 
 
+_MARKER = re.compile(r"(<{7}|={7}|>{7}|\|{7})( |$)")
+_TEXTS = re.compile(r"""#[^\n]*|\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+_GOES_ON = re.compile(r"(else|elif|except|finally|case)\b|[)\]}]")
+
+
+def _indent(row: str) -> int:
+    row = row.expandtabs(8)
+    return len(row) - len(row.lstrip())
+
+
+def _parse(rows: list[str], lo: int, hi: int, more: str = "") -> list[ast.stmt]:
+    """Statements of rows[lo:hi] at their own lines and columns, or SyntaxError."""
+    deep = _indent(rows[lo]) > 0
+    tree = ast.parse(("if 1:\n" if deep else "") + "\n".join(rows[lo:hi]) + more + "\n")
+    ast.increment_lineno(tree, lo - deep)
+    return tree.body[0].body + tree.body[1:] if deep else tree.body
+
+
+def _header(rows: list[str], lo: int, hi: int) -> tuple[list[ast.stmt], int]:
+    """The function or class whose header begins at ``lo``, without its body, and where the body begins."""
+    for stop in range(lo + 1, min(hi, lo + 40) + 1):
+        try:
+            return _parse(rows, lo, stop, " pass"), stop
+        except (SyntaxError, ValueError):
+            continue
+    row = rows[lo].rstrip(":( ")
+    try:
+        return _parse([*rows[:lo], row + (": pass" if row.lstrip().startswith("class") else "(): pass")], lo, lo + 1), lo + 1
+    except (SyntaxError, ValueError):
+        return [], lo + 1
+
+
+def _quoted(rows: list[str]) -> set[int]:
+    """The rows that begin inside a text in triple quotes."""
+    out, source = set(), "\n".join(rows)
+    for m in _TEXTS.finditer(source):
+        if m[0][:3] in ('"""', "'''"):
+            first = source.count("\n", 0, m.start())
+            out.update(range(first + 1, first + m[0].count("\n") + 1))
+    return out
+
+
+def _block(rows: list[str], ends: list[int], lo: int) -> tuple[list[ast.stmt], int] | None:
+    """The statements from ``lo`` on and how many blocks they take: more than one only where brackets go on at the margin."""
+    for n, end in enumerate(ends[:200]):
+        try:
+            return _parse(rows, lo, end), n + 1
+        except (SyntaxError, ValueError) as e:
+            if "never closed" not in str(e):
+                return None
+    return None
+
+
+def _recovered(rows: list[str], lo: int, hi: int, quoted: set[int]) -> list[ast.stmt]:
+    """What parses of rows[lo:hi]: block by block by indentation, and inside the blocks that fail."""
+    solid = [i for i in range(lo, hi) if i not in quoted and rows[i].strip() and not rows[i].lstrip().startswith("#")]
+    if not solid:
+        return []
+    least, starts, decorated = _indent(rows[solid[0]]), [], False
+    for i in solid:
+        outer = _indent(rows[i]) <= least
+        if not starts or (outer and not decorated and not _GOES_ON.match(rows[i].lstrip())):
+            starts.append(i)
+        decorated = rows[i].lstrip().startswith("@") if outer else decorated
+    out, k = [], 0
+    while k < len(starts):
+        at, ends = starts[k], [*starts[k + 1 :], hi]
+        whole = _block(rows, ends, at)
+        if whole:
+            out, k = out + whole[0], k + whole[1]
+            continue
+        made, body = _header(rows, at, ends[0])
+        inner = _recovered(rows, body, ends[0], quoted)
+        own = [x for x in made if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+        if own:
+            last = max(i for i in range(at, ends[0]) if rows[i].strip())
+            own[-1].body, own[-1].end_lineno, own[-1].end_col_offset = inner, last + 1, len(rows[last].encode())
+        out, k = out + own + inner * (not own), k + 1
+    return out
+
+
 def _python(source: str) -> tuple[str, list[dict], list[dict]]:
-    """Status, symbols (functions, classes, imported names), imports. After a syntax error the longest leading part that parses is used."""
+    """Status, symbols (functions, classes, imported names), imports. After a syntax error all blocks that parse are used."""
     rows, status = source.split("\n"), "parsed"
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         status, tree = "syntax_error", ast.parse("")
-        stop = len(rows)
-        for _ in range(40):
-            try:
-                tree = ast.parse("\n".join(rows[:stop]) + "\n")
-                break
-            except SyntaxError as e:
-                stop = min(stop - 1, (e.lineno or 1) - 1)
-            except ValueError:
-                break
-            if stop <= 0:
-                break
-        if not tree.body:  # a header that nothing follows is still a symbol
-            for i, row in enumerate(rows):
-                try:
-                    made = ast.parse(row.rstrip(":( ") + (": pass" if "class" in row else "(): pass"))
-                except (SyntaxError, ValueError):
-                    continue
-                for node in ast.walk(made):
-                    if hasattr(node, "lineno"):
-                        node.lineno = node.end_lineno = i + 1
-                tree.body += [n for n in made.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+        clean = ["" if _MARKER.match(r) else r.replace("\0", " ").rstrip("\r") for r in rows]
+        tree.body = _recovered(clean, 0, len(clean), _quoted(clean))
     symbols: list[dict] = []
     imports: list[dict] = []
     raw = [r.encode() for r in rows]

@@ -188,3 +188,13 @@ def test_same_file_references_and_dotted_bases(spark):
     got = {(e["type"], e["status"], name.get(e["source_symbol_id"]), name.get(e["target_symbol_id"])) for e in edges}
     assert ("EXTENDS", "RESOLVED", (1, "Entity"), (0, "Entity")) in got
     assert ("REFERENCES", "RESOLVED", (1, "use"), (1, "helper")) in got
+
+
+@pytest.mark.parametrize("bad", ["print 'x'", "<<<<<<< HEAD", "x = = 1", "def (:"])
+def test_symbols_after_a_syntax_error(bad):
+    source = f'import os\n\n\nclass A:\n    """Text\nat the margin."""\n\n    def a(self):\n        {bad}\n\n    def b(self, x=1):\n        return x\n\n\n{bad}\n\n\n@deco\ndef c(y):\n    return y\n\n\nfrom m import d\n'
+    status, symbols, imports = extract._python(source)
+    assert status == "syntax_error" and [i["source"] for i in imports] == ["os", "m"]
+    got = {s["qualified_name"]: (s["line_start"], s["line_end"]) for s in symbols}
+    assert got["A.b"] == (11, 12) and got["c"] == (19, 20) and "A.a" in got and got["A"][0] == 4
+    assert {s["qualified_name"]: s["signature"] for s in symbols}["A.b"] == "b(self, x=1)"
