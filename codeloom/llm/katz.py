@@ -4,7 +4,7 @@ Tokens are words (A-Z lowered) and one end a document; each document is preceded
 P(w | h) is the Good-Turing discounted share d(c) c / c(h) where (h, w) was seen at least ``LEAST`` times, else
 alpha(h) P(w), and P(w) = (c + 1) / (N + V + 1), so that everything not in the V known types is one unknown type.
 alpha(h) = (1 - sum of discounted shares) / (1 - sum of P over the same words), exactly, so each context sums to 1.
-Where the discounts leave nothing, c(h) is raised by one. Counts of 1 are backed off (Katz's own simplification).
+Where the discounts leave nothing, c(h) is raised by one.
 
 Counts and probabilities are tables. The heavy exchange, n-gram occurrences, moves as compressed arrays by hash
 part: a slice of documents sends each part its n-grams once, counted by document; the part looks them up in its
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
-LEAST = 2
+LEAST = 1
 TOP = 5  # counts up to this are discounted
 HOT, HOT_PAIRS = 1 << 17, 1 << 18
 SKETCH_BITS, SEGMENTS = 27, 64

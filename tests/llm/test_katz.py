@@ -81,3 +81,13 @@ def test_query_improves_on_the_base(spark):
     held = [r for r in rows if r["held_out"]]
     assert held and len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_pairs_seen_once_are_in_the_table(spark):
+    docs = [(1, "a b c a b d e"), (2, "a b f")]
+    model = katz.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    seen = {p for _, t in docs for p in zip(["start", *tokens(t)], tokens(t), strict=False)}
+    assert model.pairs.count() == len(seen)
+    assert {r["n"] for r in model.pairs.collect()} == {1, 2, 3}
+    d = katz.discounts([8, 3, 1, 1, 1, 1])
+    assert 0 < d[1] < 1
