@@ -107,3 +107,14 @@ def test_shingles_are_those_of_the_words():
     words = text.words_of(pa.array(texts))
     doc, value, n = text.counted(*text.shingles(words, words.hashes()))
     assert [Counter(n[doc == i].tolist()) for i in range(5)] == [Counter(bag(t).values()) for t in texts]
+
+
+def test_pairs_of_a_group_that_share_one_band_are_verified():
+    raw = b"one two three four five six seven"
+    bag_ = len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+    a, b = np.arange(128, dtype="<u2"), np.arange(128, 256, dtype="<u2")
+    b[4:8] = a[4:8]
+    rows = {"side": [0, 0], "node": [5, 6], "weight": [3, 3], "signature": [a.tobytes(), b.tobytes()], "bag": [bag_, bag_]}
+    assert neardup._block_links(pa.table(rows)) == [(5, 6)]
+    b[4] = 9999
+    assert neardup._block_links(pa.table(rows | {"signature": [a.tobytes(), b.tobytes()]})) == []
