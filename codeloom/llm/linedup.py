@@ -1,34 +1,46 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words; lines whose Jaccard similarity is at least 0.8 match, and of matching lines the later
-(by doc_id, then line number) is removed. Lines of the same set are one class from the start. Words are ordered by
-rarity: by how often they occur, counted over the whole corpus in ``SLOTS`` hash slots (any fixed order
-is right; a slot shared by two words only makes them look less rare). A line needs its rarest
-size - ceil(0.8 size) + 1 words only: two matching lines share one of these. A word that no other line holds joins
-nothing and is not sent. Pairs that share such a word pass the length filter, the positional filter (words that can
-still be common) and a parity filter (64 bits; each word that only one line holds flips one), all lossless; then the
-sets themselves are compared.
-
-Cases: null and empty texts have no lines to match; blank lines are never removed; a line of one to three words
-matches only the same set; documents of equal doc_id count as one, null ids come first; no rows give no rows; extra
-columns are ignored (``deduplicated`` keeps them).
+(by doc_id, text hash, line number) is removed. Lines of the same set are one class from the start. Words are ordered by
+rarity: by how often they occur, counted over the whole corpus in ``SLOTS`` hash slots (any fixed order is right; a
+slot shared by two words only makes them look less rare). A line needs its rarest size - ceil(0.8 size) + 1 words only:
+two matching lines share one of these. A word that no other line holds joins nothing and is not sent.
+
+A pair belongs to the first prefix word that both lines hold, so each is judged once and no pair is ever written. The
+sets that share a prefix word are a block; blocks are judged as they stream out of a sort, twice. First without the
+words: the length filter, the positional filter (words that can still be common), a parity filter (64 bits; each word
+that only one line holds flips one) and unequal preceding prefix words, all lossless, leave the sets that may have a
+partner in the block. Their words are then read again, and the sets compared in numpy; each leaves the number of its
+links and its earliest partner. A block of more than ``CHUNK`` sets is cut into chunks, and each two chunks are a block
+of their own, so no task holds a whole hot block; a set then goes to n / ``CHUNK`` of them.
+
+Cases: null and empty texts have no lines to match; blank lines are never removed; a line of one to three words matches
+only the same set; null ids come first; rows of equal doc_id are told apart by their text, and of equal rows all but
+one lose all lines that are not blank; very long texts are taken whole, a slice at a time; no rows give no rows; extra
+columns are ignored, whatever their names (``deduplicated`` keeps them).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import counts, store, text
 
 SLOTS, SEGMENTS = 1 << 23, 64
+SKETCH_BITS = 27
 SLICE_BYTES = 1 << 20
-ROUNDS = 4  # in which pairs are verified
+CHUNK = 1024  # sets of a block that are compared at once
+PAIRS = 1 << 20  # pairs, and words of pairs, held at a time
+ROWS = 1 << 17  # rows of blocks that are judged at a time
+HOT_LINES = 10_000  # a set of more lines is joined by broadcast: at most one in so many lines is such a set
 _LOWEST = -(2**63)
+_ENTRY = "key int, lo int, hi int, side int, set_hash long, size int, place int, prev int"
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,33 +57,24 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return line, word, of, np.arange(len(breaks)) - first[of]
 
 
-def _slot(word: np.ndarray, slots: int) -> np.ndarray:
-    return (text.mix(word ^ text._ODD[0]) & np.uint64(slots - 1)).astype(np.int64)
+def _key(word: np.ndarray) -> np.ndarray:
+    """31 bits of a word; blocks are of these."""
+    return (text.mix(word ^ text._ODD[0]) >> np.uint64(33)).astype(np.int64)
 
 
 def rarity(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
     """By slot: 0 and 1 for so many words, else 8 log2 of their number. ``slots`` bytes (a power of two), whatever the corpus."""
-    step = slots // SEGMENTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(pieces: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(slots, np.uint32)
-        for piece in text.slices(batches, budget=SLICE_BYTES):
-            np.add.at(total, _slot(text.words_of(piece.column(0)).hashes(), slots), np.uint32(1))
-        parts = [pa.compress(total[k * step : (k + 1) * step].tobytes(), "zstd", asbytes=True) for k in range(SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS)), pa.array(parts, pa.binary())], ["segment", "n"])
+        for piece in text.slices(pieces, budget=SLICE_BYTES):
+            np.add.at(total, _key(text.words_of(piece.column(0)).hashes()) & (slots - 1), np.uint32(1))
+        return total
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(step, np.uint64)
-        for b in group["n"].to_pylist():
-            total += np.frombuffer(pa.decompress(b, step * 4, "zstd"), np.uint32)
-        level = np.where(total < 2, total, np.minimum(8 * np.log2(np.maximum(total, 2).astype(float)), 255)).astype(np.uint8)
-        return pa.table({"segment": group["segment"][:1], "n": pa.array([level.tobytes()], pa.binary())})
+    def level(total: np.ndarray) -> np.ndarray:
+        return np.where(total < 2, total, np.minimum(8 * np.log2(np.maximum(total, 2).astype(float)), 255)).astype(np.uint8)
 
-    rows = docs.select("text").mapInArrow(count, "segment long, n binary").groupBy("segment").applyInArrow(add, "segment long, n binary").collect()
-    out = np.zeros((SEGMENTS, step), np.uint8)
-    for r in rows:
-        out[r["segment"]] = np.frombuffer(r["n"], np.uint8)
-    return out.reshape(-1)
+    return store.merged_arrays(docs.select("text"), count, np.add, slots, "<u4", "<u8", SEGMENTS, level)
 
 
 def _classes(line: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,105 +88,341 @@ def _classes(line: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np
     return text.mix(total + size.astype(np.uint64) * text._ODD[3]), size, bits
 
 
-def signed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, line_number, set_hash, size, parity, prefix (words and their places) of the lines that can match any."""
-    level = docs.sparkSession.sparkContext.broadcast(rarity(docs, slots))
+def _prefix_size(size: np.ndarray) -> np.ndarray:
+    return size - (-(-4 * size // 5)) + 1
+
+
+def _ordered(line: np.ndarray, word: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, key, level of the key), the words of each line by rarity."""
+    key = _key(word)
+    rare = level[key & (len(level) - 1)]
+    order = np.lexsort((word, key, rare, line))
+    return word[order], key[order], rare[order]
+
+
+def _lists(line: np.ndarray, values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    have, first = np.unique(line, return_index=True)
+    return have, pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), values)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id and text, never null, and the text's hash."""
+    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return known.withColumn("text_hash", F.xxhash64("text"))
+
+
+def signed(known: DataFrame, level, chunk: int) -> DataFrame:
+    """doc_id, text_hash, line_number, set_hash, size, parity, and the prefix (keys and their places) of all lines with words.
+    Keys of slots with more than ``chunk`` words are negative: only they can have large blocks."""
+    hot = math.floor(8 * math.log2(chunk))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
             line, word, of, number = _lines(piece.column(1))
             set_hash, size, bits = _classes(line, word, len(of))
-            rare = level.value[_slot(word, slots)]
-            order = np.lexsort((word, rare, line))
-            line, word, rare = line[order], word[order], rare[order]
+            _, key, rare = _ordered(line, word, level.value)
+            have = np.flatnonzero(size)
             place = np.arange(len(line)) - np.searchsorted(line, line)
-            need = size - (-(-4 * size // 5)) + 1
-            sent = (place < need[line]) & (rare > 1)
-            line, word, place = line[sent], word[sent], place[sent]
-            have, first = np.unique(line, return_index=True)
-            offsets = pa.array(np.append(first, len(line)), pa.int32())
-            prefix = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([text.as_i64(word), pa.array(place, pa.int32())], ["word", "place"]))
-            ids = piece.column(0).take(pa.array(of[have]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number[have], pa.int32()), text.as_i64(set_hash[have]), pa.array(size[have], pa.int32()), text.as_i64(bits[have]), prefix], ["doc_id", "line_number", "set_hash", "size", "parity", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, line_number int, set_hash long, size int, parity long, prefix array<struct<word long, place int>>")
-
-
-def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_hash and words of the lines whose set is ``wanted``. Up to a million of these go to the workers, where all else
-    is left out; more are joined."""
-    few = wanted.limit(counts.BROADCAST_ROWS + 1).count() <= counts.BROADCAST_ROWS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["set_hash"].to_numpy().view(np.uint64)) if few else None)
+            sent = (place < _prefix_size(size)[line]) & (rare > 1) & (size[line] >= 4)  # different sets of fewer words never match
+            sent[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            own = np.where(rare >= hot, key - (1 << 31), key)[sent].astype(np.int32)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(line[sent], minlength=len(of))[have])), pa.int32())
+            keys, places = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (own, place[sent]))
+            ids = [piece.column(k).take(pa.array(of[have])) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[have], pa.int32()), text.as_i64(set_hash[have]), pa.array(size[have], pa.int32()), text.as_i64(bits[have]), keys, places], ["doc_id", "text_hash", "line_number", "set_hash", "size", "parity", "keys", "places"])
+
+    return known.mapInArrow(sign, "doc_id long, text_hash long, line_number int, set_hash long, size int, parity long, keys array<int>, places array<int>")
+
+
+def _dealt(entries: DataFrame, chunk: int) -> DataFrame:
+    """``entries`` (key, set_hash, ...) with lo, hi, side: the chunks whose sets the block compares, and of which of the two the set is."""
+    large = store.saved(entries.where("key < 0").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1"), "line-large")
+    placed = counts.joined_by_size(entries, large, ["key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = F.pmod(F.xxhash64("set_hash", F.lit(3)), F.col("chunks")).cast("int")
+    whole = placed.where("chunks = 1").withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
+    cut = placed.where("chunks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    columns = [*entries.columns, "lo", "hi", "side"]
+    return whole.select(*columns).union(cut.select(*columns))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole blocks (of equal key, lo, hi) from a sorted stream, many small ones at a time, and the running number of each row's."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def numbered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        new = np.zeros(table.num_rows, bool)
+        for c in ("key", "lo", "hi"):
+            v = table[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return table, np.cumsum(new)
+
+    least = rows
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            table, block = numbered(pa.Table.from_batches(held))
+            cut = int(np.searchsorted(block, block[-1]))
+            if cut:
+                yield table.slice(0, cut), block[:cut]
+            held = table.slice(cut).to_batches()
+            n = table.num_rows - cut
+            least = max(rows, 2 * n)
+    if n:
+        yield numbered(pa.Table.from_batches(held))
+
+
+def _pairs(block: np.ndarray, size: np.ndarray, side: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (ascending by block, then size) of one block whose sizes allow a match, some at a time. ``inside``: whether
+    the block compares one chunk with itself."""
+    base = block.astype(np.int64) << 32
+    end = np.searchsorted(base + size, base + 5 * size.astype(np.int64) // 4, side="right")
+    n = np.maximum(end - np.arange(len(block)) - 1, 0)
+    ahead = np.concatenate([[0], np.cumsum(n)])
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ahead, ahead[at] + PAIRS, side="right")) - 1)
+        left = np.repeat(np.arange(at, to), n[at:to])
+        right = np.arange(ahead[at], ahead[to]) - ahead[left] + left + 1
+        keep = inside[left] | (side[left] != side[right])
+        yield (left, right) if keep.all() else (left[keep], right[keep])
+        at = to
+
+
+def promising(dealt: DataFrame) -> DataFrame:
+    """The rows of blocks that may have a partner there which no earlier block has."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, block in _blocks(batches, ROWS):
+            lo, hi, side, size, place, prev, parity = (table[c].to_numpy() for c in ("lo", "hi", "side", "size", "place", "prev", "parity"))
+            parity = parity.view(np.uint64)
+            found = np.zeros(len(block), bool)
+            rest = (size - place).astype(np.int64)  # words from the shared one on
+            for a, b in _pairs(block, size, side, lo == hi):
+                both = (size[a] + size[b]).astype(np.int64)
+                ok = 9 * np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64) <= both
+                a, b, both = a[ok], b[ok], both[ok]
+                ok = (9 * np.minimum(rest[a], rest[b]) >= 4 * both) & ((prev[a] != prev[b]) | (prev[a] == 0))
+                found[a[ok]] = True
+                found[b[ok]] = True
+            if found.any():
+                yield from table.select(["key", "lo", "hi", "side", "set_hash", "size", "place", "prev"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size")
+    return ordered.select("key", "lo", "hi", "side", "set_hash", "size", "place", "prev", "parity").mapInArrow(judge, _ENTRY)
+
+
+def _mark(set_hash: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+    """Where the sketch marks a set at a document."""
+    mixed = text.mix(set_hash.view(np.uint64) ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
+    return (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
+    """set_hash and words (by rarity) of the ``wanted`` sets (set_hash, doc_id, text_hash), read at the document given. A sketch of
+    2 ** ``SKETCH_BITS`` bits tells which lines need not be sent; the fuller it is, the more are, with the same results."""
+    size = 1 << SKETCH_BITS - 3
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            at = _mark(*(b.column(k).to_numpy() for k in range(3)))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return bits
+
+    sketch = known.sparkSession.sparkContext.broadcast(store.merged_arrays(wanted.select("set_hash", "doc_id", "text_hash"), mark, np.bitwise_or, size, "u1", "u1", SEGMENTS))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
-            line, word, of, _ = _lines(piece.column(0))
-            set_hash, size, _ = _classes(line, word, len(of))
-            have, first = np.unique(line, return_index=True)
-            some, once = np.unique(set_hash[have], return_index=True)
-            if known.value is not None:
-                at = np.minimum(np.searchsorted(known.value, some), max(len(known.value) - 1, 0))
-                once = once[known.value[at] == some] if len(known.value) else once[:0]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), text.as_i64(word)).take(pa.array(once))
-            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have][once]), lists], ["set_hash", "words"])
-
-    found = docs.select("text").mapInArrow(collect, "set_hash long, words array<long>")
-    return found if few else found.join(wanted, "set_hash", "left_semi")
-
-
-def linked(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, line_number, set_hash), (links: a, b): all pairs of different sets with similarity 0.8 or more."""
-    spark = docs.sparkSession
-    rows = store.saved(signed(docs, slots), "lines")
-    per_set = store.saved(rows.groupBy("set_hash").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "line-sets")
+            line, word, of, _ = _lines(piece.column(1))
+            set_hash, _, _ = _classes(line, word, len(of))
+            ids, hashes = (piece.column(k).to_numpy() for k in (0, 2))
+            at = _mark(set_hash, ids[of], hashes[of])
+            asked = (sketch.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
+            line, word = line[asked[line]], word[asked[line]]
+            ordered, _, _ = _ordered(line, word, level.value)
+            have, lists = _lists(line, text.as_i64(ordered))
+            own = of[have]
+            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[own]), pa.array(hashes[own]), lists], ["set_hash", "doc_id", "text_hash", "words"])
+
+    found = known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, words array<long>")
+    return found.join(wanted.select("set_hash", "doc_id", "text_hash"), ["set_hash", "doc_id", "text_hash"], "left_semi").groupBy("set_hash").agg(F.first("words").alias("words"))
+
+
+class _Sets:
+    """Word lists end to end, and how many words two of them share."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray) -> None:
+        self.words, self.start, self.size = words, start, np.diff(start)
+        self.held = np.sort(self._at(np.repeat(np.arange(len(self.size)), self.size), words))
+
+    @staticmethod
+    def _at(row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return text.mix(word + row.astype(np.uint64) * text._ODD[3])
+
+    def shared(self, a: np.ndarray, b: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """By pair: words of ``a`` (its ``first`` ones) that ``b`` holds."""
+        n = self.size[a] if first is None else np.minimum(first, self.size[a])
+        out = np.zeros(len(a), np.int64)
+        ahead = np.concatenate([[0], np.cumsum(n)])
+        at = 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(ahead, ahead[at] + PAIRS, side="right")) - 1)
+            pair = np.repeat(np.arange(at, to), n[at:to])
+            word = self.words[np.arange(ahead[at], ahead[to]) - ahead[pair] + self.start[a[pair]]]
+            asked = self._at(b[pair], word)
+            hit = self.held[np.minimum(np.searchsorted(self.held, asked), len(self.held) - 1)] == asked
+            out[at:to] = np.bincount(pair[hit] - at, minlength=to - at)
+            at = to
+        return out
+
+    def similar_in(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of similar sets in rows lo .. hi, which may be many, by adding up the lists of who holds each word."""
+        m = hi - lo
+        own = self.words[self.start[lo] : self.start[hi]]
+        row = np.repeat(np.arange(m), self.size[lo:hi])
+        _, word = np.unique(own, return_inverse=True)
+        order = np.argsort(word, kind="stable")
+        holders = row[order]
+        n = np.bincount(word)
+        first = np.cumsum(n) - n
+        each = n[word]
+        ahead = np.concatenate([[0], np.cumsum(each)])
+        of_row = self.start[lo : hi + 1] - self.start[lo]
+        at = 0
+        while at < m:
+            to = max(at + 1, min(at + max(1, 4 * PAIRS // m), int(np.searchsorted(ahead[of_row], ahead[of_row[at]] + 4 * PAIRS, side="right")) - 1))
+            e = np.repeat(np.arange(of_row[at], of_row[to]), each[of_row[at] : of_row[to]])
+            other = holders[first[word[e]] + np.arange(ahead[of_row[at]], ahead[of_row[to]]) - ahead[e]]
+            common = np.bincount((row[e] - at) * m + other, minlength=(to - at) * m).reshape(to - at, m)
+            a, b = np.nonzero(9 * common >= 4 * (self.size[lo + at : lo + to, None] + self.size[None, lo:hi]))
+            keep = b > a + at
+            yield a[keep] + at + lo, b[keep] + lo
+            at = to
+
+
+def verified(promising_: DataFrame, words: DataFrame, firsts: DataFrame) -> DataFrame:
+    """set_hash, n_links, earliest (doc_id, text_hash, line_number) of the sets with links."""
+    given = words.join(firsts.select("set_hash", "first"), "set_hash")
+    rows = promising_.join(given, "set_hash")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, block in _blocks(batches, ROWS >> 4):
+            lo, hi, side, size, place, prev = (table[c].to_numpy() for c in ("lo", "hi", "side", "size", "place", "prev"))
+            lists = table["words"].combine_chunks()
+            sets = _Sets(lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
+            keys = _Sets(_key(sets.words).astype(np.uint64), sets.start)
+            first = [table[c].to_numpy() for c in ("doc_id", "text_hash", "line_number")]
+            rank = np.empty(len(block), np.int64)
+            rank[np.lexsort(first[::-1])] = np.arange(len(block))
+            n_links, earliest = np.zeros(len(block), np.int64), np.full(len(block), len(block))
+            inside = lo == hi
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=block[-1] + 1))
+            large = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a > 128]
+            small = np.ones(len(block), bool)
+            for a, b in large:
+                small[a:b] = False
+            small = np.flatnonzero(small)
+
+            def pairs():
+                for a, b in _pairs(block[small], size[small], side[small], inside[small]):
+                    a, b = small[a], small[b]
+                    ok = (prev[a] != prev[b]) | (prev[a] == 0)
+                    a, b = a[ok], b[ok]
+                    near = 9 * sets.shared(a, b) >= 4 * (sets.size[a] + sets.size[b])
+                    yield a[near], b[near]
+                for lo_, hi_ in large:
+                    for a, b in sets.similar_in(lo_, hi_):
+                        ok = (inside[a] | (side[a] != side[b])) & ((prev[a] != prev[b]) | (prev[a] == 0))
+                        yield a[ok], b[ok]
+
+            for a, b in pairs():
+                own = keys.shared(a, b, place[a]) == 0 if len(a) else np.zeros(0, bool)  # no key before this one is in both
+                # what b holds beyond its own place is no key before this one, as both have one order
+                a, b = a[own], b[own]
+                n_links += np.bincount(a, minlength=len(block)) + np.bincount(b, minlength=len(block))
+                np.minimum.at(earliest, a, rank[b])
+                np.minimum.at(earliest, b, rank[a])
+            at = np.flatnonzero(n_links)
+            if len(at):
+                of = np.argsort(rank)[earliest[at]]
+                yield pa.RecordBatch.from_arrays([table["set_hash"].combine_chunks().take(pa.array(at)), pa.array(n_links[at]), *(pa.array(c[of]) for c in first[:2]), pa.array(first[2][of], pa.int32())], ["set_hash", "n_links", "doc_id", "text_hash", "line_number"])
+
+    ordered = rows.select("key", "lo", "hi", "side", "size", "place", "prev", "set_hash", "words", "first.*").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size")
+    got = ordered.mapInArrow(judge, "set_hash long, n_links long, doc_id long, text_hash long, line_number int")
+    return got.groupBy("set_hash").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "text_hash", "line_number")).alias("earliest"))
+
+
+def linked(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(lines: doc_id, text_hash, line_number, set_hash), (sets: set_hash, n (lines), first, n_links, earliest). n_links is null
+    without links to other sets."""
+    spark, known = docs.sparkSession, _identified(docs)
+    level = spark.sparkContext.broadcast(rarity(known, slots))
+    rows = store.saved(signed(known, level, chunk), "lines")
+    place = F.struct("doc_id", "text_hash", "line_number")
+    one = [F.first(c).alias(c) for c in ("size", "parity", "keys", "places")]
+    sets = store.saved(rows.groupBy("set_hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *one), "line-sets")
     store.release(spark)
-    # different sets of fewer than four words never match
-    sent = per_set.where("size >= 4").select("set_hash", "size", "parity", F.explode("prefix").alias("p")).select("p.word", "p.place", "set_hash", "size", "parity")
-    a, b = (sent.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("set_hash", "size", "parity", "place")]) for side in "ab")
-    both = F.col("a_size") + F.col("b_size")
-    near = 5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")
-    still = F.least("a_place", "b_place") + 1 + F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) - 1
-    pairs = a.join(b, (a["word"] == b["word"]) & (F.col("a_set_hash") < F.col("b_set_hash")) & near & (9 * still >= 4 * both) & (9 * F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= both))
-    pairs = store.saved(pairs.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b")).distinct(), "line-pairs")
+    before = F.concat(F.array(F.lit(0)), F.slice("keys", 1, F.size("keys") - 1))
+    entries = sets.where("size(keys) > 0").select("set_hash", "size", "parity", F.explode(F.arrays_zip("keys", "places", before.alias("prevs"))).alias("p"))
+    entries = entries.select(F.col("p.keys").alias("key"), F.col("p.places").alias("place"), F.col("p.prevs").alias("prev"), "set_hash", "size", "parity")
+    some = store.saved(promising(_dealt(entries, chunk)), "line-promising")
     store.release(spark)
-    involved = store.saved(pairs.select(F.col("a").alias("set_hash")).union(pairs.select("b")).distinct(), "line-involved")
-    words = sets(docs, involved).groupBy("set_hash").agg(F.first("words").alias("words"))
-    words = store.saved(words, "line-words")
-    common = F.size(F.array_intersect("a_words", "b_words"))
-    links = None
-    for k in range(ROUNDS):  # each moves its share of the word lists only
-        part = pairs.where(F.pmod("a", F.lit(ROUNDS)) == k).join(words.toDF("a", "a_words"), "a").join(words.toDF("b", "b_words"), "b")
-        part = store.saved(part.where(5 * common >= 4 * (F.size("a_words") + F.size("b_words") - common)).select("a", "b"), "line-links")
-        store.release(spark)
-        links = part if links is None else links.union(part)
-    return rows.select("doc_id", "line_number", "set_hash"), links
-
-
-def removals(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, removed (line numbers from 0, ascending), n_links (between the document's lines' sets and others), for documents with either."""
-    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines, links = linked(known, slots)
-    firsts = store.saved(lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "line_number")).alias("first")), "line-firsts")
-    ends = links.union(links.select("b", "a"))
-    other = ends.join(firsts.select(F.col("set_hash").alias("b"), F.col("first").alias("b_first")), "b").groupBy(F.col("a").alias("set_hash")).agg(F.min("b_first").alias("earliest"), F.count(F.lit(1)).alias("n_links"))
-    judged = firsts.join(other, "set_hash", "left").withColumn("earlier", F.least("first", F.coalesce("earliest", "first")))
-    placed = lines.join(judged, "set_hash").withColumn("removed", F.col("earlier") < F.struct("doc_id", "line_number"))
-    per_line = placed.groupBy("doc_id", "line_number").agg(F.max("removed").alias("removed"), F.max("n_links").alias("n_links"))
-    got = per_line.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_number")))).alias("removed"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
-    return got.where("size(removed) > 0 OR n_links > 0")
-
-
-def judged(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    wanted = store.saved(sets.select("set_hash", "first").join(some.select("set_hash").distinct(), "set_hash", "left_semi").select("set_hash", "first", "first.doc_id", "first.text_hash"), "line-wanted")
+    links = store.saved(verified(some, words_of_sets(known, wanted, level), wanted), "line-links")
+    store.release(spark)
+    return rows.select("doc_id", "text_hash", "line_number", "set_hash"), sets.select("set_hash", "first", "n").join(links, "set_hash", "left")
+
+
+def removals(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, text_hash, removed (line numbers from 0, ascending), n_links (between the text's lines' sets and others), for texts with either."""
+    lines, sets = linked(docs, slots, chunk)
+    told = sets.where("n > 1 OR n_links IS NOT NULL").select("set_hash", "n", F.least("first", F.coalesce("earliest", "first")).alias("earlier"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = store.saved(told, "line-told")
+    often = counts.joined_by_size(lines, told.where(F.col("n") > HOT_LINES), ["set_hash"], "inner")
+    rest = told.where(F.col("n") <= HOT_LINES)
+    seldom = counts.joined_by_size(lines, told.where(F.col("n") > HOT_LINES), ["set_hash"], "left_anti").join(rest, "set_hash")
+    columns = ["doc_id", "text_hash", "line_number", "n_links", (F.col("earlier") < F.struct("doc_id", "text_hash", "line_number")).alias("removed")]
+    placed = often.select(*columns).union(seldom.select(*columns)).distinct()  # a row repeated with its id has its lines twice
+    gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_number")))).alias("removed")
+    return placed.groupBy("doc_id", "text_hash").agg(gone, F.sum("n_links").alias("n_links")).where("size(removed) > 0 OR n_links > 0")
+
+
+def _told(docs: DataFrame, rows: DataFrame, names: dict[str, str], slots: int, chunk: int) -> DataFrame:
+    """``rows`` (with id, hash and, by line, the numbers of those that are not blank, under ``names``) with the lines to remove and
+    the links of each row of ``docs``."""
+    gone = store.saved(removals(docs, slots, chunk), "removals").select(*[F.col(a).alias(names[b]) for a, b in (("doc_id", "id"), ("text_hash", "hash"), ("removed", "removed"), ("n_links", "n_links"))])
+    rows = rows.join(gone, [names["id"], names["hash"]], "left")
+    none = F.array().cast("array<int>")
+    removed = F.coalesce(names["removed"], none)
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.withColumn(names["nth"], F.row_number().over(Window.partitionBy(names["id"], names["hash"]).orderBy(F.lit(1))))
+        removed = F.when(F.col(names["nth"]) == 1, removed).otherwise(F.coalesce(names["held"], none))
+    return rows.withColumns({names["removed"]: removed, names["n_links"]: F.coalesce(names["n_links"], F.lit(0))})
+
+
+def _named(docs: DataFrame) -> tuple[dict[str, str], dict]:
+    names = store.fresh(docs, "id", "hash", "nth", "held", "removed", "n_links")
+    held = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    return names, {names["id"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)), names["hash"]: F.xxhash64(F.coalesce("text", F.lit(""))), names["held"]: held}
+
+
+def judged(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links, removed of every document."""
+    docs = docs.select("doc_id", "text")
+    names, made = _named(docs)
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n")))
-    rows = docs.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("_id"))
-    out = rows.join(removals(docs, slots).withColumnRenamed("doc_id", "_id"), "_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    rows = _told(docs, docs.withColumns(made).withColumn("n_lines", n_lines).drop("text"), names, slots, chunk)
+    removed = F.col(names["removed"])
+    return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), F.col(names["n_links"]).alias("n_links"), removed.alias("removed"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
     """``docs`` without the later matching lines of their texts."""
-    gone = store.saved(removals(docs), "removals").select(F.col("doc_id").alias("_id"), "removed")
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).join(gone, "_id", "left")
-    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("removed", i), None).otherwise(x)), lambda x: x.isNotNull())
-    return rows.withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    names, made = _named(docs)
+    rows = _told(docs, docs.withColumns(made), names, slots, chunk)
+    removed = F.col(names["removed"])
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains(removed, i), None).otherwise(x)), lambda x: x.isNotNull())
+    return rows.withColumn("text", F.when(F.size(removed) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)

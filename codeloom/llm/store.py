@@ -6,7 +6,10 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
@@ -14,10 +17,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary one, on a single machine only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="codeloom-"))
     return _LOCAL[0]
@@ -46,6 +51,47 @@ def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """Working names for ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        out[name] = next(n for k in range(len(taken) + 1) if (n := f"_{name}{k or ''}").lower() not in taken)
+    return out
+
+
+def merged_arrays(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], add: Callable, size: int, kind: str, wide: str, segments: int, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """One array of ``size`` numbers over all of ``df``: ``make`` gives a task's (``kind``), ``add`` joins two (``wide``). A segment is added
+    up as its parts stream in, so memory depends on ``size`` only; ``finish`` maps a segment's sum to what the driver gets."""
+    step = size // segments
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = make(batches)
+        parts = [pa.compress(whole[k * step : (k + 1) * step].tobytes(), "zstd", asbytes=True) for k in range(segments)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(segments)), pa.array(parts, pa.binary())], ["segment", "part"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for k, x in sums.items():
+                out = (finish(x) if finish else x).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out], pa.binary())], ["segment", "part"])
+            sums.clear()
+
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k not in sums:
+                    yield from done()
+                    sums[k] = np.zeros(step, wide)
+                sums[k] = add(sums[k], np.frombuffer(pa.decompress(blob.as_buffer(), step * np.dtype(kind).itemsize, "zstd"), kind)).astype(wide)
+        yield from done()
+
+    sent = df.mapInArrow(local, "segment long, part binary").repartition("segment").sortWithinPartitions("segment")
+    rows = {r["segment"]: r["part"] for r in sent.mapInArrow(total, "segment long, part binary").collect()}
+    last = (finish(np.zeros(1, wide)) if finish else np.zeros(1, wide)).dtype
+    return np.concatenate([np.frombuffer(rows[k], last) if k in rows else np.zeros(step, last) for k in range(segments)])
+
+
 def delete(*tables: DataFrame) -> None:
     """Remove tables that ``saved`` wrote and that no later read needs."""
     for df in tables:
