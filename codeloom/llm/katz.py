@@ -1,19 +1,23 @@
-"""A Katz backoff model of order 2, learnt from and evaluated on whole corpora.
-
-Tokens are words (A-Z lowered) and one end a document; each document is preceded by a start, which is context only.
-P(w | h) is the Good-Turing discounted share d(c) c / c(h) where (h, w) was seen at least ``LEAST`` times, else
-alpha(h) P(w), and P(w) = (c + 1) / (N + V + 1), so that everything not in the V known types is one unknown type.
-alpha(h) = (1 - sum of discounted shares) / (1 - sum of P over the same words), exactly, so each context sums to 1.
-Where the discounts leave nothing, c(h) is raised by one.
-
-Counts and probabilities are tables. The heavy exchange, n-gram occurrences, moves as compressed arrays by hash
-part: a slice of documents sends each part its n-grams once, counted by document; the part looks them up in its
-share of the table and returns a sum for each document. The most frequent n-grams (``HOT`` words, ``HOT_PAIRS``
-pairs: fixed numbers, whatever the corpus) are broadcast and never leave their slice, so no part holds a hot key. A
-sketch of fixed size tells which pairs are in no table at all.
+"""A Katz backoff model of order 3, learnt from and evaluated on whole corpora.
+
+Tokens are words (A-Z lowered) and one end a document; two starts, which are context only, precede each document.
+P(w | u v) is the Good-Turing discounted share d3(c) c / c(u v) where (u, v, w) was seen, else alpha(u v) P(w | v);
+P(w | v) is d2(c) c / c(v) where (v, w) was seen, else alpha(v) P(w); P(w) is d1(c) c / N, and everything not in the
+known types is one unknown type that gets the rest. alpha(h) = (1 - sum of discounted shares after h) / (1 - sum of
+the lower order's probabilities of the same words), exactly, so each context sums to 1; an unseen context has 1.
+Where the discounts leave nothing, c(h) is raised by one. All counts are kept and discounted, those of 1 too.
+
+The table of n-grams is partitioned by the middle word v: a part holds all that P(w | u v) needs, the trigrams, the
+bigrams (v, w) and the contexts. A word v that is more than one part's share of all tokens is dealt out by u to as
+many parts as it needs; its bigrams are summed over these and given to each. A document's score is the sum of its
+words' log P(w), which the parts of the words tell, and of what the contexts add, which the parts of the middle words
+tell. The number of parts grows with the tokens (``PART_TOKENS``). Occurrences move as compressed arrays by part, once to be counted (each slice of documents
+sums its own first) and once to be scored; a part returns a sum for each document. The ``HOT`` most frequent words
+travel as ranks (a fixed number, broadcast), all others as hashes, whose counts are joined.
 
 Cases: null and empty texts are one end token; repeated rows and ids and null ids count and are scored each (a null
-id is not trained on nor held out); without training rows every token has P = 1; extra columns are ignored.
+id is not trained on nor held out); very long texts are one slice each; without training rows every token has P = 1;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
-LEAST = 1
 TOP = 5  # counts up to this are discounted
-HOT, HOT_PAIRS = 1 << 17, 1 << 18
-SKETCH_BITS, SEGMENTS = 27, 64
-COUNT_BYTES, SCORE_BYTES = 4 << 20, 2 << 20
+HOT = 1 << 19
+PART_TOKENS = 1 << 21
+SLICE_BYTES = 4 << 20
 END, START = np.uint64(text.hash_bytes(b"\0end")), np.uint64(text.hash_bytes(b"\0start"))
-_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_COLD = np.uint64(1 << 63)  # marks a hash among ranks
+TRIGRAMS, PAIRS, WORDS, ASKED, ASKED_WORDS, WHOLE = range(6)  # kinds of rows
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -56,276 +61,433 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def stream(words: text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, tokens and documents of all positions, the ends included."""
-    hashes = words.hashes()
-    doc = np.repeat(np.arange(words.n_docs), np.diff(words.doc_word) + 1)
-    return np.insert(hashes, words.doc_word[:-1], START), np.insert(hashes, words.doc_word[1:], END), doc
-
-
-def pair_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return text.mix(context * _A + token * _B)
-
-
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    return (text.mix(key ^ _A) % np.uint64(parts)).astype(np.int64)
-
-
-def _runs(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for run in np.split(order, cuts):
-        if len(run):
-            yield int(part[run[0]]), run
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each is first, and their summed counts."""
+def _summed(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, where each is first, and their sums of each of ``numbers``."""
     order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
+    new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
-    return keys[order[at]], order[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    return keys[at], order[at], *(np.add.reduceat(n[order], at) if len(at) else n[:0] for n in numbers)
 
 
-def counted(docs: DataFrame, parts: int) -> DataFrame:
-    """kind (0: words, 1: pairs), blob, n_tokens, n_types, histogram (counts 1 .. TOP + 1), by part. Pairs below LEAST only count."""
+def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text.slices(batches, budget=COUNT_BYTES):
-            context, token, _ = stream(text.words_of(piece.column(0), lower=True))
-            out: list[tuple[int, int, bytes]] = []
-            word, n = np.unique(token, return_counts=True)
-            part = part_of(word, parts)
-            for p, run in _runs(part, np.argsort(part, kind="stable")):
-                out.append((p, 0, pack(np.diff(word[run], prepend=np.uint64(0)), n[run].astype(np.uint32))))
-            keys = pair_key(context, token)
-            _, first, n = np.unique(keys, return_index=True, return_counts=True)
-            part = part_of(keys[first], parts)
-            for p, run in _runs(part, np.lexsort((context[first], part))):
-                out.append((p, 1, pack(np.diff(context[first][run], prepend=np.uint64(0)), token[first][run], n[run].astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["part", "kind", "blob"])
 
-    def merge(group: pa.Table) -> pa.Table:
-        kinds, blobs, rows = group["kind"].to_numpy(), group["blob"].to_pylist(), []
-        for kind in (0, 1):
-            got = [unpack(b, *(["<u8", "<u4"] if kind == 0 else ["<u8", "<u8", "<u4"])) for k, b in zip(kinds, blobs, strict=True) if k == kind]
-            if not got:
-                continue
-            context = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-            n = np.concatenate([g[-1] for g in got]).astype(np.int64)
-            if kind == 0:
-                word, _, total = _summed(context, n)
-                rows.append((0, pack(word, total), int(total.sum()), len(word), [0] * (TOP + 1)))
-            else:
-                token = np.concatenate([g[1] for g in got])
-                _, first, total = _summed(pair_key(context, token), n)
-                histogram = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
-                keep = total >= LEAST
-                rows.append((1, pack(context[first][keep], token[first][keep], total[keep]), 0, 0, histogram.tolist()))
-        kinds_ = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(["kind", "blob", "n_tokens", "n_types", "histogram"], kinds_, strict=True))})
-
-    sent = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "part long, kind long, blob binary")
-    return sent.groupBy("part").applyInArrow(merge, "kind long, blob binary, n_tokens long, n_types long, histogram array<long>")
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return text.mix(a * _A + b * _B)
+
+
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return text.mix(u * _A + v * _B + w * _C)
 
 
 def discounts(histogram: list[int]) -> list[float]:
-    """Good-Turing factors of the counts 0 .. TOP (index); 0 below LEAST. Where the counts of counts are too thin, 1 - 0.5 / r."""
+    """Good-Turing factors of the counts 0 .. TOP (index). Where the counts of counts are too thin, 1 - 0.5 / r."""
     n = [0, *histogram]
     common = (TOP + 1) * n[TOP + 1] / n[1] if n[1] else 1.0
     out = [0.0] * (TOP + 1)
-    for r in range(LEAST, TOP + 1):
+    for r in range(1, TOP + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else -1.0
         out[r] = d if 0 < d < 1 else 1 - 0.5 / r
     return out
 
 
+def _histogram(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].astype(np.int64)
+
+
 @dataclass
-class Model:
-    """words (key, log_p, log_alpha, n) and pairs (context, token, key, n, log_p, gain) by row, and a few numbers."""
+class Vocabulary:
+    """The most frequent words and the start: sorted hashes with ranks; by rank: counts, and how many parts a middle word has."""
 
-    words: DataFrame
-    pairs: DataFrame
-    train_tokens: int
-    unknown: float  # log10 P of the unknown type
-    end: float
-    start_alpha: float
+    keys: np.ndarray
+    ranks: np.ndarray
+    n: np.ndarray
+    dealt: np.ndarray
     parts: int
+    least: int  # as frequent, by 8 log2 of the count, are the words here
+
+    def coded(self, words: text.Words) -> tuple[np.ndarray, ...]:
+        """By token: document, code of the word two before, one before, itself; hashes of the codes beyond the ranks."""
+        n_docs = words.n_docs
+        token = np.insert(words.hashes(), words.doc_word[1:], END)
+        starts = words.doc_word[:-1] + np.arange(n_docs)
+        doc = np.repeat(np.arange(n_docs), np.diff(words.doc_word) + 1)
+        some, back = np.unique(token, return_inverse=True)
+        at, hit = _found(some, self.keys)
+        code = np.where(hit, self.ranks[at], 0).astype(np.int64)
+        hit &= some != START
+        code[~hit] = len(self.n) + np.arange((~hit).sum())
+        w = code[back]
+        v = np.concatenate([w[:1], w[:-1]])
+        v[starts] = 0
+        u = np.concatenate([v[:1], v[:-1]])
+        u[starts] = 0
+        return doc, u, v, w, some[~hit]
+
+    def part(self, u: np.ndarray, v: np.ndarray, cold: np.ndarray) -> np.ndarray:
+        """The part of each context, from codes."""
+        own = text.mix(np.concatenate([np.arange(len(self.n), dtype=np.uint64), cold | _COLD]) ^ _C)
+        many = np.concatenate([self.dealt, np.ones(len(cold), np.int64)])
+        to = own[v] % np.uint64(self.parts)
+        cut = np.flatnonzero(many[v] > 1)
+        to[cut] += text.mix(own[u[cut]]) % many[v[cut]].astype(np.uint64)
+        return (to % np.uint64(self.parts)).astype(np.int64)
+
+    def own(self, word: np.ndarray) -> np.ndarray:
+        """The part that holds the count of a word without a rank."""
+        return (text.mix(word ^ _C) % np.uint64(self.parts)).astype(np.int64)
+
+    def places(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The ``k``-th part of a middle word given by its rank."""
+        return ((text.mix(word ^ _C) % np.uint64(self.parts) + k.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
+
+    def sent(self, cold: np.ndarray, *codes: np.ndarray) -> tuple[bytes, tuple[np.ndarray, ...]]:
+        """The hashes that ``codes`` need, and the codes with places among these instead."""
+        base = len(self.n)
+        used = np.unique(np.concatenate([c[c >= base] for c in codes]))
+        return cold[used - base].tobytes(), tuple(np.where(c >= base, base + np.searchsorted(used, c), c).astype("<u4") for c in codes)
+
+    def words(self, hashes: bytes, *codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ranks, or marked hashes."""
+        every = np.frombuffer(hashes, "<u8") | _COLD
+        out = []
+        for c in codes:
+            far = np.flatnonzero(c >= len(self.n))
+            word = c.astype(np.uint64)
+            word[far] = every[c[far] - len(self.n)]
+            out.append(word)
+        return tuple(out)
 
 
-def fit(docs: DataFrame) -> Model:
-    spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = store.saved(counted(docs, parts), "counts", ["kind"])
-    store.release(spark)
-    seen = table.agg(F.sum("n_tokens"), F.sum("n_types"), *[F.sum(F.col("histogram")[i]) for i in range(TOP + 1)]).collect()[0]
-    n_tokens, n_types, histogram = seen[0] or 0, seen[1] or 0, [x or 0 for x in seen[2:]]
-    total = float(n_tokens + n_types + 1)
+@dataclass
+class Model:
+    """table (part, kind, a, b, n, blob): trigrams, bigrams of words dealt to many parts, counts of words without a rank; and numbers."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                key, n = unpack(blob, "<u8", "<i8")
-                yield pa.RecordBatch.from_arrays([text.as_i64(key), pa.array(n)], ["key", "n"])
+    table: DataFrame
+    vocabulary: Broadcast
+    train_tokens: int
+    n_types: int
+    factors: list[list[float]]  # of words, bigrams, trigrams
+    word_total: float
+    unknown: float  # P of the unknown type
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                context, token, n = unpack(blob, "<u8", "<u8", "<i8")
-                yield pa.RecordBatch.from_arrays([text.as_i64(context), text.as_i64(token), text.as_i64(pair_key(context, token)), pa.array(n)], ["context", "token", "key", "n"])
-
-    word = table.where("kind = 0").select("blob").mapInArrow(words, "key long, n long")
-    pair = table.where("kind = 1").select("blob").mapInArrow(pairs, "context long, token long, key long, n long")
-    factor = F.element_at(F.array(*[F.lit(x) for x in discounts(histogram)]), (F.least("n", F.lit(TOP)) + 1).cast("int"))
-    kept = F.when(F.col("n") > TOP, F.lit(1.0)).otherwise(factor) * F.col("n")
-    lower = word.select(F.col("key").alias("token"), ((F.col("n") + 1) / F.lit(total)).alias("p"))
-    joined = pair = store.saved(pair.withColumn("kept", kept).join(lower, "token"), "pairs")
-    ends = F.lit(int(END.view(np.int64)))
-    counts_ = word.select(F.col("key").alias("context"), "n").union(word.where(F.col("key") == ends).select(F.lit(int(START.view(np.int64))), "n"))
-    context = pair.groupBy("context").agg(F.sum("kept").alias("kept_all"), F.sum("p").alias("p_all")).join(counts_.withColumnRenamed("n", "n_context"), "context")
-    context = context.withColumn("total", F.col("n_context") + F.when(F.col("kept_all") >= F.col("n_context") - 1e-9, 1.0).otherwise(0.0))
-    context = context.select("context", "total", F.log10((1 - F.col("kept_all") / F.col("total")) / (1 - F.col("p_all"))).alias("log_alpha"))
-    context = store.saved(context, "contexts")
-    log_p = F.log10(F.col("kept") / F.col("total"))
-    pair = pair.join(context, "context").select("context", "token", "key", "n", log_p.alias("log_p"), (log_p - F.col("log_alpha") - F.log10("p")).alias("gain"))
-    alphas = context.select(F.col("context").alias("key"), "log_alpha")
-    word = word.join(alphas, "key", "left").select("key", F.log10((F.col("n") + 1) / F.lit(total)).alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"), "n")
-    word, pair = store.saved(word, "lm-words"), store.saved(pair, "lm-pairs")
-    store.delete(table, joined)
-    store.release(spark)
-    unknown = -math.log10(total)
-    end = word.where(F.col("key") == ends).select("log_p").collect()
-    start = context.where(F.col("context") == F.lit(int(START.view(np.int64)))).select("log_alpha").collect()
-    return Model(word, pair, int(n_tokens), unknown, end[0][0] if end else unknown, start[0][0] if start else 0.0, parts)
 
+def counted(docs: DataFrame) -> DataFrame:
+    """key, n of every word."""
 
-def _hot(table: DataFrame, columns: list[str], limit: int) -> list[np.ndarray]:
-    rows = table.orderBy(F.desc("n"), "key").limit(limit).select("key", *columns).toArrow()
-    key = rows["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    return [key[order], *(rows[c].to_numpy()[order] for c in columns)]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+        for piece in text.slices(batches, budget=SLICE_BYTES):
+            words = text.words_of(piece.column(0), lower=True)
+            key, n = np.unique(words.hashes(), return_counts=True)
+            keys += [key, np.array([END])]
+            counts += [n, np.array([words.n_docs])]
+            held += len(key)
+            if held > 1 << 20:
+                key, _, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [key], [n], 0
+                if len(key) > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([text.as_i64(key), pa.array(n)], ["key", "n"])
+                    keys, counts = [], []
+        if keys:
+            key, _, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([text.as_i64(key), pa.array(n)], ["key", "n"])
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "key long, n long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _level():
+    return F.floor(F.log2("n") * 8).cast("int")
+
+
+def vocabulary(words: DataFrame, n_tokens: int, hot: int, part_tokens: int) -> Vocabulary:
+    level = _level()
+    levels = sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True)
+    least, have = 1 << 10, 0
+    for r in levels:
+        have += r["c"]
+        if have > hot:
+            break
+        least = r["level"]
+    rows = words.where(level >= least).toArrow()
+    key, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.lexsort((key, -n))
+    key, n = np.concatenate([[START], key[order]]).astype(np.uint64), np.concatenate([[0], n[order]]).astype(np.int64)
+    parts = max(1, -(-n_tokens // part_tokens))
+    as_context = n.copy()
+    as_context[0] = n[key == END].sum()  # there are as many starts as ends
+    by_key = np.argsort(key)
+    return Vocabulary(key[by_key], by_key.astype(np.int64), n, np.minimum(np.maximum(-(-as_context // part_tokens), 1), parts), parts, least)
+
+
+_ROWS = "part long, kind long, a long, b long, n long, blob binary, histograms array<long>"
+
+
+def _row_batch(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
+    names = ["part", "kind", "a", "b", "n", "blob", "histograms"]
+    return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _as_rows(column: str, kinds: tuple[str, ...], names: list[str]):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = unpack(blob, *kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), part)), *(text.as_i64(g) for g in got)], names)
 
+    return spread
 
-def _bits(key: np.ndarray) -> np.ndarray:
-    return (text.mix(key ^ _B) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
+def fit(docs: DataFrame, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Model:
+    spark = docs.sparkSession
+    words = store.saved(counted(docs), "lm-words")
+    store.release(spark)
+    seen = words.agg(F.sum("n"), F.count(F.lit(1)), *[F.expr(f"count_if(n = {r})") for r in range(1, TOP + 2)]).collect()[0]
+    n_tokens, n_types = int(seen[0] or 0), int(seen[1])
+    d1 = discounts([int(x) for x in seen[2:]])
+    kept = words.agg(F.sum(_kept(d1))).collect()[0][0] or 0.0
+    word_total = float(n_tokens + (kept >= n_tokens - 1e-9))
+    shared = spark.sparkContext.broadcast(vocabulary(words, n_tokens, hot, part_tokens))
 
-def _sketch(keys: DataFrame) -> np.ndarray:
-    """One bit for each hashed key, in 2 ** SKETCH_BITS / 8 bytes whatever the number of keys. A pair without its bit is in
-    no table and need not be asked for; the fuller the sketch, the more are asked for, with the same results."""
-    size = 1 << SKETCH_BITS - 3
-    step = size // SEGMENTS
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for piece in text.slices(batches, budget=SLICE_BYTES):
+            _, u, v, w, cold = vocab.coded(text.words_of(piece.column(0), lower=True))
+            part = vocab.part(u, v, cold)
+            order = np.lexsort((w, part << 48 | v << 24 | u))
+            part, u, v, w = (x[order] for x in (part, u, v, w))
+            at = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+            n = np.diff(np.append(at, len(order))).astype("<u4")
+            part, u, v, w = (x[at] for x in (part, u, v, w))
+            out = []
+            for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                if len(run):
+                    hashes, codes = vocab.sent(cold, u[run], v[run], w[run])
+                    out.append((int(part[run[0]]), hashes, pack(*codes, n[run])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["part", "hashes", "blob"])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, np.uint8)
+    def merge(group: pa.Table) -> pa.Table:
+        vocab, part, got = shared.value, group["part"][0].as_py(), []
+        for hashes, blob in zip(group["hashes"].to_pylist(), group["blob"].to_pylist(), strict=True):
+            *codes, n = unpack(blob, "<u4", "<u4", "<u4", "<u4")
+            got.append((*vocab.words(hashes, *codes), n.astype(np.int64)))
+        u, v, w, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        _, first, total = _summed(triple_key(u, v, w), n)
+        order = np.argsort((v[first] & np.uint64(0xFFFFFF)) << np.uint64(24) | u[first] & np.uint64(0xFFFFFF))
+        u, v, w, total = (x[order] for x in (u[first], v[first], w[first], total))
+        cut = vocab.dealt[np.where(v < _COLD, v, 0).astype(np.int64)] > 1
+        cut &= v < _COLD
+        _, first, n = _summed(pair_key(v, w), total)
+        whole = ~cut[first]
+        rows = [(part, TRIGRAMS, 0, 0, 0, pack(u, v, w, total), np.concatenate([_histogram(n[whole]), _histogram(total)]).tolist())]
+        if cut.any():
+            rows.append((part, PAIRS, 0, 0, 0, pack(v[first[~whole]], w[first[~whole]], n[~whole]), None))
+        cold = np.unique(w[w >= _COLD])
+        if len(cold):
+            rows.append((part, WORDS, 0, 0, 0, pack(cold), None))
+        return _row_batch(rows)
+
+    sent = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "part long, hashes binary, blob binary")
+    table = store.saved(sent.groupBy("part").applyInArrow(merge, _ROWS), "lm-trigrams", ["kind"])
+    store.release(spark)
+    some = table.where(F.col("kind") == PAIRS).select("part", "blob").mapInArrow(_as_rows("blob", ("<u8", "<u8", "<i8"), ["part", "a", "b", "n"]), "part long, a long, b long, n long")
+    pairs = store.saved(some.groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-pairs")
+    told = table.where(F.col("kind") == TRIGRAMS).agg(*[F.sum(F.col("histograms")[i]) for i in range(2 * TOP + 2)]).collect()[0]
+    more = pairs.agg(*[F.expr(f"count_if(n = {r})") for r in range(1, TOP + 2)]).collect()[0]
+    d2 = discounts([int(x or 0) + int(y) for x, y in zip(told[: TOP + 1], more, strict=True)])
+    d3 = discounts([int(x or 0) for x in told[TOP + 1 :]])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
         for batch in batches:
-            at = _bits(batch.column(0).to_numpy().view(np.uint64))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        parts = [pa.compress(bits[k * step : (k + 1) * step].tobytes(), "zstd", asbytes=True) for k in range(SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS)), pa.array(parts, pa.binary())], ["segment", "bits"])
+            v = batch.column(0).to_numpy().view(np.uint64)
+            many = vocab.dealt[v.astype(np.int64)]
+            row = np.repeat(np.arange(len(v)), many)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(vocab.places(v[row], k)), *(c.take(pa.array(row)) for c in batch.columns)], ["part", "a", "b", "n"])
 
-    def join(group: pa.Table) -> pa.Table:
-        out = np.zeros(step, np.uint8)
-        for b in group["bits"].to_pylist():
-            out |= np.frombuffer(pa.decompress(b, step, "zstd"), np.uint8)
-        return pa.table({"segment": group["segment"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
-
-    rows = keys.mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(join, "segment long, bits binary").collect()
-    out = np.zeros((SEGMENTS, step), np.uint8)
-    for r in rows:
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(np.uint64) | _COLD
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.own(word)), text.as_i64(word), batch.column(1)], ["part", "a", "n"])
+
+    needed = table.where(F.col("kind") == WORDS).select("part", "blob").mapInArrow(_as_rows("blob", ("<u8",), ["part", "a"]), "part long, a long")
+    given = pairs.mapInArrow(deal, "part long, a long, b long, n long")
+    needed = needed.union(given.where("b < 0").select("part", "b"))  # hashes are marked by the sign
+    cold = needed.join(words.select(F.col("key").bitwiseOR(F.lit(-(2**63))).alias("a"), "n"), "a")
+    given = given.select("part", F.lit(PAIRS).cast("long").alias("kind"), "a", "b", "n")
+    rows = [cold.select("part", "a", "n"), words.where(_level() < shared.value.least).select("key", "n").mapInArrow(keep, "part long, a long, n long")]
+    for more in rows:
+        given = given.union(more.select("part", F.lit(WORDS).cast("long"), "a", F.lit(0).cast("long"), "n"))
+    given = store.saved(given, "lm-given")
+    none = F.lit(None).cast("binary")
+    whole = table.where(F.col("kind") == TRIGRAMS).select("part", F.col("kind").cast("long"), "a", "b", "n", "blob").union(given.withColumn("blob", none))
+    store.release(spark)
+    return Model(whole, shared, n_tokens, n_types, [d1, d2, d3], word_total, 1.0 - kept / word_total if n_tokens else 1.0)
+
+
+def _kept(factors: list[float]):
+    factor = F.element_at(F.array(*[F.lit(x) for x in factors]), (F.least("n", F.lit(TOP)) + 1).cast("int"))
+    return F.when(F.col("n") > TOP, F.lit(1.0)).otherwise(factor) * F.col("n")
+
+
+def _discounted(n: np.ndarray, factors: list[float]) -> np.ndarray:
+    return np.where(n > TOP, 1.0, np.array(factors)[np.minimum(n, TOP)]) * n
+
+
+def _word_p(n: np.ndarray, numbers: tuple) -> np.ndarray:
+    """P of words by their counts."""
+    factors, total, unknown = numbers
+    return np.where(n > 0, _discounted(n, factors[0]) / max(total, 1.0), unknown)
+
+
+class _Part:
+    """One part of the table, with its backoff weights."""
+
+    def __init__(self, rows: pa.Table, vocab: Vocabulary, model: tuple) -> None:
+        self.vocab = vocab
+        self.numbers = model
+        kind, a, b, n = (rows[c].to_numpy() for c in ("kind", "a", "b", "n"))
+        at = np.flatnonzero(kind == WORDS)
+        self.cold, first = np.unique(a[at].view(np.uint64), return_index=True)
+        self.cold_n = n[at[first]]
+        got = [unpack(x, "<u8", "<u8", "<u8", "<i8") for k, x in zip(kind.tolist(), rows["blob"].to_pylist(), strict=True) if k == TRIGRAMS]
+        u, v, w, c = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.int64))
+        # bigrams: summed here, or given where the middle word is dealt to many parts
+        whole = (v >= _COLD) | (vocab.dealt[np.where(v < _COLD, v, 0).astype(np.int64)] == 1)
+        _, first, n2 = _summed(pair_key(v[whole], w[whole]), c[whole])
+        at = kind == PAIRS
+        bv, bw, bn = np.concatenate([v[whole][first], a[at].view(np.uint64)]), np.concatenate([w[whole][first], b[at].view(np.uint64)]), np.concatenate([n2, n[at]])
+        kept = _discounted(bn, model[0][1])
+        self.v, _, total, kept_all, p_all = _summed(bv, bn, kept, self.word_p(bw))
+        total = total + (kept_all >= total - 1e-9)
+        self.v_alpha = np.log10((1 - kept_all / total) / (1 - p_all))
+        p2 = kept / total[np.searchsorted(self.v, bv)]
+        keys = pair_key(bv, bw)
+        order = np.argsort(keys)
+        self.vw, p2 = keys[order], p2[order]
+        self.vw_p = np.log10(p2)
+        kept = _discounted(c, model[0][2])
+        keys = pair_key(u, v)
+        lower = p2[_found(pair_key(v, w), self.vw)[0]] if len(v) else np.zeros(0)
+        self.uv, _, total, kept_all, p_all = _summed(keys, c, kept, lower)
+        total = total + (kept_all >= total - 1e-9)
+        self.uv_alpha = np.log10((1 - kept_all / total) / (1 - p_all))
+        p3 = np.log10(kept / total[np.searchsorted(self.uv, keys)]) if len(keys) else np.zeros(0)
+        keys = triple_key(u, v, w)
+        order = np.argsort(keys)
+        self.uvw, self.uvw_p = keys[order], p3[order]
+
+    def count(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(w), np.int64)
+        far = w >= _COLD
+        out[~far] = self.vocab.n[w[~far].astype(np.int64)]
+        at, hit = _found(w[far], self.cold)
+        out[far] = np.where(hit, self.cold_n[at] if len(self.cold_n) else 0, 0)
+        return out
+
+    def word_p(self, w: np.ndarray) -> np.ndarray:
+        return _word_p(self.count(w), self.numbers)
+
+    def gain(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 P(w | u v) - log10 P(w). P(w) is asked for where (v, w) was seen only, so the part knows the count of w."""
+        at, hit = _found(triple_key(u, v, w), self.uvw)
+        out = np.zeros(len(w))
+        out[hit] = self.uvw_p[at[hit]] - np.log10(self.word_p(w[hit]))
+        rest = np.flatnonzero(~hit)
+        at, hit = _found(pair_key(u[rest], v[rest]), self.uv)
+        out[rest[hit]] = self.uv_alpha[at[hit]]
+        at, hit = _found(pair_key(v[rest], w[rest]), self.vw)
+        out[rest[hit]] += self.vw_p[at[hit]] - np.log10(self.word_p(w[rest[hit]]))
+        rest = rest[~hit]
+        at, hit = _found(v[rest], self.v)
+        out[rest[hit]] += self.v_alpha[at[hit]]
+        return out
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every document."""
-    spark, parts = docs.sparkSession, model.parts
-    hot: Broadcast = spark.sparkContext.broadcast((_hot(model.words, ["log_p", "log_alpha"], HOT), _hot(model.pairs, ["gain"], HOT_PAIRS), _sketch(model.pairs.select("key"))))
-    unknown, end, start_alpha, has_end = model.unknown, model.end, model.start_alpha, model.train_tokens > 0
+    shared = model.vocabulary
+    base_total = float(model.train_tokens + model.n_types + 1)
+    numbers = (model.factors, model.word_total, model.unknown)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (word_keys, log_p, log_alpha), (pair_keys, gain), sketch = hot.value
-        for k, piece in enumerate(text.slices(batches, budget=SCORE_BYTES)):
-            words = text.words_of(piece.column(1), lower=True)
-            n_docs = words.n_docs
-            context, token, doc = stream(words)
-            sums = np.zeros((4, n_docs))  # tokens, known, base, the rest
-            sums[0] = np.diff(words.doc_word) + 1
-            sums[1], sums[2], sums[3] = float(has_end), end, start_alpha
-            inner = token != END
-            of, key, n = text.counted(doc[inner], token[inner])
-            at, hit = _found(key, word_keys)
-            sums[1] += np.bincount(of[hit], n[hit], n_docs)
-            sums[2] += np.bincount(of[hit], n[hit] * log_p[at[hit]], n_docs)
-            sums[3] += np.bincount(of[hit], n[hit] * log_alpha[at[hit]], n_docs)
-            cold = [(0, of[~hit], key[~hit], n[~hit])]
-            of, key, n = text.counted(doc, pair_key(context, token))
-            at, hit = _found(key, pair_keys)
-            sums[3] += np.bincount(of[hit], n[hit] * gain[at[hit]], n_docs)
-            at = _bits(key)
-            ask = ~hit & ((sketch[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0)
-            cold.append((1, of[ask], key[ask], n[ask]))
+        vocab = shared.value
+        base = np.log10((vocab.n + 1) / base_total)
+        ranked = len(vocab.n)
+        own = np.log10(_word_p(vocab.n, numbers))
+        for k, piece in enumerate(text.slices(batches, budget=SLICE_BYTES)):
+            doc, u, v, w, cold = vocab.coded(text.words_of(piece.column(1), lower=True))
+            n_docs = piece.num_rows
+            near = w < ranked
+            sums = [np.bincount(doc, minlength=n_docs).astype(float), np.bincount(doc[near], vocab.n[w[near]] > 0, n_docs), np.bincount(doc[near], base[w[near]], n_docs), np.bincount(doc[near], own[w[near]], n_docs)]
             slice_ = TaskContext.get().partitionId() << 32 | k
             ids = piece.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
-            out = [(slice_ % parts, slice_, 2, pack(ids.fill_null(0).to_numpy(), known, *sums))]
-            for kind, of, key, n in cold:
-                part = part_of(key, parts)
-                for p, run in _runs(part, np.lexsort((key, part))):
-                    out.append((p, slice_, kind, pack(np.diff(key[run], prepend=np.uint64(0)), of[run].astype(np.uint32), n[run].astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["part", "slice", "kind", "blob"])
+            out = [(slice_ % vocab.parts, slice_, WHOLE, b"", pack(ids.fill_null(0).to_numpy(), known, *sums))]
+            far = np.flatnonzero(~near)
+            part = vocab.own(cold | _COLD)[w[far] - ranked]
+            order = np.argsort(part, kind="stable")
+            for run in np.split(far[order], np.flatnonzero(np.diff(part[order])) + 1):
+                if len(run):
+                    hashes, (code,) = vocab.sent(cold, w[run])
+                    out.append((int(vocab.own(np.array([cold[w[run[0]] - ranked] | _COLD]))[0]), slice_, ASKED_WORDS, hashes, pack(doc[run].astype("<u4"), code)))
+            part = vocab.part(u, v, cold)
+            order = np.argsort(part.astype(np.uint16) if vocab.parts <= 1 << 16 else part, kind="stable")
+            part, doc, u, v, w = (x[order] for x in (part, doc, u, v, w))
+            # a text that repeats itself sends the same row again and again: once, with its number
+            at = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+            n = np.diff(np.append(at, len(order))).astype("<u4")
+            part, doc, u, v, w = (x[at] for x in (part, doc, u, v, w))
+            for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                if len(run):
+                    hashes, codes = vocab.sent(cold, u[run], v[run], w[run])
+                    out.append((int(part[run[0]]), slice_, ASKED, hashes, pack(np.diff(doc[run], prepend=0).astype("<u4"), *codes, n[run])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["part", "slice", "kind", "hashes", "blob"])
 
     def answer(table: pa.Table, sent: pa.Table) -> pa.Table:
-        kinds, keys = table["kind"].to_numpy(), table["key"].to_numpy().view(np.uint64)
-        tables = []
-        for kind in (0, 1):
-            at = np.flatnonzero(kinds == kind)
-            at = at[np.argsort(keys[at])]
-            tables.append((keys[at], table["a"].to_numpy()[at], table["b"].to_numpy()[at]))
-        slices, blobs = [], []
-        for slice_, kind, blob in zip(sent["slice"].to_pylist(), sent["kind"].to_pylist(), sent["blob"].to_pylist(), strict=True):
-            if kind < 2:
-                gaps, of, n = unpack(blob, "<u8", "<u4", "<u4")
-                at, hit = _found(np.cumsum(gaps, dtype=np.uint64), tables[kind][0])
-                docs_, where = np.unique(of, return_inverse=True)
-                a, b = tables[kind][1:] if len(tables[kind][0]) else (np.zeros(1), np.zeros(1))
-                sums = [np.bincount(where, hit * n * (kind == 0), len(docs_)), np.bincount(where, n * np.where(hit, a[at], unknown if kind == 0 else 0.0), len(docs_)), np.bincount(where, n * np.where(hit, b[at], 0.0), len(docs_))]
-                blob = pack(docs_, *sums)
+        vocab = shared.value
+        part = _Part(table, vocab, numbers)
+        slices, wholes, blobs = [], [], []
+        for slice_, kind, hashes, blob in zip(*(sent[c].to_pylist() for c in ("slice", "kind", "hashes", "blob")), strict=True):
+            if kind == ASKED:
+                doc, *codes, n = unpack(blob, "<u4", "<u4", "<u4", "<u4", "<u4")
+                of, where = np.unique(np.cumsum(doc), return_inverse=True)
+                gain = np.bincount(where, n * part.gain(*vocab.words(hashes, *codes)), len(of))
+                blob = pack(of.astype("<u4"), np.zeros(len(of)), np.zeros(len(of)), gain)
+            elif kind == ASKED_WORDS:
+                doc, code = unpack(blob, "<u4", "<u4")
+                n = part.count(vocab.words(hashes, code)[0])
+                of, where = np.unique(doc, return_inverse=True)
+                sums = (n > 0, np.log10((n + 1) / base_total), np.log10(_word_p(n, numbers)))
+                blob = pack(of, *(np.bincount(where, x, len(of)).astype(float) for x in sums))
             slices.append(slice_)
+            wholes.append(kind == WHOLE)
             blobs.append(blob)
-        return pa.table({"slice": pa.array(slices, pa.int64()), "whole": pa.array([k == 2 for k in sent["kind"].to_pylist()], pa.bool_()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"slice": pa.array(slices, pa.int64()), "whole": pa.array(wholes, pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
         whole, blobs = group["whole"].to_pylist(), group["blob"].to_pylist()
-        ids, known, *sums = unpack(blobs[whole.index(True)], "<i8", "u1", "<f8", "<f8", "<f8", "<f8")
+        ids, known, n_tokens, *sums = unpack(blobs[whole.index(True)], "<i8", "u1", "<f8", "<f8", "<f8", "<f8")
         sums = [s.copy() for s in sums]
         for is_whole, blob in zip(whole, blobs, strict=True):
             if not is_whole:
-                of, *parts_ = unpack(blob, "<u4", "<f8", "<f8", "<f8")
-                for s, p in zip(sums[1:], parts_, strict=True):
+                of, *parts = unpack(blob, "<u4", "<f8", "<f8", "<f8")
+                for s, p in zip(sums, parts, strict=True):
                     s[of] += p
-        return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[2] + sums[3])})
-
-    # a: log_p of words; 0 of pairs, whose gain is in b as the words' log_alpha is
-    def parted(rows: DataFrame) -> DataFrame:
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = part_of(batch.column(0).to_numpy().view(np.uint64), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns], ["part", "key", "kind", "a", "b"])
-
-        return rows.mapInArrow(part, "part long, key long, kind int, a double, b double")
+        n = [np.rint(x).astype(np.int64) for x in (n_tokens, sums[0])]
+        return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_tokens": pa.array(n[0]), "n_known": pa.array(n[1]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
-    rows = model.words.select("key", F.lit(0).alias("kind"), F.col("log_p").alias("a"), F.col("log_alpha").alias("b"))
-    rows = parted(rows.union(model.pairs.select("key", F.lit(1), F.lit(0.0), "gain")))
-    sent = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(send, "part long, slice long, kind long, blob binary")
-    answers = rows.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(answer, "slice long, whole boolean, blob binary")
+    sent = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(send, "part long, slice long, kind long, hashes binary, blob binary")
+    answers = model.table.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(answer, "slice long, whole boolean, blob binary")
     return answers.groupBy("slice").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 

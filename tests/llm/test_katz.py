@@ -15,32 +15,46 @@ def tokens(t):
 
 
 def brute(train, docs):
-    """Katz backoff over dictionaries."""
-    uni, bi = Counter(), Counter()
+    """Katz backoff of order 3 over dictionaries."""
+    counts = [Counter(), Counter(), Counter()]
     for t in train:
         own = tokens(t)
-        uni.update(own)
-        bi.update(zip(["start", *own], own, strict=False))
-    n, v = sum(uni.values()), len(uni)
-    hist = Counter(bi.values())
-    d = katz.discounts([hist[r] for r in range(1, katz.TOP + 2)])
-    low = lambda w: (uni[w] + 1) / (n + v + 1)
-    kept = {k: c * (d[c] if c <= katz.TOP else 1.0) for k, c in bi.items() if c >= katz.LEAST}
-    context = {}
-    for (h, w), c in kept.items():
-        s = context.setdefault(h, [0.0, 0.0])
-        s[0] += c
-        s[1] += low(w)
-    size = lambda h: uni[None] if h == "start" else uni[h]
-    total = {h: size(h) + (s[0] >= size(h) - 1e-9) for h, s in context.items()}
-    alpha = {h: (1 - s[0] / total[h]) / (1 - s[1]) for h, s in context.items()}
-    p = lambda h, w: kept[h, w] / total[h] if (h, w) in kept else alpha.get(h, 1.0) * low(w)
-    for h in list(context)[:20]:  # each context sums to one over the known types and the unknown one
-        assert sum(p(h, w) for w in uni) + p(h, "unknown") == pytest.approx(1)
+        v = ["start", *own[:-1]]
+        u = ["start", *v[:-1]]
+        counts[0].update(own)
+        counts[1].update(zip(v, own, strict=True))
+        counts[2].update(zip(u, v, own, strict=True))
+    d = [katz.discounts([Counter(c.values())[r] for r in range(1, katz.TOP + 2)]) for c in counts]
+    kept = [{k: c * (f[c] if c <= katz.TOP else 1.0) for k, c in count.items()} for f, count in zip(d, counts, strict=True)]
+    n, v = sum(counts[0].values()), len(counts[0])
+    raised = lambda total, rest: total + (rest >= total - 1e-9)
+    word_total = raised(n, sum(kept[0].values())) if n else 1
+    unknown = 1 - sum(kept[0].values()) / word_total
+
+    def weights(order, lower):
+        """By context: its count, and its backoff weight."""
+        sums = {}
+        for k, c in counts[order].items():
+            s = sums.setdefault(k[:-1], [0, 0.0, 0.0])
+            s[0] += c
+            s[1] += kept[order][k]
+            s[2] += lower(k[1:])
+        return {h: (raised(c, k), (1 - k / raised(c, k)) / (1 - p)) for h, (c, k, p) in sums.items()}
+
+    p1 = lambda k: kept[0][k[0]] / word_total if k[0] in kept[0] else unknown
+    two = weights(1, p1)
+    p2 = lambda k: kept[1][k] / two[k[:1]][0] if k in kept[1] else two.get(k[:1], (0, 1.0))[1] * p1(k[1:])
+    three = weights(2, p2)
+    p3 = lambda k: kept[2][k] / three[k[:2]][0] if k in kept[2] else three.get(k[:2], (0, 1.0))[1] * p2(k[1:])
+    for h in list(three)[:20]:  # each context sums to one over the known types and the unknown one
+        assert sum(p3((*h, w)) for w in counts[0]) + p3((*h, "unknown")) == pytest.approx(1)
     out = []
     for k, t in docs:
         own = tokens(t)
-        out.append((k, len(own), sum(uni[w] > 0 for w in own), sum(math.log10(low(w)) for w in own), sum(math.log10(p(h, w)) for h, w in zip(["start", *own], own, strict=False))))
+        before = ["start", *own[:-1]]
+        grams = list(zip(["start", *before[:-1]], before, own, strict=True))
+        base = sum(math.log10((counts[0][w] + 1) / (n + v + 1)) for w in own)
+        out.append((k, len(own), sum(counts[0][w] > 0 for w in own), base, sum(math.log10(p3(g)) for g in grams)))
     return out, n
 
 
@@ -57,14 +71,13 @@ def test_equals_brute_force(spark, monkeypatch):
     vocabulary = [f"W{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choice(vocabulary[: rng.randint(5, 60)]) for _ in range(rng.randint(0, 80)))) for i in range(150)]
     docs += [(1000, None), (1001, "new words only"), (None, "W1 W2"), (3, docs[3][1])]
-    monkeypatch.setattr(katz, "HOT", 20)
-    monkeypatch.setattr(katz, "HOT_PAIRS", 30)
-    monkeypatch.setattr(katz, "SCORE_BYTES", 3000)
+    monkeypatch.setattr(katz, "SLICE_BYTES", 3000)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("extra", katz.F.lit(1))
-    model = katz.fit(df.where("doc_id < 100"))
     want, n = brute([t for k, t in docs if k is not None and k < 100], docs)
-    assert model.train_tokens == n
-    same(katz.scored(df, model).collect(), want)
+    for hot, part_tokens in ((20, 100), (katz.HOT, katz.PART_TOKENS), (0, 50)):
+        model = katz.fit(df.where("doc_id < 100"), hot, part_tokens)
+        assert model.train_tokens == n
+        same(katz.scored(df, model).collect(), want)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -83,11 +96,14 @@ def test_query_improves_on_the_base(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_pairs_seen_once_are_in_the_table(spark):
+def test_all_trigrams_are_in_the_table(spark):
     docs = [(1, "a b c a b d e"), (2, "a b f")]
     model = katz.fit(spark.createDataFrame(docs, "doc_id long, text string"))
-    seen = {p for _, t in docs for p in zip(["start", *tokens(t)], tokens(t), strict=False)}
-    assert model.pairs.count() == len(seen)
-    assert {r["n"] for r in model.pairs.collect()} == {1, 2, 3}
+    grams = Counter()
+    for _, t in docs:
+        v = ["start", *tokens(t)[:-1]]
+        grams.update(zip(["start", *v[:-1]], v, tokens(t), strict=True))
+    n = [katz.unpack(r["blob"], "<u8", "<u8", "<u8", "<i8")[3] for r in model.table.where("kind = 0").collect()]
+    assert sorted(np.concatenate(n)) == sorted(grams.values())
     d = katz.discounts([8, 3, 1, 1, 1, 1])
     assert 0 < d[1] < 1
