@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,23 +39,36 @@ SLICE_BYTES = 1 << 20
 CHUNK = 1024  # sets of a block that are compared at once
 PAIRS = 1 << 20  # pairs, and words of pairs, held at a time
 ROWS = 1 << 17  # rows of blocks that are judged at a time
+MOST_CHUNKS = 1 << 16  # of a block; beyond, chunks are larger
 HOT_LINES = 10_000  # a set of more lines is joined by broadcast: at most one in so many lines is such a set
 _LOWEST = -(2**63)
-_ENTRY = "key int, lo int, hi int, side int, set_hash long, size int, place int, prev int"
 
 
-def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By distinct word of a line, in the order of lines: line (running number), word; by line: document, line number."""
-    buf, doc_byte = text.bytes_of(column)
-    words = text.words_of(column)
-    feeds = np.flatnonzero(buf == 10)
-    breaks = np.unique(np.concatenate([doc_byte[:-1], feeds + 1]))
+def _breaks(buf: np.ndarray, doc_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By line: where it begins, its document, its number there."""
+    breaks = np.unique(np.concatenate([doc_byte[:-1], np.flatnonzero(buf == 10) + 1]))
     breaks = breaks[breaks < max(len(buf), 1)]
-    line = np.searchsorted(breaks, words.start, side="right") - 1
     of = np.searchsorted(doc_byte, breaks, side="right") - 1
     first = np.searchsorted(of, np.arange(len(doc_byte) - 1))
-    line, word, _ = text.counted(line, words.hashes())
-    return line, word, of, np.arange(len(breaks)) - first[of]
+    return breaks, of, np.arange(len(breaks)) - first[of]
+
+
+def _distinct(line: np.ndarray, word: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word, key, level of the key) of the distinct words of each line, by line and rarity."""
+    key = _key(word)
+    rare = level[key & (len(level) - 1)].astype(np.int64)
+    at = line.astype(np.int64) << 39 | rare << 31 | key
+    order = np.argsort(at)
+    at, word = at[order], word[order]
+    same = at[1:] == at[:-1]
+    if (word[1:][same] != word[:-1][same]).any():  # two words of one key in a line
+        order = np.lexsort((word, at))
+        at, word = at[order], word[order]
+        same = at[1:] == at[:-1]
+    new = np.ones(len(at), bool)
+    new[1:] = ~same | (word[1:] != word[:-1])
+    at, word = at[new], word[new]
+    return at >> 39, word, at & ((1 << 31) - 1), at >> 31 & 255
 
 
 def _key(word: np.ndarray) -> np.ndarray:
@@ -92,19 +106,6 @@ def _prefix_size(size: np.ndarray) -> np.ndarray:
     return size - (-(-4 * size // 5)) + 1
 
 
-def _ordered(line: np.ndarray, word: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, key, level of the key), the words of each line by rarity."""
-    key = _key(word)
-    rare = level[key & (len(level) - 1)]
-    order = np.lexsort((word, key, rare, line))
-    return word[order], key[order], rare[order]
-
-
-def _lists(line: np.ndarray, values: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    have, first = np.unique(line, return_index=True)
-    return have, pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), values)
-
-
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id and text, never null, and the text's hash."""
     known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -118,9 +119,10 @@ def signed(known: DataFrame, level, chunk: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
-            line, word, of, number = _lines(piece.column(1))
+            words = text.words_of(piece.column(1))
+            breaks, of, number = _breaks(words.buf, words.doc_byte)
+            line, word, key, rare = _distinct(np.searchsorted(breaks, words.start, side="right") - 1, words.hashes(), level.value)
             set_hash, size, bits = _classes(line, word, len(of))
-            _, key, rare = _ordered(line, word, level.value)
             have = np.flatnonzero(size)
             place = np.arange(len(line)) - np.searchsorted(line, line)
             sent = (place < _prefix_size(size)[line]) & (rare > 1) & (size[line] >= 4)  # different sets of fewer words never match
@@ -135,43 +137,68 @@ def signed(known: DataFrame, level, chunk: int) -> DataFrame:
 
 
 def _dealt(entries: DataFrame, chunk: int) -> DataFrame:
-    """``entries`` (key, set_hash, ...) with lo, hi, side: the chunks whose sets the block compares, and of which of the two the set is."""
-    large = store.saved(entries.where("key < 0").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1"), "line-large")
-    placed = counts.joined_by_size(entries, large, ["key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    """``entries`` (key, size, place, prev, set_hash, parity) -> block, info, prev, set_hash, parity. A block is a key and the two
+    chunks whose sets it compares; ``info`` holds size, place and which of the two chunks the set is in."""
+    large = entries.where("key < 0").groupBy("key").agg(F.least(F.ceil(F.count(F.lit(1)) / chunk), F.lit(MOST_CHUNKS)).cast("int").alias("chunks")).where("chunks > 1")
+    large = store.saved(large, "line-large")
+    rest = ["prev", "set_hash", "parity"]
+    base, info = F.shiftleft(F.col("key").cast("long"), 32), F.shiftleft(F.col("size").cast("long"), 32) + F.shiftleft(F.col("place"), 1)
+    whole = counts.joined_by_size(entries, large.select("key"), ["key"], "left_anti").select(base.alias("block"), info.alias("info"), *rest)
     own = F.pmod(F.xxhash64("set_hash", F.lit(3)), F.col("chunks")).cast("int")
-    whole = placed.where("chunks = 1").withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
-    cut = placed.where("chunks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = cut.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    columns = [*entries.columns, "lo", "hi", "side"]
-    return whole.select(*columns).union(cut.select(*columns))
+    cut = counts.joined_by_size(entries.where("key < 0"), large, ["key"], "inner").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    block = base + F.shiftleft(F.least("own", "other").cast("long"), 16) + F.greatest("own", "other")
+    return whole.union(cut.select(block.alias("block"), (info + (F.col("own") > F.col("other")).cast("int")).alias("info"), *rest))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole blocks (of equal key, lo, hi) from a sorted stream, many small ones at a time, and the running number of each row's."""
-    held: list[pa.RecordBatch] = []
-    n = 0
+@dataclass
+class Entries:
+    """The rows of whole blocks, by block and size: its running number, whether it compares one chunk with itself, and what each row has."""
 
-    def numbered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        new = np.zeros(table.num_rows, bool)
-        for c in ("key", "lo", "hi"):
-            v = table[c].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return table, np.cumsum(new)
+    table: pa.Table
+    block: np.ndarray
+    inside: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    side: np.ndarray
+    prev: np.ndarray
+    parity: np.ndarray
 
-    least = rows
+    @staticmethod
+    def of(table: pa.Table) -> Entries:
+        block, info = table["block"].to_numpy(), table["info"].to_numpy()
+        number = np.cumsum(np.diff(block, prepend=block[:1]) != 0)
+        order = np.argsort(number << 32 | info >> 32, kind="stable")
+        block, info = block[order], info[order]
+        prev, parity = table["prev"].to_numpy()[order], table["parity"].to_numpy()[order].view(np.uint64)
+        return Entries(table.take(pa.array(order)), number[order], block & 0xFFFF == block >> 16 & 0xFFFF, info >> 32, info >> 1 & 0x7FFFFFFF, info & 1, prev, parity)
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where a pair passes the parity filter, the positional filter (from the shared word on) and has no common word just before."""
+        both = self.size[a] + self.size[b]
+        at = np.flatnonzero(9 * np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64) <= both)
+        a, b = a[at], b[at]
+        keep = 9 * np.minimum(self.size[a] - self.place[a], self.size[b] - self.place[b]) >= 4 * both[at]
+        return at[keep & ((self.prev[a] != self.prev[b]) | (self.prev[a] == 0))]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[Entries]:
+    """Whole blocks from a sorted stream, many small ones at a time."""
+    held: list[pa.RecordBatch] = []
+    n, least = 0, rows
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
         if n >= least:
-            table, block = numbered(pa.Table.from_batches(held))
+            table = pa.Table.from_batches(held)
+            block = table["block"].to_numpy()
             cut = int(np.searchsorted(block, block[-1]))
             if cut:
-                yield table.slice(0, cut), block[:cut]
+                yield Entries.of(table.slice(0, cut))
             held = table.slice(cut).to_batches()
             n = table.num_rows - cut
             least = max(rows, 2 * n)
     if n:
-        yield numbered(pa.Table.from_batches(held))
+        yield Entries.of(pa.Table.from_batches(held))
 
 
 def _pairs(block: np.ndarray, size: np.ndarray, side: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,38 +218,36 @@ def _pairs(block: np.ndarray, size: np.ndarray, side: np.ndarray, inside: np.nda
         at = to
 
 
+def _streamed(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block")
+
+
 def promising(dealt: DataFrame) -> DataFrame:
     """The rows of blocks that may have a partner there which no earlier block has."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, block in _blocks(batches, ROWS):
-            lo, hi, side, size, place, prev, parity = (table[c].to_numpy() for c in ("lo", "hi", "side", "size", "place", "prev", "parity"))
-            parity = parity.view(np.uint64)
-            found = np.zeros(len(block), bool)
-            rest = (size - place).astype(np.int64)  # words from the shared one on
-            for a, b in _pairs(block, size, side, lo == hi):
-                both = (size[a] + size[b]).astype(np.int64)
-                ok = 9 * np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64) <= both
-                a, b, both = a[ok], b[ok], both[ok]
-                ok = (9 * np.minimum(rest[a], rest[b]) >= 4 * both) & ((prev[a] != prev[b]) | (prev[a] == 0))
+        for e in _blocks(batches, ROWS):
+            found = np.zeros(len(e.block), bool)
+            for a, b in _pairs(e.block, e.size, e.side, e.inside):
+                ok = e.possible(a, b)
                 found[a[ok]] = True
                 found[b[ok]] = True
             if found.any():
-                yield from table.select(["key", "lo", "hi", "side", "set_hash", "size", "place", "prev"]).filter(pa.array(found)).combine_chunks().to_batches()
+                yield from e.table.filter(pa.array(found)).combine_chunks().to_batches()
 
-    ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size")
-    return ordered.select("key", "lo", "hi", "side", "set_hash", "size", "place", "prev", "parity").mapInArrow(judge, _ENTRY)
+    return _streamed(dealt).mapInArrow(judge, dealt.schema)
 
 
-def _mark(set_hash: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
-    """Where the sketch marks a set at a document."""
-    mixed = text.mix(set_hash.view(np.uint64) ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
+def _mark(doc_id: np.ndarray, text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Where the sketch marks a line of a document."""
+    mixed = text.mix(number.astype(np.uint64) * text._ODD[3] ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
     return (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
-    """set_hash and words (by rarity) of the ``wanted`` sets (set_hash, doc_id, text_hash), read at the document given. A sketch of
-    2 ** ``SKETCH_BITS`` bits tells which lines need not be sent; the fuller it is, the more are, with the same results."""
+    """set_hash, first and words (by rarity) of the ``wanted`` sets (set_hash, first: doc_id, text_hash, line_number), read at the line
+    given. A sketch of 2 ** ``SKETCH_BITS`` bits tells which lines need not be read; the fuller it is, the more are, with the
+    same results."""
     size = 1 << SKETCH_BITS - 3
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -232,50 +257,61 @@ def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return bits
 
-    sketch = known.sparkSession.sparkContext.broadcast(store.merged_arrays(wanted.select("set_hash", "doc_id", "text_hash"), mark, np.bitwise_or, size, "u1", "u1", SEGMENTS))
+    sketch = known.sparkSession.sparkContext.broadcast(store.merged_arrays(wanted.select("first.doc_id", "first.text_hash", "first.line_number"), mark, np.bitwise_or, size, "u1", "u1", SEGMENTS))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
-            line, word, of, _ = _lines(piece.column(1))
-            set_hash, _, _ = _classes(line, word, len(of))
+            buf, doc_byte = text.bytes_of(piece.column(1))
+            breaks, of, number = _breaks(buf, doc_byte)
             ids, hashes = (piece.column(k).to_numpy() for k in (0, 2))
-            at = _mark(set_hash, ids[of], hashes[of])
-            asked = (sketch.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
-            line, word = line[asked[line]], word[asked[line]]
-            ordered, _, _ = _ordered(line, word, level.value)
-            have, lists = _lists(line, text.as_i64(ordered))
-            own = of[have]
-            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[own]), pa.array(hashes[own]), lists], ["set_hash", "doc_id", "text_hash", "words"])
+            at = _mark(ids[of], hashes[of], number)
+            asked = np.flatnonzero((sketch.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0)
+            ends = np.append(breaks[1:], len(buf))[asked]
+            n = ends - breaks[asked]
+            chosen = buf[np.repeat(breaks[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            words = text.words_of(pa.Array.from_buffers(pa.large_binary(), len(asked), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int64).tobytes()), pa.py_buffer(chosen.tobytes())]))
+            line, word, _, _ = _distinct(words.doc, words.hashes(), level.value)
+            set_hash, _, _ = _classes(line, word, len(asked))
+            have, first = np.unique(line, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), text.as_i64(word))
+            own = asked[have]
+            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), lists], ["set_hash", "doc_id", "text_hash", "line_number", "words"])
+
+    found = known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, words array<long>")
+    given = found.withColumn("first", F.struct("doc_id", "text_hash", "line_number")).select("set_hash", "first", "words").join(wanted, ["set_hash", "first"], "left_semi")
+    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()  # rows repeated with their id
+    return given.dropDuplicates(["set_hash"]) if repeated else given
+
 
-    found = known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, words array<long>")
-    return found.join(wanted.select("set_hash", "doc_id", "text_hash"), ["set_hash", "doc_id", "text_hash"], "left_semi").groupBy("set_hash").agg(F.first("words").alias("words"))
+def _at(row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return text.mix(word + row.astype(np.uint64) * text._ODD[3])
 
 
 class _Sets:
-    """Word lists end to end, and how many words two of them share."""
+    """Word lists end to end."""
 
     def __init__(self, words: np.ndarray, start: np.ndarray) -> None:
         self.words, self.start, self.size = words, start, np.diff(start)
-        self.held = np.sort(self._at(np.repeat(np.arange(len(self.size)), self.size), words))
 
-    @staticmethod
-    def _at(row: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return text.mix(word + row.astype(np.uint64) * text._ODD[3])
-
-    def shared(self, a: np.ndarray, b: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
-        """By pair: words of ``a`` (its ``first`` ones) that ``b`` holds."""
-        n = self.size[a] if first is None else np.minimum(first, self.size[a])
-        out = np.zeros(len(a), np.int64)
+    def of_pairs(self, a: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The first ``n`` words of each of ``a``, some at a time: from, to, which of ``a``, word."""
         ahead = np.concatenate([[0], np.cumsum(n)])
         at = 0
         while at < len(a):
             to = max(at + 1, int(np.searchsorted(ahead, ahead[at] + PAIRS, side="right")) - 1)
             pair = np.repeat(np.arange(at, to), n[at:to])
-            word = self.words[np.arange(ahead[at], ahead[to]) - ahead[pair] + self.start[a[pair]]]
-            asked = self._at(b[pair], word)
-            hit = self.held[np.minimum(np.searchsorted(self.held, asked), len(self.held) - 1)] == asked
-            out[at:to] = np.bincount(pair[hit] - at, minlength=to - at)
+            yield at, to, pair, self.words[np.arange(ahead[at], ahead[to]) - ahead[pair] + self.start[a[pair]]]
             at = to
+
+    def first_common(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where no key before the places of both is in both."""
+        out = np.ones(len(a), bool)
+        some = np.flatnonzero((place[a] > 0) & (place[b] > 0))
+        for at, to, pair, word in self.of_pairs(a[some], place[a[some]]):
+            held = [(p, _key(w)) for _, _, p, w in self.of_pairs(b[some[at:to]], place[b[some[at:to]]])]
+            mine = _at(pair, _key(word).astype(np.uint64))
+            theirs = np.concatenate([_at(p + at, k.astype(np.uint64)) for p, k in held])
+            out[some[pair[np.isin(mine, theirs)]]] = False
         return out
 
     def similar_in(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -303,55 +339,74 @@ class _Sets:
             at = to
 
 
-def verified(promising_: DataFrame, words: DataFrame, firsts: DataFrame) -> DataFrame:
+class _Some(_Sets):
+    """Sets that are asked which words they hold."""
+
+    def __init__(self, sets: _Sets, rows: np.ndarray) -> None:
+        n = sets.size[rows]
+        start = np.concatenate([[0], np.cumsum(n)])
+        row = np.repeat(np.arange(len(rows)), n)
+        super().__init__(sets.words[np.arange(start[-1]) - start[row] + sets.start[rows][row]], start)
+        self.held = np.sort(_at(row, self.words))
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By pair: how many words both have."""
+        out = np.zeros(len(a), np.int64)
+        for at, to, pair, word in self.of_pairs(a, self.size[a]):
+            asked = _at(b[pair], word)
+            hit = self.held[np.minimum(np.searchsorted(self.held, asked), len(self.held) - 1)] == asked
+            out[at:to] = np.bincount(pair[hit] - at, minlength=to - at)
+        return out
+
+
+def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
     """set_hash, n_links, earliest (doc_id, text_hash, line_number) of the sets with links."""
-    given = words.join(firsts.select("set_hash", "first"), "set_hash")
-    rows = promising_.join(given, "set_hash")
+    rows = promising_.join(words, "set_hash")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, block in _blocks(batches, ROWS >> 4):
-            lo, hi, side, size, place, prev = (table[c].to_numpy() for c in ("lo", "hi", "side", "size", "place", "prev"))
-            lists = table["words"].combine_chunks()
-            sets = _Sets(lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
-            keys = _Sets(_key(sets.words).astype(np.uint64), sets.start)
-            first = [table[c].to_numpy() for c in ("doc_id", "text_hash", "line_number")]
-            rank = np.empty(len(block), np.int64)
-            rank[np.lexsort(first[::-1])] = np.arange(len(block))
-            n_links, earliest = np.zeros(len(block), np.int64), np.full(len(block), len(block))
-            inside = lo == hi
-            edges = np.flatnonzero(np.diff(block, prepend=-1, append=block[-1] + 1))
+        for e in _blocks(batches, ROWS >> 4):
+            n = len(e.block)
+            lists = e.table["words"].combine_chunks()
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            sets = _Sets(lists.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            first = [e.table[c].to_numpy() for c in ("doc_id", "text_hash", "line_number")]
+            by_rank = np.lexsort(first[::-1])
+            rank = np.empty(n, np.int64)
+            rank[by_rank] = np.arange(n)
+            n_links, earliest = np.zeros(n, np.int64), np.full(n, n)
+            edges = np.flatnonzero(np.diff(e.block, prepend=-1, append=e.block[-1] + 1))
             large = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a > 128]
-            small = np.ones(len(block), bool)
+            small = np.ones(n, bool)
             for a, b in large:
                 small[a:b] = False
             small = np.flatnonzero(small)
 
             def pairs():
-                for a, b in _pairs(block[small], size[small], side[small], inside[small]):
-                    a, b = small[a], small[b]
-                    ok = (prev[a] != prev[b]) | (prev[a] == 0)
-                    a, b = a[ok], b[ok]
-                    near = 9 * sets.shared(a, b) >= 4 * (sets.size[a] + sets.size[b])
-                    yield a[near], b[near]
-                for lo_, hi_ in large:
-                    for a, b in sets.similar_in(lo_, hi_):
-                        ok = (inside[a] | (side[a] != side[b])) & ((prev[a] != prev[b]) | (prev[a] == 0))
+                if len(small):
+                    some = _Some(sets, small)
+                    for a, b in _pairs(e.block[small], e.size[small], e.side[small], e.inside[small]):
+                        ok = e.possible(small[a], small[b])
+                        a, b = a[ok], b[ok]
+                        near = 9 * some.shared(a, b) >= 4 * (some.size[a] + some.size[b])
+                        yield small[a[near]], small[b[near]]
+                for lo, hi in large:
+                    for a, b in sets.similar_in(lo, hi):
+                        ok = (e.inside[a] | (e.side[a] != e.side[b])) & ((e.prev[a] != e.prev[b]) | (e.prev[a] == 0))
                         yield a[ok], b[ok]
 
             for a, b in pairs():
-                own = keys.shared(a, b, place[a]) == 0 if len(a) else np.zeros(0, bool)  # no key before this one is in both
-                # what b holds beyond its own place is no key before this one, as both have one order
+                own = sets.first_common(a, b, e.place)  # else an earlier block has the pair
                 a, b = a[own], b[own]
-                n_links += np.bincount(a, minlength=len(block)) + np.bincount(b, minlength=len(block))
+                n_links += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
                 np.minimum.at(earliest, a, rank[b])
                 np.minimum.at(earliest, b, rank[a])
             at = np.flatnonzero(n_links)
             if len(at):
-                of = np.argsort(rank)[earliest[at]]
-                yield pa.RecordBatch.from_arrays([table["set_hash"].combine_chunks().take(pa.array(at)), pa.array(n_links[at]), *(pa.array(c[of]) for c in first[:2]), pa.array(first[2][of], pa.int32())], ["set_hash", "n_links", "doc_id", "text_hash", "line_number"])
+                of = by_rank[earliest[at]]
+                yield pa.RecordBatch.from_arrays([e.table["set_hash"].combine_chunks().take(pa.array(at)), pa.array(n_links[at]), *(pa.array(c[of]) for c in first[:2]), pa.array(first[2][of], pa.int32())], ["set_hash", "n_links", "doc_id", "text_hash", "line_number"])
 
-    ordered = rows.select("key", "lo", "hi", "side", "size", "place", "prev", "set_hash", "words", "first.*").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size")
-    got = ordered.mapInArrow(judge, "set_hash long, n_links long, doc_id long, text_hash long, line_number int")
+    ordered = rows.select(*promising_.columns, "words", "first.*")
+    got = _streamed(ordered).mapInArrow(judge, "set_hash long, n_links long, doc_id long, text_hash long, line_number int")
     return got.groupBy("set_hash").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "text_hash", "line_number")).alias("earliest"))
 
 
@@ -370,8 +425,9 @@ def linked(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> tuple[Dat
     entries = entries.select(F.col("p.keys").alias("key"), F.col("p.places").alias("place"), F.col("p.prevs").alias("prev"), "set_hash", "size", "parity")
     some = store.saved(promising(_dealt(entries, chunk)), "line-promising")
     store.release(spark)
-    wanted = store.saved(sets.select("set_hash", "first").join(some.select("set_hash").distinct(), "set_hash", "left_semi").select("set_hash", "first", "first.doc_id", "first.text_hash"), "line-wanted")
-    links = store.saved(verified(some, words_of_sets(known, wanted, level), wanted), "line-links")
+    wanted = store.saved(sets.select("set_hash", "first").join(some.select("set_hash").distinct(), "set_hash", "left_semi"), "line-wanted")
+    words = store.saved(words_of_sets(known, wanted, level), "line-words")
+    links = store.saved(verified(some, words), "line-links")
     store.release(spark)
     return rows.select("doc_id", "text_hash", "line_number", "set_hash"), sets.select("set_hash", "first", "n").join(links, "set_hash", "left")
 
