@@ -37,7 +37,7 @@ from . import store, text
 
 TOP = 5  # counts up to this are discounted
 HOT = 1 << 19
-PART_TOKENS = 1 << 21
+PART_TOKENS = 1 << 20
 SLICE_BYTES = 4 << 20
 END, START = np.uint64(text.hash_bytes(b"\0end")), np.uint64(text.hash_bytes(b"\0start"))
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -63,7 +63,7 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 def _summed(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, where each is first, and their sums of each of ``numbers``."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -74,7 +74,9 @@ def _summed(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
 def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    order = np.argsort(keys)  # ascending keys are found with fewer cache misses
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.minimum(np.searchsorted(table, keys[order]), len(table) - 1)
     return at, table[at] == keys
 
 
@@ -150,8 +152,12 @@ class Vocabulary:
     def sent(self, cold: np.ndarray, *codes: np.ndarray) -> tuple[bytes, tuple[np.ndarray, ...]]:
         """The hashes that ``codes`` need, and the codes with places among these instead."""
         base = len(self.n)
-        used = np.unique(np.concatenate([c[c >= base] for c in codes]))
-        return cold[used - base].tobytes(), tuple(np.where(c >= base, base + np.searchsorted(used, c), c).astype("<u4") for c in codes)
+        far = [np.flatnonzero(c >= base) for c in codes]
+        used = np.unique(np.concatenate([c[f] for c, f in zip(codes, far, strict=True)]))
+        out = tuple(c.astype("<u4") for c in codes)
+        for c, o, f in zip(codes, out, far, strict=True):
+            o[f] = base + np.searchsorted(used, c[f])
+        return cold[used - base].tobytes(), out
 
     def words(self, hashes: bytes, *codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ranks, or marked hashes."""
@@ -167,9 +173,11 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """table (part, kind, a, b, n, blob): trigrams, bigrams of words dealt to many parts, counts of words without a rank; and numbers."""
+    """trigrams (part, blob), bucketed by part; given (part, kind, a, b, n): bigrams of words dealt to many parts, counts of words
+    without a rank; and numbers."""
 
-    table: DataFrame
+    trigrams: DataFrame
+    given: DataFrame
     vocabulary: Broadcast
     train_tokens: int
     n_types: int
@@ -262,7 +270,9 @@ def fit(docs: DataFrame, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Mode
         for piece in text.slices(batches, budget=SLICE_BYTES):
             _, u, v, w, cold = vocab.coded(text.words_of(piece.column(0), lower=True))
             part = vocab.part(u, v, cold)
-            order = np.lexsort((w, part << 48 | v << 24 | u))
+            # equal trigrams stand together, but for a few that share 32 bits: these are summed by the part
+            near = (text.mix(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) | (v & 0xFFFFF) << 32
+            order = np.argsort(part << 52 | near) if vocab.parts <= 1 << 11 else np.lexsort((near, part))
             part, u, v, w = (x[order] for x in (part, u, v, w))
             at = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
             n = np.diff(np.append(at, len(order))).astype("<u4")
@@ -293,10 +303,12 @@ def fit(docs: DataFrame, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Mode
         cold = np.unique(w[w >= _COLD])
         if len(cold):
             rows.append((part, WORDS, 0, 0, 0, pack(cold), None))
+        del u, v, w, total, first, n, order
+        text.give_back()
         return _row_batch(rows)
 
     sent = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "part long, hashes binary, blob binary")
-    table = store.saved(sent.groupBy("part").applyInArrow(merge, _ROWS), "lm-trigrams", ["kind"])
+    table = store.bucketed(sent.groupBy("part").applyInArrow(merge, _ROWS), "lm_trigrams", "part", shared.value.parts)
     store.release(spark)
     some = table.where(F.col("kind") == PAIRS).select("part", "blob").mapInArrow(_as_rows("blob", ("<u8", "<u8", "<i8"), ["part", "a", "b", "n"]), "part long, a long, b long, n long")
     pairs = store.saved(some.groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-pairs")
@@ -328,10 +340,8 @@ def fit(docs: DataFrame, hot: int = HOT, part_tokens: int = PART_TOKENS) -> Mode
     for more in rows:
         given = given.union(more.select("part", F.lit(WORDS).cast("long"), "a", F.lit(0).cast("long"), "n"))
     given = store.saved(given, "lm-given")
-    none = F.lit(None).cast("binary")
-    whole = table.where(F.col("kind") == TRIGRAMS).select("part", F.col("kind").cast("long"), "a", "b", "n", "blob").union(given.withColumn("blob", none))
     store.release(spark)
-    return Model(whole, shared, n_tokens, n_types, [d1, d2, d3], word_total, 1.0 - kept / word_total if n_tokens else 1.0)
+    return Model(table.where(F.col("kind") == TRIGRAMS).select("part", "blob"), given, shared, n_tokens, n_types, [d1, d2, d3], word_total, 1.0 - kept / word_total if n_tokens else 1.0)
 
 
 def _kept(factors: list[float]):
@@ -352,14 +362,14 @@ def _word_p(n: np.ndarray, numbers: tuple) -> np.ndarray:
 class _Part:
     """One part of the table, with its backoff weights."""
 
-    def __init__(self, rows: pa.Table, vocab: Vocabulary, model: tuple) -> None:
+    def __init__(self, trigrams: list[bytes], given: pa.Table, vocab: Vocabulary, model: tuple) -> None:
         self.vocab = vocab
         self.numbers = model
-        kind, a, b, n = (rows[c].to_numpy() for c in ("kind", "a", "b", "n"))
+        kind, a, b, n = (given[c].to_numpy() for c in ("kind", "a", "b", "n"))
         at = np.flatnonzero(kind == WORDS)
         self.cold, first = np.unique(a[at].view(np.uint64), return_index=True)
         self.cold_n = n[at[first]]
-        got = [unpack(x, "<u8", "<u8", "<u8", "<i8") for k, x in zip(kind.tolist(), rows["blob"].to_pylist(), strict=True) if k == TRIGRAMS]
+        got = [unpack(x, "<u8", "<u8", "<u8", "<i8") for x in trigrams]
         u, v, w, c = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.int64))
         # bigrams: summed here, or given where the middle word is dealt to many parts
         whole = (v >= _COLD) | (vocab.dealt[np.where(v < _COLD, v, 0).astype(np.int64)] == 1)
@@ -375,6 +385,7 @@ class _Part:
         order = np.argsort(keys)
         self.vw, p2 = keys[order], p2[order]
         self.vw_p = np.log10(p2)
+        del bv, bw, bn, keys, order, first, n2, whole
         kept = _discounted(c, model[0][2])
         keys = pair_key(u, v)
         lower = p2[_found(pair_key(v, w), self.vw)[0]] if len(v) else np.zeros(0)
@@ -455,7 +466,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def answer(table: pa.Table, sent: pa.Table) -> pa.Table:
         vocab = shared.value
-        part = _Part(table, vocab, numbers)
+        kinds = sent["kind"].to_numpy()
+        part = _Part(table["blob"].to_pylist(), sent.filter(pa.array((kinds == PAIRS) | (kinds == WORDS))), vocab, numbers)
+        sent = sent.filter(pa.array(kinds >= ASKED))
         slices, wholes, blobs = [], [], []
         for slice_, kind, hashes, blob in zip(*(sent[c].to_pylist() for c in ("slice", "kind", "hashes", "blob")), strict=True):
             if kind == ASKED:
@@ -472,6 +485,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             slices.append(slice_)
             wholes.append(kind == WHOLE)
             blobs.append(blob)
+        del part
+        text.give_back()
         return pa.table({"slice": pa.array(slices, pa.int64()), "whole": pa.array(wholes, pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
@@ -487,7 +502,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids, mask=known == 0), "n_tokens": pa.array(n[0]), "n_known": pa.array(n[1]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     sent = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(send, "part long, slice long, kind long, hashes binary, blob binary")
-    answers = model.table.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(answer, "slice long, whole boolean, blob binary")
+    nothing = F.lit(None)
+    asked = sent.select("part", "slice", "kind", "hashes", "blob", *[nothing.cast("long").alias(c) for c in "abn"])
+    asked = asked.union(model.given.select("part", nothing.cast("long"), "kind", nothing.cast("binary"), nothing.cast("binary"), "a", "b", "n"))
+    answers = model.trigrams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "slice long, whole boolean, blob binary")
     return answers.groupBy("slice").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 

@@ -92,6 +92,16 @@ def merged_arrays(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.n
     return np.concatenate([np.frombuffer(rows[k], last) if k in rows else np.zeros(step, last) for k in range(segments)])
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table of buckets by a column: groups of it need no shuffle when it is read."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(min(buckets, 50_000), by).saveAsTable(table)
+    return spark.table(table)
+
+
 def delete(*tables: DataFrame) -> None:
     """Remove tables that ``saved`` wrote and that no later read needs."""
     for df in tables:

@@ -149,10 +149,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             yield batch.slice(at, to - at)
             at = to
         del batch
-        _give_back()
+        give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: workers live on after a task, beside the heap of their executor."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -103,7 +103,7 @@ def test_all_trigrams_are_in_the_table(spark):
     for _, t in docs:
         v = ["start", *tokens(t)[:-1]]
         grams.update(zip(["start", *v[:-1]], v, tokens(t), strict=True))
-    n = [katz.unpack(r["blob"], "<u8", "<u8", "<u8", "<i8")[3] for r in model.table.where("kind = 0").collect()]
+    n = [katz.unpack(r["blob"], "<u8", "<u8", "<u8", "<i8")[3] for r in model.trigrams.collect()]
     assert sorted(np.concatenate(n)) == sorted(grams.values())
     d = katz.discounts([8, 3, 1, 1, 1, 1])
     assert 0 < d[1] < 1
