@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import counts, store
+
+HUB = 1000  # a node of more edges is joined apart; there is at most one for so many edges
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v) with u > v. Each node's neighbours (large: those above it) move to its least neighbour."""
     around = edges.union(edges.select("v", "u").toDF("u", "v")) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    moved = around.join(least, "u")
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    least = store.saved(least, "least")
+    hubs = least.where(F.col("n") > HUB).select("u", "m")
+    seldom = counts.joined_by_size(around, hubs.select("u"), ["u"], "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    moved = seldom.select("u", "v", "m").union(counts.joined_by_size(around, hubs, ["u"], "inner").select("u", "v", "m"))
     moved = moved.where("v > u").select("v", "m") if large else moved.select("v", "m").union(least.select("u", "m"))
-    return moved.toDF("u", "v").where("u != v").distinct()
+    out = store.saved(moved.toDF("u", "v").where("u != v").distinct(), "edges")
+    store.delete(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     told = None
     while True:
         sign = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if sign == told:
+        if sign == told or not sign[0]:
             return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select("v", "v").distinct())
         told = sign
-        at = store.saved(_stars(_stars(at, True), False), "edges")
+        large = _stars(at, True)
+        small = _stars(large, False)
+        store.delete(at, large)
+        at = small

@@ -1,14 +1,17 @@
 """MinHash near-duplicates: BagMinHash signatures of word 5-shingle multisets, banding, exact verification.
 
 Two texts are linked if the Jaccard similarity of their shingle multisets is at least 0.8; classes are the
-connected components of the links. Equal texts are one node from the start. Bands of the signature propose pairs:
-from buckets of at most ``FEW`` nodes each pair is verified by a join; larger buckets are chained to groups, and a
-group's nodes are compared block by block inside a task (by signature, then exactly unless already connected), so
-that rows grow with the members and not with the pairs. Every pair that shares a band and can be similar is verified.
+connected components of the links. Equal texts are one node from the start. The bands of a signature put a node into
+buckets. First each node is verified against the leader (least node) of each of its buckets, one row a node and leader;
+the links found make components. Where the other nodes of a bucket then lie in different components, all pairs across
+these are verified: pair by pair in buckets of up to ``FEW`` nodes, else chunk by chunk (``CHUNK`` nodes), without
+the pairs that got connected meanwhile. So every pair that shares a band is verified or already connected, whatever the
+size of its bucket, and a group of copies costs rows in proportion to its members.
 
 Cases: null counts as empty; empty texts are equal to each other; texts without words, or with fewer than five
-words, are compared as one shingle of all their words (without words: only equal texts are linked); repeated rows
-share a class; null ids are kept and a class of null ids only has the class id null; extra columns are ignored.
+words, are compared as one shingle of all their words (without words: only equal texts are linked); very long texts
+are taken whole; repeated rows share a class; null ids are kept and a class of null ids only has the class id null;
+no rows give no rows; extra columns are ignored, whatever their names (``kept`` keeps them).
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash, components, counts, store, text
 
-FEW = 8
-BLOCK = 256
-#: Pairs of a group that share no band are verified too if they agree so often: all but 3.6 in a million of similarity 0.8 do.
-LEAST_AGREEING = 81
+FEW = 32
+CHUNK = 256
+HOT_ROWS = 1000  # a text of more rows is joined apart; there is at most one for so many rows
+_LOWEST = -(2**63)
 _CODEC = "zstd"
 
 
@@ -77,25 +80,49 @@ def _similar(shared: int, total: int) -> bool:
     return 5 * shared >= 4 * (total - shared)
 
 
-def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose multisets are similar."""
-    left = bags.select(F.col("node").alias("u"), F.col("weight").alias("u_weight"), F.col("bag").alias("u_bag"))
-    right = bags.select(F.col("node").alias("v"), F.col("weight").alias("v_weight"), F.col("bag").alias("v_bag"))
-    near = "5 * least(u_weight, v_weight) >= 4 * greatest(u_weight, v_weight)"
-    both = pairs.join(left, "u").join(right, "v").where(near).select("u", "v", "u_weight", "v_weight", "u_bag", "v_bag")
+def _streams(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows of a sorted stream, a slice of bags at a time, and whether a group of equal ``keys`` begins with the slice. Slices end
+    where a group does."""
+    last = None
+    for piece in text.slices(batches, "bag", 1 << 18):
+        table = pa.Table.from_batches([piece])
+        columns = [table[k].to_numpy() for k in keys]
+        new = np.ones(len(table), bool)
+        for i in range(1, len(table)):
+            new[i] = any(c[i] != c[i - 1] for c in columns)
+        edges = np.append(np.flatnonzero(new), len(table))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = tuple(int(c[lo]) for c in columns)
+            yield table.slice(lo, hi - lo), own != last
+            last = own
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, chunk: int) -> DataFrame:
+    """The pairs (u, v) whose multisets are similar. The bag of v travels with each pair; that of u once for ``chunk`` of its pairs."""
+    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    hot = many.where("parts > 1")
+    part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = counts.joined_by_size(pairs, hot, ["u"], "left").select("u", part.alias("part"), F.col("v").alias("node"))
+    members = dealt.join(bags, "node").select("u", "part", F.lit(1).alias("side"), "node", "weight", "bag")
+    leaders = bags.join(many.withColumnRenamed("u", "node"), "node").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "weight", "bag")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text.slices(batches, "u_bag", 1 << 18):
-            u_at, u_value, u_n = _bags(piece.column(4))
-            v_at, v_value, v_n = _bags(piece.column(5))
-            total = (piece.column(2).to_numpy() + piece.column(3).to_numpy()).tolist()
+        leader = None
+        for rows, new in _streams(batches, ["u", "part"]):
+            at, value, n = _bags(rows["bag"].combine_chunks())
+            weight, node = rows["weight"].to_numpy(), rows["node"].to_numpy()
+            if new:
+                leader = (value[at[0] : at[1]], n[at[0] : at[1]], int(weight[0]))
             keep = []
-            for i, t in enumerate(total):
-                u, v = slice(u_at[i], u_at[i + 1]), slice(v_at[i], v_at[i + 1])
-                keep.append(_similar(_shared((u_value[u], u_n[u]), (v_value[v], v_n[v])), t))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(int(new), len(rows)):
+                w = int(weight[i])
+                near = 5 * min(w, leader[2]) >= 4 * max(w, leader[2])
+                keep.append(near and _similar(_shared(leader[:2], (value[at[i] : at[i + 1]], n[at[i] : at[i + 1]])), w + leader[2]))
+            hit = np.flatnonzero(keep) + int(new)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["u"].to_numpy()[hit]), pa.array(node[hit])], ["u", "v"])
 
-    return both.mapInArrow(verify, "u long, v long")
+    return leaders.union(members).repartition("u", "part").sortWithinPartitions("u", "part", "side").mapInArrow(verify, "u long, v long")
 
 
 class _Forest:
@@ -110,89 +137,96 @@ class _Forest:
 
 
 def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
-    """A forest of the links between the two sides of one block pair (or inside one block)."""
-    side = rows["side"].to_numpy()
-    node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy()
-    signature = np.frombuffer(text.bytes_of(rows["signature"])[0].tobytes(), "<u2").reshape(len(node), -1)
+    """A forest of the links between the components of the two sides of a block (or of one side, if it is alone)."""
+    side, node, weight, component = (rows[c].to_numpy() for c in ("side", "node", "weight", "component"))
     at, value, n = _bags(rows["bag"].combine_chunks())
+    places = {c: i for i, c in enumerate(dict.fromkeys(component.tolist()))}
+    own = np.array([places[c] for c in component.tolist()])
+    forest, out = _Forest(len(places)), []
     left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1)
-    alone = not len(right)
-    right = left if alone else right
-    found = []
+    alone = not (side == 1).any()
+    right = left if alone else np.flatnonzero(side == 1)
     for i in left.tolist():
         others = right[right > i] if alone else right
-        others = others[(5 * weight[others] >= 4 * weight[i]) & (4 * weight[others] <= 5 * weight[i])]
-        same = signature[others] == signature[i]
-        agreeing = same.sum(axis=1)
-        hit = same.reshape(len(others), same.shape[1] // bagminhash.ROWS, bagminhash.ROWS).all(axis=2).any(axis=1) | (agreeing >= LEAST_AGREEING)
-        found += zip((-agreeing[hit]).tolist(), [i] * int(hit.sum()), others[hit].tolist(), strict=True)
-    forest, out = _Forest(len(node)), []
-    for _, i, j in sorted(found):
-        a, b = forest.root(i), forest.root(j)
-        if a != b and _similar(_shared((value[at[i] : at[i + 1]], n[at[i] : at[i + 1]]), (value[at[j] : at[j + 1]], n[at[j] : at[j + 1]])), int(weight[i] + weight[j])):
-            forest.up[a] = b
-            out.append((int(node[i]), int(node[j])))
+        others = others[(own[others] != own[i]) & (5 * weight[others] >= 4 * weight[i]) & (4 * weight[others] <= 5 * weight[i])]
+        for j in others.tolist():
+            a, b = forest.root(int(own[i])), forest.root(int(own[j]))
+            if a != b and _similar(_shared((value[at[i] : at[i + 1]], n[at[i] : at[i + 1]]), (value[at[j] : at[j + 1]], n[at[j] : at[j + 1]])), int(weight[i] + weight[j])):
+                forest.up[a] = b
+                out.append((int(node[i]), int(node[j])))
     return out
 
 
-def _group_links(members: DataFrame) -> DataFrame:
-    """``members`` (component, place, size, node, weight, signature, bag): links inside each component."""
-    last = F.floor((F.col("size") - 1) / BLOCK)
-    own = F.floor(F.col("place") / BLOCK)
-    tasks = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), F.when(k < own, 1).otherwise(0).alias("side")))
-    dealt = members.select("component", F.explode(tasks).alias("t"), "node", "weight", "signature", "bag")
-    dealt = dealt.select("component", "t.i", "t.j", "t.side", "node", "weight", "signature", "bag")
+def _across(members: DataFrame, bags: DataFrame, chunk: int) -> DataFrame:
+    """``members`` (key, node, component, n) of large buckets: links between components of a bucket."""
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
+    dealt = members.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component")
 
-    def link(batches: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        for rows in batches:
-            out = _block_links(rows)
-            yield pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+    def link(rows: pa.Table) -> pa.Table:
+        out = _block_links(rows)
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    def each(rows: pa.Table) -> pa.Table:
-        return next(link(iter([rows])))
+    return dealt.join(bags, "node").groupBy("key", "lo", "hi").applyInArrow(link, "u long, v long")
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(each, "u long, v long")
 
+def bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node, weight, digest, first_id) -> node, weight, bag: the compressed text, read at one document of each node."""
+    holder = F.xxhash64("digest", "first_id")
+    shared = docs.sparkSession.sparkContext.broadcast(store.sketch(wanted.select(holder.alias("h"))))
 
-def classes(docs: DataFrame) -> DataFrame:
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text.slices(batches, "text"):
+            asked = pa.array(store.marked(shared.value, piece.column(3).to_numpy()))
+            piece = piece.filter(asked)
+            raw = piece.column(2).cast(pa.binary()).to_pylist()
+            bags = [len(x).to_bytes(4, "little") + pa.compress(x, _CODEC, asbytes=True) for x in raw]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(bags, pa.binary())], ["digest", "first_id", "bag"])
+
+    whole = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("first_id"))
+    whole = whole.select(_digest().alias("digest"), "first_id", "text").withColumn("h", holder)
+    found = whole.mapInArrow(compress, "digest binary, first_id long, bag binary").dropDuplicates(["digest"])
+    return wanted.join(found.select("digest", "bag"), "digest").select("node", "weight", "bag")
+
+
+def classes(docs: DataFrame, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     """doc_id, class_id (least doc_id of the class) and class_node of every document."""
     rows = store.saved(signed(docs), "signed")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("weight").alias("weight"), F.first("signature").alias("signature"))
+    lowest = F.lit(_LOWEST)
+    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", lowest)).alias("first_id"), F.first("weight").alias("weight"), F.first("signature").alias("signature"))
     nodes = store.saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # fixed once written
     store.release(docs.sparkSession)
     keyed = _bucketed(nodes)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = store.saved(keyed.join(buckets, "key"), "buckets")
-    few = members.where(F.col("n") <= FEW).select("key", "node")
-    pairs = few.toDF("key", "u").join(few.toDF("key", "v"), "key").where("u < v").select("u", "v").distinct()
-    grouped = store.saved(components.components(members.where(F.col("n") > FEW).select(F.col("node").alias("u"), F.col("leader").alias("v"))), "groups")
+    pairs = store.saved(members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    involved = members.select("node").distinct()
+    bags = store.saved(bags_of(docs, involved.join(nodes, "node").select("node", "weight", "digest", "first_id")), "bags")
     store.release(docs.sparkSession)
-    # pairs that one group compares anyway need no verification of their own
-    apart = pairs.join(grouped.toDF("u", "u_group"), "u", "left").join(grouped.toDF("v", "v_group"), "v", "left")
-    pairs = store.saved(apart.where("u_group IS NULL OR v_group IS NULL OR u_group != v_group").select("u", "v"), "pairs")
-    involved = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(grouped.select("node")).distinct()
-    wanted = store.saved(involved.join(nodes.select("node", "digest", "weight"), "node"), "wanted")
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text.slices(batches):
-            raw = piece.column(1).cast(pa.binary()).to_pylist()
-            bags = [len(x).to_bytes(4, "little") + pa.compress(x, _CODEC, asbytes=True) for x in raw]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(bags, pa.binary())], ["digest", "bag"])
-
-    whole = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(_digest().alias("digest"), "text")
-    found = counts.joined_by_size(whole, wanted.select("digest"), ["digest"], "left_semi").mapInArrow(compress, "digest binary, bag binary")
-    bags = store.saved(wanted.join(found.groupBy("digest").agg(F.first("bag").alias("bag")), "digest").select("node", "weight", "bag"), "bags")
+    links = store.saved(_verified(pairs, bags, chunk), "links")
+    found = store.saved(components.components(links), "components")
     store.release(docs.sparkSession)
-    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = _placed(grouped).join(sizes, "component")
-    blocks = placed.join(bags, "node").join(nodes.select("node", "signature"), "node")
-    links = store.saved(_verified(pairs, bags).union(_group_links(blocks)), "links")
-    linked = components.components(links)
-    of_node = nodes.select("node", "digest", "first_id").join(linked, "node", "left").withColumn("class_node", F.coalesce("component", "node"))
-    ids = of_node.groupBy("class_node").agg(F.min("first_id").alias("class_id"))
+
+    # a bucket's leader has met all others; these have to meet where they are still apart
+    rest = members.where("n > 2 AND node != leader").select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    rest = store.saved(rest.join(apart, "key", "left_semi"), "apart")
+    small = rest.where(F.col("n") <= few).select("key", "node", "component")
+    a, b = (small.select("key", F.col("node").alias(u), F.col("component").alias(f"{u}_component")) for u in "uv")
+    more = a.join(b, "key").where("u < v AND u_component != v_component").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    more = store.saved(_verified(more, bags, chunk).union(_across(rest.where(F.col("n") > few), bags, chunk)), "links")
+    linked = components.components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)) if more.limit(1).count() else found
+    of_node = nodes.select("node", "digest", "least_id").join(linked, "node", "left").withColumn("class_node", F.coalesce("component", "node"))
+    ids = of_node.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
     of_digest = of_node.join(ids, "class_node").select("digest", "class_id", "class_node")
-    return rows.select("doc_id", "digest").join(of_digest, "digest").select("doc_id", "class_id", "class_node", "digest")
+    out = store.saved(of_digest, "classes")
+    store.delete(members, pairs, bags, links, rest, more)
+    often = rows.groupBy("digest").count().where(F.col("count") > HOT_ROWS).select("digest")
+    often = counts.joined_by_size(out, often, ["digest"], "left_semi")
+    columns = ["doc_id", "class_id", "class_node", "digest"]
+    seldom = counts.joined_by_size(rows.select("doc_id", "digest"), often.select("digest"), ["digest"], "left_anti").join(out, "digest")
+    return seldom.select(*columns).union(counts.joined_by_size(rows.select("doc_id", "digest"), often, ["digest"], "inner").select(*columns))
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -200,23 +234,14 @@ def kept(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     of_class = classes(docs)
     chosen = of_class.groupBy("class_node").agg(F.min_by(F.struct("doc_id", "digest"), F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("c"))
-    chosen = store.saved(chosen.select(F.col("c.doc_id").alias("kept_id"), F.col("c.digest").alias("kept_digest")), "kept")
+    names = store.fresh(docs, "id", "digest")
+    id_, digest = names.values()
+    lowest = F.lit(_LOWEST)
+    chosen = store.saved(chosen.select(F.coalesce("c.doc_id", lowest).alias(id_), F.col("c.digest").alias(digest)), "kept")
     store.release(spark)
-    lowest = F.lit(-(2**63))
-    rows = docs.withColumn("kept_id", F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn("kept_digest", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-    rows = counts.joined_by_size(rows, chosen.withColumn("kept_id", F.coalesce("kept_id", lowest)), ["kept_id", "kept_digest"], "left_semi")
+    rows = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn(digest, F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    rows = counts.joined_by_size(rows, chosen, [id_, digest], "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeated:  # rows that repeat both id and text are told apart by nothing else
-        rows = rows.dropDuplicates(["kept_id", "kept_digest"])
+        rows = rows.dropDuplicates([id_, digest])
     return rows.select(*docs.columns)
-
-
-def _placed(grouped: DataFrame) -> DataFrame:
-    """Numbers the members of each component from 0, without bringing a component to one task."""
-    parts = 64
-    cell = F.pmod(F.xxhash64("node"), F.lit(parts))
-    rows = grouped.withColumn("cell", cell)
-    ahead = Window.partitionBy("component").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("component", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("component", "cell").orderBy("node")) - 1
-    return rows.withColumn("inside", inside).join(cells.drop("n"), ["component", "cell"]).select("component", "node", (F.col("ahead") + F.col("inside")).alias("place"))

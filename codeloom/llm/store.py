@@ -92,6 +92,33 @@ def merged_arrays(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.n
     return np.concatenate([np.frombuffer(rows[k], last) if k in rows else np.zeros(step, last) for k in range(segments)])
 
 
+SKETCH_BITS = 27
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def sketch(hashes: DataFrame) -> np.ndarray:
+    """A bit for each of the 64-bit hashes, in 2 ** ``SKETCH_BITS`` bits whatever their number. What is not ``marked`` is not among them;
+    the fuller the sketch, the more others are marked, which a join then leaves out."""
+    size = 1 << SKETCH_BITS - 3
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            at = _bits(b.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return bits
+
+    return merged_arrays(hashes, mark, np.bitwise_or, size, "u1", "u1", 64)
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _bits(hashes)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
+
+
 def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     """Write ``df`` to the shared folder as a table of buckets by a column: groups of it need no shuffle when it is read."""
     spark = df.sparkSession

@@ -73,12 +73,10 @@ def test_signatures_estimate_weighted_similarity():
     assert (one[0] == made_[0]).all()
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
-    for few, block, seed in ((8, 256, 1), (2, 5, 2)):
-        monkeypatch.setattr(neardup, "FEW", few)
-        monkeypatch.setattr(neardup, "BLOCK", block)
+def test_classes_equal_brute_force(spark):
+    for few, chunk, seed in ((neardup.FEW, neardup.CHUNK, 1), (2, 5, 2)):
         rows = made(250, seed)
-        got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()
+        got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), few, chunk).select("doc_id", "class_id").collect()
         assert sorted(map(tuple, got), key=str) == partition(rows)
 
 
@@ -109,12 +107,22 @@ def test_shingles_are_those_of_the_words():
     assert [Counter(n[doc == i].tolist()) for i in range(5)] == [Counter(bag(t).values()) for t in texts]
 
 
-def test_pairs_of_a_group_that_share_one_band_are_verified():
+def test_pairs_across_components_are_verified():
     raw = b"one two three four five six seven"
     bag_ = len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
-    a, b = np.arange(128, dtype="<u2"), np.arange(128, 256, dtype="<u2")
-    b[4:8] = a[4:8]
-    rows = {"side": [0, 0], "node": [5, 6], "weight": [3, 3], "signature": [a.tobytes(), b.tobytes()], "bag": [bag_, bag_]}
+    rows = {"side": [0, 0, 0], "node": [5, 6, 7], "weight": [3, 3, 3], "component": [1, 2, 2], "bag": [bag_] * 3}
     assert neardup._block_links(pa.table(rows)) == [(5, 6)]
-    b[4] = 9999
-    assert neardup._block_links(pa.table(rows | {"signature": [a.tobytes(), b.tobytes()]})) == []
+    assert neardup._block_links(pa.table(rows | {"component": [1, 1, 1]})) == []
+
+
+def test_one_large_group(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base[: k % 50], f"x{k}", *base[k % 50 + 1 :]])) for k in range(700)] + [(1000 + k, "the same text in all of these rows") for k in range(1200)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), chunk=100).collect()}
+    assert got == dict(partition(rows[:700])) | {1000 + k: 1000 for k in range(1200)}
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["kept_id", "kept_digest", "_id", "_digest", "node"]
+    df = spark.createDataFrame([(1, "a b c d e f", *names), (2, "a b c d e f", *names)], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    assert neardup.kept(df).collect() == [(1, "a b c d e f", *names)]
