@@ -36,12 +36,14 @@ from . import counts, store, text
 SLOTS, SEGMENTS = 1 << 23, 64
 SKETCH_BITS = 27
 SLICE_BYTES = 1 << 20
+WORD_BYTES = 5
 CHUNK = 1024  # sets of a block that are compared at once
 PAIRS = 1 << 20  # pairs, and words of pairs, held at a time
 ROWS = 1 << 17  # rows of blocks that are judged at a time
 MOST_CHUNKS = 1 << 16  # of a block; beyond, chunks are larger
 HOT_LINES = 10_000  # a set of more lines is joined by broadcast: at most one in so many lines is such a set
 _LOWEST = -(2**63)
+_PLACED = ["set_hash", "doc_id", "text_hash", "line_number"]
 
 
 def _breaks(buf: np.ndarray, doc_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def signed(known: DataFrame, level, chunk: int) -> DataFrame:
-    """doc_id, text_hash, line_number, set_hash, size, parity, and the prefix (keys and their places) of all lines with words.
+    """doc_id, text_hash, line_number, set_hash, size, parity, the keys of the prefix and the place of the first of all lines with words.
     Keys of slots with more than ``chunk`` words are negative: only they can have large blocks."""
     hot = math.floor(8 * math.log2(chunk))
 
@@ -129,11 +131,14 @@ def signed(known: DataFrame, level, chunk: int) -> DataFrame:
             sent[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
             own = np.where(rare >= hot, key - (1 << 31), key)[sent].astype(np.int32)
             offsets = pa.array(np.append(0, np.cumsum(np.bincount(line[sent], minlength=len(of))[have])), pa.int32())
-            keys, places = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (own, place[sent]))
+            keys = pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32()))
+            skipped = np.zeros(len(of), np.int64)  # rarer words that no other line holds come first
+            at = np.flatnonzero(sent)
+            skipped[line[at[::-1]]] = place[at[::-1]]
             ids = [piece.column(k).take(pa.array(of[have])) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[have], pa.int32()), text.as_i64(set_hash[have]), pa.array(size[have], pa.int32()), text.as_i64(bits[have]), keys, places], ["doc_id", "text_hash", "line_number", "set_hash", "size", "parity", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[have], pa.int32()), text.as_i64(set_hash[have]), pa.array(size[have], pa.int32()), text.as_i64(bits[have]), keys, pa.array(skipped[have], pa.int32())], ["doc_id", "text_hash", "line_number", "set_hash", "size", "parity", "keys", "skipped"])
 
-    return known.mapInArrow(sign, "doc_id long, text_hash long, line_number int, set_hash long, size int, parity long, keys array<int>, places array<int>")
+    return known.mapInArrow(sign, "doc_id long, text_hash long, line_number int, set_hash long, size int, parity long, keys array<int>, skipped int")
 
 
 def _dealt(entries: DataFrame, chunk: int) -> DataFrame:
@@ -238,6 +243,20 @@ def promising(dealt: DataFrame) -> DataFrame:
     return _streamed(dealt).mapInArrow(judge, dealt.schema)
 
 
+def _narrow(word: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """``WORD_BYTES`` bytes of a word: its key and 9 bits more. Two words of two lines that are compared have the same with a
+    chance of one in 10 ** 12."""
+    return ((word & np.uint64(0x1FF)) << np.uint64(31) | key.astype(np.uint64)).astype("<u8")
+
+
+def _wide(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all lists end to end, and where each list begins."""
+    raw, at = text.bytes_of(words)
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = raw.reshape(-1, WORD_BYTES)
+    return out.view("<u8").reshape(-1), at // WORD_BYTES
+
+
 def _mark(doc_id: np.ndarray, text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Where the sketch marks a line of a document."""
     mixed = text.mix(number.astype(np.uint64) * text._ODD[3] ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
@@ -245,8 +264,8 @@ def _mark(doc_id: np.ndarray, text_hash: np.ndarray, number: np.ndarray) -> np.n
 
 
 def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
-    """set_hash, first and words (by rarity) of the ``wanted`` sets (set_hash, first: doc_id, text_hash, line_number), read at the line
-    given. A sketch of 2 ** ``SKETCH_BITS`` bits tells which lines need not be read; the fuller it is, the more are, with the
+    """set_hash, doc_id, text_hash, line_number, words by rarity and the first of these (head) of the ``wanted`` sets (set_hash, first: doc_id, text_hash,
+    line_number), read at the line given, and of a few others. A sketch of 2 ** ``SKETCH_BITS`` bits tells which lines need not be read; the fuller it is, the more are, with the
     same results."""
     size = 1 << SKETCH_BITS - 3
 
@@ -270,17 +289,20 @@ def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
             n = ends - breaks[asked]
             chosen = buf[np.repeat(breaks[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             words = text.words_of(pa.Array.from_buffers(pa.large_binary(), len(asked), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int64).tobytes()), pa.py_buffer(chosen.tobytes())]))
-            line, word, _, _ = _distinct(words.doc, words.hashes(), level.value)
+            line, word, key, _ = _distinct(words.doc, words.hashes(), level.value)
             set_hash, _, _ = _classes(line, word, len(asked))
             have, first = np.unique(line, return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), text.as_i64(word))
+            narrow = _narrow(word, key).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+            lists = pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer((np.append(first, len(line)) * WORD_BYTES).astype(np.int32).tobytes()), pa.py_buffer(narrow.tobytes())])
+            n = _prefix_size(np.diff(np.append(first, len(line))))
+            cut = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            heads = pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer((np.append(0, np.cumsum(n)) * WORD_BYTES).astype(np.int32).tobytes()), pa.py_buffer(narrow[cut].tobytes())])
             own = asked[have]
-            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), lists], ["set_hash", "doc_id", "text_hash", "line_number", "words"])
+            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), heads, lists], [*_PLACED, "head", "words"])
 
-    found = known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, words array<long>")
-    given = found.withColumn("first", F.struct("doc_id", "text_hash", "line_number")).select("set_hash", "first", "words").join(wanted, ["set_hash", "first"], "left_semi")
+    found = store.saved(known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, head binary, words binary"), "line-words")
     repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()  # rows repeated with their id
-    return given.dropDuplicates(["set_hash"]) if repeated else given
+    return found.dropDuplicates(_PLACED) if repeated else found
 
 
 def _at(row: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -308,9 +330,9 @@ class _Sets:
         out = np.ones(len(a), bool)
         some = np.flatnonzero((place[a] > 0) & (place[b] > 0))
         for at, to, pair, word in self.of_pairs(a[some], place[a[some]]):
-            held = [(p, _key(w)) for _, _, p, w in self.of_pairs(b[some[at:to]], place[b[some[at:to]]])]
-            mine = _at(pair, _key(word).astype(np.uint64))
-            theirs = np.concatenate([_at(p + at, k.astype(np.uint64)) for p, k in held])
+            key = np.uint64((1 << 31) - 1)
+            mine = _at(pair, word & key)
+            theirs = np.concatenate([_at(p + at, w & key) for _, _, p, w in self.of_pairs(b[some[at:to]], place[b[some[at:to]]])])
             out[some[pair[np.isin(mine, theirs)]]] = False
         return out
 
@@ -359,16 +381,33 @@ class _Some(_Sets):
         return out
 
 
+def first_blocks(promising_: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows that may have a partner whose first common word is that of the block: by the words' prefixes alone."""
+    rows = promising_.join(words.select(*_PLACED, "head"), _PLACED).select(*promising_.columns, "head")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in _blocks(batches, ROWS >> 2):
+            heads, found = _Sets(*_wide(e.table["head"])), np.zeros(len(e.block), bool)
+            for a, b in _pairs(e.block, e.size, e.side, e.inside):
+                ok = e.possible(a, b)
+                a, b = a[ok], b[ok]
+                ok = heads.first_common(a, b, e.place)
+                found[a[ok]] = True
+                found[b[ok]] = True
+            if found.any():
+                yield from e.table.drop(["head"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return _streamed(rows).mapInArrow(judge, promising_.schema)
+
+
 def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
     """set_hash, n_links, earliest (doc_id, text_hash, line_number) of the sets with links."""
-    rows = promising_.join(words, "set_hash")
+    rows = promising_.join(words.select(*_PLACED, "words"), _PLACED)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in _blocks(batches, ROWS >> 4):
             n = len(e.block)
-            lists = e.table["words"].combine_chunks()
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            sets = _Sets(lists.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            sets = _Sets(*_wide(e.table["words"]))
             first = [e.table[c].to_numpy() for c in ("doc_id", "text_hash", "line_number")]
             by_rank = np.lexsort(first[::-1])
             rank = np.empty(n, np.int64)
@@ -405,7 +444,7 @@ def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
                 of = by_rank[earliest[at]]
                 yield pa.RecordBatch.from_arrays([e.table["set_hash"].combine_chunks().take(pa.array(at)), pa.array(n_links[at]), *(pa.array(c[of]) for c in first[:2]), pa.array(first[2][of], pa.int32())], ["set_hash", "n_links", "doc_id", "text_hash", "line_number"])
 
-    ordered = rows.select(*promising_.columns, "words", "first.*")
+    ordered = rows.select(*promising_.columns, "words")
     got = _streamed(ordered).mapInArrow(judge, "set_hash long, n_links long, doc_id long, text_hash long, line_number int")
     return got.groupBy("set_hash").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "text_hash", "line_number")).alias("earliest"))
 
@@ -417,16 +456,18 @@ def linked(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> tuple[Dat
     level = spark.sparkContext.broadcast(rarity(known, slots))
     rows = store.saved(signed(known, level, chunk), "lines")
     place = F.struct("doc_id", "text_hash", "line_number")
-    one = [F.first(c).alias(c) for c in ("size", "parity", "keys", "places")]
+    one = [F.first(c).alias(c) for c in ("size", "parity", "keys", "skipped")]
     sets = store.saved(rows.groupBy("set_hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *one), "line-sets")
     store.release(spark)
     before = F.concat(F.array(F.lit(0)), F.slice("keys", 1, F.size("keys") - 1))
-    entries = sets.where("size(keys) > 0").select("set_hash", "size", "parity", F.explode(F.arrays_zip("keys", "places", before.alias("prevs"))).alias("p"))
-    entries = entries.select(F.col("p.keys").alias("key"), F.col("p.places").alias("place"), F.col("p.prevs").alias("prev"), "set_hash", "size", "parity")
+    entries = sets.where("size(keys) > 0").select("set_hash", "size", "parity", "skipped", F.posexplode(F.arrays_zip("keys", before.alias("prevs"))).alias("nth", "p"))
+    entries = entries.select(F.col("p.keys").alias("key"), (F.col("skipped") + F.col("nth")).alias("place"), F.col("p.prevs").alias("prev"), "set_hash", "size", "parity")
     some = store.saved(promising(_dealt(entries, chunk)), "line-promising")
     store.release(spark)
     wanted = store.saved(sets.select("set_hash", "first").join(some.select("set_hash").distinct(), "set_hash", "left_semi"), "line-wanted")
-    words = store.saved(words_of_sets(known, wanted, level), "line-words")
+    words = words_of_sets(known, wanted, level)
+    some = some.join(wanted.select("set_hash", "first.*"), "set_hash")
+    some = store.saved(first_blocks(some, words), "line-first")
     links = store.saved(verified(some, words), "line-links")
     store.release(spark)
     return rows.select("doc_id", "text_hash", "line_number", "set_hash"), sets.select("set_hash", "first", "n").join(links, "set_hash", "left")
