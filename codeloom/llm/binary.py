@@ -5,11 +5,13 @@ fit one byte. Ranks are stored in 1 to 4 little-endian bytes; the byte lengths s
 ranks a control byte. Decoding is a gather through tables: a control byte gives four lengths at once.
 
 The files: ``<folder>/ranks`` (rank, id, n) and ``<folder>/tokens/shard=N`` with one row a document in ascending
-``doc_id``: doc_id, text_hash, n_tokens, control, data. Shards hold ascending ranges; ``<folder>/shards`` (shard,
+``doc_id``: doc_id, text_hash, n_tokens, control, data. Shards hold ascending ranges, a file each, and grow in number with the
+ids (``SHARD_TOKENS``); ``<folder>/shards`` (shard,
 n_docs, n_tokens, first_start) tells how many ids precede each.
 
-Cases: null and empty texts have the end id alone; documents of equal ``doc_id`` are ordered by content; a null
-``doc_id`` comes first; no rows give no rows; other columns are ignored.
+Cases: null and empty texts have the end id alone; documents of equal (or null) ``doc_id`` are ordered, and dealt to shards,
+by their texts' hashes; a null ``doc_id`` comes first; equal rows are written each; very long texts are encoded whole; no
+rows give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from .text import Words
 END_ID = 2
 MEMO_WORDS = 2_500_000  # words that a worker remembers, at about 30 bytes
 SLICE_BYTES = 1 << 20
+SHARD_TOKENS = 1 << 24  # of a shard, about
 LINES = 4096
 TOKENS = "doc_id long, text_hash long, n_tokens long, control binary, data binary"
 
@@ -179,20 +182,17 @@ def _sections(columns: list[pa.Array], item: str) -> list[np.ndarray]:
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, text_hash, n_tokens, ids (little-endian; 2 bytes an id if the vocabulary allows), in ranges of ``doc_id``."""
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """doc_id, text_hash, n_tokens, ids (little-endian; 2 bytes an id if the vocabulary allows)."""
     kind = encoder(tokenizer).kind
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(shards, "doc_id").withColumn("text_hash", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
+    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
             ids, n = encoder(tokenizer).encode(piece.column(1), [end_id])
             narrow = _binaries(ids.view(np.uint8), np.cumsum(n) * kind.itemsize)
-            yield pa.RecordBatch.from_arrays([piece.column(3), piece.column(0), piece.column(2), pa.array(n), narrow], ["shard", "doc_id", "text_hash", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(n), narrow], ["doc_id", "text_hash", "n_tokens", "ids"])
 
-    return ordered.mapInArrow(encode, "shard int, doc_id long, text_hash long, n_tokens long, ids binary").withColumn("id_bytes", F.lit(kind.itemsize))
+    return whole.mapInArrow(encode, "doc_id long, text_hash long, n_tokens long, ids binary").withColumn("id_bytes", F.lit(kind.itemsize))
 
 
 def frequencies(encoded: DataFrame, size: int) -> np.ndarray:
@@ -223,9 +223,6 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
     rank_of[id_of] = np.arange(len(counts), dtype=np.uint32)
     rows = pa.table({"rank": pa.array(np.arange(len(counts))), "id": pa.array(id_of), "n": pa.array(counts[id_of])})
     spark.createDataFrame(rows.to_pandas()).coalesce(1).write.parquet(f"{folder}/ranks")
-    totals = encoded.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    totals.withColumn("first_start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).write.parquet(f"{folder}/shards")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, "ids", SLICE_BYTES):
@@ -238,18 +235,31 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
             ranks[at] = rank_of[ids]
             control, data, lengths = pack(ranks)
             ends = np.cumsum(padded)
-            kept = [col["shard"], col["doc_id"], col["text_hash"], col["n_tokens"]]
-            yield pa.RecordBatch.from_arrays([*kept, _binaries(control, ends // 4), _binaries(data, np.cumsum(lengths, dtype=np.int64)[ends - 1])], ["shard", "doc_id", "text_hash", "n_tokens", "control", "data"])
+            kept = [col["doc_id"], col["text_hash"], col["n_tokens"]]
+            yield pa.RecordBatch.from_arrays([*kept, _binaries(control, ends // 4), _binaries(data, np.cumsum(lengths, dtype=np.int64)[ends - 1])], ["doc_id", "text_hash", "n_tokens", "control", "data"])
+
+    packed = store.saved(encoded.mapInArrow(compress, TOKENS), "packed")
+    store.delete(encoded)
+    n_tokens = packed.agg(F.sum("n_tokens")).collect()[0][0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // SHARD_TOKENS))
+    order = ["doc_id", "text_hash", "n_tokens"]
+    dealt = packed.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id())
+    dealt.sortWithinPartitions("shard", *order).write.partitionBy("shard").parquet(f"{folder}/tokens")
+    store.delete(packed)
+    totals = _tokens(spark, folder).groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    totals.withColumn("first_start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).write.parquet(f"{folder}/shards")
+
 
-    packed = encoded.mapInArrow(compress, f"shard int, {TOKENS}")
-    packed.sortWithinPartitions("shard", "doc_id", "text_hash", "n_tokens").write.partitionBy("shard").parquet(f"{folder}/tokens")
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{TOKENS}, shard int").parquet(f"{folder}/tokens")
 
 
 def read_ids(spark: SparkSession, folder: str, checksum: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids (unsigned 32-bit little-endian), or their ids_crc32, from the files."""
     ranks = spark.read.parquet(f"{folder}/ranks").orderBy("rank").select("id").toPandas()["id"]  # as long as the vocabulary
     id_of = ranks.to_numpy().astype("<u4")
-    tokens, last = spark.read.schema(f"{TOKENS}, shard int").parquet(f"{folder}/tokens"), "ids_crc32 long" if checksum else "ids binary"
+    tokens, last = _tokens(spark, folder), "ids_crc32 long" if checksum else "ids binary"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, "data", SLICE_BYTES):
