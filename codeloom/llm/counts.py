@@ -4,7 +4,7 @@ A text is keyed by the SHA-256 of its content (null is empty) and the digest of
 counts are joined; each distinct text without one is encoded once and appended to the cache.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; equal texts share one entry; repeated or null ``doc_id``
-are kept; no rows give no rows; other columns are ignored.
+are kept; very long texts are encoded whole; no rows give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -114,25 +114,36 @@ def joined_by_size(big: DataFrame, keys: DataFrame, on: list[str], how: str) ->
     return big.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def cache_folder(spark: SparkSession) -> str | None:
+    """The folder of stored counts that the session names in ``codeloom.tokenCache``: it lives on between runs."""
+    return spark.conf.get("codeloom.tokenCache", None)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> DataFrame:
-    """doc_id, content_digest, n_bytes, n_tokens of every document. ``cache``: folder of stored counts, added to."""
+    """doc_id, content_digest, n_bytes, n_tokens of every document. ``cache``: folder of stored counts, added to (else that of the
+    session, else a new one)."""
     spark = docs.sparkSession
-    cache = cache or store.new_path(spark, "token-cache")
+    cache = cache or cache_folder(spark) or store.new_path(spark, "token-cache")
     version = version_of(tokenizer)
     content = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", content.alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
-    keyed = store.saved(whole.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    lowest = F.coalesce("doc_id", F.lit(-(2**63)))
-    distinct = keyed.groupBy("content_digest").agg(F.min(lowest).alias("holder"))
+    lowest = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    whole = docs.select("doc_id", content.alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256))).withColumn("holder", lowest)
+    keyed = store.saved(whole.select("doc_id", "holder", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    distinct = keyed.groupBy("content_digest").agg(F.min("holder").alias("holder"))
     misses = store.saved(distinct.join(read_cache(spark, cache, version), "content_digest", "left_anti"), "misses")
-    texts = joined_by_size(whole.withColumn("holder", lowest), misses, ["holder", "content_digest"], "left_semi")
+    mark = F.xxhash64("content_digest", "holder")
+    asked = spark.sparkContext.broadcast(store.sketch(misses.select(mark.alias("h"))))
+    texts = whole.select("content_digest", "text", "holder", mark.alias("h"))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows repeated with their id: each text once
+        texts = texts.join(misses, ["content_digest", "holder"], "left_semi").dropDuplicates(["content_digest"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(tokenizer)
         for piece in text.slices(batches, budget=1 << 20):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.count(piece.column(1)))], ["content_digest", "n_tokens"])
+            piece = piece.filter(pa.array(store.marked(asked.value, piece.column(3).to_numpy())))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(model.count(piece.column(1)))], ["content_digest", "holder", "n_tokens"])
 
-    found = texts.select("content_digest", "text").mapInArrow(encode, "content_digest binary, n_tokens long")
-    found = found.dropDuplicates(["content_digest"])  # rows repeated with their doc_id
+    found = texts.select("content_digest", "text", "holder", "h").mapInArrow(encode, "content_digest binary, holder long, n_tokens long")
+    found = found.join(misses, ["content_digest", "holder"], "left_semi")  # what the sketch let pass besides
     found.select("content_digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    return keyed.join(read_cache(spark, cache, version).drop("version"), "content_digest")
+    return keyed.drop("holder").join(read_cache(spark, cache, version).drop("version"), "content_digest")

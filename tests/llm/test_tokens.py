@@ -100,3 +100,30 @@ def test_counts_and_cache(spark, odd_docs, no_docs):
     assert counts.count_tokens(no_docs, PIECE).count() == 0
     by_json = counts.count_tokens(odd_docs, BPE, cache).where("doc_id = 8").collect()[0]["n_tokens"]
     assert by_json == 1 and spark.read.parquet(cache).select("version").distinct().count() == 2
+
+
+def test_shards_are_files_in_ascending_order(spark, monkeypatch):
+    monkeypatch.setattr(binary, "SHARD_TOKENS", 300)
+    rows = [((k * 7919) % 1000 if k % 10 else None, f"text {k} of many words") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    folder = store.new_path(spark, "t")
+    binary.write_ids(df, BPE, folder)
+    written = spark.read.parquet(f"{folder}/tokens").selectExpr("input_file_name() AS f", "shard", "monotonically_increasing_id() AS at", "doc_id", "text_hash")
+    files = {}
+    for r in written.orderBy("f", "at").collect():
+        files.setdefault((r["shard"], r["f"]), []).append((r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]))
+    assert len(files) == len({s for s, _ in files}) > 10
+    every = [x for k in sorted(files) for x in files[k]]
+    assert every == sorted(every) and len(every) == 1000
+
+
+def test_counts_of_the_session_live_on(spark):
+    spark.conf.set("codeloom.tokenCache", store.new_path(spark, "lasting"))
+    try:
+        sf = "/root/testdata/sf0.001"
+        first = sorted(map(tuple, queries.op8_token_counts(spark, sf).collect()))
+        n = spark.read.parquet(counts.cache_folder(spark)).count()
+        assert sorted(map(tuple, queries.op8_token_counts(spark, sf).collect())) == first
+        assert spark.read.parquet(counts.cache_folder(spark)).count() == n
+    finally:
+        spark.conf.unset("codeloom.tokenCache")
