@@ -27,6 +27,7 @@ from . import bagminhash, components, counts, store, text
 
 FEW = 32
 CHUNK = 256
+TURNS = 2
 HOT_ROWS = 1000  # a text of more rows is joined apart; there is at most one for so many rows
 _LOWEST = -(2**63)
 _CODEC = "zstd"
@@ -157,18 +158,33 @@ def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
     return out
 
 
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` (key, node, n) of buckets whose nodes lie in several components: with component, and whether it is the one of most."""
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("most")).where("kinds > 1")
+    return placed.join(most.select("key", "most"), "key").select("key", "node", "component", "n", (F.col("component") == F.col("most")).alias("main"))
+
+
 def _across(members: DataFrame, bags: DataFrame, chunk: int) -> DataFrame:
-    """``members`` (key, node, component, n) of large buckets: links between components of a bucket."""
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
-    dealt = members.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component")
+    """``_apart`` members of large buckets: links between components of a bucket. The nodes of its main component are dealt to
+    chunks once; the others go to each chunk, and to chunks of their own that are compared two by two."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count_if("main") / chunk).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / chunk).cast("int").alias("others"))
+    dealt = members.join(sizes, "key")
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
+    rest = dealt.where("NOT main").withColumn("own", place(F.col("others")))
+    columns = ["key", "lo", "hi", "side", "node", "component"]
+    main = dealt.where("main").select("key", place(F.col("mains")).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"), "node", "component")
+    facing = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("lo"), F.lit(-1).alias("hi"), F.lit(1).alias("side"), "node", "component")
+    among = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    among = among.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component")
+    every = main.select(*columns).union(facing.select(*columns)).union(among.select(*columns))
 
     def link(rows: pa.Table) -> pa.Table:
         out = _block_links(rows)
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    return dealt.join(bags, "node").groupBy("key", "lo", "hi").applyInArrow(link, "u long, v long")
+    return every.join(bags, "node").groupBy("key", "lo", "hi").applyInArrow(link, "u long, v long")
 
 
 def bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,14 +225,23 @@ def classes(docs: DataFrame, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     store.release(docs.sparkSession)
 
     # a bucket's leader has met all others; these have to meet where they are still apart
-    rest = members.where("n > 2 AND node != leader").select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    rest = store.saved(rest.join(apart, "key", "left_semi"), "apart")
+    rest = members.where("n > 2 AND node != leader").select("key", "node", "n")
+    edges = lambda known: known.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    for turn in range(TURNS):  # in large buckets, those beside the main component meet one of its nodes, another one in each bucket
+        large = store.saved(_apart(rest.where(F.col("n") > few), found), "apart")
+        if not large.limit(1).count():
+            break
+        met = large.where("main").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("u"))
+        again = large.where("NOT main").join(met, "key").select("u", F.col("node").alias("v")).distinct()
+        more = store.saved(_verified(again, bags, chunk), "links")
+        found = store.saved(components.components(edges(found).union(more)), "components")
+        store.delete(large)
+    rest = store.saved(_apart(rest, found), "apart")
     small = rest.where(F.col("n") <= few).select("key", "node", "component")
     a, b = (small.select("key", F.col("node").alias(u), F.col("component").alias(f"{u}_component")) for u in "uv")
     more = a.join(b, "key").where("u < v AND u_component != v_component").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
     more = store.saved(_verified(more, bags, chunk).union(_across(rest.where(F.col("n") > few), bags, chunk)), "links")
-    linked = components.components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)) if more.limit(1).count() else found
+    linked = components.components(edges(found).union(more)) if more.limit(1).count() else found
     of_node = nodes.select("node", "digest", "least_id").join(linked, "node", "left").withColumn("class_node", F.coalesce("component", "node"))
     ids = of_node.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
     of_digest = of_node.join(ids, "class_node").select("digest", "class_id", "class_node")
