@@ -28,31 +28,45 @@ def corpus(seed, n_items=60, n_docs=60):
     return items, docs, planted
 
 
-def test_blocks_lose_nothing(monkeypatch):
-    """What the windows' block sums and the search find is what full scoring of each window finds."""
-    for postings in (1, 3, 8):
+def index_of(items):
+    """The index of (id, text) items by their own statistics."""
+    table = pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items], "answer": pa.array([None] * len(items), pa.string())})
+    of, _ = d._words_of([table["text"].combine_chunks(), table["answer"].combine_chunks()])
+    terms, n = np.unique(np.concatenate([np.unique(x) for x in of]), return_counts=True)
+    return d.built(table, len(items), sum(map(len, of)) / len(items), (terms, n))
+
+
+def test_search_loses_nothing(monkeypatch):
+    """What block-max WAND finds is what full scoring of each window finds."""
+    for postings, batch in ((1, 100), (3, 1 << 16), (32, 3000)):
         monkeypatch.setattr(d, "POSTINGS", postings)
+        monkeypatch.setattr(d, "BATCH", batch)
         items, docs, _ = corpus(4, 200)
-        index = d.built([(i, t, None) for i, t in items])
+        index = index_of(items)
+        full = np.zeros((len(index.terms), len(items)))
+        full[index.post_key >> 32, index.post_key & 0xFFFFFFFF] = index.impact
         words = text.words_of(pa.array([t for _, t in docs]), letters=True, digits=True)
-        hashes = words.hashes()
-        known = np.array([{h: i for i, h in enumerate(index.terms.tolist())}.get(h, -1) for h in hashes.tolist()])
-        start, end, can = d._windows(words, known, index.block_max)
-        terms = [np.unique(known[a:b][known[a:b] >= 0]) for a, b in zip(start, end, strict=True)]
-        got = dict(zip(zip(start.tolist(), end.tolist(), strict=True), index.search(terms, [np.flatnonzero(c) for c in can]), strict=True))
-        flat = index.impacts.reshape(len(index.terms), -1)
-        found = 0
-        for row in range(len(docs)):
-            lo, hi = words.doc_word[row], words.doc_word[row + 1]
-            for a in range(lo, max(hi - d.STEP, lo + 1), d.STEP):
-                b = min(a + d.WINDOW, hi)
-                own = np.unique(known[a:b][known[a:b] >= 0])
-                full = flat[own].sum(axis=0)
-                want = np.flatnonzero(full >= 1 - 1e-6)
-                found += len(want)
-                assert set(want.tolist()) <= {i for i, _ in got.get((a, b), [])}
-                assert all(s == pytest.approx(full[i], rel=1e-4) for i, s in got.get((a, b), []))
-        assert found
+        known = np.array([{h: i for i, h in enumerate(index.terms.tolist())}.get(h, -1) for h in words.hashes().tolist()])
+        start, end, window, term = d._windows(words, known)
+        got = {}
+        for w, i, s in index.search(window, term):
+            got.update(zip(zip(w.tolist(), i.tolist(), strict=True), s.tolist(), strict=True))
+        want = {}
+        for w, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            own = np.unique(known[a:b][known[a:b] >= 0])
+            assert own.tolist() == term[window == w].tolist()
+            scores = full[own].sum(axis=0)
+            want.update({(w, int(i)): scores[i] for i in np.flatnonzero(scores >= d.NEARLY)})
+        assert want and set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-4) for k in want)
+
+
+def test_scores_do_not_depend_on_how_items_are_dealt(spark):
+    items, docs, _ = corpus(11, 80, 40)
+    items_df = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = (sorted(map(tuple, d.leaks(docs_df, items_df, size).collect())) for size in (d.INDEX_BYTES, 60_000))
+    assert len(list(d.indexes(items_df, 60_000))) > 3
+    assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3:] for r in one], [r[3:] for r in many], rtol=1e-5)
 
 
 def brute(items, docs):
@@ -71,18 +85,16 @@ def brute(items, docs):
     return out
 
 
-def test_planted_items_are_found_and_nothing_else(spark, monkeypatch):
+def test_planted_items_are_found_and_nothing_else(spark):
     items, docs, planted = corpus(7)
     items += [(900, ""), (901, None), (902, "w1 w2")]
     docs += [(100, None), (101, ""), (102, "x y"), (103, "w1, w2!")]
-    for size in (512, 10):
-        monkeypatch.setattr(d, "BLOCK_ITEMS", size)
-        monkeypatch.setattr(d.item_blocks, "__defaults__", (size,))
+    for size in (d.INDEX_BYTES, 100_000):
         items_df = spark.createDataFrame(items, "item_id long, text string")
         docs_df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = {(r["doc_id"], r["item_id"]) for r in d.leaks(docs_df, items_df).collect()}
+        got = {(r["doc_id"], r["item_id"]) for r in d.leaks(docs_df, items_df, size).collect()}
         assert planted <= got == brute(items, docs)
-        assert {r["doc_id"] for r in d.clean(docs_df, items_df).collect()} == {k for k, _ in docs} - {k for k, _ in got}
+        assert {r["doc_id"] for r in d.clean(docs_df, items_df, size).collect()} == {k for k, _ in docs} - {k for k, _ in got}
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
