@@ -37,6 +37,7 @@ SLOTS, SEGMENTS = 1 << 23, 64
 SKETCH_BITS = 27
 SLICE_BYTES = 1 << 20
 WORD_BYTES = 5
+SEEN = 1 << 21  # sets that a task remembers
 CHUNK = 1024  # sets of a block that are compared at once
 PAIRS = 1 << 20  # pairs, and words of pairs, held at a time
 ROWS = 1 << 17  # rows of blocks that are judged at a time
@@ -114,20 +115,31 @@ def _identified(docs: DataFrame) -> DataFrame:
     return known.withColumn("text_hash", F.xxhash64("text"))
 
 
+def _repeated(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
 def signed(known: DataFrame, level, chunk: int) -> DataFrame:
     """doc_id, text_hash, line_number, set_hash, size, parity, the keys of the prefix and the place of the first of all lines with words.
+    A task gives the keys of a set once, and no keys with other lines of it.
     Keys of slots with more than ``chunk`` words are negative: only they can have large blocks."""
     hot = math.floor(8 * math.log2(chunk))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for piece in text.slices(batches, budget=SLICE_BYTES):
             words = text.words_of(piece.column(1))
             breaks, of, number = _breaks(words.buf, words.doc_byte)
             line, word, key, rare = _distinct(np.searchsorted(breaks, words.start, side="right") - 1, words.hashes(), level.value)
             set_hash, size, bits = _classes(line, word, len(of))
             have = np.flatnonzero(size)
+            some, first = np.unique(set_hash[have], return_index=True)
+            new = ~np.isin(some, seen)
+            fresh = np.zeros(len(of), bool)
+            fresh[have[first[new]]] = True
+            seen = some if len(seen) > SEEN else np.concatenate([seen, some[new]])
             place = np.arange(len(line)) - np.searchsorted(line, line)
-            sent = (place < _prefix_size(size)[line]) & (rare > 1) & (size[line] >= 4)  # different sets of fewer words never match
+            sent = (place < _prefix_size(size)[line]) & (rare > 1) & fresh[line] & (size[line] >= 4)  # different sets of fewer words never match
             sent[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
             own = np.where(rare >= hot, key - (1 << 31), key)[sent].astype(np.int32)
             offsets = pa.array(np.append(0, np.cumsum(np.bincount(line[sent], minlength=len(of))[have])), pa.int32())
@@ -172,7 +184,11 @@ class Entries:
     def of(table: pa.Table) -> Entries:
         block, info = table["block"].to_numpy(), table["info"].to_numpy()
         number = np.cumsum(np.diff(block, prepend=block[:1]) != 0)
-        order = np.argsort(number << 32 | info >> 32, kind="stable")
+        order = np.lexsort((table["set_hash"].to_numpy(), number << 32 | info >> 32))
+        same = np.zeros(len(order), bool)  # a set comes once from each task that has it
+        set_hash = table["set_hash"].to_numpy()[order]
+        same[1:] = (set_hash[1:] == set_hash[:-1]) & (number[order][1:] == number[order][:-1])
+        order = order[~same]
         block, info = block[order], info[order]
         prev, parity = table["prev"].to_numpy()[order], table["parity"].to_numpy()[order].view(np.uint64)
         return Entries(table.take(pa.array(order)), number[order], block & 0xFFFF == block >> 16 & 0xFFFF, info >> 32, info >> 1 & 0x7FFFFFFF, info & 1, prev, parity)
@@ -297,12 +313,15 @@ def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
             n = _prefix_size(np.diff(np.append(first, len(line))))
             cut = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             heads = pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer((np.append(0, np.cumsum(n)) * WORD_BYTES).astype(np.int32).tobytes()), pa.py_buffer(narrow[cut].tobytes())])
+            more = []
+            for k in range(2):
+                bits = np.uint64(1) << (text.mix(word ^ text._ODD[3 + k]) & np.uint64(63))
+                more.append(text.as_i64(np.bitwise_xor.reduceat(bits, first) if len(first) else bits))
             own = asked[have]
-            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), heads, lists], [*_PLACED, "head", "words"])
+            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), *more, heads, lists], [*_PLACED, "parity_2", "parity_3", "head", "words"])
 
-    found = store.saved(known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, head binary, words binary"), "line-words")
-    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()  # rows repeated with their id
-    return found.dropDuplicates(_PLACED) if repeated else found
+    found = store.saved(known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, parity_2 long, parity_3 long, head binary, words binary"), "line-words")
+    return found.dropDuplicates(_PLACED) if _repeated(known) else found
 
 
 def _at(row: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -382,27 +401,33 @@ class _Some(_Sets):
 
 
 def first_blocks(promising_: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows that may have a partner whose first common word is that of the block: by the words' prefixes alone."""
-    rows = promising_.join(words.select(*_PLACED, "head"), _PLACED).select(*promising_.columns, "head")
+    """The rows that may have a partner whose first common word is that of the block: by the words' prefixes and more parity bits."""
+    rows = promising_.join(words.select(*_PLACED, "parity_2", "parity_3", "head"), _PLACED).select(*promising_.columns, "parity_2", "parity_3", "head")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in _blocks(batches, ROWS >> 2):
+            more = [e.table[c].to_numpy().view(np.uint64) for c in ("parity_2", "parity_3")]
             heads, found = _Sets(*_wide(e.table["head"])), np.zeros(len(e.block), bool)
             for a, b in _pairs(e.block, e.size, e.side, e.inside):
                 ok = e.possible(a, b)
                 a, b = a[ok], b[ok]
+                apart = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in (e.parity, *more))
+                ok = 9 * apart <= 3 * (e.size[a] + e.size[b])  # a word that only one holds flips one bit of each
+                for p in more:
+                    ok &= 9 * np.bitwise_count(p[a] ^ p[b]).astype(np.int64) <= e.size[a] + e.size[b]
+                a, b = a[ok], b[ok]
                 ok = heads.first_common(a, b, e.place)
                 found[a[ok]] = True
                 found[b[ok]] = True
             if found.any():
-                yield from e.table.drop(["head"]).filter(pa.array(found)).combine_chunks().to_batches()
+                yield from e.table.drop(["parity_2", "parity_3", "head"]).filter(pa.array(found)).combine_chunks().to_batches()
 
     return _streamed(rows).mapInArrow(judge, promising_.schema)
 
 
 def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
     """set_hash, n_links, earliest (doc_id, text_hash, line_number) of the sets with links."""
-    rows = promising_.join(words.select(*_PLACED, "words"), _PLACED)
+    rows = promising_.join(store.sifted(words.select(*_PLACED, "words"), promising_, ["set_hash"]), _PLACED)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in _blocks(batches, ROWS >> 4):
@@ -450,39 +475,44 @@ def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, text_hash, line_number, set_hash), (sets: set_hash, n (lines), first, n_links, earliest). n_links is null
-    without links to other sets."""
+    """(lines: doc_id, text_hash, line_number, set_hash), (set_hash, n (lines), n_links, earlier: the first of the set's lines and those
+    of similar sets) of the sets of more than one line or with links."""
     spark, known = docs.sparkSession, _identified(docs)
     level = spark.sparkContext.broadcast(rarity(known, slots))
     rows = store.saved(signed(known, level, chunk), "lines")
     place = F.struct("doc_id", "text_hash", "line_number")
-    one = [F.first(c).alias(c) for c in ("size", "parity", "keys", "skipped")]
-    sets = store.saved(rows.groupBy("set_hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *one), "line-sets")
+    sets = store.saved(rows.groupBy("set_hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-sets")
     store.release(spark)
     before = F.concat(F.array(F.lit(0)), F.slice("keys", 1, F.size("keys") - 1))
-    entries = sets.where("size(keys) > 0").select("set_hash", "size", "parity", "skipped", F.posexplode(F.arrays_zip("keys", before.alias("prevs"))).alias("nth", "p"))
+    entries = rows.where("size(keys) > 0").select("set_hash", "size", "parity", "skipped", F.posexplode(F.arrays_zip("keys", before.alias("prevs"))).alias("nth", "p"))
     entries = entries.select(F.col("p.keys").alias("key"), (F.col("skipped") + F.col("nth")).alias("place"), F.col("p.prevs").alias("prev"), "set_hash", "size", "parity")
     some = store.saved(promising(_dealt(entries, chunk)), "line-promising")
     store.release(spark)
-    wanted = store.saved(sets.select("set_hash", "first").join(some.select("set_hash").distinct(), "set_hash", "left_semi"), "line-wanted")
+    wanted = store.sifted(sets.select("set_hash", "first"), some, ["set_hash"]).join(some.select("set_hash").distinct(), "set_hash", "left_semi")
+    wanted = store.saved(wanted, "line-wanted")
     words = words_of_sets(known, wanted, level)
     some = some.join(wanted.select("set_hash", "first.*"), "set_hash")
     some = store.saved(first_blocks(some, words), "line-first")
     links = store.saved(verified(some, words), "line-links")
     store.release(spark)
-    return rows.select("doc_id", "text_hash", "line_number", "set_hash"), sets.select("set_hash", "first", "n").join(links, "set_hash", "left")
+    told = sets.where("n > 1").select("set_hash", "n", F.lit(0).cast("long").alias("n_links"), F.col("first").alias("earlier"))
+    told = told.union(links.select("set_hash", F.lit(1).cast("long"), "n_links", "earliest"))
+    told = told.groupBy("set_hash").agg(F.max("n").alias("n"), F.max("n_links").alias("n_links"), F.min("earlier").alias("earlier"))
+    return rows.select("doc_id", "text_hash", "line_number", "set_hash"), told
 
 
 def removals(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_hash, removed (line numbers from 0, ascending), n_links (between the text's lines' sets and others), for texts with either."""
-    lines, sets = linked(docs, slots, chunk)
-    told = sets.where("n > 1 OR n_links IS NOT NULL").select("set_hash", "n", F.least("first", F.coalesce("earliest", "first")).alias("earlier"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    lines, told = linked(docs, slots, chunk)
     told = store.saved(told, "line-told")
-    often = counts.joined_by_size(lines, told.where(F.col("n") > HOT_LINES), ["set_hash"], "inner")
-    rest = told.where(F.col("n") <= HOT_LINES)
-    seldom = counts.joined_by_size(lines, told.where(F.col("n") > HOT_LINES), ["set_hash"], "left_anti").join(rest, "set_hash")
+    lines = store.sifted(lines, told, ["set_hash"])
+    many = told.where(F.col("n") > HOT_LINES)
+    often = counts.joined_by_size(lines, many, ["set_hash"], "inner")
+    seldom = counts.joined_by_size(lines, many.select("set_hash"), ["set_hash"], "left_anti").join(told.where(F.col("n") <= HOT_LINES), "set_hash")
     columns = ["doc_id", "text_hash", "line_number", "n_links", (F.col("earlier") < F.struct("doc_id", "text_hash", "line_number")).alias("removed")]
-    placed = often.select(*columns).union(seldom.select(*columns)).distinct()  # a row repeated with its id has its lines twice
+    placed = often.select(*columns).union(seldom.select(*columns))
+    if _repeated(docs):  # a row repeated with its id has its lines twice
+        placed = placed.distinct()
     gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_number")))).alias("removed")
     return placed.groupBy("doc_id", "text_hash").agg(gone, F.sum("n_links").alias("n_links")).where("size(removed) > 0 OR n_links > 0")
 
@@ -494,7 +524,7 @@ def _told(docs: DataFrame, rows: DataFrame, names: dict[str, str], slots: int, c
     rows = rows.join(gone, [names["id"], names["hash"]], "left")
     none = F.array().cast("array<int>")
     removed = F.coalesce(names["removed"], none)
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    if _repeated(docs):
         rows = rows.withColumn(names["nth"], F.row_number().over(Window.partitionBy(names["id"], names["hash"]).orderBy(F.lit(1))))
         removed = F.when(F.col(names["nth"]) == 1, removed).otherwise(F.coalesce(names["held"], none))
     return rows.withColumns({names["removed"]: removed, names["n_links"]: F.coalesce(names["n_links"], F.lit(0))})

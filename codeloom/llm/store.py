@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 _LOCAL: list[str] = []
@@ -119,6 +120,20 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
 
 
+def sifted(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` without most of the rows that a join with ``keys`` would leave out: they are not sent through the join's shuffle."""
+    name = fresh(df, "mark")["mark"]
+    bits = df.sparkSession.sparkContext.broadcast(sketch(keys.select(F.xxhash64(*on).alias("h"))))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(name)
+            yield batch.filter(pa.array(marked(bits.value, batch.column(at).to_numpy())))
+
+    marked_rows = df.withColumn(name, F.xxhash64(*on))
+    return marked_rows.mapInArrow(sift, marked_rows.schema).drop(name)
+
+
 def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     """Write ``df`` to the shared folder as a table of buckets by a column: groups of it need no shuffle when it is read."""
     spark = df.sparkSession
