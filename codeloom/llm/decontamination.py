@@ -6,7 +6,8 @@ text (less for items longer than a window, in proportion); impacts are divided b
 threshold is 1 for all items. The number of items, their mean length and the document frequencies are those of all items.
 
 The index holds a posting list a term, in order of items, with the maximum of each list and of each block of ``POSTINGS``
-postings. It is searched by block-max WAND, for many passages in step: lists are ordered by their current item, the pivot is
+postings. A passage is passed over whole if in no range of ``RANGE`` items the maxima of its terms add up to the threshold. The
+others are searched by block-max WAND, for many passages in step: lists are ordered by their current item, the pivot is
 the first at which the list maxima add up to the threshold; where the maxima of the blocks around the pivot item do not, all
 lists up to it skip to the end of these blocks; else those before it skip to it, or the item is scored. A candidate is
 verified on the text around the passage: the share of the item's word 5-grams found there must be at least 0.8,
@@ -38,6 +39,7 @@ WINDOW, STEP = 64, 32
 SHARE = 0.5
 K1, B = 1.2, 0.75
 POSTINGS = 32  # of a block
+RANGE, COMMON = 4, 64
 INDEX_BYTES = 64 << 20
 POSTING_BYTES = 64  # that a word of an item takes in the index, at most
 BATCH = 1 << 16  # terms of passages searched in step
@@ -61,6 +63,27 @@ class Index:
     post_key: np.ndarray  # by posting: term << 32 | item
     block_key: np.ndarray  # by block: term << 32 | last item
     block_max: np.ndarray
+    range_start: np.ndarray  # by term: its first range of ``RANGE`` items (one more at the end)
+    range_of: np.ndarray  # by term and range: the range, and the greatest impact there
+    range_max: np.ndarray
+
+    def reachable(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """By window, whether the maxima of its terms within any range of items add up to the threshold. Terms of more than
+        ``COMMON`` ranges count with the maximum of their list."""
+        ranges = np.diff(self.range_start)[term]
+        often = ranges > COMMON
+        base = np.bincount(window[often], self.list_max[term[often]], n)
+        window, term, ranges = window[~often], term[~often], ranges[~often]
+        at = np.repeat(self.range_start[term] - (np.cumsum(ranges) - ranges), ranges) + np.arange(ranges.sum())
+        key = np.repeat(window, ranges) << 32 | self.range_of[at]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        out = base >= NEARLY
+        if len(first):
+            own = key[first] >> 32
+            out[own[np.add.reduceat(self.range_max[at[order]].astype(float), first) + base[own] >= NEARLY]] = True
+        return out
 
     def search(self, window: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, term), distinct and ascending -> (window, item, score) of all items that score at least 1."""
@@ -154,9 +177,11 @@ def built(items: pa.Table, n_items: int, mean_length: float, frequency: tuple[np
     ends = np.flatnonzero(np.diff(block, append=block[-1] + 1)) if len(block) else np.zeros(0, np.int64)
     first = np.append(0, ends[:-1] + 1) if len(ends) else ends
     key = term.astype(np.int64) << 32 | item
+    ranged = np.flatnonzero(np.diff(term.astype(np.int64) << 32 | item // RANGE, prepend=-1))
     return Index(
         items["item_id"].to_pylist(), of, cut, terms, start, impact,
         np.maximum.reduceat(impact, start[:-1]) if len(terms) else impact, key, key[ends], np.maximum.reduceat(impact, first) if len(first) else impact,
+        np.searchsorted(term[ranged], np.arange(len(terms) + 1)), item[ranged] // RANGE, np.maximum.reduceat(impact, ranged) if len(ranged) else impact,
     )
 
 
@@ -203,7 +228,7 @@ def leaks_in(column: pa.Array, index: Index) -> list[tuple[int, int, int, float,
     hashes = words.hashes()
     to = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     start, end, window, term = _windows(words, np.where(index.terms[to] == hashes, to, -1))
-    can = np.bincount(window, index.list_max[term], len(start))[window] >= NEARLY
+    can = index.reachable(window, term, len(start))[window]
     best: dict[tuple[int, int], tuple] = {}
     for windows, items, scores in index.search(window[can], term[can]):
         for w, item, score in zip(windows.tolist(), items.tolist(), scores.tolist(), strict=True):

@@ -57,6 +57,10 @@ def test_search_loses_nothing(monkeypatch):
             assert own.tolist() == term[window == w].tolist()
             scores = full[own].sum(axis=0)
             want.update({(w, int(i)): scores[i] for i in np.flatnonzero(scores >= d.NEARLY)})
+        for common in (d.COMMON, 2):
+            monkeypatch.setattr(d, "COMMON", common)
+            can = index.reachable(window, term, len(start))
+            assert {w for w, _ in want} <= set(np.flatnonzero(can).tolist()) and not can.all()
         assert want and set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-4) for k in want)
 
 
