@@ -39,6 +39,16 @@ def layout_module(module: Column) -> Column:
     return F.regexp_replace(module, r"^(src|lib|python|site-packages)\.(?=.)", "")
 
 
+def normal_path(path: Column) -> Column:
+    """The path with ``.`` and ``..`` worked off; ``..`` stops at the root."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
 def language_of(path: Column) -> Column:
     return _map(v.LANGUAGES, suffix_of(path), None)
 
@@ -141,8 +151,9 @@ def is_secret_key(key: Column) -> Column:
     return F.coalesce(key, F.lit("")).rlike(v.SECRET_KEY)
 
 
-def digest(*columns: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def digest(**columns: Column) -> Column:
+    """SHA-256 of the JSON of the columns, with sorted names."""
+    return F.sha2(F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)])), 256)
 
 
 def snippet(text: Column, start: Column, end: Column) -> Column:

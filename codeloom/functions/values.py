@@ -31,6 +31,11 @@ JS_CALL_KEYWORDS = [
     "function", "const", "let", "var", "new", "async", "await", "export", "default", "switch", "case", "break", "continue", "if", "else", "for", "while", "do", "return", "throw", "try", "catch",
     "finally", "class", "extends", "super", "this", "typeof", "instanceof", "void", "delete", "in", "of", "with", "yield", "import", "from", "as", "static", "get", "set",
 ]
+PY_REFERENCE_KEYWORDS = ["if", "for", "while", "with", "def", "class", "return", "import", "from", "elif", "else", "try", "except", "raise", "and", "or", "not", "in", "is", "lambda", "yield", "assert", "del", "print", "True", "False", "None", "self", "cls", "pass", "break", "continue", "global", "nonlocal"]
+JS_REFERENCE_KEYWORDS = [
+    "function", "const", "let", "var", "new", "async", "await", "export", "default", "switch", "case", "break", "continue", "if", "else", "for", "while", "do", "return", "throw", "try", "catch",
+    "finally", "class", "extends", "super", "this", "typeof", "instanceof", "void", "delete", "in", "of", "with", "yield", "import", "from", "as", "static",
+]
 PY_BUILTINS = [
     "len", "range", "str", "int", "float", "bool", "dict", "list", "set", "tuple", "type", "isinstance", "getattr", "setattr", "hasattr", "iter", "next", "min", "max", "sum", "input", "open",
     "enumerate", "zip", "map", "filter", "sorted", "reversed", "any", "all", "abs", "round", "format", "repr", "print", "staticmethod", "classmethod", "property", "object", "Exception", "ValueError",
@@ -44,6 +49,11 @@ JS_BUILTINS = [
 # Search ranks of symbol kinds (2 for others).
 KIND_RANK = {"FUNCTION": 10, "ASYNC_FUNCTION": 10, "METHOD": 10, "CLASS": 9, "INTERFACE": 9, "ENUM": 8, "TYPE_ALIAS": 8, "VARIABLE": 7, "CONSTANT": 7, "IMPORT": 0, "EXPORT": 0, "PARAMETER": 1, "LOCAL": 1}
 
+# What an ECMAScript import without an extension may mean, in order; what a default export may be.
+SCRIPT_SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+DEFAULT_EXPORT_KINDS = ["FUNCTION", "ASYNC_FUNCTION", "ARROW_FUNCTION", "CLASS", "INTERFACE", "ENUM"]
+SOLE_EXPORT_KINDS = ["FUNCTION", "ASYNC_FUNCTION", "ARROW_FUNCTION", "CLASS"]
+
 # Secrets.
 SECRET_KEY = r"(?i)(api[_-]?key|password|passwd|pwd|token|secret|private[_-]?key)"
 SECRET_ASSIGNMENT = r"""(?i)(api[_-]?key|password|passwd|secret[_-]?key|secret|token|private[_-]?key)\s*[:=]+\s*["']?[^"'\s,;}]+["']?"""

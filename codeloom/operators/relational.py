@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import saved
+
 Keys = list[str]
 
 
@@ -23,9 +25,11 @@ def last_wins(df: DataFrame, keys: Keys, order: str) -> DataFrame:
     return won.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def lookup_by_priority(df: DataFrame, candidates: Column, table: DataFrame, key: str, value: str, id_: Keys) -> DataFrame:
-    """Left lookup of the first of several candidate keys that ``table`` (key, value) has: ``value`` and ``matched_priority``."""
-    tried = df.select(*id_, F.posexplode(candidates).alias("matched_priority", key)).join(table.select(key, value), key)
+def lookup_by_priority(df: DataFrame, candidates: Column, table: DataFrame, key: str, value: str, id_: Keys, scope: Keys | None = None) -> DataFrame:
+    """Left lookup of the first of several candidate keys that ``table`` (key, value) has: ``value`` and ``matched_priority``.
+    ``scope``: columns that have to be equal besides."""
+    scope = scope or []
+    tried = df.select(*id_, *scope, F.posexplode(candidates).alias("matched_priority", key)).join(table.select(*scope, key, value), [*scope, key])
     best = tried.groupBy(*id_).agg(F.min(F.struct("matched_priority", value)).alias("_b")).select(*id_, f"_b.{value}", "_b.matched_priority")
     return df.join(best, id_, "left")
 
@@ -46,6 +50,21 @@ def innermost(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start:
     return first_wins(contained(points, intervals, on, at, start, end), point_id, [F.negative(start), end, interval_id])
 
 
+def capped_per_key(df: DataFrame, keys: Keys, order: list[Column | str], limit: int) -> DataFrame:
+    """At most ``limit`` rows of each key, the first by ``order``. Each task drops what can't be among them before the exchange."""
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= limit).drop("_place")
+
+
+def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """``df`` with dense numbers from 1 by ``order``: ranges are numbered apart, after a prefix sum of their sizes, so no task holds
+    all rows."""
+    dealt = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(ahead), "_range").withColumn(name, (F.col("_ahead") + inside).cast("long")).drop("_range", "_ahead")
+
+
 def capped(df: DataFrame, order: list[Column | str], limit: int) -> tuple[DataFrame, DataFrame]:
     """The first ``limit`` rows by ``order``, and one row (truncated, reason candidate) telling whether more were there."""
     more = df.orderBy(*order).limit(limit + 1)
@@ -63,7 +82,15 @@ def within_budget(df: DataFrame, cost: str, order: list[Column | str], budget: i
 
 
 def until_spent(df: DataFrame, cost: str, order: list[Column | str], budget: int, partition: Keys | None = None) -> DataFrame:
-    """The leading rows before which less than ``budget`` was spent: the row that crosses it is still taken."""
+    """The leading rows before which less than ``budget`` was spent: the row that crosses it is still taken. Without a partition,
+    ranges of the order are summed up first, and each range by itself then."""
+    if not partition:
+        dealt = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+        sums = dealt.groupBy("_range").agg(F.sum(cost).alias("_sum"))
+        before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+        inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        spent = F.col("_before") + F.coalesce(F.sum(cost).over(inside), F.lit(0))
+        return dealt.join(F.broadcast(before.where(F.col("_before") < budget)), "_range").withColumn("spent", spent).where(F.col("spent") < budget).drop("_range", "_before")
     ahead = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("spent", F.coalesce(F.sum(cost).over(ahead), F.lit(0))).where(F.col("spent") < budget)
 

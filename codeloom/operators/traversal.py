@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import saved
 from .relational import first_wins
 
 
@@ -13,10 +14,11 @@ def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[
     via_source, path: an array of structs (source, kind, target) from the root outward.
 
     A node is taken at its least depth; of several discoverers the first wins, by the discoverer's rank and then the
-    edge's ``order``. Levels are unrolled (depth is bounded), visited nodes leave by an anti-join, and the path grows
-    with the frontier, so no second pass is needed."""
+    edge's ``order``. Levels are unrolled (depth is bounded) and saved one by one, visited nodes leave by an anti-join, and
+    the path grows with the frontier, so no second pass is needed."""
     order = order or ["kind"]
     step = "struct<source: {0}, kind: {1}, target: {0}>".format(dict(roots.dtypes)["node"], dict(edges.dtypes)["kind"])
+    edges = saved(edges)
     seen = roots.select("node", F.lit(0).alias("depth"), F.array(F.col("rank").cast("string")).alias("rank"), F.col("node").alias("root"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(dict(roots.dtypes)["node"]).alias("via_source"), F.expr(f"cast(array() AS array<{step}>)").alias("path"))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -26,5 +28,6 @@ def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[
             "root", F.col("kind").cast("string").alias("via"), F.col("source").alias("via_source"), F.concat("path", F.array(F.struct("source", "kind", "target"))).alias("path"),
         )
         found = first_wins(found.join(seen.select("node"), "node", "left_anti"), ["node"], ["rank", "via_source"])
+        found = saved(found)
         seen, frontier = seen.unionByName(found), found
     return seen

@@ -1,7 +1,7 @@
 """Typed relationships between symbols and files, each resolver a composition of joins.
 
-Inputs: files (file_id, path, language, content), symbols and imports as ``extract`` gives them. "First" is the least
-id throughout. Edges: source_symbol_id, target_symbol_id, type, status, source_type, target_type, evidence_file_id,
+Inputs: files (file_id, path, language, content and, of several repositories, repository_id), symbols, imports and exports as
+``extract`` gives them. Names are looked up within a repository. "First" is the least id throughout. Edges: source_symbol_id, target_symbol_id, type, status, source_type, target_type, evidence_file_id,
 start_line, end_line, evidence, target_file_id.
 """
 
@@ -14,10 +14,13 @@ from ..functions import scalar as s
 from ..functions import values as v
 from ..operators import lines as text
 from ..operators import relational as rel
+from ..operators.lineage import saved
 
 EDGE = ["source_symbol_id", "target_symbol_id", "type", "status", "source_type", "target_type", "evidence_file_id", "start_line", "end_line", "evidence", "target_file_id"]
 APP_KINDS = ["CLASS", "FUNCTION", "ASYNC_FUNCTION", "ARROW_FUNCTION", "METHOD"]
-STAGES = ["DEFINES", "IMPORTS", "EXPORTS", "CALLS", "EXTENDS", "REFERENCES", "TESTS"]
+SCRIPTS = ["JavaScript", "TypeScript"]
+REPOSITORY = "repository_id"
+STAGES = ["DEFINES", "IMPORTS", "EXPORTS", "CALLS", "EXTENDS", "IMPLEMENTS", "REFERENCES", "TESTS"]
 
 
 def _no_id() -> Column:
@@ -30,12 +33,23 @@ def _edge(df: DataFrame, kind: str | Column, status: Column, source: Column, tar
     return df.select(*[c.alias(n) for c, n in zip(columns, EDGE, strict=True)])
 
 
+def scoped(files: DataFrame) -> DataFrame:
+    """``files`` with a repository; files without one are of one repository."""
+    return files if REPOSITORY in files.columns else files.withColumn(REPOSITORY, F.lit(0).cast("long"))
+
+
 def modules(files: DataFrame) -> DataFrame:
-    """module -> file: the exact name of the last file, else the name without its source folder of the first."""
-    named = files.select("file_id", s.module_of_path(F.col("path")).alias("module")).where("module != ''")
-    exact = rel.last_wins(named, ["module"], "file_id")
-    alias = named.select("file_id", s.layout_module(F.col("module")).alias("module")).join(exact.select("module"), "module", "left_anti")
-    return exact.select("module", "file_id").union(rel.first_wins(alias, ["module"], ["file_id"]).select("module", "file_id")).withColumnRenamed("file_id", "target_file_id")
+    """repository_id, module -> file: the exact name of the last file, else the name without its source folder of the first."""
+    keys = [REPOSITORY, "module"]
+    named = scoped(files).select(REPOSITORY, "file_id", s.module_of_path(F.col("path")).alias("module")).where("module != ''")
+    exact = rel.last_wins(named, keys, "file_id")
+    alias = named.select(REPOSITORY, "file_id", s.layout_module(F.col("module")).alias("module")).join(exact.select(*keys), keys, "left_anti")
+    return exact.select(*keys, "file_id").union(rel.first_wins(alias, keys, ["file_id"]).select(*keys, "file_id")).withColumnRenamed("file_id", "target_file_id")
+
+
+def qualified_names(symbols: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope,) qualified_name -> symbol: the last of each name."""
+    return rel.last_wins(symbols.select(*(scope or []), "qualified_name", "symbol_id"), [*(scope or []), "qualified_name"], "symbol_id")
 
 
 def _absolute(source: Column, path: Column) -> Column:
@@ -48,19 +62,29 @@ def _absolute(source: Column, path: Column) -> Column:
 
 
 def resolved_imports(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Imports with module, target_file_id (the module, else its parent), and one row for each symbol of that name there."""
-    at = imports.join(files.select("file_id", "path"), "file_id").withColumn("module", _absolute(F.col("source"), F.col("path")))
-    parent = F.regexp_replace("module", r"\.?[^.]+$", "")
-    candidates = F.array(F.col("module"), parent)
-    found = _lookup(at, candidates, modules(files))
+    """Imports with target_file_id and one row for each symbol of the imported name there. Python: the module, else its parent.
+    ECMAScript: relative paths only, as they stand, with an extension, or as a folder's index; a default or namespace import
+    means the one function or class that the file exports, if there is one only."""
+    at = imports.join(scoped(files).select("file_id", "path", REPOSITORY), "file_id")
+    script = F.col("kind").isin("es_module", "commonjs")
+    module = _absolute(F.col("source"), F.col("path"))
+    python = rel.lookup_by_priority(at.where(~script), F.array(module, F.regexp_replace(module, r"\.?[^.]+$", "")), modules(files), "module", "target_file_id", ["import_id"], [REPOSITORY])
+    base = s.normal_path(F.concat_ws("/", s.folder_of(F.col("path")), "source"))
+    tried = F.array(*[F.concat(base, F.lit(x)) for x in v.SCRIPT_SUFFIXES])
+    paths = scoped(files).select(REPOSITORY, F.col("path").alias("tried"), F.col("file_id").alias("target_file_id"))
+    scripts = rel.lookup_by_priority(at.where(script), F.when(F.col("source").startswith("."), tried).otherwise(F.array().cast("array<string>")), paths, "tried", "target_file_id", ["import_id"], [REPOSITORY])
+    found = python.unionByName(scripts)
     names = symbols.select(F.col("file_id").alias("target_file_id"), F.col("name").alias("imported_name"), F.col("symbol_id").alias("target_symbol_id"), F.col("kind").alias("target_kind"))
-    return found.join(names, ["target_file_id", "imported_name"], "left")
+    by_name = found.join(names, ["target_file_id", "imported_name"], "left")
+    sole = symbols.where(F.col("kind").isin(v.SOLE_EXPORT_KINDS) & _exported(symbols)).select(F.col("file_id").alias("target_file_id"), F.struct("symbol_id", "kind").alias("sole"))
+    whole = (F.col("kind") == "es_module") & F.col("imported_name").isNull() & F.col("alias").isNotNull()
+    bound = rel.unique_match(by_name, sole, ["target_file_id"], "sole")
+    columns = {"target_symbol_id": F.when(whole, F.col("sole.symbol_id")).otherwise(F.col("target_symbol_id")), "target_kind": F.when(whole, F.col("sole.kind")).otherwise(F.col("target_kind"))}
+    return bound.withColumns(columns).drop("sole", "matched_priority", REPOSITORY)
 
 
-def _lookup(imports: DataFrame, candidates: Column, table: DataFrame) -> DataFrame:
-    tried = imports.select("import_id", F.posexplode(candidates).alias("priority", "module")).join(table, "module")
-    best = tried.groupBy("import_id").agg(F.min_by("target_file_id", "priority").alias("target_file_id"))
-    return imports.join(best, "import_id", "left")
+def _exported(symbols: DataFrame) -> Column:
+    return F.coalesce(F.col("exported"), F.lit(False)) if "exported" in symbols.columns else F.lit(False)
 
 
 def bindings(resolved: DataFrame) -> DataFrame:
@@ -83,11 +107,30 @@ def import_edges(resolved: DataFrame) -> DataFrame:
     return _edge(resolved, "IMPORTS", status, _no_id(), F.col("target_symbol_id"), F.col("file_id"), F.col("start_line"), F.col("end_line"), text_, "FILE", F.when(F.col("target_symbol_id").isNotNull(), "SYMBOL").when(inside, "FILE").otherwise("IMPORT"), F.col("target_file_id"))
 
 
+def export_edges(files: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:
+    """``*``: file to file. A default export: the first exported symbol of a fitting kind, or none. Others: the file's symbol of the
+    name, exported ones first; without one there is no edge."""
+    own = symbols.select("file_id", "name", "symbol_id", "kind", (~_exported(symbols)).alias("inner"))
+    star = exports.where("name = '*'")
+    edges = _edge(star, "EXPORTS", F.lit("RESOLVED"), _no_id(), _no_id(), F.col("file_id"), F.col("start_line"), F.col("end_line"), F.lit("export * from module"), "FILE", "FILE", F.col("file_id"))
+    first = rel.first_wins(own.where(F.col("kind").isin(v.DEFAULT_EXPORT_KINDS) & ~F.col("inner")), ["file_id"], ["symbol_id"]).select("file_id", F.col("symbol_id").alias("target"), F.col("name").alias("target_name"))
+    whole = exports.where("name = 'default'").join(first, "file_id", "left")
+    edges = edges.union(_edge(whole, "EXPORTS", F.lit("RESOLVED"), _no_id(), F.col("target"), F.col("file_id"), F.col("start_line"), F.col("end_line"), F.concat_ws(" ", F.lit("export default"), "target_name"), "FILE", "SYMBOL", F.col("file_id")))
+    best = rel.first_wins(own, ["file_id", "name"], ["inner", "symbol_id"]).select("file_id", "name", F.col("symbol_id").alias("target"))
+    named = exports.where("name NOT IN ('*', 'default')").join(best, ["file_id", "name"])
+    return edges.union(_edge(named, "EXPORTS", F.lit("RESOLVED"), _no_id(), F.col("target"), F.col("file_id"), F.col("start_line"), F.col("end_line"), F.concat(F.lit("export "), "name"), "FILE", "SYMBOL", F.col("file_id")))
+
+
+def _by_language(files: DataFrame, of) -> DataFrame:
+    """``of`` (files of one family, whether scripts) for Python and for ECMAScript files."""
+    columns = ["file_id", "content"]
+    return of(files.where("language = 'Python'").select(*columns), False).unionByName(of(files.where(F.col("language").isin(SCRIPTS)).select(*columns), True))
+
+
 def calls(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
     """Each call site belongs to every symbol around it; its target is the binding, else the first symbol of the name in the file;
     of ``receiver.name`` the child of that name of the receiver's class."""
-    python = files.where("language = 'Python'").select("file_id", "content")
-    sites = text.call_sites(text.lines(python))
+    sites = _by_language(files, lambda some, script: text.call_sites(text.lines(some), script))
     own = symbols.where("kind != 'IMPORT'")
     around = rel.contained(sites, own.select("file_id", F.col("symbol_id").alias("caller"), "line_start", "line_end"), ["file_id"], "line_number", "line_start", "line_end")
     here = own.groupBy("file_id", "name").agg(F.min("symbol_id").alias("local_symbol_id"))
@@ -105,32 +148,42 @@ def calls(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
 
 
 def extends(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
-    """Dotted bases by the first class of that name in the module, then a unique class of the repository; others by import binding,
-    then a unique other class of the file, then a unique class of the repository. A class is never its own base."""
-    classes = symbols.where("kind = 'CLASS'")
-    bases = classes.select("symbol_id", "file_id", "line_start", F.col("name").alias("own_name"), F.explode("bases").alias("written")).withColumn("base", F.element_at(F.split("written", r"\."), -1))
-    in_file = classes.groupBy("file_id", F.col("name").alias("base")).agg(F.count(F.lit(1)).alias("n_file"), F.sum("symbol_id").alias("file_ids"))
-    in_all = classes.groupBy(F.col("name").alias("base")).agg(F.count(F.lit(1)).alias("n_all"), F.min("symbol_id").alias("any_class"))
-    by_name = bound.where("bound_kind = 'CLASS'").select("file_id", F.col("name").alias("base"), "bound_symbol_id")
-    module = F.trim(F.regexp_replace("written", r"\.?[^.]+$", ""), F.lit("."))
-    in_module = classes.groupBy(F.col("file_id").alias("target_file_id"), F.col("name").alias("base")).agg(F.min("symbol_id").alias("module_class"))
-    bases = bases.withColumn("module", module).join(modules(files), "module", "left").join(in_module, ["target_file_id", "base"], "left").drop("target_file_id")
-    found = bases.join(by_name, ["file_id", "base"], "left").join(in_file, ["file_id", "base"], "left").join(in_all, "base", "left")
+    """EXTENDS and IMPLEMENTS. Dotted bases by the first class of that name in the module, then a unique class of the repository;
+    others by import binding, then a unique other class of the file, then a unique class of the repository. In ECMAScript files
+    an interface will do as well. A class is never its own base."""
+    at = scoped(files).select("file_id", REPOSITORY, F.col("language").isin(SCRIPTS).alias("script"))
+    fitting = symbols.where(F.col("kind").isin("CLASS", "INTERFACE")).select("symbol_id", "file_id", "name", "kind").join(at.select("file_id", REPOSITORY), "file_id")
+    # one row a class and family of files that it can be a base in
+    fitting = fitting.withColumn("script", F.explode(F.when(F.col("kind") == "CLASS", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+    bases = symbols.where("kind = 'CLASS'").join(at, "file_id")
+    pair = lambda column, kind: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("written")))
+    written = pair("bases", "EXTENDS") if "implements" not in symbols.columns else F.concat(pair("bases", "EXTENDS"), pair("implements", "IMPLEMENTS"))
+    bases = bases.select("symbol_id", "file_id", "line_start", "line_end", F.col("name").alias("own_name"), REPOSITORY, "script", F.explode(written).alias("b")).select("*", "b.*").drop("b")
+    bases = bases.withColumn("base", F.element_at(F.split("written", r"\."), -1)).withColumn("module", F.trim(F.regexp_replace("written", r"\.?[^.]+$", ""), F.lit(".")))
+    in_file = fitting.groupBy("file_id", "script", F.col("name").alias("base")).agg(F.count(F.lit(1)).alias("n_file"), F.sum("symbol_id").alias("file_ids"))
+    in_all = fitting.select(REPOSITORY, "script", F.col("name").alias("base"), F.col("symbol_id").alias("anywhere"))
+    by_name = bound.where("bound_kind IN ('CLASS', 'INTERFACE')").select("file_id", F.col("name").alias("base"), "bound_symbol_id", "bound_kind")
+    in_module = fitting.groupBy(F.col("file_id").alias("target_file_id"), "script", F.col("name").alias("base")).agg(F.min("symbol_id").alias("module_class"))
+    bases = bases.join(modules(files), [REPOSITORY, "module"], "left").join(in_module, ["target_file_id", "script", "base"], "left").drop("target_file_id")
+    found = bases.join(by_name, ["file_id", "base"], "left").join(in_file, ["file_id", "script", "base"], "left")
+    found = rel.unique_match(found, in_all, [REPOSITORY, "script", "base"], "anywhere")
     itself = F.col("own_name") == F.col("base")
     others, other = F.col("n_file") - itself.cast("int"), F.col("file_ids") - F.when(itself, F.col("symbol_id")).otherwise(0)
-    anywhere = F.when(F.col("n_all") == 1, F.col("any_class"))
-    plain = F.when(F.col("bound_symbol_id").isNotNull(), F.col("bound_symbol_id")).when(others > 1, None).when(others == 1, other).otherwise(anywhere)
-    target = F.when(F.col("written").contains("."), F.coalesce("module_class", anywhere)).otherwise(plain)
+    by_import = (F.col("bound_kind") == "CLASS") | ((F.col("bound_kind") == "INTERFACE") & F.col("script"))
+    plain = F.when(by_import, F.col("bound_symbol_id")).when(others > 1, None).when(others == 1, other).otherwise(F.col("anywhere"))
+    target = F.when(F.col("written").contains("."), F.coalesce("module_class", "anywhere")).otherwise(plain)
     found = found.withColumn("target", target).withColumn("target", F.when(F.col("target") != F.col("symbol_id"), F.col("target")))
     status = F.when(F.col("target").isNotNull(), "RESOLVED").otherwise("UNRESOLVED")
-    return _edge(found, "EXTENDS", status, F.col("symbol_id"), F.col("target"), F.col("file_id"), F.col("line_start"), F.col("line_start"), F.col("written"))
+    return _edge(found, F.col("type"), status, F.col("symbol_id"), F.col("target"), F.col("file_id"), F.col("line_start"), F.col("line_end"), F.concat_ws(" ", "own_name", F.lower("type"), "written"))
 
 
 def references(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
     """The first use of each name in each innermost owner: of its binding, else of another symbol of the file, first of those around it."""
-    python = files.where("language = 'Python'").select("file_id", "content")
-    code = text.lines(python).where(text.is_code(F.col("line")))
-    used = text.identifiers(code).where(~F.col("name").isin(v.PY_CALL_KEYWORDS[:-1]))
+    def names(some: DataFrame, script: bool) -> DataFrame:
+        code = text.lines(some).where(text.is_code(F.col("line")))
+        return text.identifiers(code, script).where(~F.col("name").isin(v.JS_REFERENCE_KEYWORDS if script else v.PY_REFERENCE_KEYWORDS))
+
+    used = _by_language(files, names)
     here = symbols.where("kind != 'IMPORT'")
     used = used.join(bound.select("file_id", "name").union(here.select("file_id", "name")).distinct(), ["file_id", "name"])
     own = here.select("file_id", F.col("symbol_id").alias("owner"), "line_start", "line_end")
@@ -146,23 +199,38 @@ def references(files: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFr
 
 def tests(files: DataFrame, bound: DataFrame) -> DataFrame:
     """The first use of an imported application symbol in each test file."""
-    own = files.where(s.is_test_file(F.col("path")) & (F.col("language") == "Python")).select("file_id", "content")
-    code = text.lines(own).where(text.is_code(F.col("line")) & ~F.ltrim("line").rlike(r"^(import|from)\s"))
-    used = text.identifiers(code).join(bound.where(F.col("bound_kind").isin(APP_KINDS)), ["file_id", "name"])
+    def names(some: DataFrame, script: bool) -> DataFrame:
+        return text.identifiers(text.lines(some).where(text.is_code(F.col("line")) & ~F.ltrim("line").rlike(r"^(import|from)\s")), script)
+
+    used = _by_language(files.where(s.is_test_file(F.col("path"))), names).join(bound.where(F.col("bound_kind").isin(APP_KINDS)), ["file_id", "name"])
     first = rel.first_wins(used, ["file_id", "bound_symbol_id"], ["line_number", "place"])
     return _edge(first, "TESTS", F.lit("RESOLVED"), _no_id(), F.col("bound_symbol_id"), F.col("file_id"), F.col("line_number"), F.col("line_number"), F.col("name"), "FILE")
 
 
-def relationships(files: DataFrame, symbols: DataFrame, imports: DataFrame, limit: int = v.LIMITS["edges"]) -> DataFrame:
-    """All edges; of equal (source, target, type, status, file, line) the first stays; at most ``limit``, in stage order."""
-    resolved = resolved_imports(files, symbols, imports)
-    bound = bindings(resolved)
-    made = [defines(symbols), import_edges(resolved), calls(files, symbols, bound), extends(files, symbols, bound), references(files, symbols, bound), tests(files, bound)]
-    every = made[0]
-    for more in made[1:]:
+def combined(edges: list[DataFrame], files: DataFrame, limit: int = v.LIMITS["edges"]) -> DataFrame:
+    """All edges; of equal (source, target, type, status, file, line) the first stays; at most ``limit`` a repository, in stage order."""
+    every = edges[0]
+    for more in edges[1:]:
         every = every.unionByName(more)
     stage = F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("type"))
     every = every.withColumn("stage", stage)
     keys = ["source_symbol_id", "target_symbol_id", "type", "status", "evidence_file_id", "start_line"]
-    once = rel.first_wins(every, keys, ["stage", "evidence", "end_line"])
-    return once.orderBy("stage", "evidence_file_id", "start_line", "source_symbol_id", "target_symbol_id", "status").limit(limit).drop("stage")
+    once = rel.first_wins(every, keys, ["stage", "evidence", "end_line"]).join(scoped(files).select(F.col("file_id").alias("evidence_file_id"), REPOSITORY), "evidence_file_id")
+    order = ["stage", "evidence_file_id", "start_line", "source_symbol_id", "target_symbol_id", "status"]
+    return rel.capped_per_key(once, [REPOSITORY], order, limit).select(REPOSITORY, *EDGE)
+
+
+def counted(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Edges by type and status, and each total (null: all)."""
+    return edges.cube(*(by or ["type", "status"])).agg(F.count(F.lit(1)).alias("n"))
+
+
+def relationships(files: DataFrame, symbols: DataFrame, imports: DataFrame, exports: DataFrame | None = None, limit: int = v.LIMITS["edges"]) -> DataFrame:
+    """The edges of all resolvers, see ``combined``."""
+    resolved = saved(resolved_imports(files, symbols, imports))
+    bound = saved(bindings(resolved))
+    made = [defines(symbols), import_edges(resolved)]
+    if exports is not None:
+        made.append(export_edges(files, symbols, exports))
+    made += [calls(files, symbols, bound), extends(files, symbols, bound), references(files, symbols, bound), tests(files, bound)]
+    return combined(made, files, limit)

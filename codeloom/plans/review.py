@@ -73,4 +73,4 @@ def context(evidence: DataFrame, budget: int = v.LIMITS["context_chars"], most:
     clean = evidence.withColumn("text", F.substring(s.redact_text(F.col("text")), 1, 800))
     few = rel.top_k(clean, ["kind"], ["place"], per_kind).drop("rank").orderBy("place").limit(most)
     fitting = rel.within_budget(few.withColumn("cost", F.length("text")), "cost", ["place"], budget)
-    return fitting.select("kind", "place", "text", "running_cost", s.digest(F.col("kind"), F.col("place"), F.col("text")).alias("digest"))
+    return fitting.select("kind", "place", "text", "running_cost", s.digest(kind=F.col("kind"), place=F.col("place"), text=F.col("text")).alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from ..operators import relational
 
 MAX_FILE_BYTES, MAX_FILES, MAX_REPOSITORY_BYTES = 512 << 10, 10_000, 200 << 20
 
@@ -18,16 +19,26 @@ def read_files(spark: SparkSession, root: str, max_file_bytes: int = MAX_FILE_BY
     """path (below ``root``), language, size_bytes, line_count, content; ignored folders and files are left out, and
     content is null where a file is over the size limit. Malformed UTF-8 is replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].rstrip("/") + "/")
+    base = F.regexp_replace(F.lit(root.rstrip("/").split("://")[-1].rstrip("/") + "/"), "^[a-z0-9]+:/*", "/")
     whole = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    below = F.expr("substring(p, locate(b, p) + length(b))")
-    kept = raw.withColumns({"p": whole, "b": F.regexp_replace(base, "^[a-z0-9]+:/*", "/")}).withColumn("path", below)
-    kept = kept.where(~s.is_ignored(F.col("path")))
-    text = F.when(F.col("length") <= max_file_bytes, F.make_valid_utf8(F.col("content").cast("string")))
-    out = kept.select("path", s.language_of(F.col("path")).alias("language"), F.col("length").cast("int").alias("size_bytes"), text.alias("content"))
+    # the source skips files by length before it opens them, and reads no content that is not selected
+    small = raw.where(F.col("length") <= max_file_bytes).select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    large = raw.where(F.col("length") > max_file_bytes).select("path", "length", F.lit(None).cast("string").alias("content"))
+    kept = small.union(large).withColumns({"p": whole, "b": base}).withColumn("path", F.expr("substring(p, locate(b, p) + length(b))"))
+    kept = kept.where(~s.is_ignored(F.col("path")) & s.is_contained(F.col("path")))
+    out = kept.select("path", s.language_of(F.col("path")).alias("language"), F.col("length").cast("int").alias("size_bytes"), "content")
     return out.withColumn("line_count", F.coalesce(s.line_count(F.col("content")), F.lit(0)))
 
 
+def local_clone(path: str, destination: str, revision: str | None = None) -> tuple[str, str]:
+    """A shallow clone of a local repository for ``read_files``; (branch, commit). Runs on the driver, before any job."""
+    import subprocess
+
+    git = lambda *args: subprocess.run(["git", *args], check=True, capture_output=True, text=True, timeout=300).stdout.strip()
+    git("clone", "--depth", "1", "--single-branch", *(["--branch", revision] if revision else []), "--", f"file://{path}", destination)
+    return git("-C", destination, "rev-parse", "--abbrev-ref", "HEAD"), git("-C", destination, "rev-parse", "HEAD")
+
+
 def checked(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_REPOSITORY_BYTES) -> DataFrame:
     """``files``, or LimitExceeded."""
     row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b")).collect()[0]
@@ -37,20 +48,40 @@ def checked(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_R
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """file_id by path: dense, from 1, the same on every run."""
-    from pyspark.sql import Window
+    """file_id by (repository and) path: dense, from 1, the same on every run."""
+    return relational.numbered(files, "file_id", [c for c in ("repository_id", "path") if c in files.columns])
 
-    return files.withColumn("file_id", F.row_number().over(Window.orderBy("path")).cast("long"))
 
-
-def language_shares(files: DataFrame) -> DataFrame:
-    """language, bytes, share of all bytes in percent."""
+def language_shares(files: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope,) language, bytes, share of all bytes (of the scope) in percent; largest first."""
     from pyspark.sql import Window
 
-    sums = files.where("language IS NOT NULL").groupBy("language").agg(F.sum("size_bytes").alias("bytes"))
-    return sums.withColumn("share", s.share(F.col("bytes"), F.sum("bytes").over(Window.partitionBy(F.lit(0)))))
+    sums = files.where("language IS NOT NULL").groupBy(*(scope or []), "language").agg(F.sum("size_bytes").alias("bytes"))
+    whole = F.sum("bytes").over(Window.partitionBy(*(scope or [F.lit(0)])))  # one row a language
+    return sums.withColumn("share", s.share(F.col("bytes"), whole)).orderBy(*(scope or []), F.desc("bytes"), "language")
 
 
 def write_table(df: DataFrame, path: str, partition_by: str = "repository_id") -> None:
     """Replace the partitions that ``df`` holds; others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
+def without_repository(tables: dict[str, DataFrame], repository_id: int) -> dict[str, DataFrame]:
+    """All tables without the rows of one repository: by its id, or by the rows of the table that they belong to. A table names its
+    owner by the first of its ``*_id`` columns that another table is keyed by."""
+    gone: dict[str, DataFrame] = {}
+    out = {}
+    for name, table in tables.items():  # owners come before what they own
+        key = f"{name.removesuffix('s')}_id"
+        owner = next((o for o in gone if o in table.columns and o != key), None)
+        if "repository_id" in table.columns:
+            mine = F.col("repository_id") == repository_id
+            out[name], removed = table.where(~mine | F.col("repository_id").isNull()), table.where(mine)
+        elif owner:
+            out[name], removed = table.join(gone[owner], owner, "left_anti"), table.join(gone[owner], owner, "left_semi")
+        else:
+            out[name] = table
+            continue
+        if key in table.columns:
+            gone[key] = removed.select(key)
+    return out

@@ -7,12 +7,12 @@ from codeloom.plans import diff, extract, impact, resolve, review, search
 from codeloom.sources import files as src
 
 TREE = {
-    "auth/__init__.py": "",
-    "auth/service.py": "class AuthService:\n    def validate_token(self, t):\n        return helper(t)\n\n\ndef helper(t):\n    return len(t)\n",
-    "auth/controller.py": "import os, sys\nfrom auth.service import AuthService, helper\n\n\nasync def handle(x):\n    svc = AuthService()\n    return helper(x) + unknown(x)\n",
-    "users/models.py": "from auth.service import AuthService\n\n\nclass AdminService(AuthService):\n    pass\n",
-    "users/rel.py": "from ..auth import service\nfrom .missing import x\n",
-    "tests/test_auth.py": "from auth.service import AuthService\n\n\ndef test_it():\n    assert AuthService()\n",
+    "stock/__init__.py": "",
+    "stock/ledger.py": "class Ledger:\n    def post_entry(self, t):\n        return measure(t)\n\n\ndef measure(t):\n    return len(t)\n",
+    "stock/report.py": "import os, sys\nfrom stock.ledger import Ledger, measure\n\n\nasync def render(x):\n    book = Ledger()\n    return measure(x) + unknown(x)\n",
+    "people/roles.py": "from stock.ledger import Ledger\n\n\nclass AuditLedger(Ledger):\n    pass\n",
+    "people/rel.py": "from ..stock import ledger\nfrom .missing import x\n",
+    "tests/test_ledger.py": "from stock.ledger import Ledger\n\n\ndef test_it():\n    assert Ledger()\n",
     "broken.py": "def broken(:\n",
     "web/app.ts": "export const a = 1;\n",
 }
@@ -31,49 +31,57 @@ def tree(spark):
     return files, parsed, symbols, imports, spark.createDataFrame(edges.collect(), edges.schema)
 
 
+def bare(qualified, path):
+    """A qualified name without the module of its file."""
+    return qualified.removeprefix(path.rsplit(".", 1)[0].removesuffix("/__init__").replace("/", ".") + ".")
+
+
 def named(tree):
     files, _, symbols, _, edges = tree
-    name = {r["symbol_id"]: r["qualified_name"] for r in symbols.collect()}
     path = {r["file_id"]: r["path"] for r in files.collect()}
+    name = {r["symbol_id"]: bare(r["qualified_name"], path[r["file_id"]]) for r in symbols.collect()}
     return {(r["type"], r["status"], name.get(r["source_symbol_id"]) or path[r["evidence_file_id"]], name.get(r["target_symbol_id"]) or path.get(r["target_file_id"])) for r in edges.collect()}
 
 
 def test_parsing(tree):
     files, parsed, symbols, imports, _ = tree
     status = {r["path"]: r["status"] for r in parsed.join(files, "file_id").collect()}
-    assert status["broken.py"] == "syntax_error" and status["web/app.ts"] == "unsupported" and status["auth/service.py"] == "parsed"
-    got = {r["qualified_name"]: r for r in symbols.where("kind != 'IMPORT'").collect()}
-    assert "broken" in got and got["handle"]["kind"] == "ASYNC_FUNCTION" and got["AuthService.validate_token"]["kind"] == "FUNCTION"
-    assert (got["AuthService"]["line_start"], got["AuthService"]["line_end"]) == (1, 3) and got["helper"]["signature"] == "helper(t)"
-    assert {(r["source"], r["imported_name"]) for r in imports.collect()} >= {("os", None), ("auth.service", "helper"), ("..auth", "service"), (".missing", "x")}
+    assert status["broken.py"] == "syntax_error" and status["web/app.ts"] == "parsed" and status["stock/ledger.py"] == "parsed"
+    path = {r["file_id"]: r["path"] for r in files.collect()}
+    rows = symbols.where("kind != 'IMPORT'").collect()
+    got = {bare(r["qualified_name"], path[r["file_id"]]): r for r in rows}
+    assert "stock.ledger.Ledger.post_entry" in {r["qualified_name"] for r in rows}
+    assert "broken" in got and got["render"]["kind"] == "ASYNC_FUNCTION" and got["Ledger.post_entry"]["kind"] == "FUNCTION"
+    assert (got["Ledger"]["line_start"], got["Ledger"]["line_end"]) == (1, 3) and got["measure"]["signature"] == "measure(t)"
+    assert {(r["source"], r["imported_name"]) for r in imports.collect()} >= {("os", None), ("stock.ledger", "measure"), ("..stock", "ledger"), (".missing", "x")}
 
 
 def test_relationships(tree):
     edges = named(tree)
-    assert ("DEFINES", "RESOLVED", "AuthService", "AuthService.validate_token") in edges
-    assert ("CALLS", "RESOLVED", "AuthService.validate_token", "helper") in edges and ("CALLS", "RESOLVED", "AuthService", "helper") in edges
-    assert ("CALLS", "RESOLVED", "handle", "AuthService") in edges and ("CALLS", "UNRESOLVED", "handle", None) in edges
-    assert ("EXTENDS", "RESOLVED", "AdminService", "AuthService") in edges
-    assert ("TESTS", "RESOLVED", "tests/test_auth.py", "AuthService") in edges
-    assert ("REFERENCES", "RESOLVED", "handle", "AuthService") in edges
-    assert ("IMPORTS", "EXTERNAL", "auth/controller.py", None) in edges and ("IMPORTS", "UNRESOLVED", "users/rel.py", None) not in {e for e in edges if e[3]}
+    assert ("DEFINES", "RESOLVED", "Ledger", "Ledger.post_entry") in edges
+    assert ("CALLS", "RESOLVED", "Ledger.post_entry", "measure") in edges and ("CALLS", "RESOLVED", "Ledger", "measure") in edges
+    assert ("CALLS", "RESOLVED", "render", "Ledger") in edges and ("CALLS", "UNRESOLVED", "render", None) in edges
+    assert ("EXTENDS", "RESOLVED", "AuditLedger", "Ledger") in edges
+    assert ("TESTS", "RESOLVED", "tests/test_ledger.py", "Ledger") in edges
+    assert ("REFERENCES", "RESOLVED", "render", "Ledger") in edges
+    assert ("IMPORTS", "EXTERNAL", "stock/report.py", None) in edges and ("IMPORTS", "UNRESOLVED", "people/rel.py", None) not in {e for e in edges if e[3]}
     external = [e for e in tree[4].collect() if e["status"] == "EXTERNAL"]
     assert len(external) == 1  # one line of external imports is one edge
 
 
 def test_search_and_investigation(tree):
     files, _, symbols, _, edges = tree
-    best = search.search(files, symbols, "AuthService").collect()
+    best = search.search(files, symbols, "Ledger").collect()
     assert best[0]["kind"] == "CLASS" and best[0]["score"] == 5
-    assert search.search(files, symbols, "auth", "file").collect()[0]["path"].startswith("auth/")
-    assert [(r["path"], r["line_number"]) for r in search.search(files, symbols, "return LEN", "text").collect()] == [("auth/service.py", 7)]
+    assert search.search(files, symbols, "stock", "file").collect()[0]["path"].startswith("stock/")
+    assert [(r["path"], r["line_number"]) for r in search.search(files, symbols, "return LEN", "text").collect()] == [("stock/ledger.py", 7)]
     for bad in ("", "*", "x" * 201, "a\nb"):
         with pytest.raises(ValueError):
             search.checked_query(bad)
-    target = next(r["symbol_id"] for r in symbols.collect() if r["qualified_name"] == "AuthService" and r["kind"] == "CLASS")
+    target = next(r["symbol_id"] for r in symbols.collect() if r["qualified_name"] == "stock.ledger.Ledger" and r["kind"] == "CLASS")
     around = search.investigate(edges, symbols, files, target)
     assert {"callers", "dependencies", "tests", "references"} <= {r["group"] for r in around.collect()}
-    assert "tests/test_auth.py" in [r["path"] for r in search.related_files(around, files).collect()]
+    assert "tests/test_ledger.py" in [r["path"] for r in search.related_files(around, files).collect()]
 
 
 DIFF = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -5,3 +5,4 @@ def f\n a\n-b\n+c\n+++d\n e\n"
@@ -89,16 +97,16 @@ def test_hunks_number_their_lines(spark):
 def test_diff_impact_and_review(spark, tree):
     files, _, symbols, _, edges = tree
     ids = {r["path"]: r["file_id"] for r in files.collect()}
-    diffs = spark.createDataFrame([(ids["auth/service.py"], "@@ -7,1 +7,1 @@\n-    return 0\n+    return len(t)\n")], "file_id long, diff string")
+    diffs = spark.createDataFrame([(ids["stock/ledger.py"], "@@ -7,1 +7,1 @@\n-    return 0\n+    return len(t)\n")], "file_id long, diff string")
     changed, mapped = diff.analysed(diffs, symbols)
-    assert [(r["name"], r["added_lines"], r["deleted_lines"], r["change_type"]) for r in mapped.collect()] == [("helper", 1, 1, "MODIFIED")]
-    changes = diff.linked(spark.createDataFrame([("auth/service.py", None, 1, 1)], "path string, old_path string, additions int, deletions int"), files)
+    assert [(r["name"], r["added_lines"], r["deleted_lines"], r["change_type"]) for r in mapped.collect()] == [("measure", 1, 1, "MODIFIED")]
+    changes = diff.linked(spark.createDataFrame([("stock/ledger.py", None, 1, 1)], "path string, old_path string, additions int, deletions int"), files)
     assert diff.totals(changes, mapped).collect()[0]["symbols_changed"] == 1
     roots = impact.roots(mapped, changes, files)
     nodes = impact.traversed(roots, edges, symbols, files, 2)
-    by_name = {r["name"]: r for r in nodes.collect() if r["node_type"] == "SYMBOL"}
-    assert by_name["handle"]["depth"] == 1 and by_name["handle"]["via"] == "CALLS"
-    assert by_name["AuthService.validate_token"]["depth"] == 1 and [x["kind"] for x in by_name["AdminService"]["path"]] == ["CALLS", "EXTENDS"] if "AdminService" in by_name else True
+    by_name = {bare(r["name"], r["file_path"]): r for r in nodes.collect() if r["node_type"] == "SYMBOL"}
+    assert by_name["render"]["depth"] == 1 and by_name["render"]["via"] == "CALLS"
+    assert by_name["Ledger.post_entry"]["depth"] == 1 and [x["kind"] for x in by_name["AuditLedger"]["path"]] == ["CALLS", "EXTENDS"]
     row = impact.summary(nodes, impact.open_ends(roots, edges, "UNRESOLVED"), impact.open_ends(roots, edges, "EXTERNAL")).collect()[0]
     assert (row["changed_symbols"], row["changed_files"], row["total_direct"], row["truncated"]) == (1, 1, 2, False)
     assert impact.traversed(roots, edges, symbols, files, 2, limit=1).where("depth > 0").count() == 1
@@ -176,8 +184,8 @@ def test_search_ranks_all_matches_and_reads_all_files(spark):
 
 def test_same_file_references_and_dotted_bases(spark):
     tree = {
-        "auth/models.py": "class Entity:\n    pass\n",
-        "shop/models.py": "import auth.models\n\n\nclass Entity(auth.models.Entity):\n    pass\n\n\ndef helper():\n    return 1\n\n\ndef use():\n    f = helper\n    return f\n",
+        "base/models.py": "class Entity:\n    pass\n",
+        "shop/models.py": "import base.models\n\n\nclass Entity(base.models.Entity):\n    pass\n\n\ndef measure():\n    return 1\n\n\ndef use():\n    f = measure\n    return f\n",
     }
     rows = [(i, p, t, "Python") for i, (p, t) in enumerate(tree.items())]
     files = spark.createDataFrame(rows, "file_id long, path string, content string, language string")
@@ -187,7 +195,7 @@ def test_same_file_references_and_dotted_bases(spark):
     name = {r["symbol_id"]: (r["file_id"], r["name"]) for r in symbols.collect()}
     got = {(e["type"], e["status"], name.get(e["source_symbol_id"]), name.get(e["target_symbol_id"])) for e in edges}
     assert ("EXTENDS", "RESOLVED", (1, "Entity"), (0, "Entity")) in got
-    assert ("REFERENCES", "RESOLVED", (1, "use"), (1, "helper")) in got
+    assert ("REFERENCES", "RESOLVED", (1, "use"), (1, "measure")) in got
 
 
 @pytest.mark.parametrize("bad", ["print 'x'", "<<<<<<< HEAD", "x = = 1", "def (:"])
