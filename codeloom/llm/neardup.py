@@ -103,6 +103,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, chunk: int) -> DataFrame:
     many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
     hot = many.where("parts > 1")
     part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int")
+    bags = bags.select("node", "weight", "bag")
     dealt = counts.joined_by_size(pairs, hot, ["u"], "left").select("u", part.alias("part"), F.col("v").alias("node"))
     members = dealt.join(bags, "node").select("u", "part", F.lit(1).alias("side"), "node", "weight", "bag")
     leaders = bags.join(many.withColumnRenamed("u", "node"), "node").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "weight", "bag")
@@ -138,18 +139,22 @@ class _Forest:
 
 
 def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
-    """A forest of the links between the components of the two sides of a block (or of one side, if it is alone)."""
+    """A forest of the links between the components of the two sides of a block (or of one side, if it is alone), of pairs that share
+    a band."""
     side, node, weight, component = (rows[c].to_numpy() for c in ("side", "node", "weight", "component"))
+    signature = np.frombuffer(text.bytes_of(rows["signature"])[0].tobytes(), "<u2").reshape(len(node), -1, bagminhash.ROWS)
     at, value, n = _bags(rows["bag"].combine_chunks())
     places = {c: i for i, c in enumerate(dict.fromkeys(component.tolist()))}
     own = np.array([places[c] for c in component.tolist()])
     forest, out = _Forest(len(places)), []
-    left = np.flatnonzero(side == 0)
-    alone = not (side == 1).any()
-    right = left if alone else np.flatnonzero(side == 1)
+    left = np.flatnonzero(side == 1)
+    alone = not (side == 0).any() or not len(left)
+    left = np.arange(len(side)) if alone else left
+    right = left if alone else np.flatnonzero(side == 0)
     for i in left.tolist():
         others = right[right > i] if alone else right
         others = others[(own[others] != own[i]) & (5 * weight[others] >= 4 * weight[i]) & (4 * weight[others] <= 5 * weight[i])]
+        others = others[(signature[others] == signature[i]).all(axis=2).any(axis=1)]
         for j in others.tolist():
             a, b = forest.root(int(own[i])), forest.root(int(own[j]))
             if a != b and _similar(_shared((value[at[i] : at[i + 1]], n[at[i] : at[i + 1]]), (value[at[j] : at[j + 1]], n[at[j] : at[j + 1]])), int(weight[i] + weight[j])):
@@ -163,12 +168,13 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     each = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     most = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("most")).where("kinds > 1")
-    return placed.join(most.select("key", "most"), "key").select("key", "node", "component", "n", (F.col("component") == F.col("most")).alias("main"))
+    return placed.join(most.select("key", "most"), "key").select("key", "node", "component", "n", "most", (F.col("component") == F.col("most")).alias("main"))
 
 
 def _across(members: DataFrame, bags: DataFrame, chunk: int) -> DataFrame:
-    """``_apart`` members of large buckets: links between components of a bucket. The nodes of its main component are dealt to
-    chunks once; the others go to each chunk, and to chunks of their own that are compared two by two."""
+    """``_apart`` members of large buckets: links between components of a bucket. Buckets of one main component are taken together:
+    its nodes are dealt to chunks once; the others go to each chunk, and to chunks of their own that are compared two by two."""
+    members = members.select(F.col("most").alias("key"), "node", "component", "main").distinct()
     sizes = members.groupBy("key").agg(F.ceil(F.count_if("main") / chunk).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / chunk).cast("int").alias("others"))
     dealt = members.join(sizes, "key")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
@@ -188,7 +194,8 @@ def _across(members: DataFrame, bags: DataFrame, chunk: int) -> DataFrame:
 
 
 def bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (node, weight, digest, first_id) -> node, weight, bag: the compressed text, read at one document of each node."""
+    """``wanted`` (node, weight, signature, digest, first_id) -> node, weight, signature, bag: the compressed text, read at one document
+    of each node."""
     holder = F.xxhash64("digest", "first_id")
     shared = docs.sparkSession.sparkContext.broadcast(store.sketch(wanted.select(holder.alias("h"))))
 
@@ -203,7 +210,7 @@ def bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     whole = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("first_id"))
     whole = whole.select(_digest().alias("digest"), "first_id", "text").withColumn("h", holder)
     found = whole.mapInArrow(compress, "digest binary, first_id long, bag binary").dropDuplicates(["digest"])
-    return wanted.join(found.select("digest", "bag"), "digest").select("node", "weight", "bag")
+    return wanted.join(found.select("digest", "bag"), "digest").select("node", "weight", "signature", "bag")
 
 
 def classes(docs: DataFrame, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
@@ -218,7 +225,7 @@ def classes(docs: DataFrame, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     members = store.saved(keyed.join(buckets, "key"), "buckets")
     pairs = store.saved(members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     involved = members.select("node").distinct()
-    bags = store.saved(bags_of(docs, involved.join(nodes, "node").select("node", "weight", "digest", "first_id")), "bags")
+    bags = store.saved(bags_of(docs, involved.join(nodes, "node").select("node", "weight", "signature", "digest", "first_id")), "bags")
     store.release(docs.sparkSession)
     links = store.saved(_verified(pairs, bags, chunk), "links")
     found = store.saved(components.components(links), "components")

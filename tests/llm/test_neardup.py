@@ -110,9 +110,13 @@ def test_shingles_are_those_of_the_words():
 def test_pairs_across_components_are_verified():
     raw = b"one two three four five six seven"
     bag_ = len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
-    rows = {"side": [0, 0, 0], "node": [5, 6, 7], "weight": [3, 3, 3], "component": [1, 2, 2], "bag": [bag_] * 3}
+    own = np.arange(128, dtype="<u2").tobytes()
+    rows = {"side": [0, 0, 0], "node": [5, 6, 7], "weight": [3, 3, 3], "component": [1, 2, 2], "bag": [bag_] * 3, "signature": [own] * 3}
     assert neardup._block_links(pa.table(rows)) == [(5, 6)]
     assert neardup._block_links(pa.table(rows | {"component": [1, 1, 1]})) == []
+    assert neardup._block_links(pa.table(rows | {"side": [0, 1, 0]})) == [(6, 5)]
+    other = (np.arange(128, dtype="<u2") + 1000).tobytes()
+    assert neardup._block_links(pa.table(rows | {"signature": [own, other, other]})) == []  # no band in common
 
 
 def test_one_large_group(spark):
