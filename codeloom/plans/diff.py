@@ -62,3 +62,21 @@ def totals(changes: DataFrame, mapped: DataFrame) -> DataFrame:
 def detail(mapped: DataFrame) -> DataFrame:
     """Changed symbols of each file and how many of each change type."""
     return rel.histogram(mapped, ["file_id"], "change_type")
+
+
+class DiffTooLarge(ValueError):
+    """A diff is larger than allowed."""
+
+
+def checked(changes: DataFrame, numbered: DataFrame, most_files: int = 500, most_hunks: int = 5000, most_lines: int = 50_000) -> DataFrame:
+    """``changes``, or DiffTooLarge. ``numbered``: the lines of its hunks."""
+    n = changes.count(), numbered.select("file_id", "hunk").distinct().count(), numbered.where("side IS NOT NULL").count()
+    if n[0] > most_files or n[1] > most_hunks or n[2] > most_lines:
+        raise DiffTooLarge(f"{n[0]} files, {n[1]} hunks, {n[2]} lines")
+    return changes
+
+
+def in_order(files: DataFrame | None = None, hunks: DataFrame | None = None, lines: DataFrame | None = None, symbols: DataFrame | None = None) -> list[DataFrame]:
+    """What is given, as it is read: files by path, hunks by start, lines by side and number, symbols by file and name."""
+    keys = [(files, ["path"]), (hunks, ["old_start", "new_start"]), (lines, ["side", "line_number"]), (symbols, ["file_id", "name", "symbol_id"])]
+    return [df.orderBy(*order) for df, order in keys if df is not None]

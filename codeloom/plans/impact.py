@@ -73,3 +73,26 @@ def summary(nodes: DataFrame, unresolved: DataFrame, external: DataFrame) -> Dat
 def paths(nodes: DataFrame, limit: int = v.LIMITS["impact_paths"]) -> DataFrame:
     """The path of evidence to each affected node, nearest first."""
     return nodes.where("depth > 0").orderBy("depth", "name", "node").limit(limit).select("root", F.col("node").alias("target"), F.col("name").alias("target_name"), "depth", "path")
+
+
+def rendered(nodes: DataFrame, unresolved: DataFrame, external: DataFrame) -> DataFrame:
+    """One row of six ordered arrays: changed symbols, changed files, affected nodes, affected tests, unresolved and external edges."""
+    entry = F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("name", F.lit("")).alias("name"), "node", "via")
+    direct, test = F.col("impact_class") == "DIRECT", F.col("is_test")
+    parts = {"changed_symbols": direct & (F.col("node_type") == "SYMBOL"), "changed_files": direct & (F.col("node_type") == "FILE"), "potential": ~direct & ~test, "tests": ~direct & test}
+    main = nodes.agg(*[F.sort_array(F.collect_list(F.when(c, entry))).alias(n) for n, c in parts.items()])
+    ends = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct("evidence_file_id", "start_line", "evidence"))).alias(name))
+    return main.crossJoin(ends(unresolved, "unresolved")).crossJoin(ends(external, "external"))  # one row each
+
+
+def stored(path: str, repository_id: int, diff_id: int, depth: int, compute) -> DataFrame:
+    """The nodes of one analysis (repository, diff, depth): read if it is there, else computed and written. Two writers of one key
+    write the same partition, which the last replaces."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    where = f"{path}/repository_id={repository_id}/diff_id={diff_id}/depth={depth}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        compute().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)

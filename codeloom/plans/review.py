@@ -37,7 +37,7 @@ def items(nodes: DataFrame) -> DataFrame:
     group = F.when(changed, F.col("node")).when(F.col("item_type") == "AFFECTED_CALLER", F.concat_ws("/", "via", F.when(direct, "direct").otherwise("transitive"))).when(F.col("item_type") == "AFFECTED_DEPENDENCY", F.col("via")).otherwise("all")
     typed = nodes.withColumn("item_type", kind).where("item_type IS NOT NULL").withColumn("group_key", F.coalesce(group, F.lit("all")))
     grouped = typed.groupBy("item_type", "group_key").agg(
-        F.count(F.lit(1)).alias("total"), F.first("via").alias("via"), F.min(direct).alias("all_direct"), F.min("name").alias("first_name"), F.min("file_path").alias("first_path"), _entries(F.struct("depth", "name", "node")).alias("entries"),
+        F.count(F.lit(1)).alias("total"), F.min("via").alias("via"), F.min(direct).alias("all_direct"), F.min("name").alias("first_name"), F.min("file_path").alias("first_path"), _entries(F.struct("depth", "name", "node")).alias("entries"),
     )
     grouped = grouped.withColumn("priority", s.item_priority(F.col("item_type"), F.coalesce("via", F.lit("")), F.col("all_direct")))
     place = F.row_number().over(Window.partitionBy("item_type").orderBy("first_path", "first_name", "group_key")) - 1
@@ -47,6 +47,29 @@ def items(nodes: DataFrame) -> DataFrame:
     return out.select("stable_key", "item_type", "via", "priority", "sort", "title", "total", "entries").orderBy("sort", "stable_key").limit(v.LIMITS["review_items"])
 
 
+def cap_note(total: Column, limit: int = v.LIMITS["review_entries"]) -> Column:
+    """What a cut list says of the rest; empty where nothing is cut."""
+    return F.when(total > limit, F.format_string("Showing the first %d of %d entries.", F.lit(limit), total)).otherwise("")
+
+
+def summary_text(checklist: DataFrame) -> DataFrame:
+    """title and summary of a checklist, one row."""
+    n = checklist.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("priority") == "REQUIRED").alias("required"), F.count_if(F.col("priority") == "RECOMMENDED").alias("recommended"))
+    return n.select(F.format_string("Review checklist (%d items)", "n").alias("title"), F.format_string("%d required and %d recommended of %d items", "required", "recommended", "n").alias("summary"))
+
+
+def shortest_paths(paths: DataFrame) -> DataFrame:
+    """The shortest path to each target name, then the first root."""
+    return rel.first_wins(paths, ["target_name"], ["depth", "root", "target"])
+
+
+def updated(checklist: DataFrame, log: DataFrame) -> DataFrame:
+    """Items with the last status and notes of an append-only log (stable_key, status, notes, updated_at)."""
+    last = latest_status(log, "stable_key").select("stable_key", F.col("status").alias("_status"), F.col("notes").alias("_notes"))
+    out = checklist.join(last, "stable_key", "left")
+    return out.withColumns({"status": F.coalesce("_status", "status"), "notes": F.coalesce("_notes", "notes")}).drop("_status", "_notes")
+
+
 def carried(new: DataFrame, previous: DataFrame) -> DataFrame:
     """The checklist with the state of an earlier one: of items by key, of entries by entry key across all items."""
     out = rel.carried_over(new, previous, "stable_key", {"status": "OPEN", "notes": ""})

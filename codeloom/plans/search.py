@@ -76,7 +76,10 @@ def investigate(edges: DataFrame, symbols: DataFrame, files: DataFrame, symbol_i
     return rows.withColumn("group", group).orderBy("type", "evidence_path", "start_line").limit(limit)
 
 
-def related_files(investigated: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
-    """Paths of evidence and of targets, sorted."""
+def related_files(investigated: DataFrame, files: DataFrame, limit: int = 100, own: str | None = None) -> DataFrame:
+    """The symbol's own path, paths of evidence and of targets, sorted."""
     targets = investigated.select("target_file_id").join(files.select(F.col("file_id").alias("target_file_id"), "path"), "target_file_id").select("path")
-    return investigated.select(F.col("evidence_path").alias("path")).union(targets).where("path IS NOT NULL").distinct().orderBy("path").limit(limit)
+    every = investigated.select(F.col("evidence_path").alias("path")).union(targets).where("path IS NOT NULL")
+    if own is not None:
+        every = every.union(files.sparkSession.range(1).select(F.lit(own).alias("path")))
+    return every.distinct().orderBy("path").limit(limit)

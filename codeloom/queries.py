@@ -11,6 +11,7 @@ from .functions import scalar as s
 from .functions import values as v
 from .operators import lines, relational, traversal
 from .plans import diff, review, search
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,10 +54,10 @@ def lookup_by_priority(t):
     return relational.lookup_by_priority(t("orders").select("o_orderkey", "o_custkey"), candidates, table, "key", "s_name", ["o_orderkey"]).select("o_orderkey", "matched_priority", "s_name")
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 8000 GROUP BY 1 HAVING count(*) = 1) ON c_nationkey = s_nationkey")
+@query("SELECT c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey ELSE 25 + s_suppkey END AS k, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) ON c_custkey = k")
 def unique_match(t):
-    table = t("supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
-    return relational.unique_match(t("customer").select("c_custkey", "c_nationkey"), table, ["c_nationkey"], "s_suppkey").select("c_custkey", "s_suppkey")
+    key = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey").cast("long")).otherwise(F.col("s_suppkey") + 25)
+    return relational.unique_match(t("customer").select("c_custkey"), t("supplier").select(key.alias("c_custkey"), "s_suppkey"), ["c_custkey"], "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 def _points(t):
@@ -95,17 +96,15 @@ def nested_histogram(t):
     return got.withColumn("histogram", F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
-@query("SELECT lang, sum(n_chars)::BIGINT AS chars, round(100.0 * sum(n_chars) / sum(sum(n_chars)) OVER (), 1) AS share FROM documents GROUP BY 1")
+@query("SELECT lang, sum(n_chars)::BIGINT AS chars, round(100.0 * sum(n_chars) / sum(sum(n_chars)) OVER (), 1) AS share FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def language_shares(t):
-    from pyspark.sql import Window
-
-    sums = t("documents").groupBy("lang").agg(F.sum("n_chars").alias("chars"))
-    return sums.withColumn("share", s.share(F.col("chars"), F.sum("chars").over(Window.partitionBy(F.lit(0)))))
+    rows = t("documents").select(F.col("lang").alias("language"), F.col("n_chars").alias("size_bytes"))
+    return files.language_shares(rows).select(F.col("language").alias("lang"), F.col("bytes").alias("chars"), "share")
 
 
 @query("""
 WITH h AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '.' || p_name AS qualified_name, upper(split_part(p_type, ' ', 1)) AS kind FROM part
-  WHERE p_name ILIKE '%al%' OR p_brand || '.' || p_name ILIKE '%al%' ORDER BY p_partkey LIMIT 5000),
+  WHERE p_name ILIKE '%al%' OR p_brand || '.' || p_name ILIKE '%al%'),
 r AS (SELECT *, CASE WHEN qualified_name = 'al' THEN 6 WHEN qualified_name = name || '.al' THEN 5 WHEN name = 'al' THEN 5 WHEN ends_with(qualified_name, 'al') THEN 4 WHEN starts_with(name, 'al') THEN 3
   WHEN lower(name) = 'al' THEN 3 WHEN starts_with(lower(name), 'al') THEN 2 WHEN contains(lower(name), 'al') THEN 1 ELSE 0 END AS score FROM h)
 SELECT symbol_id, name, qualified_name, kind, p.p_brand AS path, score FROM r JOIN part p ON p_partkey = symbol_id ORDER BY score DESC, lower(name) DESC, path DESC, symbol_id DESC LIMIT 50""")
@@ -116,7 +115,7 @@ def ranked_symbol_search(t):
 
 
 @query("""
-WITH h AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source || '/' || lang || '/' || doc_id ILIKE '%en/1%' ORDER BY doc_id LIMIT 2000)
+WITH h AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source || '/' || lang || '/' || doc_id ILIKE '%en/1%')
 SELECT file_id, path, CASE WHEN path = 'en/1' THEN 6 WHEN starts_with(path, 'en/1/') THEN 5 WHEN ends_with(path, 'en/1') THEN 4 WHEN contains(path, 'en/1') THEN 2 ELSE 0 END AS score,
   coalesce((SELECT count(*) FROM labels l WHERE l.doc_id = file_id), 0) AS symbol_count FROM h ORDER BY score DESC, path DESC, file_id DESC LIMIT 40""")
 def ranked_file_search(t):
@@ -125,8 +124,8 @@ def ranked_file_search(t):
 
 
 @query("""
-WITH f AS (SELECT *, coalesce(sum(n_chars) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text, n_chars FROM documents)),
-l AS (SELECT path, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line, unnest(range(1, len(string_split_regex(text, '\\r\\n|\\n|\\r')) + 1)) AS line_number FROM f WHERE spent < 33554432)
+WITH f AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, text FROM documents),
+l AS (SELECT path, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line, unnest(range(1, len(string_split_regex(text, '\\r\\n|\\n|\\r')) + 1)) AS line_number FROM f)
 SELECT path, line_number::INT AS line_number, substr(trim(line), 1, 220) AS snippet FROM l WHERE contains(lower(line), 'idiot') ORDER BY path, line_number LIMIT 100""")
 def text_search(t):
     files = t("documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("size_bytes"))
@@ -135,14 +134,14 @@ def text_search(t):
 
 @query("""
 WITH e AS (SELECT DISTINCT 'P' || l_partkey AS a, 'S' || l_suppkey AS b FROM lineitem), d AS (SELECT a AS source, b AS target FROM e UNION SELECT b, a FROM e),
-r AS (SELECT DISTINCT 'P' || p_partkey AS node FROM part WHERE p_partkey <= 3),
+r AS (SELECT DISTINCT 'P' || p_partkey AS node FROM part WHERE p_size = 1),
 n1 AS (SELECT target AS node, min(source) AS via_source FROM d JOIN r ON source = node WHERE target NOT IN (SELECT node FROM r) GROUP BY 1),
 n2 AS (SELECT target AS node, min(struct_pack(v := n1.via_source, s := source)) AS m FROM d JOIN n1 ON source = n1.node WHERE target NOT IN (SELECT node FROM r) AND target NOT IN (SELECT node FROM n1) GROUP BY 1)
 SELECT node, 0 AS depth, 0 AS steps FROM r UNION ALL SELECT node, 1, 1 FROM n1 UNION ALL SELECT node, 2, 2 FROM n2""")
 def bounded_traversal(t):
     pairs = t("lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("source"), F.concat(F.lit("S"), "l_suppkey").alias("target")).distinct()
     edges = pairs.union(pairs.select("target", "source")).withColumn("kind", F.lit("SUPPLIES"))
-    roots = t("part").where("p_partkey <= 3").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.lpad(F.col("p_partkey").cast("string"), 20, "0").alias("rank"))
+    roots = t("part").where("p_size = 1").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.lpad(F.col("p_partkey").cast("string"), 20, "0").alias("rank"))
     return traversal.bounded_bfs(roots, edges, 2).select("node", "depth", F.size("path").alias("steps"))
 
 
@@ -161,42 +160,32 @@ def identifiers_per_document(t):
 
 
 @query("""
-WITH b AS (SELECT 'd' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 5 != 0), a AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'n' ELSE 'd' END || doc_id AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 3 != 0),
+WITH b AS (SELECT 'd' || doc_id AS path, sha256(text) AS h FROM documents), a AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'n' ELSE 'd' END || doc_id AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents),
 j AS (SELECT coalesce(b.path, a.path) AS path, b.h AS old, a.h AS new FROM b FULL JOIN a ON a.path = b.path WHERE b.h IS DISTINCT FROM a.h),
 r AS (SELECT x.path, y.old_path FROM (SELECT new AS h, min(path) AS path FROM j WHERE old IS NULL GROUP BY 1) x JOIN (SELECT old AS h, min(path) AS old_path FROM j WHERE new IS NULL GROUP BY 1) y USING (h))
 SELECT path, CASE WHEN old IS NULL THEN 'ADDED' WHEN new IS NULL THEN 'DELETED' ELSE 'MODIFIED' END AS status, NULL AS old_path FROM j WHERE path NOT IN (SELECT path FROM r) AND path NOT IN (SELECT old_path FROM r)
 UNION ALL SELECT path, 'RENAMED', old_path FROM r""")
 def snapshot_diff(t):
     docs = t("documents")
-    base = docs.where("doc_id % 5 != 0").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content"))
-    head = docs.where("doc_id % 3 != 0").select(F.concat(F.when(F.col("doc_id") % 7 == 0, "n").otherwise("d"), "doc_id").alias("path"), F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    base = docs.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content"))
+    head = docs.select(F.concat(F.when(F.col("doc_id") % 7 == 0, "n").otherwise("d"), "doc_id").alias("path"), F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
     return diff.snapshot_diff(base, head).drop("file_category")
 
 
-@query("SELECT p_partkey, p_brand, coalesce(o.status, 'OPEN') AS status FROM part LEFT JOIN (SELECT l_partkey, max(l_linestatus) AS status FROM lineitem WHERE l_quantity > 48 GROUP BY 1) o ON l_partkey = p_partkey")
+@query("SELECT p_partkey, p_brand, coalesce(o.status, 'OPEN') AS status FROM part LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS status FROM orders GROUP BY 1) o ON o_custkey = p_partkey")
 def state_carry_over(t):
-    old = t("lineitem").where("l_quantity > 48").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_linestatus").alias("status"))
+    old = t("orders").groupBy(F.col("o_custkey").alias("p_partkey")).agg(F.max("o_orderstatus").alias("status"))
     return relational.carried_over(t("part").select("p_partkey", "p_brand"), old, "p_partkey", {"status": "OPEN"})
 
 
-@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
-def edge_counts(t):
-    return t("orders").cube("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = p_partkey)")
 def absent_rows(t):
-    return relational.absent(t("customer").select("c_custkey", "c_name"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return relational.absent(t("part").select("p_partkey", "p_name"), t("customer").select(F.col("c_custkey").alias("p_partkey")), ["p_partkey"])
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS lines FROM documents WHERE text != ''")
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS lines FROM documents")
 def line_counts(t):
-    return t("documents").where("text != ''").select("doc_id", s.line_count(F.col("text")).alias("lines"))
-
-
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS high, count(*) FILTER (value <= 50) AS low FROM events GROUP BY 1")
-def status_totals(t):
-    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.count_if(F.col("value") <= 50).alias("low"))
+    return t("documents").select("doc_id", s.line_count(F.col("text")).alias("lines"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
