@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text
+
 BATCH_ROWS = 1000
 _LOCAL: list[str] = []
 
@@ -88,9 +90,11 @@ def merged_arrays(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.n
         yield from done()
 
     sent = df.mapInArrow(local, "segment long, part binary").repartition("segment").sortWithinPartitions("segment")
-    rows = {r["segment"]: r["part"] for r in sent.mapInArrow(total, "segment long, part binary").collect()}
     last = (finish(np.zeros(1, wide)) if finish else np.zeros(1, wide)).dtype
-    return np.concatenate([np.frombuffer(rows[k], last) if k in rows else np.zeros(step, last) for k in range(segments)])
+    out = np.zeros((segments, step), last)
+    for r in sent.mapInArrow(total, "segment long, part binary").toLocalIterator():
+        out[r["segment"]] = np.frombuffer(r["part"], last)
+    return out.reshape(-1)
 
 
 SKETCH_BITS = 27
@@ -152,8 +156,10 @@ def delete(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps (it acts when the driver's heap is collected)."""
+    """Let Spark's cleaner drop shuffle files of finished steps (it acts when the driver's heap is collected), and return the memory
+    that the driver's Python has freed."""
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
+    text.give_back()

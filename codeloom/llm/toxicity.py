@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return (*(table[c].to_numpy().view(np.uint64) for c in ("before", "piece")), *(table[c].to_numpy().astype(np.float32) for c in ("t", "o")))
 
     model = fitted(collected(0), collected(1), collected(2))
-    pa.default_memory_pool().release_unused()
+    text.give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
