@@ -1,28 +1,35 @@
 """URL filters by path templates, in DataFrame functions only.
 
 A url is a host and a path. Rules (host, path prefix) decide where one fits; the longest wins. The rest is judged
-by a tree of path templates per host: segments that are numbers, hexadecimal keys or dates become wildcards of
-their kind, and so does any segment of a node with at least ``CHILDREN`` children that takes less than ``RARE`` of
-the node's urls. Branches below one parent whose labelled shares do not differ beyond chance (two-sided test at
-5 %), or that have no labels, are merged. A branch is rejected if its share of bad labels, smoothed by that of its
-host, which is smoothed by that of all, reaches ``REJECT``.
+by a tree of path templates per host, built level by level from the root. Segments that are numbers, hexadecimal keys or
+dates become wildcards of their kind first. At each node a segment stands apart if its share of bad labels differs from
+that of its siblings beyond chance (two-sided test at 5 %, from ``LEAST`` labels on). All others are similar branches: they
+are merged, so that their subtrees are one node at the next level; in the template they become ``<*>`` where the node has at
+least ``CHILDREN`` children and the segment less than ``RARE`` of its urls. A branch's share of bad labels is smoothed by
+that of its parent, up to its host's and that of all; a branch is rejected if it reaches ``REJECT``. What lies below
+``LEVELS`` levels is one segment, ``<+>``, so long urls cost no more than others.
 
 Everything is aggregated by (host, typed path) before any join, so a host with a third of all urls costs one row a
-typed path.
+typed path; counts of nodes are aggregates that are joined back, no windows.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is judged by the labels of that branch;
-repeated urls and ids count each; contradicting labels of an id all count; null labels are no labels; without any
-labels everything is allowed; no rows give no rows; extra columns are ignored.
+repeated urls and ids count each; contradicting labels of an id go by their majority (ties are bad); null labels are no
+labels; without any labels everything is allowed; very long urls are taken whole (see ``LEVELS``); no rows give no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 #: (verdict, rule)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 CHILDREN, RARE = 8, 0.1
+LEAST = 4
+LEVELS = 6
 WEIGHT = 4.0  # labels that a prior counts as
 REJECT = 0.5
 CHANCE = 3.8416  # 1.96 squared
@@ -56,33 +63,38 @@ def _kind(segment: Column) -> Column:
     return out
 
 
+def _segments(typed: Column) -> Column:
+    """The segments of a typed path after its first slash; what is too deep is one."""
+    parts = F.split(typed, "/")
+    return F.when(F.size(parts) > LEVELS + 1, F.concat(F.slice(parts, 2, LEVELS - 1), F.array(F.lit("<+>")))).otherwise(F.slice(parts, 2, LEVELS))
+
+
 def branches(pages: DataFrame) -> DataFrame:
     """``pages`` (host, typed, bad or null) -> host, typed, bad_share, template: the smoothed share of each branch."""
-    groups = pages.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("m"), F.sum(F.coalesce("bad", F.lit(0))).alias("b"))
-    levels = groups.select("host", "typed", "n", F.posexplode(F.split("typed", "/")).alias("at", "segment"))
-    levels = levels.withColumn("parent", F.array_join(F.slice(F.split("typed", "/"), 1, F.col("at")), "/"))
-    children = levels.groupBy("host", "at", "parent", "segment").agg(F.sum("n").alias("n"))
-    nodes = children.groupBy("host", "at", "parent").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("kinds"))
-    rare = children.join(nodes, ["host", "at", "parent"]).where((F.col("kinds") >= CHILDREN) & (F.col("n") < RARE * F.col("n_all")))
-    marked = levels.join(rare.select("host", "at", "parent", "segment", F.lit("<*>").alias("wild")), ["host", "at", "parent", "segment"], "left")
-    named = marked.groupBy("host", "typed").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("wild", "segment").alias("s")))).alias("path"))
-    named = named.select("host", "typed", F.array_join("path.s", "/").alias("template"), F.array_join(F.slice("path.s", 1, F.size("path") - 1), "/").alias("above"))
-    templates = groups.join(named, ["host", "typed"]).groupBy("host", "above", "template").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
-    family = Window.partitionBy("host", "above")
-    rest_m, rest_b = F.sum("m").over(family) - F.col("m"), F.sum("b").over(family) - F.col("b")
-    tested = templates.withColumns({"rest_m": rest_m, "rest_b": rest_b})
-    m, rest = F.nullif(F.col("m"), F.lit(0)), F.nullif(F.col("rest_m"), F.lit(0))
-    both = (F.col("b") + F.col("rest_b")) / (m + rest)
-    gap = F.col("b") / m - F.col("rest_b") / rest
-    apart = gap * gap > F.lit(CHANCE) * both * (1 - both) * (1 / m + 1 / rest)
-    merged = tested.withColumn("branch", F.when(F.coalesce(apart, F.lit(False)), F.col("template")).otherwise(F.concat("above", F.lit("/~"))))
-    pooled = merged.groupBy("host", "branch").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
-    of_host = pooled.groupBy("host").agg(F.sum("m").alias("m_host"), F.sum("b").alias("b_host"))
-    of_all = of_host.agg(((F.sum("b_host") + 1) / (F.sum("m_host") + 4)).alias("p_all"))
-    host_share = of_host.crossJoin(F.broadcast(of_all)).select("host", ((F.col("b_host") + WEIGHT * F.col("p_all")) / (F.col("m_host") + WEIGHT)).alias("p_host"))
-    share = (F.col("b") + WEIGHT * F.col("p_host")) / (F.col("m") + WEIGHT)
-    judged = pooled.join(host_share, "host").select("host", "branch", share.alias("bad_share"))
-    return named.join(merged.select("host", "above", "template", "branch"), ["host", "above", "template"]).join(judged, ["host", "branch"]).select("host", "typed", "template", "branch", "bad_share")
+    at = pages.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("m"), F.sum(F.coalesce("bad", F.lit(0))).alias("b")).withColumn("segments", _segments(F.col("typed")))
+    of_host = at.groupBy("host").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
+    of_all = of_host.agg(((F.sum("b") + 1) / (F.sum("m") + 4)).alias("p_all"))
+    share = of_host.crossJoin(F.broadcast(of_all)).select("host", ((F.col("b") + WEIGHT * F.col("p_all")) / (F.col("m") + WEIGHT)).alias("p"))  # one row
+    at = store.saved(at.join(share, "host").withColumns({"branch": F.lit(""), "template": F.lit("")}), "url-level")
+    for level in range(LEVELS):
+        here = at.where(F.size("segments") > level).withColumn("s", F.get("segments", F.lit(level)))
+        kids = here.groupBy("host", "branch", "s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"))
+        nodes = kids.groupBy("host", "branch").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n_all"), F.sum("m").alias("m_all"), F.sum("b").alias("b_all"))
+        rest = F.nullif(F.col("m_all") - F.col("m"), F.lit(0))
+        both = F.col("b_all") / F.col("m_all")
+        gap = F.col("b") / F.col("m") - (F.col("b_all") - F.col("b")) / rest
+        apart = F.when(F.col("m") >= LEAST, gap * gap > F.lit(CHANCE) * both * (1 - both) * (1 / F.col("m") + 1 / rest))
+        told = kids.join(nodes, ["host", "branch"]).withColumn("apart", F.coalesce(apart, F.lit(False)))
+        wild = ~F.col("apart") & (F.col("kinds") >= CHILDREN) & (F.col("n") < RARE * F.col("n_all"))
+        told = told.select("host", "branch", "s", "apart", F.when(wild, "<*>").otherwise(F.col("s")).alias("t"), F.when(F.col("apart"), F.col("s")).otherwise("~").alias("to"), F.col("m").alias("m_own"), F.col("b").alias("b_own"))
+        told = store.saved(told, "url-kids")
+        pooled = told.groupBy("host", "branch", "to").agg(F.sum("m_own").alias("m_to"), F.sum("b_own").alias("b_to"))
+        moved = here.join(told.select("host", "branch", "s", "t", "to"), ["host", "branch", "s"]).join(pooled, ["host", "branch", "to"])
+        moved = moved.withColumns({"p": (F.col("b_to") + WEIGHT * F.col("p")) / (F.col("m_to") + WEIGHT), "branch": F.concat_ws("/", "branch", "to"), "template": F.concat_ws("/", "template", "t")})
+        before = at
+        at = store.saved(moved.select(*at.columns).union(at.where(F.size("segments") <= level)), "url-level")
+        store.delete(before, told)
+    return at.select("host", "typed", "template", F.col("p").alias("bad_share"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -100,6 +112,23 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = R
 
 _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for p, k in KINDS) + " ELSE s END"
 _RULE_SQL = "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{{}}'" for _, r in sorted(RULES, key=lambda r: -len(r[1]))) + " END"
+
+
+def _level_sql(k: int) -> str:
+    """One level of ``branches``."""
+    return f"""
+here{k} AS (SELECT *, segments[{k + 1}] AS s FROM at{k} WHERE len(segments) > {k}),
+kids{k} AS (SELECT host, branch, s, sum(n) AS n, sum(m) AS m, sum(b) AS b FROM here{k} GROUP BY 1, 2, 3),
+nodes{k} AS (SELECT host, branch, count(*) AS kinds, sum(n) AS n_all, sum(m) AS m_all, sum(b) AS b_all FROM kids{k} GROUP BY 1, 2),
+told{k} AS (SELECT *, CASE WHEN apart THEN s ELSE '~' END AS dest, CASE WHEN NOT apart AND kinds >= {CHILDREN} AND n < {RARE} * n_all THEN '<*>' ELSE s END AS t FROM (
+  SELECT k.*, kinds, n_all, coalesce(m >= {LEAST} AND m_all > m AND (b / m - (b_all - b) / nullif(m_all - m, 0)) * (b / m - (b_all - b) / nullif(m_all - m, 0)) > {CHANCE} * (b_all / m_all) * (1 - b_all / m_all) * (1 / m + 1 / nullif(m_all - m, 0)), FALSE) AS apart
+  FROM kids{k} k JOIN nodes{k} o ON k.host = o.host AND k.branch = o.branch)),
+pool{k} AS (SELECT host, branch, dest, sum(m) AS m_to, sum(b) AS b_to FROM told{k} GROUP BY 1, 2, 3),
+at{k + 1} AS (SELECT h.host, h.typed, h.n, h.m, h.b, h.segments, (b_to + {WEIGHT} * p) / (m_to + {WEIGHT}) AS p, h.branch || '/' || c.dest AS branch, h.template || '/' || c.t AS template
+  FROM here{k} h JOIN told{k} c ON h.host = c.host AND h.branch = c.branch AND h.s = c.s JOIN pool{k} q ON q.host = c.host AND q.branch = c.branch AND q.dest = c.dest
+  UNION ALL SELECT * FROM at{k} WHERE len(segments) <= {k}),"""
+
+
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[1]))
 #: The query in DuckDB SQL.
 ORACLE = f"""
@@ -110,26 +139,12 @@ typed AS (SELECT *, array_to_string([{_KIND_SQL} FOR s IN string_split(path, '/'
 known AS (SELECT doc_id AS page_id, CASE WHEN sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) * 2 >= count(*) THEN 1 ELSE 0 END AS bad
           FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 groups AS (SELECT host, typed, count(*) AS n, count(bad) AS m, sum(coalesce(bad, 0)) AS b FROM typed LEFT JOIN known USING (page_id) GROUP BY 1, 2),
-levels AS (SELECT host, typed, n, i - 1 AS lvl, string_split(typed, '/')[i] AS segment, array_to_string(string_split(typed, '/')[:i - 1], '/') AS parent
-           FROM (SELECT *, unnest(range(1, len(string_split(typed, '/')) + 1)) AS i FROM groups)),
-children AS (SELECT host, lvl, parent, segment, sum(n) AS n, count(*) AS c FROM levels GROUP BY 1, 2, 3, 4),
-nodes AS (SELECT host, lvl, parent, sum(n) AS n_all, count(*) AS kinds FROM children GROUP BY 1, 2, 3),
-rare AS (SELECT host, lvl, parent, segment FROM children JOIN nodes USING (host, lvl, parent) WHERE kinds >= {CHILDREN} AND n < {RARE} * n_all),
-marked AS (SELECT l.host, l.typed, l.lvl, CASE WHEN r.segment IS NULL THEN l.segment ELSE '<*>' END AS s
-           FROM levels l LEFT JOIN rare r ON l.host = r.host AND l.lvl = r.lvl AND l.parent = r.parent AND l.segment = r.segment),
-named AS (SELECT host, typed, list(s ORDER BY lvl) AS p FROM marked GROUP BY 1, 2),
-named2 AS (SELECT host, typed, array_to_string(p, '/') AS template, array_to_string(p[:len(p) - 1], '/') AS above FROM named),
-templates AS (SELECT host, above, template, sum(m) AS m, sum(b) AS b FROM groups JOIN named2 USING (host, typed) GROUP BY 1, 2, 3),
-tested AS (SELECT *, sum(m) OVER f - m AS rest_m, sum(b) OVER f - b AS rest_b FROM templates WINDOW f AS (PARTITION BY host, above)),
-merged AS (SELECT *, CASE WHEN m > 0 AND rest_m > 0 AND (b / m - rest_b / rest_m) * (b / m - rest_b / rest_m)
-             > {CHANCE} * ((b + rest_b) / (m + rest_m)) * (1 - (b + rest_b) / (m + rest_m)) * (1 / m + 1 / rest_m) THEN template ELSE above || '/~' END AS branch FROM tested),
-pooled AS (SELECT host, branch, sum(m) AS m, sum(b) AS b FROM merged GROUP BY 1, 2),
-of_host AS (SELECT host, sum(m) AS m_host, sum(b) AS b_host FROM pooled GROUP BY 1),
-of_all AS (SELECT (sum(b_host) + 1) / (sum(m_host) + 4) AS p_all FROM of_host),
-judged AS (SELECT p.host, p.branch, (b + {WEIGHT} * ((b_host + {WEIGHT} * p_all) / (m_host + {WEIGHT}))) / (m + {WEIGHT}) AS bad_share
-           FROM pooled p JOIN of_host h ON p.host = h.host CROSS JOIN of_all),
-tree AS (SELECT n.host, n.typed, n.template, j.bad_share FROM named2 n JOIN merged m ON n.host = m.host AND n.above = m.above AND n.template = m.template
-         JOIN judged j ON j.host = m.host AND j.branch = m.branch)
+of_host AS (SELECT host, sum(m) AS m, sum(b) AS b FROM groups GROUP BY 1),
+of_all AS (SELECT (sum(b) + 1) / (sum(m) + 4) AS p_all FROM of_host),
+at0 AS (SELECT g.host, typed, n, g.m, g.b, CASE WHEN len(string_split(typed, '/')) > {LEVELS + 1} THEN list_concat(string_split(typed, '/')[2:{LEVELS}], ['<+>']) ELSE string_split(typed, '/')[2:{LEVELS + 1}] END AS segments,
+        (h.b + {WEIGHT} * p_all) / (h.m + {WEIGHT}) AS p, '' AS branch, '' AS template FROM groups g JOIN of_host h ON g.host = h.host CROSS JOIN of_all),
+{"".join(_level_sql(k) for k in range(LEVELS))}
+tree AS (SELECT host, typed, template, p AS bad_share FROM at{LEVELS})
 SELECT page_id, host, path, {_RULE_SQL.format(*[r for _, r in _BY_LENGTH])} AS rule,
        coalesce({_RULE_SQL.format(*[v for v, _ in _BY_LENGTH])}, CASE WHEN bad_share >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM typed LEFT JOIN tree USING (host, typed)

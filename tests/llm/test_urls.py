@@ -68,3 +68,28 @@ def test_no_python_in_the_plan(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judged(empty, spark.createDataFrame([], "page_id long, bad int")).count() == 0
+
+
+def test_a_bad_section_among_many_is_kept_apart(spark):
+    """A rare segment with labels of its own doesn't vanish in a wildcard, and variable segments above pool what is below them."""
+    pages, labels = [], []
+    for i in range(1200):
+        section = i % 12
+        pages.append((i, f"http://h.org/user{i % 50}/{'casino' if section == 0 else f's{section}'}/x{i}z"))
+        if i % 3 == 0 or section == 0:
+            labels.append((i, int(section == 0)))
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {(r["path"].split("/")[2] == "casino", r["verdict"]) for r in got} == {(True, "block"), (False, "allow")}
+    assert {r["template"] for r in got if "casino" in r["path"]} == {"/<*>/casino/<*>"}
+
+
+def test_very_long_urls(spark):
+    long = "http://h.org/" + "/".join(f"p{k}" for k in range(8000))
+    got = urls.judged(spark.createDataFrame([(1, long), (2, long + "/x")], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect()
+    assert {r["template"] for r in got} == {"/p0/p1/p2/p3/p4/<+>"} and all(len(r["path"]) > 40_000 for r in got)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["host", "branch", "template", "typed", "n", "m", "bad"]
+    df = spark.createDataFrame([(1, "http://a.com/x", *names)], ", ".join(["page_id long", "url string", *[f"{n} string" for n in names]]))
+    assert [tuple(r)[:3] for r in urls.judged(df, spark.createDataFrame([(1, 1)], "page_id long, bad int")).collect()] == [(1, "a.com", "/x")]
