@@ -14,13 +14,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v) with u > v. Each node's neighbours (large: those above it) move to its least neighbour."""
     around = edges.union(edges.select("v", "u").toDF("u", "v")) if large else edges
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-    least = store.saved(least, "least")
-    hubs = least.where(F.col("n") > HUB).select("u", "m")
-    seldom = counts.joined_by_size(around, hubs.select("u"), ["u"], "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
-    moved = seldom.select("u", "v", "m").union(counts.joined_by_size(around, hubs, ["u"], "inner").select("u", "v", "m"))
+    hubs = store.saved(least.where(F.col("n") > HUB).select("u", "m"), "hubs")
+    if hubs.limit(1).count():
+        seldom = counts.joined_by_size(around, hubs.select("u"), ["u"], "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+        moved = seldom.select("u", "v", "m").union(counts.joined_by_size(around, hubs, ["u"], "inner").select("u", "v", "m"))
+    else:
+        moved = around.join(least, "u").select("u", "v", "m")
     moved = moved.where("v > u").select("v", "m") if large else moved.select("v", "m").union(least.select("u", "m"))
     out = store.saved(moved.toDF("u", "v").where("u != v").distinct(), "edges")
-    store.delete(least)
+    store.delete(hubs)
     return out
 
 
