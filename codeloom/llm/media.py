@@ -205,7 +205,8 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def sniffed(media: DataFrame, data: str = "media", declared: str = "declared_type") -> DataFrame:
-    """Adds actual_type, corrected (the declared type was wrong) and spans; the bytes stay."""
+    """Adds actual_type, corrected (the declared type was wrong) and spans, in place of columns of these names; the bytes stay."""
+    media = media.drop("actual_type", "corrected", "spans")
     fields = ", ".join(f"`{c}` {t}" for c, t in media.dtypes)
 
     def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +232,8 @@ def feature(samples: np.ndarray) -> str:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """``sniffed`` sound files -> doc_id, n_bytes, and digests of the stored bytes and of the samples read from them."""
+    """``sniffed`` sound files -> doc_id, n_bytes, and digests of the stored bytes and of the samples read from them. A file that is
+    null gets nulls; of one that no format fits, only the stored form has digests."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "type_corrected"]
@@ -239,10 +241,14 @@ def digests(rows: DataFrame) -> DataFrame:
             col = {n: piece.column(n) for n in piece.schema.names}
             out = []
             for file, found in zip(col["media"].to_pylist(), col["spans"].to_pylist(), strict=True):
+                if not found:
+                    out.append((None, None, None, None if file is None else len(file), None if file is None else hashlib.sha256(file).hexdigest(), None))
+                    continue
                 span = found[0]
                 samples = file[span["body_offset"] : span["body_offset"] + span["body_length"]]
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(np.frombuffer(samples, np.uint8))))
-            made = [pa.array(x) for x in zip(*out, strict=True)]
+                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(np.frombuffer(samples, np.uint8)) if samples else None))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([col["doc_id"], col["n_bytes"], *made, col["actual_type"], col["corrected"]], names)
 
     return rows.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, type_corrected boolean")

@@ -6,8 +6,8 @@ documents stand in the order of their size; each is expected ``target / source w
 of expected copies, shifted by one random offset a source, crosses integers; each crossing emits a copy.
 
 Cases: null or empty text has size 0 and takes 0 words; a source of no words has target 0; equal sizes are
-ordered by ``doc_id``; repeated rows count as documents of their own; no rows give no rows; other columns
-are ignored.
+ordered by ``doc_id``; repeated rows count as documents of their own; very long texts are one document each; no rows give
+no rows; other columns are ignored, whatever their names (``emitted`` keeps them).
 """
 
 from __future__ import annotations
@@ -83,19 +83,20 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
 def emitted(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     spark, keys = docs.sparkSession, ["doc_id", "source_key", "size"]
+    names = store.fresh(docs, *keys, "nth", "copies", "copy")
     copies = store.saved(mixed(store.saved(measured(docs), "sizes"), weights, max_repeat, seed).select(*keys, "copies"), "copies")
     store.release(spark)
-    whole = docs.withColumns({f"mix_{k}": c for k, c in zip(keys, (F.col("doc_id"), _source_key(), _size()), strict=True)})
+    whole = docs.withColumns({names[k]: c for k, c in zip(keys, (F.col("doc_id"), _source_key(), _size()), strict=True)})
     repeated = copies.groupBy(*keys).count().where("count > 1").limit(1).count()
     if repeated:  # rows alike in these are numbered on both sides, so that each has its own copies
         copies = copies.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies"))))
-        whole = whole.withColumn("mix_nth", F.row_number().over(Window.partitionBy(*[f"mix_{k}" for k in keys]).orderBy(F.xxhash64("text"))))
+        whole = whole.withColumn(names["nth"], F.row_number().over(Window.partitionBy(*[names[k] for k in keys]).orderBy(F.xxhash64("text"))))
         keys = [*keys, "nth"]
-    renamed = copies.where("copies > 0").select(*[F.col(k).alias(f"mix_{k}") for k in keys], F.col("copies").alias("mix_copies"))
+    renamed = copies.where("copies > 0").select(*[F.col(k).alias(names[k]) for k in keys], F.col("copies").alias(names["copies"]))
     lowest = F.lit(-(2**63))
-    whole, renamed = (d.withColumn("mix_doc_id", F.coalesce("mix_doc_id", lowest)) for d in (whole, renamed))
-    taken = counts.joined_by_size(whole, renamed, [f"mix_{k}" for k in keys], "inner")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+    whole, renamed = (d.withColumn(names["doc_id"], F.coalesce(names["doc_id"], lowest)) for d in (whole, renamed))
+    taken = counts.joined_by_size(whole, renamed, [names[k] for k in keys], "inner")
+    return taken.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), names["copies"]))).select(*docs.columns)
 
 
 _CASE = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))

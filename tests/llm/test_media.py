@@ -66,3 +66,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_query_over_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     check(queries.op7_media(spark, sf).collect(), {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})
+
+
+def test_files_that_nothing_fits_and_other_columns(spark):
+    rows = [(1, 5, "text/plain", b"hello", "x", True, 7), (2, 0, "audio/wav", None, "x", False, 8), (3, 3, "audio/wav", media.wav(b"abc"), "x", False, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, declared_type string, media binary, actual_type string, corrected boolean, spans int")
+    got = {r["doc_id"]: r for r in media.digests(media.sniffed(df)).collect()}
+    assert (got[1]["payload_bytes"], got[1]["media_bytes"], got[1]["media_type"]) == (None, 5, "text/plain")
+    assert got[2]["media_sha256"] is None and got[3]["payload_bytes"] == 3 and got[3]["media_type"] == "audio/wav"

@@ -64,3 +64,10 @@ def test_sql_equivalent(spark):
     want = con.execute(mixing.ORACLE)
     names = [d[0] for d in want.description]
     assert sorted(map(tuple, queries.op5_mixing(spark, sf).select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["mix_doc_id", "mix_size", "_doc_id", "_copies", "size", "copies"]
+    df = spark.createDataFrame([(k, f"a b {k}", "s", *names) for k in range(4)], ", ".join(["doc_id long", "text string", "source string", *[f"{n} string" for n in names]]))
+    rows = mixing.emitted(df).collect()
+    assert rows and all(tuple(r)[3:] == tuple(names) for r in rows)
