@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from . import counts, store, text
 
 SLOTS, SEGMENTS = 1 << 23, 64
-SKETCH_BITS = 27
 SLICE_BYTES = 1 << 20
 WORD_BYTES = 5
 SEEN = 1 << 21  # sets that a task remembers
@@ -274,33 +273,28 @@ def _wide(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mark(doc_id: np.ndarray, text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Where the sketch marks a line of a document."""
-    mixed = text.mix(number.astype(np.uint64) * text._ODD[3] ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
-    return (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    """A hash of a line's place, for a sketch."""
+    return text.mix(number.astype(np.uint64) * text._ODD[3] ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
 
 
 def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
     """set_hash, doc_id, text_hash, line_number, words by rarity and the first of these (head) of the ``wanted`` sets (set_hash, first: doc_id, text_hash,
-    line_number), read at the line given, and of a few others. A sketch of 2 ** ``SKETCH_BITS`` bits tells which lines need not be read; the fuller it is, the more are, with the
-    same results."""
-    size = 1 << SKETCH_BITS - 3
+    line_number), read at the line given, and of a few others. A sketch tells which lines need not be read; the fuller it is, the
+    more are, with the same results."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros(size, np.uint8)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _mark(*(b.column(k).to_numpy() for k in range(3)))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return bits
+            yield pa.RecordBatch.from_arrays([text.as_i64(_mark(*(b.column(k).to_numpy() for k in range(3))))], ["h"])
 
-    sketch = known.sparkSession.sparkContext.broadcast(store.merged_arrays(wanted.select("first.doc_id", "first.text_hash", "first.line_number"), mark, np.bitwise_or, size, "u1", "u1", SEGMENTS))
+    places = wanted.select("first.doc_id", "first.text_hash", "first.line_number").mapInArrow(hashed, "h long")
+    sketch = known.sparkSession.sparkContext.broadcast(store.sketch(places))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text.slices(batches, budget=SLICE_BYTES):
             buf, doc_byte = text.bytes_of(piece.column(1))
             breaks, of, number = _breaks(buf, doc_byte)
             ids, hashes = (piece.column(k).to_numpy() for k in (0, 2))
-            at = _mark(ids[of], hashes[of], number)
-            asked = np.flatnonzero((sketch.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0)
+            asked = np.flatnonzero(store.marked(sketch.value, _mark(ids[of], hashes[of], number)))
             ends = np.append(breaks[1:], len(buf))[asked]
             n = ends - breaks[asked]
             chosen = buf[np.repeat(breaks[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())]

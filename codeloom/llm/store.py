@@ -97,31 +97,37 @@ def merged_arrays(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.n
     return out.reshape(-1)
 
 
-SKETCH_BITS = 27
+SKETCH_BITS = 16, 27  # of a sketch's places, at least and at most
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def places_for(n: int) -> int:
+    """The power of two that a sketch of ``n`` keys has places: 32 a key, within ``SKETCH_BITS``."""
+    return min(max(SKETCH_BITS[0], (32 * max(n, 1) - 1).bit_length()), SKETCH_BITS[1])
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def sketch(hashes: DataFrame) -> np.ndarray:
-    """A bit for each of the 64-bit hashes, in 2 ** ``SKETCH_BITS`` bits whatever their number. What is not ``marked`` is not among them;
+    """A bit for each of the 64-bit hashes, in 16 MB at most whatever their number. What is not ``marked`` is not among them;
     the fuller the sketch, the more others are marked, which a join then leaves out."""
-    size = 1 << SKETCH_BITS - 3
+    bits = places_for(hashes.count())
+    size = 1 << bits - 3
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros(size, np.uint8)
+        made = np.zeros(size, np.uint8)
         for b in batches:
-            at = _bits(b.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return bits
+            at = _places(b.column(0).to_numpy(), bits)
+            np.bitwise_or.at(made, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return made
 
     return merged_arrays(hashes, mark, np.bitwise_or, size, "u1", "u1", 64)
 
 
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _bits(hashes)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
+def marked(sketched: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _places(hashes, len(sketched).bit_length() + 2)
+    return (sketched[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
 
 
 def sifted(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -39,3 +39,18 @@ def test_stages_on_a_whole_table(spark):
     assert {r["doc_id"] for r in final} <= set(classes.values())
     want = expected_ids([(r["doc_id"], sources[r["doc_id"]]["text"]) for r in final])
     assert sorted(map(tuple, final)) == sorted(want)
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd_docs, sf)
+        assert name == "token_ids" or got.columns == corpus_pipeline.COLUMNS
+        rows = got.collect()
+        if name == "near_dedup":  # one of the three equal texts, one of the two without words
+            assert len(rows) == len({r[1] or "" for r in ODD})
+        if name == "decontamination":
+            assert len(rows) == len(ODD)
+        if name == "token_ids":
+            assert len(rows) == len(ODD) and min(r["n_tokens"] for r in rows) == 1
+        assert stage(spark, no_docs, sf).count() == 0
