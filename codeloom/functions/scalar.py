@@ -104,7 +104,7 @@ def repository_of(url: Column) -> Column:
 
 
 def revision_is_valid(revision: Column) -> Column:
-    return revision.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/@{}^~+-]*$") & ~revision.contains("..") & (F.length(revision) <= 128)
+    return revision.rlike(v.REVISION) & ~revision.contains("..") & (F.length(revision) <= 128)
 
 
 def numstat_path(path: Column) -> Column:

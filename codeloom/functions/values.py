@@ -60,6 +60,9 @@ SECRET_ASSIGNMENT = r"""(?i)(api[_-]?key|password|passwd|secret[_-]?key|secret|t
 LOG_KEYS = ["API_KEY", "APISECRET", "ACCESS_TOKEN", "AUTH_TOKEN", "AUTHORIZATION", "SECRET", "SECRET_KEY", "PRIVATE_KEY", "PASSWORD", "PASSWD", "CREDENTIALS", "COOKIE"]
 CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f￾￿]"
 
+# Names of revisions.
+REVISION = r"^[A-Za-z0-9][A-Za-z0-9._/@{}^~+-]*$"
+
 # Traversal and review.
 EDGE_PRIORITY = {"TESTS": 0, "CALLS": 1, "REFERENCES": 2, "EXTENDS": 3, "IMPLEMENTS": 4, "IMPORTS": 5}
 CONTAINER_KINDS = ["CLASS", "INTERFACE"]

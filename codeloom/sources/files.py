@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from ..functions import values as v
 from ..operators import relational
 
 MAX_FILE_BYTES, MAX_FILES, MAX_REPOSITORY_BYTES = 512 << 10, 10_000, 200 << 20
@@ -30,13 +34,43 @@ def read_files(spark: SparkSession, root: str, max_file_bytes: int = MAX_FILE_BY
     return out.withColumn("line_count", F.coalesce(s.line_count(F.col("content")), F.lit(0)))
 
 
-def local_clone(path: str, destination: str, revision: str | None = None) -> tuple[str, str]:
-    """A shallow clone of a local repository for ``read_files``; (branch, commit). Runs on the driver, before any job."""
-    import subprocess
+def _git(folder: str | None, *args: str) -> str:
+    """What git prints. It runs on the driver, before any job, and never runs code of the repository."""
+    at = ["-C", folder] if folder else []
+    return subprocess.run(["git", *at, "-c", "core.quotepath=off", *args], check=True, capture_output=True, text=True, timeout=300, errors="replace").stdout
 
-    git = lambda *args: subprocess.run(["git", *args], check=True, capture_output=True, text=True, timeout=300).stdout.strip()
-    git("clone", "--depth", "1", "--single-branch", *(["--branch", revision] if revision else []), "--", f"file://{path}", destination)
-    return git("-C", destination, "rev-parse", "--abbrev-ref", "HEAD"), git("-C", destination, "rev-parse", "HEAD")
+
+def local_clone(path: str, destination: str, revision: str | None = None) -> tuple[str, str]:
+    """A shallow clone of a local repository for ``read_files``; (branch, commit)."""
+    _git(None, "clone", "-q", "--depth", "1", "--single-branch", *(["--branch", revision] if revision else []), "--", f"file://{path}", destination)
+    return _git(destination, "rev-parse", "--abbrev-ref", "HEAD").strip(), _git(destination, "rev-parse", "HEAD").strip()
+
+
+def resolved_revision(folder: str, revision: str | None) -> str:
+    """The commit of a revision (of HEAD for none), or ValueError for a name that is not allowed or not there."""
+    name = revision or "HEAD"
+    if not re.match(v.REVISION, name) or ".." in name or len(name) > 128:
+        raise ValueError(f"invalid revision: {name!r}")
+    try:
+        return _git(folder, "rev-parse", "--verify", "--quiet", f"{name}^{{commit}}").strip()
+    except subprocess.CalledProcessError as e:
+        raise ValueError(f"no such revision: {name!r}") from e
+
+
+def git_changes(spark: SparkSession, folder: str, base: str, head: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(changes: path, old_path, code, additions, deletions), (diffs: path, diff with three lines of context) between two revisions."""
+    ends = [resolved_revision(folder, base), resolved_revision(folder, head)]
+    counts = {}
+    for row in _git(folder, "diff", "--numstat", "-M", "-C", *ends).splitlines():
+        added, deleted, path = row.split("\t", 2)
+        new = re.sub(r"\{.*? => (.*?)\}", r"\1", path).replace("//", "/") if "{" in path else path.split(" => ")[-1]
+        counts[new] = (added, deleted)
+    rows = []
+    for row in _git(folder, "diff", "--name-status", "-M", "-C", *ends).splitlines():
+        code, *paths = row.split("\t")
+        rows.append((paths[-1], paths[0] if len(paths) > 1 else None, code, *counts.get(paths[-1], ("0", "0"))))
+    texts = [(r[0], _git(folder, "diff", "--unified=3", "-M", *ends, "--", *[p for p in r[:2] if p])) for r in rows]
+    return spark.createDataFrame(rows, "path string, old_path string, code string, additions string, deletions string"), spark.createDataFrame(texts, "path string, diff string")
 
 
 def checked(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_REPOSITORY_BYTES) -> DataFrame:
