@@ -9,15 +9,17 @@ from .lineage import saved
 from .relational import first_wins
 
 
-def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[str] | None = None) -> DataFrame:
+def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
     """``roots`` (node, rank), ``edges`` (source, target, kind, and the ``order`` columns) -> node, depth, root, via,
-    via_source, path: an array of structs (source, kind, target) from the root outward.
+    via_source, path: an array of structs (source, kind, target and the ``carried`` columns of edges) from the root outward.
 
     A node is taken at its least depth; of several discoverers the first wins, by the discoverer's rank and then the
     edge's ``order``. Levels are unrolled (depth is bounded) and saved one by one, visited nodes leave by an anti-join, and
     the path grows with the frontier, so no second pass is needed."""
-    order = order or ["kind"]
-    step = "struct<source: {0}, kind: {1}, target: {0}>".format(dict(roots.dtypes)["node"], dict(edges.dtypes)["kind"])
+    order, carried, types = order or ["kind"], carried or [], dict(edges.dtypes)
+    node = dict(roots.dtypes)["node"]
+    fields = {"source": node, "kind": types["kind"], "target": node} | {c: types[c] for c in carried}
+    step = f"struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>"
     edges = saved(edges)
     seen = roots.select("node", F.lit(0).alias("depth"), F.array(F.col("rank").cast("string")).alias("rank"), F.col("node").alias("root"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(dict(roots.dtypes)["node"]).alias("via_source"), F.expr(f"cast(array() AS array<{step}>)").alias("path"))
     frontier = seen
@@ -25,7 +27,7 @@ def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[
         out = frontier.select(F.col("node").alias("source"), F.col("rank").alias("_rank"), "root", "path").join(edges, "source")
         found = out.select(
             F.col("target").alias("node"), F.lit(depth).alias("depth"), F.concat("_rank", F.array(*[F.coalesce(F.lpad(F.col(c).cast("string"), 20, " "), F.lit("")) for c in order])).alias("rank"),
-            "root", F.col("kind").cast("string").alias("via"), F.col("source").alias("via_source"), F.concat("path", F.array(F.struct("source", "kind", "target"))).alias("path"),
+            "root", F.col("kind").cast("string").alias("via"), F.col("source").alias("via_source"), F.concat("path", F.array(F.struct(*fields))).alias("path"),
         )
         found = first_wins(found.join(seen.select("node"), "node", "left_anti"), ["node"], ["rank", "via_source"])
         found = saved(found)

@@ -27,27 +27,30 @@ def roots(mapped: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, symbols: DataFrame, files: DataFrame, root_nodes: DataFrame) -> DataFrame:
     """Reversed edges (source: what changed, target: what it affects) with their order; changed files lead on only at file level."""
     used = edges.where(F.col("type").isin(list(v.EDGE_PRIORITY)) & (F.col("status") == "RESOLVED"))
+    used = used.join(files.select(F.col("file_id").alias("evidence_file_id"), F.col("path").alias("_path")), "evidence_file_id", "left")
     lead = F.when(F.col("source_symbol_id").isNull() | (F.col("type") == "TESTS"), F.concat(F.lit("F"), "evidence_file_id")).otherwise(F.concat(F.lit("S"), "source_symbol_id"))
-    order = [s.edge_priority(F.col("type")).alias("priority"), F.coalesce("evidence_file_id", F.lit(0)).alias("at_file"), F.col("start_line").alias("at_line")]
+    order = [s.edge_priority(F.col("type")).alias("priority"), F.coalesce("evidence_file_id", F.lit(0)).alias("at_file"), F.col("start_line").alias("at_line"), F.concat_ws(":", "_path", F.col("start_line").cast("string")).alias("at")]
     by_symbol = used.where("target_symbol_id IS NOT NULL").select(F.concat(F.lit("S"), "target_symbol_id").alias("source"), lead.alias("target"), F.col("type").alias("kind"), *order, F.lit(0).alias("through"))
     by_file = used.where("target_symbol_id IS NULL AND target_file_id IS NOT NULL").select(F.concat(F.lit("F"), "target_file_id").alias("source"), lead.alias("target"), F.col("type").alias("kind"), *order, F.lit(0).alias("through"))
     file_level = root_nodes.where("file_level").select(F.col("node").alias("source"))
     # what uses a class is affected by its members
     holders = symbols.where(F.col("kind").isin(v.CONTAINER_KINDS)).select(F.col("symbol_id").alias("parent_symbol_id"))
     held = symbols.where("parent_symbol_id IS NOT NULL").join(holders, "parent_symbol_id").select(F.concat(F.lit("S"), "symbol_id").alias("member"), F.concat(F.lit("S"), "parent_symbol_id").alias("source"))
-    through = by_symbol.join(held, "source").select(F.col("member").alias("source"), "target", "kind", "priority", "at_file", "at_line", F.lit(1).alias("through"))
+    through = by_symbol.join(held, "source").select(F.col("member").alias("source"), "target", "kind", "priority", "at_file", "at_line", "at", F.lit(1).alias("through"))
     return by_symbol.union(through).union(by_file.join(file_level, "source", "left_semi")).where("source != target")
 
 
 def traversed(root_nodes: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame, max_depth: int = 2, limit: int = v.LIMITS["impact_nodes"]) -> DataFrame:
-    """node, depth, via, via_source, path, node_type, name, file_path, is_test, impact_class, truncated; roots have depth 0."""
-    reach = bounded_bfs(root_nodes.select("node", "rank"), adjacency(edges, symbols, files, root_nodes), min(max_depth, v.LIMITS["depth"]), ["through", "priority", "at_file", "at_line", "kind"])
+    """node, depth, via, via_source, path (steps with file:line), node_type, name, file_path, is_test, impact_class, truncated and
+    why; roots have depth 0."""
+    reach = bounded_bfs(root_nodes.select("node", "rank"), adjacency(edges, symbols, files, root_nodes), min(max_depth, v.LIMITS["depth"]), ["through", "priority", "at_file", "at_line", "kind"], ["at"])
     named = symbols.select(F.concat(F.lit("S"), "symbol_id").alias("node"), s.display_name(F.col("qualified_name"), F.col("name")).alias("name"), "kind", "file_id").join(files.select("file_id", F.col("path").alias("file_path")), "file_id").drop("file_id")
     named = named.union(files.select(F.concat(F.lit("F"), "file_id"), "path", F.lit(None).cast("string"), "path").toDF("node", "name", "kind", "file_path"))
     out = reach.join(named, "node", "left").withColumn("node_type", F.when(F.col("node").startswith("S"), "SYMBOL").otherwise("FILE"))
     out = out.withColumn("is_test", (F.col("node_type") == "FILE") & ((F.col("via") == "TESTS") | (s.file_category(F.col("file_path")) == "TEST"))).withColumn("impact_class", F.when(F.col("depth") == 0, "DIRECT").otherwise("POTENTIAL"))
     affected = out.where("depth > 0").orderBy("depth", "rank").limit(limit)
     more = out.where("depth > 0").limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    more = more.withColumn("truncated_reason", F.when(F.col("truncated"), "impact node limit reached"))
     return out.where("depth = 0").unionByName(affected).crossJoin(F.broadcast(more))  # one row
 
 
@@ -66,6 +69,7 @@ def summary(nodes: DataFrame, unresolved: DataFrame, external: DataFrame) -> Dat
     main = nodes.agg(
         F.count_if(direct & (F.col("node_type") == "SYMBOL")).alias("changed_symbols"), F.count_if(direct & (F.col("node_type") == "FILE")).alias("changed_files"), F.count_if(direct).alias("total_direct"),
         F.count_if(potential & ~F.col("is_test")).alias("potential"), F.count_if(potential & F.col("is_test")).alias("affected_tests"), F.max("depth").alias("deepest"), F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"),
+        F.max("truncated_reason").alias("truncated_reason"),
     )
     return main.crossJoin(unresolved.agg(F.count(F.lit(1)).alias("unresolved"))).crossJoin(external.agg(F.count(F.lit(1)).alias("external")))
 

@@ -107,6 +107,7 @@ def test_diff_impact_and_review(spark, tree):
     by_name = {bare(r["name"], r["file_path"]): r for r in nodes.collect() if r["node_type"] == "SYMBOL"}
     assert by_name["render"]["depth"] == 1 and by_name["render"]["via"] == "CALLS"
     assert by_name["Ledger.post_entry"]["depth"] == 1 and [x["kind"] for x in by_name["AuditLedger"]["path"]] == ["CALLS", "EXTENDS"]
+    assert [x["at"] for x in by_name["AuditLedger"]["path"]] == ["stock/ledger.py:3", "people/roles.py:4"]
     row = impact.summary(nodes, impact.open_ends(roots, edges, "UNRESOLVED"), impact.open_ends(roots, edges, "EXTERNAL")).collect()[0]
     assert (row["changed_symbols"], row["changed_files"], row["total_direct"], row["truncated"]) == (1, 1, 2, False)
     assert impact.traversed(roots, edges, symbols, files, 2, limit=1).where("depth > 0").count() == 1
