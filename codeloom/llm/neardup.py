@@ -27,7 +27,6 @@ from . import bagminhash, components, counts, store, text
 
 FEW = 32
 CHUNK = 256
-TURNS = 2
 HOT_ROWS = 1000  # a text of more rows is joined apart; there is at most one for so many rows
 _LOWEST = -(2**63)
 _CODEC = "zstd"
@@ -235,15 +234,6 @@ def classes(docs: DataFrame, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     # a bucket's leader has met all others; these have to meet where they are still apart
     rest = members.where("n > 2 AND node != leader").select("key", "node", "n")
     edges = lambda known: known.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    for turn in range(TURNS):  # in large buckets, those beside the main component meet one of its nodes, another one in each bucket
-        large = store.saved(_apart(rest.where(F.col("n") > few), found), "apart")
-        if not large.limit(1).count():
-            break
-        met = large.where("main").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("u"))
-        again = large.where("NOT main").join(met, "key").select("u", F.col("node").alias("v")).distinct()
-        more = store.saved(_verified(again, bags, chunk), "links")
-        found = store.saved(components.components(edges(found).union(more)), "components")
-        store.delete(large)
     rest = store.saved(_apart(rest, found), "apart")
     small = rest.where(F.col("n") <= few).select("key", "node", "component")
     a, b = (small.select("key", F.col("node").alias(u), F.col("component").alias(f"{u}_component")) for u in "uv")
