@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, decontamination, katz, linedup, media, mixing, neardup, store, toxicity, urls
+from . import binary, counts, decontamination, katz, linedup, media, mixing, neardup, phrases, store, toxicity, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(store.read_table(spark, sf_dir, "documents"), store.read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    n, explained, error = (model.n, model.explained, model.identity_error) if model else (0, [], 0.0)
+    each = whitening.whitened(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    shares = F.array(*[F.lit(e) for e in explained]).cast("array<double>")
+    return each.select("vec_id", (F.col("_at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("_at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(store.read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_ids": op2_token_ids,
@@ -78,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE, "op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE, "op5_mixing": mixing.ORACLE, "op13_collocations": phrases.ORACLE}
