@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, counts, decontamination, katz, linedup, media, mixing, neardup, phrases, store, toxicity, urls, whitening
+from . import binary, counts, decontamination, katz, linedup, media, mixing, neardup, phrases, store, substrings, toxicity, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("_at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("_at")).alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(store.read_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(store.read_table(spark, sf_dir, "documents"))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
 
