@@ -31,7 +31,7 @@ WORDS, LEAST, MOST = 3, 10, 2000
 SHARE = 50  # percent of a phrase that a longer one has to have to stand for it
 DEPTH, WIDTHS = 2, (1 << 20, 1 << 26)
 SLICE_BYTES = 4 << 20
-SALTS = 32
+BINS = 32
 COUNTS = "lang string, words int, phrase binary, a long"
 
 _BREAK = np.zeros(256, bool)
@@ -179,20 +179,24 @@ def counted(docs: DataFrame, words: int = WORDS, least: int = LEAST, width: int
     return out
 
 
-def _looked_up(rows: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
-    """``rows`` with the count of their ``part``. A part that begins many phrases is dealt to ``SALTS`` tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    table = counts.where("words > 0").select("lang", F.col("phrase").alias(part), F.col("a").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_salt"))
-    return salted.join(table, ["lang", part, "_salt"]).drop("_salt", part)
+def _looked_up(rows: DataFrame, heavy: DataFrame, light: DataFrame, part: str, name: str) -> DataFrame:
+    """``rows`` with the count of their ``part``: parts that may begin or end very many phrases come by broadcast, so that the join by
+    shuffle has few rows of each."""
+    table = lambda counts: counts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name))
+    tried = rows.join(F.broadcast(table(heavy)), ["lang", part], "left")
+    return tried.where(F.col(name).isNotNull()).unionByName(tried.where(F.col(name).isNull()).drop(name).join(table(light), ["lang", part])).drop(part)
 
 
-def scored(counts: DataFrame, words: int = WORDS) -> DataFrame:
+def scored(counts: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, words, phrase, a, l, r, score of each candidate: its lowest-scoring cut. Decimals of 38 digits hold the products."""
     candidates = counts.where("words >= 2")
+    total = counts.where("words = 0").agg(F.sum("a")).collect()[0][0] or 0
+    bound = max(least * 1000, total >> 16)  # at most 2^16 phrases of each length count more; a part that counts a is in a / least candidates
+    heavy, light = counts.where((F.col("words") > 0) & (F.col("a") > bound)), counts.where((F.col("words") > 0) & (F.col("a") <= bound))
     tokens = F.split("phrase", " ")
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.withColumns({"_first": F.array_join(F.slice(tokens, F.lit(1), F.col("k")), " "), "_rest": F.array_join(F.slice(tokens, F.col("k") + 1, F.col("words") - F.col("k")), " ")})
-    cuts = _looked_up(_looked_up(cuts, counts, "_first", "l"), counts, "_rest", "r")
+    cuts = _looked_up(_looked_up(cuts, heavy, light, "_first", "l"), heavy, light, "_rest", "r")
     d = "cast({} AS decimal(18,0))".format
     cuts = cuts.withColumn("score", F.expr(f"({d('1000000')} * {d('a')} * {d('a')}) div ({d('l')} * {d('r')})"))
     best = cuts.groupBy("lang", "words", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_b"))
@@ -211,9 +215,9 @@ def subsumed(counts: DataFrame, share: int = SHARE) -> DataFrame:
 def mined(docs: DataFrame, words: int = WORDS, least: int = LEAST, most: int = MOST, share: int = SHARE, width: int | None = None, depth: int = DEPTH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``most`` best phrases of each language by score, count and bytes."""
     counts = counted(docs, words, least, width, depth)
-    left = scored(counts, words).join(subsumed(counts, share), ["lang", "phrase"], "left_anti")
+    left = scored(counts, least).join(subsumed(counts, share), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    bins = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bins = max(BINS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     some = left.withColumn("_bin", F.pmod(F.xxhash64("phrase"), F.lit(bins)))
     some = some.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_bin").orderBy(*order))).where(F.col("_place") <= most)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
