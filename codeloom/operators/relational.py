@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import contained as intervals_by_bin
 from .lineage import saved
 
 Keys = list[str]
@@ -41,8 +42,8 @@ def unique_match(df: DataFrame, table: DataFrame, keys: Keys, value: str) -> Dat
 
 
 def contained(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start: str, end: str) -> DataFrame:
-    """All (point, interval) pairs with start <= at <= end within equal ``on``."""
-    return points.join(intervals, on).where(F.col(at).between(F.col(start), F.col(end)))
+    """All (point, interval) pairs with start <= at <= end within equal ``on``, by an index of intervals."""
+    return intervals_by_bin(points, intervals, on, at, start, end)
 
 
 def innermost(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start: str, end: str, point_id: Keys, interval_id: str) -> DataFrame:

@@ -42,9 +42,11 @@ def linked(changes: DataFrame, files: DataFrame) -> DataFrame:
 def mapped_symbols(changed: DataFrame, symbols: DataFrame) -> DataFrame:
     """``changed`` (file_id, side, line_number) -> added and deleted lines of every symbol that holds them, and the change
     type, which follows from the whole file's counts."""
-    inside = rel.contained(changed, symbols.select("symbol_id", "file_id", "name", "kind", "line_start", "line_end"), ["file_id"], "line_number", "line_start", "line_end")
-    per = inside.groupBy("symbol_id", "file_id", "name", "kind").agg(F.count_if(F.col("side") == "NEW").alias("added_lines"), F.count_if(F.col("side") == "OLD").alias("deleted_lines"))
-    whole = changed.groupBy("file_id").agg(F.count_if(F.col("side") == "NEW").alias("_a"), F.count_if(F.col("side") == "OLD").alias("_d"))
+    # equal lines of a file are one point, so a hot line costs a row a task
+    points = changed.groupBy("file_id", "line_number").agg(F.count_if(F.col("side") == "NEW").alias("_new"), F.count_if(F.col("side") == "OLD").alias("_old"))
+    inside = rel.contained(points, symbols.select("symbol_id", "file_id", "name", "kind", "line_start", "line_end"), ["file_id"], "line_number", "line_start", "line_end")
+    per = inside.groupBy("symbol_id", "file_id", "name", "kind").agg(F.sum("_new").alias("added_lines"), F.sum("_old").alias("deleted_lines"))
+    whole = points.groupBy("file_id").agg(F.sum("_new").alias("_a"), F.sum("_old").alias("_d"))
     return per.join(whole, "file_id").withColumn("change_type", s.change_type(F.col("_a"), F.col("_d"))).drop("_a", "_d")
 
 
