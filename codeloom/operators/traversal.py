@@ -2,34 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import saved
-from .relational import first_wins
+from .relational import first_wins, numbered
 
+SMALL = 10_000  # rows of a level that one task numbers and a join broadcasts; more are numbered by ranges
 
-def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
-    """``roots`` (node, rank), ``edges`` (source, target, kind, and the ``order`` columns) -> node, depth, root, via,
-    via_source, path: an array of structs (source, kind, target and the ``carried`` columns of edges) from the root outward.
 
-    A node is taken at its least depth; of several discoverers the first wins, by the discoverer's rank and then the
-    edge's ``order``. Levels are unrolled (depth is bounded) and saved one by one, visited nodes leave by an anti-join, and
-    the path grows with the frontier, so no second pass is needed."""
+def _ranked(rows: DataFrame, order: list[str], ahead: int) -> tuple[DataFrame, int]:
+    """``rows``, saved, with ``rank``: dense numbers by ``order`` after ``ahead``; and how many they are."""
+    rows = saved(rows)
+    n = rows.count()
+    if n > SMALL:
+        return saved(numbered(rows, "_number", order).withColumn("rank", F.col("_number") + ahead).drop("_number")), n
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") + ahead), n
+
+
+def ranked_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[str] | None = None, carried: list[str] | None = None, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """``roots`` (node, rank), ``edges`` (source, target, kind, and the ``order`` columns) -> node, depth, rank, root, via,
+    via_source, path: an array of structs (source, kind, target and the ``carried`` columns of edges) from the root outward; and
+    whether nodes were left out.
+
+    Nodes are ranked from 1 in the order in which a queue would find them: roots by their rank, then level by level by the rank of the
+    first discoverer, the edge's ``order`` and the node. A node is taken at its least depth. At most ``limit`` nodes, roots counted, are
+    kept; the rest of a level goes as it is found, and no level is expanded after that. Levels are saved one by one, visited nodes leave
+    by an anti-join, and the path grows with the frontier, so no second pass is needed."""
     order, carried, types = order or ["kind"], carried or [], dict(edges.dtypes)
     node = dict(roots.dtypes)["node"]
     fields = {"source": node, "kind": types["kind"], "target": node} | {c: types[c] for c in carried}
     step = f"struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>"
+    columns = ["node", "depth", "rank", "root", "via", "via_source", "path"]
     edges = saved(edges)
-    seen = roots.select("node", F.lit(0).alias("depth"), F.array(F.col("rank").cast("string")).alias("rank"), F.col("node").alias("root"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(dict(roots.dtypes)["node"]).alias("via_source"), F.expr(f"cast(array() AS array<{step}>)").alias("path"))
-    frontier = seen
+    start = first_wins(roots.select("node", F.col("rank").alias("_rank")), ["node"], ["_rank"])
+    start, total = _ranked(start, ["_rank", "node"], 0)
+    seen = start.select("node", F.lit(0).alias("depth"), "rank", F.col("node").alias("root"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(node).alias("via_source"), F.expr(f"cast(array() AS array<{step}>)").alias("path"))
+    truncated = limit is not None and total > limit
+    seen = seen.where(F.col("rank") <= limit) if truncated else seen
+    frontier, n = seen, total
     for depth in range(1, max_depth + 1):
-        out = frontier.select(F.col("node").alias("source"), F.col("rank").alias("_rank"), "root", "path").join(edges, "source")
+        if truncated or not n:
+            break
+        lead = frontier.select(F.col("node").alias("source"), F.col("rank").alias("_parent"), "root", "path")
+        out = (F.broadcast(lead) if n <= SMALL else lead).join(edges, "source")
         found = out.select(
-            F.col("target").alias("node"), F.lit(depth).alias("depth"), F.concat("_rank", F.array(*[F.coalesce(F.lpad(F.col(c).cast("string"), 20, " "), F.lit("")) for c in order])).alias("rank"),
+            F.col("target").alias("node"), F.lit(depth).alias("depth"), "_parent", *[F.col(c).alias(f"_by_{c}") for c in order],
             "root", F.col("kind").cast("string").alias("via"), F.col("source").alias("via_source"), F.concat("path", F.array(F.struct(*fields))).alias("path"),
         )
-        found = first_wins(found.join(seen.select("node"), "node", "left_anti"), ["node"], ["rank", "via_source"])
-        found = saved(found)
-        seen, frontier = seen.unionByName(found), found
-    return seen
+        by = ["_parent", *[f"_by_{c}" for c in order]]
+        found = first_wins(found.join(seen.select("node"), "node", "left_anti"), ["node"], by)
+        found, n = _ranked(found, [*by, "node"], total)
+        truncated = limit is not None and total + n > limit
+        frontier = found.where(F.col("rank") <= limit).select(*columns) if truncated else found.select(*columns)
+        seen, total = seen.unionByName(frontier), total + n
+    return seen, truncated
+
+
+def bounded_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
+    """All nodes that ``ranked_bfs`` finds without a limit."""
+    return ranked_bfs(roots, edges, max_depth, order, carried)[0]

@@ -346,13 +346,51 @@ def impact_nodes(t):
     return nodes.select("node", "depth", F.size("path").alias("steps"), "node_type", "impact_class", "truncated")
 
 
-@query(MADE + _ROOTS + """, n1 AS (SELECT DISTINCT target AS node FROM adj WHERE source IN (SELECT node FROM rt) AND target NOT IN (SELECT node FROM rt))
-SELECT (SELECT count(*) FROM rt WHERE node LIKE 'S%') AS changed_symbols, (SELECT count(*) FROM rt WHERE node LIKE 'F%') AS changed_files, (SELECT count(*) FROM rt) AS total_direct, 5::BIGINT AS reached, (SELECT count(*) > 5 FROM n1) AS truncated""")
+_RANKED = _ROOTS + """, pr AS (SELECT *, CASE type WHEN 'TESTS' THEN 0 WHEN 'CALLS' THEN 1 WHEN 'REFERENCES' THEN 2 WHEN 'EXTENDS' THEN 3 WHEN 'IMPLEMENTS' THEN 4 ELSE 5 END AS priority, coalesce(evidence_file_id, 0) AS at_file, start_line AS at_line,
+  concat_ws(':', path, start_line::VARCHAR) AS spot FROM used LEFT JOIN (SELECT file_id AS evidence_file_id, path FROM files) USING (evidence_file_id)),
+bs AS (SELECT 'S' || target_symbol_id AS source, lead AS target, type AS kind, priority, at_file, at_line, spot FROM pr WHERE target_symbol_id IS NOT NULL),
+way AS (SELECT * FROM (SELECT *, 0 AS through FROM bs
+  UNION ALL SELECT 'S' || m.symbol_id, b.target, b.kind, b.priority, b.at_file, b.at_line, b.spot, 1 FROM symbols m JOIN symbols h ON h.symbol_id = m.parent_symbol_id AND h.kind IN ('CLASS', 'INTERFACE') JOIN bs b ON b.source = 'S' || h.symbol_id
+  UNION ALL SELECT 'F' || target_file_id, lead, type, priority, at_file, at_line, spot, 0 FROM pr WHERE target_symbol_id IS NULL AND target_file_id IS NOT NULL AND 'F' || target_file_id IN (SELECT node FROM rt WHERE file_level)) WHERE source != target),
+l0 AS (SELECT node, 0 AS depth, node AS root, NULL AS via, NULL AS via_source, '' AS path, row_number() OVER (ORDER BY k, path, name, id) AS rank FROM (SELECT 'S' || symbol_id AS node, 0 AS k, path, name, symbol_id AS id FROM mapped_ UNION ALL SELECT 'F' || file_id, 1, path, '', 0 FROM files WHERE file_id % 13 = 0)),
+l1 AS (SELECT node, 1 AS depth, root, via, via_source, path, (SELECT count(*) FROM l0) + row_number() OVER (ORDER BY parent, through, priority, at_file, at_line, via, node) AS rank FROM (SELECT target AS node, root, kind AS via, source AS via_source, source || ' ' || kind || ' ' || target || ' ' || spot AS path, rank AS parent, through, priority, at_file, at_line,
+  row_number() OVER (PARTITION BY target ORDER BY rank, through, priority, at_file, at_line, kind) AS n FROM l0 JOIN way ON source = node WHERE target NOT IN (SELECT node FROM l0)) WHERE n = 1),
+l2 AS (SELECT node, 2 AS depth, root, via, via_source, path, (SELECT count(*) FROM l0) + (SELECT count(*) FROM l1) + row_number() OVER (ORDER BY parent, through, priority, at_file, at_line, via, node) AS rank FROM (SELECT target AS node, root, kind AS via, source AS via_source, path || '; ' || source || ' ' || kind || ' ' || target || ' ' || spot AS path, rank AS parent, through, priority, at_file, at_line,
+  row_number() OVER (PARTITION BY target ORDER BY rank, through, priority, at_file, at_line, kind) AS n FROM l1 JOIN way ON source = node WHERE target NOT IN (SELECT node FROM l0) AND target NOT IN (SELECT node FROM l1)) WHERE n = 1)
+"""
+
+
+def _found(t, depth: int, limit: int) -> DataFrame:
+    """What a traversal finds, with the way to it as text."""
+    nodes = impact.traversed(made_roots(t)[1], made_edges(t), made_symbols(t), made_files(t), depth, limit=limit)
+    steps = F.array_join(F.transform("path", lambda p: F.concat_ws(" ", p["source"], p["kind"], p["target"], p["at"])), "; ")
+    return nodes.select("node", "depth", "rank", "root", "via", "via_source", steps.alias("path"), "truncated")
+
+
+@query(MADE + _RANKED + "SELECT node, depth, rank, root, via, via_source, path, (SELECT count(*) FROM l1) > 7 AS truncated FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1) WHERE rank <= (SELECT count(*) FROM l0) + 7")
 def impact_cap(t):
-    _, roots = made_roots(t)
-    nodes = impact.traversed(roots, made_edges(t), made_symbols(t), made_files(t), 1, limit=5)
-    none = made_edges(t).limit(0)
-    return impact.summary(nodes, none, none).select("changed_symbols", "changed_files", "total_direct", (F.col("potential") + F.col("affected_tests")).alias("reached"), "truncated")
+    """The limit is reached within the first level: the second isn't expanded."""
+    return _found(t, 2, made_roots(t)[1].count() + 7)
+
+
+@query(MADE + _RANKED + "SELECT node, depth, rank, root, via, via_source, path, (SELECT count(*) FROM l2) > 9 AS truncated FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) WHERE rank <= (SELECT count(*) FROM l0) + (SELECT count(*) FROM l1) + 9")
+def impact_cap_second(t):
+    """The limit is reached within the second level."""
+    return _found(t, 2, _found(t, 1, 1 << 30).count() + 9)
+
+
+@query(MADE + _RANKED + """, own AS (SELECT DISTINCT coalesce('S' || source_symbol_id, 'F' || evidence_file_id) AS owner, evidence_file_id, type, start_line FROM edges WHERE status = 'UNRESOLVED'), u AS (SELECT count(*) AS n FROM own WHERE owner IN (SELECT node FROM rt)),
+ex AS (SELECT count(*) AS n FROM (SELECT DISTINCT evidence_file_id, target_file_id FROM edges WHERE status = 'EXTERNAL' AND coalesce('S' || source_symbol_id, 'F' || evidence_file_id) IN (SELECT node FROM rt))),
+pot AS (SELECT l1.node, l1.via, f.path FROM l1 LEFT JOIN files f ON l1.node = 'F' || f.file_id),
+test AS (SELECT count(*) AS n FROM pot WHERE node LIKE 'F%' AND (via = 'TESTS' OR path LIKE '%/test\\_%' ESCAPE '\\'))
+SELECT (SELECT count(*) FROM rt WHERE node LIKE 'S%') AS changed_symbols, (SELECT count(*) FROM rt WHERE node LIKE 'F%') AS changed_files, (SELECT count(*) FROM rt) AS total_direct, (SELECT count(*) FROM l1) - (SELECT n FROM test) AS potential, (SELECT n FROM test) AS affected_tests, (SELECT max(depth) FROM (SELECT 0 AS depth UNION ALL SELECT depth FROM l1)) AS deepest,
+CASE WHEN u.n > 5 THEN 'unresolved node limit reached' WHEN ex.n > 5 THEN 'external node limit reached' WHEN (SELECT count(*) FROM l1) > 3 THEN 'impact path limit reached' END AS truncated_reason, least(u.n, 5) AS unresolved, least(ex.n, 5) AS external FROM u, ex""")
+def impact_summary(t):
+    """All counters, and the first limit that was reached."""
+    roots, edges = made_roots(t)[1], made_edges(t)
+    nodes = impact.traversed(roots, edges, made_symbols(t), made_files(t), 1, limit=1 << 30)
+    ends = [impact.open_ends(roots, edges, status, limit=5) for status in ("UNRESOLVED", "EXTERNAL")]
+    return impact.summary(nodes, *ends, most_paths=3).drop("truncated")
 
 
 @query(MADE + _ROOTS + """, own AS (SELECT *, coalesce('S' || source_symbol_id, 'F' || evidence_file_id) AS owner FROM edges WHERE status = 'UNRESOLVED'),

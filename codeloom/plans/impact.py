@@ -7,21 +7,27 @@ that TESTS, leads to the file of its evidence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..functions import values as v
 from ..operators.relational import first_wins
-from ..operators.traversal import bounded_bfs
+from ..operators.traversal import ranked_bfs
+
+
+MOST_NUMBERED = 10_000  # open ends that one task numbers; a greater limit is no limit
+
+# fixed values: why a result was cut, the first that holds
+NODE_LIMIT, UNRESOLVED_LIMIT, EXTERNAL_LIMIT, PATH_LIMIT = "impact node limit reached", "unresolved node limit reached", "external node limit reached", "impact path limit reached"
 
 
 def roots(mapped: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame:
     """node, rank, file_level: changed symbols by path, name and id, then changed files by path."""
     paths = files.select("file_id", "path")
-    symbols = mapped.join(paths, "file_id").select(F.concat(F.lit("S"), "symbol_id").alias("node"), F.concat_ws("/", F.lit("0"), "path", "name", F.lpad(F.col("symbol_id").cast("string"), 20, "0")).alias("rank"), F.lit(False).alias("file_level"))
+    symbols = mapped.join(paths, "file_id").select(F.concat(F.lit("S"), "symbol_id").alias("node"), F.struct(F.lit(0).alias("a"), F.col("path").alias("b"), F.col("name").alias("c"), F.col("symbol_id").cast("long").alias("d")).alias("rank"), F.lit(False).alias("file_level"))
     own = changes.select(F.coalesce("new_file_id", "old_file_id").alias("file_id"), "path").where("file_id IS NOT NULL").join(mapped.select("file_id", F.lit(True).alias("has")).distinct(), "file_id", "left")
-    return symbols.union(own.select(F.concat(F.lit("F"), "file_id"), F.concat(F.lit("1/"), F.col("path")), F.col("has").isNull()))
+    return symbols.union(own.select(F.concat(F.lit("F"), "file_id"), F.struct(F.lit(1).alias("a"), F.col("path").alias("b"), F.lit("").alias("c"), F.lit(0).cast("long").alias("d")), F.col("has").isNull()))
 
 
 def adjacency(edges: DataFrame, symbols: DataFrame, files: DataFrame, root_nodes: DataFrame) -> DataFrame:
@@ -41,37 +47,45 @@ def adjacency(edges: DataFrame, symbols: DataFrame, files: DataFrame, root_nodes
 
 
 def traversed(root_nodes: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame, max_depth: int = 2, limit: int = v.LIMITS["impact_nodes"]) -> DataFrame:
-    """node, depth, via, via_source, path (steps with file:line), node_type, name, file_path, is_test, impact_class, truncated and
-    why; roots have depth 0."""
-    reach = bounded_bfs(root_nodes.select("node", "rank"), adjacency(edges, symbols, files, root_nodes), min(max_depth, v.LIMITS["depth"]), ["through", "priority", "at_file", "at_line", "kind"], ["at"])
+    """node, depth, rank, via, via_source, path (steps with file:line), node_type, name, file_path, is_test, impact_class, truncated and
+    why; roots have depth 0. At most ``limit`` nodes, roots counted, in the order in which they are found."""
+    order = ["through", "priority", "at_file", "at_line", "kind"]
+    reach, cut = ranked_bfs(root_nodes.select("node", "rank"), adjacency(edges, symbols, files, root_nodes), min(max_depth, v.LIMITS["depth"]), order, ["at"], limit)
     named = symbols.select(F.concat(F.lit("S"), "symbol_id").alias("node"), s.display_name(F.col("qualified_name"), F.col("name")).alias("name"), "kind", "file_id").join(files.select("file_id", F.col("path").alias("file_path")), "file_id").drop("file_id")
     named = named.union(files.select(F.concat(F.lit("F"), "file_id"), "path", F.lit(None).cast("string"), "path").toDF("node", "name", "kind", "file_path"))
     out = reach.join(named, "node", "left").withColumn("node_type", F.when(F.col("node").startswith("S"), "SYMBOL").otherwise("FILE"))
     out = out.withColumn("is_test", (F.col("node_type") == "FILE") & ((F.col("via") == "TESTS") | (s.file_category(F.col("file_path")) == "TEST"))).withColumn("impact_class", F.when(F.col("depth") == 0, "DIRECT").otherwise("POTENTIAL"))
-    affected = out.where("depth > 0").orderBy("depth", "rank").limit(limit)
-    more = out.where("depth > 0").limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    more = more.withColumn("truncated_reason", F.when(F.col("truncated"), "impact node limit reached"))
-    return out.where("depth = 0").unionByName(affected).crossJoin(F.broadcast(more))  # one row
+    return out.withColumns({"truncated": F.lit(cut), "truncated_reason": F.lit(NODE_LIMIT if cut else None).cast("string")})
 
 
 def open_ends(root_nodes: DataFrame, edges: DataFrame, status: str, limit: int = v.LIMITS["unresolved"]) -> DataFrame:
-    """UNRESOLVED or EXTERNAL edges of the roots; of a file's external imports one stays, of equal unresolved ones the first."""
+    """UNRESOLVED or EXTERNAL edges of the roots; of a file's external imports one stays, of equal unresolved ones the first.
+    ``more``: whether there were over ``limit``."""
     ids = root_nodes.select(F.col("node").alias("owner"))
     owner = F.coalesce(F.concat(F.lit("S"), "source_symbol_id"), F.concat(F.lit("F"), "evidence_file_id"))
     own = edges.where(F.col("status") == status).withColumn("owner", owner).join(ids, "owner", "left_semi")
     keys = ["target_file_id", "evidence_file_id"] if status == "EXTERNAL" else ["owner", "evidence_file_id", "type", "start_line"]
-    return first_wins(own, keys, ["start_line", "evidence"]).orderBy("evidence_file_id", "start_line", "evidence").limit(limit)
+    order = ["evidence_file_id", "start_line", "evidence"]
+    some = first_wins(own, keys, ["start_line", "evidence"]).orderBy(*order).limit(min(limit, (1 << 31) - 2) + 1)
+    place = Window.partitionBy().orderBy(*order)
+    if limit > MOST_NUMBERED:
+        return some.withColumn("more", F.lit(False))
+    some = some.withColumns({"_place": F.row_number().over(place), "more": F.count(F.lit(1)).over(Window.partitionBy()) > limit})  # ``limit`` rows and one
+    return some.where(F.col("_place") <= limit).drop("_place")
 
 
-def summary(nodes: DataFrame, unresolved: DataFrame, external: DataFrame) -> DataFrame:
-    """One row of counters."""
+def summary(nodes: DataFrame, unresolved: DataFrame, external: DataFrame, most_paths: int = v.LIMITS["impact_paths"]) -> DataFrame:
+    """One row of counters. The first limit that was reached tells why a result was cut: of nodes, of open ends, of paths."""
     direct, potential = F.col("impact_class") == "DIRECT", F.col("impact_class") == "POTENTIAL"
     main = nodes.agg(
         F.count_if(direct & (F.col("node_type") == "SYMBOL")).alias("changed_symbols"), F.count_if(direct & (F.col("node_type") == "FILE")).alias("changed_files"), F.count_if(direct).alias("total_direct"),
-        F.count_if(potential & ~F.col("is_test")).alias("potential"), F.count_if(potential & F.col("is_test")).alias("affected_tests"), F.max("depth").alias("deepest"), F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"),
-        F.max("truncated_reason").alias("truncated_reason"),
+        F.count_if(potential & ~F.col("is_test")).alias("potential"), F.count_if(potential & F.col("is_test")).alias("affected_tests"), F.max("depth").alias("deepest"), F.max("truncated_reason").alias("_cut"), F.count_if(potential).alias("_reached"),
     )
-    return main.crossJoin(unresolved.agg(F.count(F.lit(1)).alias("unresolved"))).crossJoin(external.agg(F.count(F.lit(1)).alias("external")))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.coalesce(F.max("more"), F.lit(False)).alias(f"_more_{name}"))
+    row = main.crossJoin(count(unresolved, "unresolved")).crossJoin(count(external, "external"))  # one row each
+    why = F.coalesce("_cut", F.when(F.col("_more_unresolved"), UNRESOLVED_LIMIT), F.when(F.col("_more_external"), EXTERNAL_LIMIT), F.when(F.col("_reached") > most_paths, PATH_LIMIT))
+    columns = ["changed_symbols", "changed_files", "total_direct", "potential", "affected_tests", "deepest"]
+    return row.select(*columns, why.isNotNull().alias("truncated"), why.alias("truncated_reason"), "unresolved", "external")
 
 
 def paths(nodes: DataFrame, limit: int = v.LIMITS["impact_paths"]) -> DataFrame:

@@ -110,7 +110,10 @@ def test_diff_impact_and_review(spark, tree):
     assert [x["at"] for x in by_name["AuditLedger"]["path"]] == ["stock/ledger.py:3", "people/roles.py:4"]
     row = impact.summary(nodes, impact.open_ends(roots, edges, "UNRESOLVED"), impact.open_ends(roots, edges, "EXTERNAL")).collect()[0]
     assert (row["changed_symbols"], row["changed_files"], row["total_direct"], row["truncated"]) == (1, 1, 2, False)
-    assert impact.traversed(roots, edges, symbols, files, 2, limit=1).where("depth > 0").count() == 1
+    cut = impact.traversed(roots, edges, symbols, files, 2, limit=3)  # two roots count
+    assert cut.where("depth > 0").count() == 1 and cut.where("truncated").count() == 3
+    cut = impact.traversed(roots, edges, symbols, files, 2, limit=1)
+    assert [(r["depth"], r["rank"]) for r in cut.collect()] == [(0, 1)]
     assert impact.paths(nodes).count() > 0
     listed = nodes.withColumns({"category": s.file_category(F.col("file_path")), "file_level": F.lit(False)})
     items = review.items(listed).collect()
