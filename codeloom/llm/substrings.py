@@ -5,8 +5,9 @@ windows have equal keys, wherever they stand. A run of windows of one key is a s
 
 1. keys are counted over all texts (five bytes each); those that occur once can hold no repeat and are left out by a sketch;
 2. equal segments are merged, first within a slice of texts and then by key: all but the first are repeats as a whole;
-3. keys that several different segments share, or one that repeats a window by itself, get a suffix array (see ``suffixes``), many keys in one: windows that share 100 bytes are
-   neighbours there, and all but the first of them are repeats;
+3. keys that several different segments share, or one that repeats a window by itself, get a suffix array (see ``suffixes``), many keys
+   in one: windows that share 100 bytes are neighbours there, and all but the first of them are repeats. Windows at the ends of a
+   segment whose hash no other window of the key has are cut off before;
 4. a document's repeats are merged to spans and cut out.
 
 A key of very many segments (``HOT``: a passage that very many documents hold) is cut into its windows, each with a key of its own, so
@@ -19,6 +20,7 @@ a very long text makes no long string; no rows give no rows; other columns are l
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +35,15 @@ WINDOW, GRAM = 100, 50
 WIDE = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 HOT = 1 << 13  # segments of a key, at least, beyond which it is cut into windows
 SLICE_BYTES = 2 << 20
-ARRAY_BYTES = 1 << 17  # of a suffix array, about
+ARRAY_BYTES = 1 << 15  # of a suffix array, about
+SIEVED_BYTES = 1 << 22
 KEYS_A_SHARD = 1 << 20
 COUNT = np.dtype([("low", "<u4"), ("high", "u1"), ("n", "<u2")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
 BLOBS = "shard long, blob binary"
-MARKS = "id long, h long, kind int, blob binary"
+MARKS = "id long, h long, start long, end long"
 SEGMENT = np.dtype([("key", "<u8"), ("digest", "<u8"), ("id", "<i8"), ("h", "<i8"), ("start", "<i8"), ("n", "<i4"), ("inner", "u1")])
-SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
 
 
 class Segments:
@@ -189,30 +191,36 @@ def repeated_keys(docs: DataFrame, shards: int) -> DataFrame:
     return _gathered(docs.mapInArrow(send, BLOBS), shards).mapInArrow(add, "key long, n long")
 
 
-def _marks(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    """Spans of each document, overlapping ones merged, a row a document."""
-    order = np.lexsort((start, hashes, ids))
-    ids, hashes, start, end = ids[order], hashes[order], start[order], end[order]
-    first = np.flatnonzero(_starts(ids, hashes))
-    made = [_closed(merged(start[a:b], end[a:b])) for a, b in zip(first, np.append(first, len(ids))[1:], strict=True)]
-    if made:
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(hashes[first]), pa.array(np.full(len(first), kind, np.int32)), pa.array(made, pa.binary())], ["id", "h", "kind", "blob"])
-
-
-def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Spans in order, those that touch as one. ``start`` ascends."""
-    if not len(start):
-        return np.zeros(0, SPAN)
-    reach = np.maximum.accumulate(end)
-    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
-    out = np.empty(len(first), SPAN)
-    out["start"], out["end"] = start[first], reach[np.append(first, len(end))[1:] - 1]
-    return out
+def merged(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (of, start, end) in order, those of one ``of`` that touch as one."""
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order], end[order]
+    far = int(end.max(initial=0)) + 2
+    at = np.cumsum(_starts(of)) - 1  # each document lies behind the one before
+    reach = np.maximum.accumulate(end + at * far)
+    first = np.flatnonzero(np.append(True, start[1:] + at[1:] * far > reach[:-1])[: len(of)])
+    last = np.append(first, len(of))[1:] - 1
+    return of[first], start[first], reach[last] - at[last] * far
+
+
+def _marks(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans of the documents of ``rows``."""
+    order = np.lexsort((rows["h"], rows["id"]))
+    ids, hashes = rows["id"][order], rows["h"][order]
+    new = _starts(ids, hashes)
+    doc = np.empty(len(rows), np.int64)
+    doc[order] = np.cumsum(new) - 1
+    of, start, end = merged(doc, start, end)
+    first = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(ids[first][of]), pa.array(hashes[first][of]), pa.array(start), pa.array(end)], ["id", "h", "start", "end"])
+
+
+def _ends(rows: np.ndarray) -> np.ndarray:
+    return rows["start"] + rows["n"] + (WINDOW - 1)
 
 
 def _candidates(docs: DataFrame, sketch, hot, shards: int) -> DataFrame:
-    """The segments of repeated keys, equal ones of a slice once (``shard`` from 0), and the spans of the others (``shard`` -1, with
-    the document in front of the blob)."""
+    """The segments of repeated keys, equal ones of a slice once (``shard`` from 0), and the spans of the others (``shard`` -1)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, budget=SLICE_BYTES):
@@ -224,12 +232,14 @@ def _candidates(docs: DataFrame, sketch, hot, shards: int) -> DataFrame:
             rows["inner"] = s.inner[kept]
             rows["id"], rows["h"] = ids[s.doc[kept]], hashes[s.doc[kept]]
             own, others = _first_of_equal(rows)
-            for b in _marks(others["id"], others["h"], others["start"], others["start"] + others["n"] + (WINDOW - 1), 0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, -1)), pa.array([np.int64(i).tobytes() + np.int64(h).tobytes() + x for i, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.binary())], ["shard", "blob"])
+            marks = _marks(others, others["start"], _ends(others))
+            n = marks.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), pa.nulls(n, pa.binary()), *marks.columns], ["shard", "blob", *marks.schema.names])
             own = own[np.lexsort((own["start"], own["h"], own["id"]))]
-            yield from _sent((own["key"] % np.uint64(shards)).astype(np.int64), own)
+            for b in _sent((own["key"] % np.uint64(shards)).astype(np.int64), own):
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.int64())] * 4], ["shard", "blob", *marks.schema.names])
 
-    return docs.mapInArrow(send, BLOBS)
+    return docs.mapInArrow(send, f"{BLOBS}, {MARKS}")
 
 
 def _first_of_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,98 +250,129 @@ def _first_of_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _settled(candidates: DataFrame, shards: int) -> DataFrame:
-    """Spans of repeats (kind 0), and segments whose key has others (kind 1), by document."""
+    """Spans of repeats, and segments whose key has others (with their key), by document."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_shard(batches, SEGMENT):
             own, others = _first_of_equal(rows)
-            yield from _marks(others["id"], others["h"], others["start"], others["start"] + others["n"] + (WINDOW - 1), 0)
+            marks = _marks(others, others["start"], _ends(others))
+            yield pa.RecordBatch.from_arrays([*marks.columns, pa.nulls(marks.num_rows, pa.int64())], [*marks.schema.names, "key"])
             first = np.flatnonzero(_starts(own["key"]))
             size = np.diff(np.append(first, len(own)))
             several = np.repeat((size > 1) | (np.add.reduceat(own["inner"].astype(np.int64), first) > 0 if len(first) else False), size)
             own = own[several]
-            own = own[np.lexsort((own["start"], own["h"], own["id"]))]
-            first = np.flatnonzero(_starts(own["id"], own["h"]))
-            blobs = [_closed(own[a:b]) for a, b in zip(first, np.append(first, len(own))[1:], strict=True)]
-            if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array(own["id"][first]), pa.array(own["h"][first]), pa.array(np.ones(len(first), np.int32)), pa.array(blobs, pa.binary())], ["id", "h", "kind", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own["id"], own["h"], own["start"], _ends(own), own["key"].view(np.int64))], ["id", "h", "start", "end", "key"])
+
+    return _gathered(candidates.where("shard >= 0").select("shard", "blob"), shards).mapInArrow(settle, f"{MARKS}, key long")
 
-    return _gathered(candidates.where("shard >= 0"), shards).mapInArrow(settle, MARKS)
 
+def _with_spans(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts that have rows, with those: a text has one a window at most."""
+    by_doc = rows.groupBy("id", "h").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return store.sifted(docs, rows.select("id", "h"), ["id", "h"]).join(by_doc, ["id", "h"])
 
-def _own_marks(candidates: DataFrame) -> DataFrame:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = b.column(1).to_pylist()
-            heads = np.frombuffer(b"".join(x[:16] for x in blobs), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), pa.array(np.zeros(len(blobs), np.int32)), pa.array([x[16:] for x in blobs], pa.binary())], ["id", "h", "kind", "blob"])
 
-    return candidates.where("shard < 0").mapInArrow(read, MARKS)
+def _listed(column: pa.Array, name: str) -> np.ndarray:
+    return column.flatten().field(name).to_numpy(zero_copy_only=False)
 
 
-def _with_blobs(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The texts that have marks with their blobs, a few a shard at most."""
-    by_doc = marks.groupBy("id", "h").agg(F.collect_list("blob").alias("blobs"))
-    return store.sifted(docs, marks.select("id", "h"), ["id", "h"]).join(by_doc, ["id", "h"])
+def _gather(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of ``buf`` end to end."""
+    at = np.cumsum(size) - size
+    return buf[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
 
 
 def _sorted_repeats(docs: DataFrame, settled: DataFrame, shards: int) -> DataFrame:
     """Spans of the windows that a suffix array shows to start earlier elsewhere."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw, blobs in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                raw = raw.as_buffer().to_pybytes()
-                rows = np.concatenate([_opened(x, SEGMENT) for x in blobs])
-                pieces = [raw[a : a + n + WINDOW - 1] for a, n in zip(rows["start"].tolist(), rows["n"].tolist(), strict=True)]
-                shard = (rows["key"] % np.uint64(shards)).astype(np.int64)
-                for k in np.unique(shard):
-                    at = np.flatnonzero(shard == k)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([_closed(rows[at])], pa.binary()), pa.array([pa.compress(b"".join(pieces[i] for i in at), "zstd", asbytes=True)], pa.binary())], ["shard", "blob", "bytes"])
+        for b in text.slices(batches, budget=4 * SLICE_BYTES):
+            buf, at = text.bytes_of(b.column(2))
+            doc = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            rows = np.zeros(len(doc), SEGMENT)
+            rows["key"], rows["start"] = _listed(b.column(3), "key").view(np.uint64), _listed(b.column(3), "start")
+            size = _listed(b.column(3), "end") - rows["start"]
+            rows["n"], rows["id"], rows["h"] = size - (WINDOW - 1), b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
+            shard = (rows["key"] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            first = np.flatnonzero(_starts(shard[order]))
+            for lo, hi in zip(first, np.append(first, len(order))[1:], strict=True):
+                some = order[lo:hi]
+                raw = _gather(buf, at[doc[some]] + rows["start"][some], size[some])
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[some[0]])]), pa.array([_closed(rows[some])], pa.binary()), pa.array([pa.compress(raw.tobytes(), "zstd", asbytes=True)], pa.binary())], ["shard", "blob", "bytes"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw in _segments_by_shard(batches):
-            yield from _judged(rows, raw)
+        gc.disable()  # suffix arrays make many small lists and no cycles
+        for rows, buf in _segments_by_shard(batches):
+            yield from _judged(rows, buf)
+        gc.enable()
 
-    sent = _with_blobs(docs, settled.where("kind = 1")).select("id", "h", F.col("text").cast("binary").alias("text"), "blobs").mapInArrow(cut, BLOBS + ", bytes binary")
+    wanted = settled.where("key IS NOT NULL")
+    sent = _with_spans(docs, wanted, ["key", "start", "end"]).select("id", "h", F.col("text").cast("binary").alias("text"), "rows").mapInArrow(cut, BLOBS + ", bytes binary")
     return _gathered(sent, shards).mapInArrow(judge, MARKS)
 
 
-def _segments_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def _segments_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The segments of a shard, and their bytes end to end."""
     at, held, pieces = None, [], []
     for b in batches:
         for shard, blob, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if shard != at and held:
-                yield np.concatenate(held), pieces
+                yield np.concatenate(held), np.concatenate(pieces)
                 held, pieces = [], []
             at = shard
-            rows = _opened(blob, SEGMENT)
-            ends = np.cumsum(rows["n"].astype(np.int64) + (WINDOW - 1))
-            raw = pa.decompress(raw, int(ends[-1]), "zstd", asbytes=True)
-            held.append(rows)
-            pieces += [raw[e - n - WINDOW + 1 : e] for e, n in zip(ends.tolist(), rows["n"].tolist(), strict=True)]
+            held.append(_opened(blob, SEGMENT))
+            pieces.append(np.frombuffer(pa.decompress(raw, int((held[-1]["n"].astype(np.int64) + WINDOW - 1).sum()), "zstd", asbytes=True), np.uint8))
     if held:
-        yield np.concatenate(held), pieces
+        yield np.concatenate(held), np.concatenate(pieces)
 
 
-def _judged(rows: np.ndarray, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Segments in the order of their keys, as many whole keys to a suffix array as ``ARRAY_BYTES`` hold."""
-    order = np.argsort(rows["key"], kind="stable")
-    rows = rows[order]
+def _by_whole_keys(rows: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, ordered by key, of about ``budget`` bytes, that part no key."""
     ends = np.cumsum(rows["n"].astype(np.int64) + WINDOW)
     first = np.flatnonzero(_starts(rows["key"]))
-    stops = np.append(first, len(rows))[1:]
-    at = 0
+    stops, at = np.append(first, len(rows))[1:], 0
     while at < len(first):
         base = ends[first[at] - 1] if first[at] else 0
-        to = max(at + 1, int(np.searchsorted(ends[stops - 1], base + ARRAY_BYTES, side="right")))
-        a, b = first[at], stops[to - 1]
-        some = rows[a:b]
-        later, position = repeats([pieces[i] for i in order[a:b].tolist()], some)
-        yield from _marks(some["id"][later], some["h"][later], position, position + WINDOW, 0)
+        to = max(at + 1, int(np.searchsorted(ends[stops - 1], base + budget, side="right")))
+        yield int(first[at]), int(stops[to - 1])
         at = to
 
 
+def _judged(rows: np.ndarray, buf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Segments in the order of their keys, as many whole keys to a suffix array as ``ARRAY_BYTES`` hold. Before that, windows whose
+    hash no other window of these keys has are cut off both ends: they repeat nothing."""
+    size = rows["n"].astype(np.int64) + (WINDOW - 1)
+    begin = np.cumsum(size) - size
+    order = np.argsort(rows["key"], kind="stable")
+    rows, begin = rows[order], begin[order]
+    for a, b in _by_whole_keys(rows, SIEVED_BYTES):
+        some = rows[a:b]
+        n = some["n"].astype(np.int64)
+        raw = _gather(buf, begin[a:b], n + (WINDOW - 1))
+        at = np.cumsum(n + (WINDOW - 1)) - (n + (WINDOW - 1))
+        of = np.repeat(np.arange(len(some)), n)
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        sums = text.Words(raw, at, *[np.zeros(0, np.int64)] * 4).prefix_sums()
+        hashes = text.range_hashes(sums, at[of] + inside, at[of] + inside + WINDOW)
+        ordered = np.argsort(hashes)
+        same = ~_starts(hashes[ordered])
+        twice = np.zeros(len(of), bool)
+        twice[ordered] = same | np.append(same[1:], False)
+        of, inside = of[twice], inside[twice]
+        left = np.flatnonzero(_starts(of))
+        if not len(left):
+            continue
+        low, high = inside[left], inside[np.append(left, len(of))[1:] - 1]
+        some, at = some[of[left]], at[of[left]] + low
+        some["start"] += low
+        some["n"] = high - low + 1
+        for c, d in _by_whole_keys(some, ARRAY_BYTES):
+            part = some[c:d]
+            later, position = repeats([raw[x : x + m + WINDOW - 1].tobytes() for x, m in zip(at[c:d].tolist(), part["n"].tolist(), strict=True)], part)
+            yield _marks(part[later], position, position + WINDOW)
+
+
 def repeats(pieces: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that equal an earlier one: the row and where the window starts in its document."""
     joined = b"\0".join(pieces)
@@ -371,7 +412,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``keyed`` rows, no two of the same id and h -> id, h, blob: what has to go, by document, in parts."""
+    """``keyed`` rows, no two of the same id and h -> id, h, start, end: what has to go; spans may overlap."""
     spark = docs.sparkSession
     docs = docs.select("id", "h", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
@@ -383,7 +424,9 @@ def spans(docs: DataFrame) -> DataFrame:
     often = spark.sparkContext.broadcast(np.sort(np.array(hot, np.uint64)))
     found = store.saved(_candidates(docs, sketch, often, shards), "segments")
     settled = store.saved(_settled(found, shards), "settled")
-    marks = store.saved(_own_marks(found).unionByName(settled.where("kind = 0")).unionByName(_sorted_repeats(docs, settled, shards)), "repeats")
+    names = ["id", "h", "start", "end"]
+    parts = [found.where("shard < 0").select(*names), settled.where("key IS NULL").select(*names), _sorted_repeats(docs, settled, shards)]
+    marks = store.saved(parts[0].unionByName(parts[1]).unionByName(parts[2]), "repeats")
     store.delete(keys, found, settled)
     return marks
 
@@ -402,25 +445,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marks = spans(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for raw, blobs in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = raw.as_buffer().to_pybytes()
-                parts = np.concatenate([_opened(x, SPAN) for x in blobs])
-                parts = np.sort(parts, order="start")
-                gone = merged(parts["start"], parts["end"])
-                at, kept = 0, []
-                for a, e in zip(gone["start"].tolist(), gone["end"].tolist(), strict=True):
-                    kept.append(raw[at:a])
-                    at = e
-                out.append((len(raw), [{"start": a, "end": e} for a, e in gone.tolist()], b"".join(kept) + raw[at:]))
-            sizes, gone, kept = zip(*out, strict=True) if out else ((), (), ())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for b in text.slices(batches, budget=4 * SLICE_BYTES):
+            buf, at = text.bytes_of(b.column(1))
+            doc = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            of, start, end = merged(doc, _listed(b.column(2), "start"), _listed(b.column(2), "end"))
+            edge = np.zeros(len(buf) + 1, np.int32)
+            np.add.at(edge, at[of] + start, 1)
+            np.add.at(edge, at[of] + end, -1)
+            stays = np.cumsum(edge[:-1]) == 0
+            before = np.append(0, np.cumsum(stays))[at]
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(before.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf[stays]))])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), lists.cast(kind), kept.cast(pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     doc_id, raw = F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("text").cast("binary")
-    touched = _with_blobs(rows, marks).select(doc_id, raw.alias("text"), "blobs").mapInArrow(cut, schema)
+    touched = _with_spans(rows, marks, ["start", "end"]).select(doc_id, raw.alias("text"), "rows").mapInArrow(cut, schema)
     whole = counts.joined_by_size(rows, marks.select("id", "h").distinct(), ["id", "h"], "left_anti").select(doc_id, F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() AS array<struct<start: long, end: long>>)").alias("spans"), raw.alias("kept"))
     out = touched.unionByName(whole)
     if copies is not None:

@@ -14,74 +14,111 @@ import numpy as np
 NONE = -1
 
 
-def lyndon_groups(symbols: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """The group of each suffix, the groups in ascending order, and the previous-smaller pointer of each suffix."""
+def lyndon_groups(symbols: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The group of each suffix, the groups in ascending order, the previous-smaller pointer of each suffix and the size of each group."""
     n = len(symbols)
     kinds = sorted(set(symbols))
     number = {c: k for k, c in enumerate(kinds)}
     group = [number[c] for c in symbols]
-    members: list[list[int]] = [[] for _ in kinds]
+    members = [[] for _ in kinds]
     for i, g in enumerate(group):
         members[g].append(i)
+    size = [len(m) for m in members]
     above, below = [*range(1, len(kinds)), NONE], [*range(-1, len(kinds) - 1)]
-    done = [False] * len(kinds)
+    done = bytearray(n)  # the last suffix is never done, so a pointer of -1 ends a search as any lower suffix does
     previous = [NONE] * n
     at = len(kinds) - 1
-    while at != NONE:
-        own = [i for i in members[at] if group[i] == at]
-        members[at] = own
-        done[at] = True
-        pointed: dict[int, int] = {}  # in ascending order, as pointers of ascending suffixes ascend
-        for i in own:
+    while at > 0:
+        own = members[at]
+        if len(own) != size[at]:
+            own = [i for i in own if group[i] == at]
+        if len(own) == 1:
+            i = own[0]
+            done[i] = 1
             j = i - 1
-            while j >= 0 and done[group[j]]:
+            while done[j]:
                 j = previous[j]
             previous[i] = j
             if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
-        by_count: dict[int, dict[int, list[int]]] = {}
-        for j, n_times in pointed.items():
-            by_count.setdefault(n_times, {}).setdefault(group[j], []).append(j)
-        for n_times in sorted(by_count, reverse=True):
-            for old, moved in by_count[n_times].items():
-                new = len(members)
-                members.append(moved)
-                done.append(False)
-                for j in moved:
+                old = group[j]
+                if size[old] > 1:  # else it is a group by itself already
+                    new = len(members)
+                    members.append([j])
                     group[j] = new
-                over = above[old]
-                above.append(over)
-                below.append(old)
-                above[old] = new
-                if over != NONE:
+                    size[old] -= 1
+                    size.append(1)
+                    over = above[old]
+                    above.append(over)
+                    below.append(old)
+                    above[old] = new
                     below[over] = new
+        elif own:
+            for i in own:
+                done[i] = 1
+            pointed, times, last = [], [], NONE
+            for i in own:
+                j = i - 1
+                while done[j]:
+                    j = previous[j]
+                previous[i] = j
+                if j == last:  # pointers of ascending suffixes ascend
+                    if times:
+                        times[-1] += 1
+                else:
+                    pointed.append(j)
+                    times.append(1)
+                    last = j
+            for level in sorted(set(times), reverse=True):
+                split = {}
+                for j, t in zip(pointed, times, strict=True):
+                    if t == level:
+                        g = group[j]
+                        if g in split:
+                            split[g].append(j)
+                        else:
+                            split[g] = [j]
+                for old, moved in split.items():
+                    if len(moved) < size[old]:
+                        new = len(members)
+                        members.append(moved)
+                        for j in moved:
+                            group[j] = new
+                        size[old] -= len(moved)
+                        size.append(len(moved))
+                        over = above[old]
+                        above.append(over)
+                        below.append(old)
+                        above[old] = new
+                        below[over] = new
         at = below[at]
     order, at = [], 0
     while at != NONE:
-        if members[at]:
+        if size[at]:
             order.append(at)
         at = above[at]
-    return group, order, previous
+    return group, order, previous, size
 
 
 def suffix_array(symbols: list[int]) -> np.ndarray:
     """The suffixes of ``symbols`` in order. The last symbol has to be the least and the only one of its kind."""
     n = len(symbols)
-    group, order, previous = lyndon_groups(symbols)
-    sizes = np.bincount(np.array(group), minlength=max(group) + 1)[order]
-    front = [0] * (max(group) + 1)
-    for g, first in zip(order, (np.cumsum(sizes) - sizes).tolist(), strict=True):
+    group, order, previous, size = lyndon_groups(symbols)
+    front = [0] * len(size)
+    first = 0
+    for g in order:
         front[g] = first
+        first += size[g]
     out = [NONE] * n
     placed = bytearray(n)
     out[0] = n - 1
     placed[n - 1] = 1
     for i in range(n):
         j = out[i] - 1
-        while j >= 0 and not placed[j]:
+        while not placed[j]:
             placed[j] = 1
             g = group[j]
-            out[front[g]] = j
-            front[g] += 1
+            f = front[g]
+            out[f] = j
+            front[g] = f + 1
             j = previous[j]
     return np.array(out, np.int64)
