@@ -116,21 +116,33 @@ class _Rows:
     def __init__(self, table: DataFrame, d: int) -> None:
         self.table, self.d = table, d
         self.n = table.count()
-        low, high = self._merged(lambda x: np.stack([(x & 0xFFFFF).sum(axis=0), (x >> 20).sum(axis=0)], axis=1), (d, 2), "i8")  # exact: no sum passes 64 bits
-        self.sums = [int(a) + (int(b) << 20) for a, b in zip(low, high, strict=True)]
+        halves = self._merged(lambda x: np.stack([(x & 0xFFFFF).sum(axis=0), (x >> 20).sum(axis=0)], axis=1), (d, 2), "i8")  # exact: no sum passes 64 bits
+        self.sums = [int(a) + (int(b) << 20) for a, b in halves.tolist()]
 
     def _merged(self, make, shape: tuple[int, int], kind: str = "f8") -> np.ndarray:
+        """The sum of what ``make`` gives for batches of rows. A task sends its sum by rows of the matrix, which are added up apart, so
+        the driver gets one matrix."""
         d = self.d
 
-        def local(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shape, kind)
             for b in batches:
                 if b.num_rows:
                     total += make(_unpacked(b.column(0), d))
-            return total.reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[0])), pa.array([r.tobytes() for r in total], pa.binary())], ["row", "part"])
 
-        out = store.merged_arrays(self.table, local, np.add, shape[0] * shape[1], kind, kind, shape[0])
-        return out.reshape(shape).T if kind == "i8" else out.reshape(shape)
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for row, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    sums[row] = sums.get(row, 0) + np.frombuffer(part, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "part"])
+
+        sent = self.table.mapInArrow(local, "row long, part binary").repartition("row")
+        out = np.zeros(shape, kind)
+        for r in sent.mapInArrow(add, "row long, part binary").collect():  # a row a row of the matrix
+            out[r["row"]] = np.frombuffer(r["part"], kind)
+        return out
 
     def centred(self):
         """x -> the rows less their mean."""
