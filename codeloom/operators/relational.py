@@ -51,9 +51,32 @@ def innermost(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start:
     return first_wins(contained(points, intervals, on, at, start, end), point_id, [F.negative(start), end, interval_id])
 
 
-def capped_per_key(df: DataFrame, keys: Keys, order: list[Column | str], limit: int) -> DataFrame:
-    """At most ``limit`` rows of each key, the first by ``order``. Each task drops what can't be among them before the exchange."""
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= limit).drop("_place")
+def capped_per_key(df: DataFrame, keys: Keys, order: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows of each key (keys are not null), the first by ``order``. Keys are counted first, and only the rows of those
+    over the limit are sorted: by ranges of (keys, order), whose sizes tell where a range begins within its key, so that a key of any
+    size is cut by many tasks and ranges beyond the limit are not sorted at all."""
+    df = saved(df)
+    over = saved(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
+    if not over.limit(1).count():
+        return df
+    dealt = saved(df.join(over, keys, "left_semi").repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # a key has a row a range at most: what lies ahead of each, as running sums of an array
+    by_key = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "_n"))).alias("_r"))
+    ahead = by_key.select(*keys, "_r", F.posexplode("_r").alias("_at", "_one"))
+    ahead = ahead.select(*keys, "_one._range", F.aggregate(F.slice("_r", F.lit(1), F.col("_at")), F.lit(0).cast("long"), lambda n, r: n + r["_n"]).alias("_ahead"))
+    near = dealt.join(ahead.where(F.col("_ahead") < limit), [*keys, "_range"])
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) + F.col("_ahead")
+    cut = near.withColumn("_place", place).where(F.col("_place") <= limit)
+    return df.join(over, keys, "left_anti").unionByName(cut.select(*df.columns))
+
+
+def first_listed(df: DataFrame, keys: Keys, order: list[str], entry: Column, k: int, name: str = "entries") -> DataFrame:
+    """keys and ``name``: an array of ``entry`` of each key's first ``k`` rows by ``order``. Spark keeps ``k`` rows of a key in each task
+    before the exchange (its limit of groups covers 1000), so no task or array holds a group of more than that a task."""
+    few = df.select(*keys, *order, entry.alias("_e")).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k)
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_place", "_e"))).alias("_l"))
+    return listed.select(*keys, F.transform("_l", lambda x: x["_e"]).alias(name))
 
 
 def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:

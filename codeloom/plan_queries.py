@@ -185,10 +185,10 @@ def call_sites_of_lines(t):
 @query(MADE + """, e AS (SELECT *, CASE type WHEN 'DEFINES' THEN 1 WHEN 'IMPORTS' THEN 2 WHEN 'CALLS' THEN 4 WHEN 'EXTENDS' THEN 5 WHEN 'REFERENCES' THEN 7 ELSE 8 END AS stage FROM edges),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_symbol_id, target_symbol_id, type, status, evidence_file_id, start_line ORDER BY evidence, end_line, target_file_id) AS n FROM e) WHERE n = 1),
 c AS (SELECT d.*, repository_id, row_number() OVER (PARTITION BY repository_id ORDER BY stage, evidence_file_id, start_line, source_symbol_id NULLS FIRST, target_symbol_id NULLS FIRST, status) AS place FROM d JOIN files ON file_id = evidence_file_id)
-SELECT repository_id, source_symbol_id, target_symbol_id, type, status, evidence_file_id, start_line, evidence FROM c WHERE place <= 700""")
+SELECT repository_id, source_symbol_id, target_symbol_id, type, status, evidence_file_id, start_line, evidence FROM c WHERE place <= 1500""")
 def edge_dedupe(t):
     edges = made_edges(t).withColumn("target_file_id", F.lit(None).cast("long"))
-    return resolve.combined([edges], made_files(t), 700).select("repository_id", "source_symbol_id", "target_symbol_id", "type", "status", "evidence_file_id", "start_line", "evidence")
+    return resolve.combined([edges], made_files(t), 1500).select("repository_id", "source_symbol_id", "target_symbol_id", "type", "status", "evidence_file_id", "start_line", "evidence")
 
 
 @query(MADE + "SELECT type, status, count(*) AS n FROM edges GROUP BY CUBE (type, status)")
@@ -478,14 +478,14 @@ def cascade_delete(t):
 
 _NODES = """
 WITH nodes AS (SELECT 'S' || o_orderkey AS node, CASE WHEN o_orderkey % 3 = 0 THEN 'FILE' ELSE 'SYMBOL' END AS node_type, 'n' || o_orderkey AS name, 'p' || o_custkey AS file_path, ['CONFIG', 'DOCUMENTATION', 'SOURCE'][o_custkey % 3 + 1] AS category,
-  ['DIRECT', 'POTENTIAL', 'POTENTIAL', 'UNRESOLVED', 'EXTERNAL'][o_orderkey % 5 + 1] AS impact_class, (o_orderkey % 5 + o_custkey % 2)::INT AS depth, ['CALLS', 'IMPORTS', 'REFERENCES'][o_custkey % 3 + 1] AS via, o_orderkey % 5 = 2 AND o_custkey % 2 = 0 AS is_test, TRUE AS file_level FROM orders WHERE o_orderkey <= 1000)
+  ['DIRECT', 'POTENTIAL', 'POTENTIAL', 'UNRESOLVED', 'EXTERNAL'][o_orderkey % 5 + 1] AS impact_class, (o_orderkey % 5 + o_custkey % 2)::INT AS depth, ['CALLS', 'IMPORTS', 'REFERENCES'][o_custkey % 3 + 1] AS via, o_orderkey % 5 = 2 AND o_custkey % 2 = 0 AS is_test, TRUE AS file_level FROM orders)
 """
 
 
 def made_nodes(t) -> DataFrame:
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
     pick = lambda names, key: F.get(F.array(*[F.lit(x) for x in names]), key % len(names))
-    return t("orders").where("o_orderkey <= 1000").select(
+    return t("orders").select(
         F.concat(F.lit("S"), order.cast("string")).alias("node"), F.when(order % 3 == 0, "FILE").otherwise("SYMBOL").alias("node_type"), F.concat(F.lit("n"), order.cast("string")).alias("name"), F.concat(F.lit("p"), customer.cast("string")).alias("file_path"),
         pick(("CONFIG", "DOCUMENTATION", "SOURCE"), customer).alias("category"), pick(("DIRECT", "POTENTIAL", "POTENTIAL", "UNRESOLVED", "EXTERNAL"), order).alias("impact_class"), (order % 5 + customer % 2).cast("int").alias("depth"),
         pick(("CALLS", "IMPORTS", "REFERENCES"), customer).alias("via"), ((order % 5 == 2) & (customer % 2 == 0)).alias("is_test"), F.lit(True).alias("file_level"),
@@ -494,16 +494,20 @@ def made_nodes(t) -> DataFrame:
 
 _ITEMS = _NODES + """, typed AS (SELECT *, CASE WHEN impact_class = 'DIRECT' AND node_type = 'SYMBOL' THEN 'CHANGED_CODE' WHEN impact_class = 'DIRECT' AND category = 'CONFIG' THEN 'CONFIGURATION_CHANGE' WHEN impact_class = 'DIRECT' AND category = 'DOCUMENTATION' THEN 'DOCUMENTATION_CHANGE' WHEN impact_class = 'DIRECT' THEN 'CHANGED_CODE'
   WHEN impact_class = 'POTENTIAL' AND is_test THEN 'AFFECTED_TEST' WHEN impact_class = 'POTENTIAL' AND via IN ('CALLS', 'REFERENCES') THEN 'AFFECTED_CALLER' WHEN impact_class = 'POTENTIAL' THEN 'AFFECTED_DEPENDENCY' WHEN impact_class = 'UNRESOLVED' THEN 'UNRESOLVED_IMPACT' ELSE 'EXTERNAL_DEPENDENCY' END AS item_type FROM nodes),
-grouped AS (SELECT item_type, CASE WHEN item_type = 'CHANGED_CODE' AND node_type = 'SYMBOL' THEN node WHEN item_type = 'AFFECTED_CALLER' THEN via || '/' || CASE WHEN depth <= 1 THEN 'direct' ELSE 'transitive' END WHEN item_type = 'AFFECTED_DEPENDENCY' THEN via ELSE 'all' END AS g, count(*) AS total, min(via) AS via, min(depth <= 1) AS near FROM typed GROUP BY 1, 2)
+grouped AS (SELECT item_type, CASE WHEN item_type = 'CHANGED_CODE' AND node_type = 'SYMBOL' THEN node WHEN item_type = 'AFFECTED_CALLER' THEN via || '/' || CASE WHEN depth <= 1 THEN 'direct' ELSE 'transitive' END WHEN item_type = 'AFFECTED_DEPENDENCY' THEN via ELSE 'all' END AS g, count(*) AS total, min(via) AS via, min(depth <= 1) AS near, min(file_path) AS first_path, min(name) AS first_name FROM typed GROUP BY 1, 2),
+ranked AS (SELECT *, CASE WHEN item_type IN ('CHANGED_CODE', 'AFFECTED_TEST', 'CONFIGURATION_CHANGE') THEN 'REQUIRED' WHEN item_type = 'AFFECTED_CALLER' THEN CASE WHEN near THEN 'REQUIRED' ELSE 'RECOMMENDED' END WHEN item_type = 'DOCUMENTATION_CHANGE' THEN 'INFORMATIONAL' ELSE 'RECOMMENDED' END AS priority,
+  row_number() OVER (PARTITION BY item_type ORDER BY first_path, first_name, g) - 1 AS place FROM grouped),
+items AS (SELECT item_type || ':' || g AS stable_key, *, (CASE priority WHEN 'REQUIRED' THEN 0 WHEN 'RECOMMENDED' THEN 1000 ELSE 2000 END + CASE item_type WHEN 'CHANGED_CODE' THEN 0 WHEN 'AFFECTED_CALLER' THEN 100 WHEN 'AFFECTED_DEPENDENCY' THEN 200 WHEN 'AFFECTED_TEST' THEN 300 WHEN 'CONFIGURATION_CHANGE' THEN 400 WHEN 'UNRESOLVED_IMPACT' THEN 500 WHEN 'EXTERNAL_DEPENDENCY' THEN 600 ELSE 700 END + place)::INT AS sort
+  FROM ranked ORDER BY sort, stable_key LIMIT 300)
 """
 
 
-@query(_ITEMS + """SELECT item_type || ':' || g AS stable_key, item_type, total, CASE WHEN item_type IN ('CHANGED_CODE', 'AFFECTED_TEST', 'CONFIGURATION_CHANGE') THEN 'REQUIRED' WHEN item_type = 'AFFECTED_CALLER' THEN CASE WHEN near THEN 'REQUIRED' ELSE 'RECOMMENDED' END WHEN item_type = 'DOCUMENTATION_CHANGE' THEN 'INFORMATIONAL' ELSE 'RECOMMENDED' END AS priority, least(total, 200)::INT AS listed FROM grouped""")
+@query(_ITEMS + "SELECT stable_key, item_type, total, priority, sort, least(total, 200)::INT AS listed, CASE WHEN total > 200 THEN format('Showing the first 200 of {} entries.', total) ELSE '' END AS note FROM items")
 def review_items(t):
-    return review.items(made_nodes(t)).select("stable_key", "item_type", "total", "priority", F.size("entries").alias("listed"))
+    return review.items(made_nodes(t)).select("stable_key", "item_type", "total", "priority", "sort", F.size("entries").alias("listed"), "note")
 
 
-@query(_ITEMS + """, items AS (SELECT item_type || ':' || g AS stable_key, total FROM grouped), old AS (SELECT * FROM items WHERE total % 2 = 1)
+@query(_ITEMS + """, old AS (SELECT * FROM items WHERE total % 2 = 1)
 SELECT stable_key, CASE WHEN old.stable_key IS NULL THEN 'OPEN' ELSE 'DONE' END AS status, coalesce('n' || old.total, '') AS notes FROM items LEFT JOIN old USING (stable_key)""")
 def review_carryover(t):
     new = review.items(made_nodes(t))

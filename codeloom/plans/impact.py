@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..functions import values as v
-from ..operators.relational import first_wins
+from ..operators.relational import first_listed, first_wins
 from ..operators.traversal import ranked_bfs
 
 
@@ -93,13 +93,20 @@ def paths(nodes: DataFrame, limit: int = v.LIMITS["impact_paths"]) -> DataFrame:
     return nodes.where("depth > 0").orderBy("depth", "name", "node").limit(limit).select("root", F.col("node").alias("target"), F.col("name").alias("target_name"), "depth", "path")
 
 
-def rendered(nodes: DataFrame, unresolved: DataFrame, external: DataFrame) -> DataFrame:
-    """One row of six ordered arrays: changed symbols, changed files, affected nodes, affected tests, unresolved and external edges."""
-    entry = F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("name", F.lit("")).alias("name"), "node", "via")
+def rendered(nodes: DataFrame, unresolved: DataFrame, external: DataFrame, most: int = v.LIMITS["impact_nodes"]) -> DataFrame:
+    """One row of six ordered arrays of ``most`` entries at most: changed symbols, changed files, affected nodes, affected tests,
+    unresolved and external edges."""
     direct, test = F.col("impact_class") == "DIRECT", F.col("is_test")
-    parts = {"changed_symbols": direct & (F.col("node_type") == "SYMBOL"), "changed_files": direct & (F.col("node_type") == "FILE"), "potential": ~direct & ~test, "tests": ~direct & test}
-    main = nodes.agg(*[F.sort_array(F.collect_list(F.when(c, entry))).alias(n) for n, c in parts.items()])
-    ends = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct("evidence_file_id", "start_line", "evidence"))).alias(name))
+    part = F.when(direct, F.when(F.col("node_type") == "SYMBOL", "changed_symbols").otherwise("changed_files")).otherwise(F.when(test, "tests").otherwise("potential"))
+    shown = nodes.select(part.alias("part"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("name", F.lit("")).alias("name"), "node", "via")
+    lists = first_listed(shown, ["part"], ["depth", "file_path", "name", "node"], F.struct("depth", "file_path", "name", "node", "via"), most)
+    main = lists.agg(*[F.coalesce(F.max_by(F.when(F.col("part") == n, F.col("entries")), F.col("part") == n), F.expr(f"cast(array() AS {dict(lists.dtypes)['entries']})")).alias(n) for n in ("changed_symbols", "changed_files", "potential", "tests")])  # four rows
+    edge = ["evidence_file_id", "start_line", "evidence"]
+
+    def ends(df: DataFrame, name: str) -> DataFrame:
+        listed = first_listed(df.select(F.lit(1).alias("part"), *edge), ["part"], edge, F.struct(*edge), most)
+        return listed.agg(F.coalesce(F.first("entries"), F.expr(f"cast(array() AS {dict(listed.dtypes)['entries']})")).alias(name))
+
     return main.crossJoin(ends(unresolved, "unresolved")).crossJoin(ends(external, "external"))  # one row each
 
 

@@ -10,15 +10,24 @@ from ..functions import values as v
 from ..operators import relational as rel
 
 
-def _entries(order: Column) -> Column:
-    """The first 200 entries of a group, ordered."""
-    entry = F.struct(order.alias("o"), F.col("name").alias("title"), F.col("node").alias("entry_key"), F.col("file_path"), F.lit("OPEN").alias("status"))
-    return F.slice(F.array_sort(F.collect_list(entry)), 1, v.LIMITS["review_entries"])
+STEPS = "array<struct<source: string, relationship: string, target: string, evidence: string>>"
 
 
-def items(nodes: DataFrame) -> DataFrame:
+def path_steps(paths: DataFrame) -> DataFrame:
+    """target_name, path_steps: the shortest path to each name (see ``impact.paths``), as steps from the changed node outward, with the
+    names of ``paths`` where it has them."""
+    step = lambda p: F.struct(p["target"].alias("source"), p["kind"].alias("relationship"), p["source"].alias("target"), p["at"].alias("evidence"))
+    return shortest_paths(paths).select("target_name", F.transform("path", step).cast(STEPS).alias("path_steps"))
+
+
+def items(nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """``nodes`` (node, node_type, name, file_path, category, impact_class, depth, via, is_test, file_level) -> stable_key,
-    item_type, via, priority, sort, title, total, entries. One item a changed symbol; all else is grouped."""
+    item_type, via, priority, sort, title, total, note, entries. One item a changed symbol; all else is grouped. An item lists its first
+    200 entries, each with the steps of the shortest path to its name, if ``paths`` are given; titles are redacted."""
+    if paths is not None:
+        nodes = nodes.join(path_steps(paths).withColumnRenamed("target_name", "name"), "name", "left")
+    else:
+        nodes = nodes.withColumn("path_steps", F.lit(None).cast(STEPS))
     changed = (F.col("impact_class") == "DIRECT") & (F.col("node_type") == "SYMBOL")
     file_level = (F.col("impact_class") == "DIRECT") & (F.col("node_type") == "FILE") & F.col("file_level")
     potential = F.col("impact_class") == "POTENTIAL"
@@ -37,14 +46,19 @@ def items(nodes: DataFrame) -> DataFrame:
     group = F.when(changed, F.col("node")).when(F.col("item_type") == "AFFECTED_CALLER", F.concat_ws("/", "via", F.when(direct, "direct").otherwise("transitive"))).when(F.col("item_type") == "AFFECTED_DEPENDENCY", F.col("via")).otherwise("all")
     typed = nodes.withColumn("item_type", kind).where("item_type IS NOT NULL").withColumn("group_key", F.coalesce(group, F.lit("all")))
     grouped = typed.groupBy("item_type", "group_key").agg(
-        F.count(F.lit(1)).alias("total"), F.min("via").alias("via"), F.min(direct).alias("all_direct"), F.min("name").alias("first_name"), F.min("file_path").alias("first_path"), _entries(F.struct("depth", "name", "node")).alias("entries"),
+        F.count(F.lit(1)).alias("total"), F.min("via").alias("via"), F.min(direct).alias("all_direct"), F.min("name").alias("first_name"), F.min("file_path").alias("first_path"),
     )
+    entry = F.struct(s.redact_text(F.col("name")).alias("title"), F.col("node").alias("entry_key"), "file_path", F.coalesce("path_steps", F.array().cast(STEPS)).alias("path_steps"), F.lit("OPEN").alias("status"))
+    grouped = grouped.join(rel.first_listed(typed, ["item_type", "group_key"], ["depth", "name", "node"], entry, v.LIMITS["review_entries"]), ["item_type", "group_key"])
     grouped = grouped.withColumn("priority", s.item_priority(F.col("item_type"), F.coalesce("via", F.lit("")), F.col("all_direct")))
+    # items of one priority follow each other, so those beyond the limit can't be among the first
+    place = F.row_number().over(Window.partitionBy("item_type", "priority").orderBy("first_path", "first_name", "group_key"))
+    grouped = grouped.withColumn("_place", place).where(F.col("_place") <= v.LIMITS["review_items"]).drop("_place")
     place = F.row_number().over(Window.partitionBy("item_type").orderBy("first_path", "first_name", "group_key")) - 1
     label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in v.RELATION_LABELS.items() for x in kv]), F.col("via")), F.lit("items"))
     title = F.when((F.col("item_type") == "CHANGED_CODE") & (F.col("group_key") != "all"), F.concat(F.lit("Review changed "), "first_name")).otherwise(F.concat_ws(" ", F.lit("Check"), F.col("total").cast("string"), label))
-    out = grouped.withColumn("sort", s.item_sort(F.col("item_type"), F.col("priority"), place)).withColumn("title", title).withColumn("stable_key", F.concat_ws(":", "item_type", "group_key"))
-    return out.select("stable_key", "item_type", "via", "priority", "sort", "title", "total", "entries").orderBy("sort", "stable_key").limit(v.LIMITS["review_items"])
+    out = grouped.withColumn("sort", s.item_sort(F.col("item_type"), F.col("priority"), place)).withColumn("title", s.redact_text(title)).withColumn("note", cap_note(F.col("total"))).withColumn("stable_key", F.concat_ws(":", "item_type", "group_key"))
+    return out.select("stable_key", "item_type", "via", "priority", "sort", "title", "total", "note", "entries").orderBy("sort", "stable_key").limit(v.LIMITS["review_items"])
 
 
 def cap_note(total: Column, limit: int = v.LIMITS["review_entries"]) -> Column:

@@ -210,3 +210,34 @@ def test_symbols_after_a_syntax_error(bad):
     got = {s["qualified_name"]: (s["line_start"], s["line_end"]) for s in symbols}
     assert got["A.b"] == (11, 12) and got["c"] == (19, 20) and "A.a" in got and got["A"][0] == 4
     assert {s["qualified_name"]: s["signature"] for s in symbols}["A.b"] == "b(self, x=1)"
+
+
+def test_caps_of_a_key_without_a_task_for_it(spark):
+    """3000 rows of one key and few of others: the cap holds, and no window goes over the key alone."""
+    rows = spark.range(3000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 3000).alias("v")).union(spark.range(10).select(F.lit("rare"), F.col("id")))
+    for limit in (1, 10, 1500, 2999, 3000):
+        got = relational.capped_per_key(rows.repartition(7), ["k"], ["v"], limit)
+        want = {("hot", n) for n in range(min(limit, 3000))} | {("rare", n) for n in range(min(limit, 10))}
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = relational.capped_per_key(rows, ["k"], ["v"], 1500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_range" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+
+
+def test_lists_of_first_rows_hold_few_rows_a_task(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    listed = relational.first_listed(rows, ["k"], ["v"], F.col("v"), 200)
+    assert {r["k"]: r["entries"] for r in listed.collect()} == {k: list(range(k, 400, 2)) for k in (0, 1)}
+    assert listed._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") == 2  # before the exchange and after it
+
+
+def test_checklists_list_steps_and_hide_secrets(spark):
+    node = "node string, node_type string, name string, file_path string, category string, impact_class string, depth int, via string, is_test boolean, file_level boolean"
+    rows = [("S1", "SYMBOL", "password=hunter2", "a.py", "SOURCE", "DIRECT", 0, None, False, False)]
+    rows += [(f"S{k}", "SYMBOL", f"n{k:04d}", "b.py", "SOURCE", "POTENTIAL", 1, "CALLS", False, False) for k in range(10, 300)]
+    paths = spark.createDataFrame([("S1", "S10", "n0010", 1, [("S1", "CALLS", "S10", "b.py:4")]), ("S9", "S10", "n0010", 2, [])], "root string, target string, target_name string, depth int, path array<struct<source: string, kind: string, target: string, at: string>>")
+    items = {r["item_type"]: r for r in review.items(spark.createDataFrame(rows, node), paths).collect()}
+    assert items["CHANGED_CODE"]["title"] == "Review changed password=REDACTED" and "hunter2" not in str(items["CHANGED_CODE"]["entries"])
+    callers = items["AFFECTED_CALLER"]
+    assert (callers["total"], len(callers["entries"]), callers["note"]) == (290, 200, "Showing the first 200 of 290 entries.")
+    assert [e["entry_key"] for e in callers["entries"][:3]] == ["S10", "S11", "S12"]
+    assert [tuple(x) for x in callers["entries"][0]["path_steps"]] == [("S10", "CALLS", "S1", "b.py:4")] and callers["entries"][1]["path_steps"] == []
