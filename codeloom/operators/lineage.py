@@ -1,20 +1,40 @@
-"""Tables that cut lineage."""
+"""Tables that cut lineage, and folders for tables that a query makes."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
+
+
+def _named(spark: SparkSession) -> str | None:
+    """The folder in ``spark.checkpoint.dir``. It has to be set on a cluster; a single machine (``local[...]``) can do without."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/") if folder else None
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path for tables, in the shared folder (on a single machine without one, in a temporary folder)."""
+    folder = _named(spark)
+    if not folder:
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="codeloom-"))
+        folder = _LOCAL[0]
+    return f"{folder}/codeloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, so that it is computed once and survives lost executors.
-    Where no folder is set (a single machine) it is persisted instead."""
+    On a single machine without such a folder it is persisted instead."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
+    if not _named(spark):
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/codeloom/step-{uuid.uuid4().hex[:12]}"
+    path = new_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

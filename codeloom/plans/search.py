@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..functions import values as v
 from ..operators import lines as text
 from ..operators import relational as rel
+from . import trigrams
 
 TYPES = ("symbol", "file", "text")
 
@@ -44,7 +45,7 @@ def search_files(files: DataFrame, symbols: DataFrame, query: str, limit: int =
     hits = _first(files.where(_like("path", q)), ["file_id"], candidates).withColumn("score", s.file_score(F.col("path"), q))
     counts = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbol_count"))
     best = rel.page(hits, [F.desc("score"), F.desc("path"), F.desc("file_id")], limit, offset).select("file_id", "path", "score")
-    return best.join(counts, "file_id", "left").fillna(0, ["symbol_count"])
+    return best.join(counts, "file_id", "left").fillna(0, ["symbol_count"]).orderBy(F.desc("score"), F.desc("path"), F.desc("file_id"))
 
 
 def search_text(files: DataFrame, query: str, case_sensitive: bool = False, limit: int = 20, offset: int = 0, budget: int | None = None, most: int | None = None) -> DataFrame:
@@ -58,6 +59,31 @@ def search_text(files: DataFrame, query: str, case_sensitive: bool = False, limi
     return rel.page(found, ["path", "line_number"], limit, offset).select("path", "line_number", F.substring(F.trim("line"), 1, v.LIMITS["snippet"]).alias("snippet"))
 
 
+def index_files(files: DataFrame, folder: str) -> None:
+    """An index for ``search_text_by`` and, of paths, ``search_files_by``: ``files`` (file_id, path, content) in ``folder``."""
+    trigrams.build(files, "file_id", ["content", "path"], folder)
+
+
+def index_symbols(symbols: DataFrame, folder: str) -> None:
+    """An index for ``search_symbols_by``: ``symbols`` (symbol_id, file_id, name, qualified_name, kind) in ``folder``."""
+    trigrams.build(symbols, "symbol_id", ["name", "qualified_name"], folder)
+
+
+def search_text_by(spark: SparkSession, folder: str, query: str, **options) -> DataFrame:
+    """What ``search_text`` finds, by an index: only files that hold all trigrams of the query are read."""
+    return search_text(trigrams.narrowed(spark, folder, "file_id", checked_query(query), wildcards=False), query, **options)
+
+
+def search_symbols_by(spark: SparkSession, folder: str, files: DataFrame, query: str, **options) -> DataFrame:
+    """What ``search_symbols`` finds, by an index."""
+    return search_symbols(trigrams.narrowed(spark, folder, "symbol_id", checked_query(query)), files, query, **options)
+
+
+def search_files_by(spark: SparkSession, folder: str, symbols: DataFrame, query: str, **options) -> DataFrame:
+    """What ``search_files`` finds, by an index of the files."""
+    return search_files(trigrams.narrowed(spark, folder, "file_id", checked_query(query)), symbols, query, **options)
+
+
 def search(files: DataFrame, symbols: DataFrame, query: str, kind: str = "symbol", **options) -> DataFrame:
     if kind not in TYPES:
         raise ValueError(f"unknown search type {kind}")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .plans import linediff, similar
-from .queries import query
+from .operators.lineage import new_folder
+from .plans import linediff, search, similar
+from .queries import ORACLES, query
 
 _MOVED = "SELECT 'd' || doc_id AS path, text AS content FROM documents", "SELECT 'n' || doc_id AS path, text || chr(10) || 'moved to ' || doc_id AS content FROM documents"
 
@@ -32,3 +33,32 @@ def line_diffs(t):
     hunks = linediff.saved(linediff.unified(linediff.script(old, new)))
     growth = hunks.groupBy("path").agg(F.sum(F.col("new_count") - F.col("old_count")).alias("growth"))
     return linediff.applied(old, hunks).join(growth, "path", "left").select(F.col("path").alias("doc_id"), F.md5("content").alias("digest"), F.coalesce("growth", F.lit(0)).cast("long").alias("growth"))
+
+
+# --- searches by an index: the same rows as by a scan
+
+@query(ORACLES["text_search"])
+def indexed_text_search(t):
+    files = t("documents").select(F.col("doc_id").alias("file_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("size_bytes"))
+    folder = new_folder(files.sparkSession, "text-index")
+    search.index_files(files, folder)
+    return search.search_text_by(files.sparkSession, folder, "idiot", limit=100)
+
+
+@query(ORACLES["ranked_symbol_search"].replace("%al%", "%l_%").replace("'al'", "'l_'").replace("'.al'", "'.l_'") + " -- the wildcard has no piece of three characters: a scan")
+def scanned_symbol_search(t):
+    return _symbols_by_index(t, "l_")
+
+
+@query(ORACLES["ranked_symbol_search"].replace("%al%", "%rand#1_.%al%").replace("'al'", "'rand#1_.%al'").replace("'.al'", "'.rand#1_.%al'"))
+def indexed_symbol_search(t):
+    """Wildcards inside the query."""
+    return _symbols_by_index(t, "rand#1_.%al")
+
+
+def _symbols_by_index(t, text: str):
+    part = t("part")
+    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.upper(F.split("p_type", " ")[0]).alias("kind"))
+    folder = new_folder(part.sparkSession, "symbol-index")
+    search.index_symbols(symbols, folder)
+    return search.search_symbols_by(part.sparkSession, folder, part.select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("path")), text, limit=50)
