@@ -71,3 +71,14 @@ ITEM_ORDER = {"CHANGED_CODE": 0, "AFFECTED_CALLER": 1, "AFFECTED_DEPENDENCY": 2,
 BEHAVIOUR = ["CALLS", "REFERENCES", "EXTENDS", "IMPLEMENTS"]
 RELATION_LABELS = {"CALLS": "callers", "REFERENCES": "dependents", "EXTENDS": "subclasses", "IMPLEMENTS": "implementers", "IMPORTS": "dependent files", "TESTS": "tests"}
 LIMITS = {"impact_nodes": 1000, "impact_paths": 200, "unresolved": 500, "depth": 6, "review_entries": 200, "review_items": 300, "edges": 100_000, "symbol_candidates": 5000, "file_candidates": 2000, "text_bytes": 32 << 20, "text_hits": 1000, "snippet": 220, "query_chars": 200, "context_chars": 12_000, "context_items": 100}
+
+# states that an update may set, and how much of a note is kept
+ITEM_STATES = ["OPEN", "IN_PROGRESS", "DONE", "SKIPPED"]
+ENTRY_STATES = ["OPEN", "DONE"]
+NOTE_CHARS = 4000
+
+# a diff: files, hunks, changed lines and bytes of its text
+DIFF_LIMITS = {"files": 500, "hunks": 5000, "lines": 50_000, "bytes": 16 << 20}
+
+# an explanation: characters of the summary, of the uncertainty and of a check, checks, selected indices
+EXPLANATION_LIMITS = {"summary": 700, "uncertainty": 400, "check": 200, "checks": 4, "indices": 6}

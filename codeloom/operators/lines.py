@@ -49,7 +49,7 @@ def call_sites(code: DataFrame, script: bool = False) -> DataFrame:
 
 
 def hunks(diffs: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
-    """Numbered lines of unified diffs: header, hunk, side (OLD, NEW, or null for context), old_line, new_line, text.
+    """Numbered lines of unified diffs: header, hunk, place (in the diff), side (OLD, NEW, or null for context), old_line, new_line, text.
 
     File headers stand before the first ``@@``; within hunks every ``+`` and ``-`` counts."""
     rows = diffs.select(*keys, F.posexplode(F.split(text, "\n")).alias("n", "line"))
@@ -65,12 +65,12 @@ def hunks(diffs: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
     body = body.withColumn("_old", F.sum(F.when(mark != "+", 1).otherwise(0)).over(inside)).withColumn("_new", F.sum(F.when(mark != "-", 1).otherwise(0)).over(inside))
     side = F.when(mark == "+", "NEW").when(mark == "-", "OLD")
     return body.select(
-        *keys, "hunk", "header", "old_start", "old_count", "new_start", "new_count", side.alias("side"),
+        *keys, "hunk", F.col("n").alias("place"), "header", "old_start", "old_count", "new_start", "new_count", side.alias("side"),
         F.when(mark != "+", F.col("old_start") + F.col("_old") - 1).alias("old_line"), F.when(mark != "-", F.col("new_start") + F.col("_new") - 1).alias("new_line"), F.expr("substring(line, 2)").alias("text"),
     )
 
 
 def changed_lines(numbered: DataFrame) -> DataFrame:
     """Added and deleted lines: side, line_number, change_type."""
-    rest = [c for c in numbered.columns if c not in ("old_line", "new_line", "side", "text")]
+    rest = [c for c in numbered.columns if c not in ("old_line", "new_line", "side", "text", "place")]
     return numbered.where("side IS NOT NULL").select(*rest, "side", F.coalesce(F.when(F.col("side") == "NEW", F.col("new_line")), "old_line").alias("line_number"), F.when(F.col("side") == "NEW", "ADDED").otherwise("DELETED").alias("change_type"), "text")

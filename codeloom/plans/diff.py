@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from ..functions import values as v
 from ..operators import lines as text
 from ..operators import relational as rel
 
@@ -70,14 +73,45 @@ class DiffTooLarge(ValueError):
     """A diff is larger than allowed."""
 
 
-def checked(changes: DataFrame, numbered: DataFrame, most_files: int = 500, most_hunks: int = 5000, most_lines: int = 50_000) -> DataFrame:
-    """``changes``, or DiffTooLarge. ``numbered``: the lines of its hunks."""
-    n = changes.count(), numbered.select("file_id", "hunk").distinct().count(), numbered.where("side IS NOT NULL").count()
-    if n[0] > most_files or n[1] > most_hunks or n[2] > most_lines:
-        raise DiffTooLarge(f"{n[0]} files, {n[1]} hunks, {n[2]} lines")
+def checked(changes: DataFrame, numbered: DataFrame, most_files: int = v.DIFF_LIMITS["files"], most_hunks: int = v.DIFF_LIMITS["hunks"], most_lines: int = v.DIFF_LIMITS["lines"], diffs: DataFrame | None = None, most_bytes: int = v.DIFF_LIMITS["bytes"]) -> DataFrame:
+    """``changes``, or DiffTooLarge. ``numbered``: the lines of its hunks; ``diffs``: their texts."""
+    n = changes.count(), numbered.select("file_id", "hunk").distinct().count(), numbered.where("side IS NOT NULL").count(), 0
+    if diffs is not None:
+        n = (*n[:3], diffs.agg(F.sum(F.octet_length("diff"))).collect()[0][0] or 0)
+    if n[0] > most_files or n[1] > most_hunks or n[2] > most_lines or n[3] > most_bytes:
+        raise DiffTooLarge(f"{n[0]} files, {n[1]} hunks, {n[2]} lines, {n[3]} bytes")
     return changes
 
 
+def stored_hunks(numbered: DataFrame) -> DataFrame:
+    """file_id, hunk, header, starts and counts, and the content of each hunk of numbered lines."""
+    mark = F.when(F.col("side") == "NEW", "+").when(F.col("side") == "OLD", "-").otherwise(" ")
+    lines = F.array_sort(F.collect_list(F.struct("place", F.concat(mark, "text").alias("t"))))
+    keys = ["file_id", "hunk", "header", "old_start", "old_count", "new_start", "new_count"]
+    return numbered.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("content"))
+
+
+class SameRevision(ValueError):
+    """Base and head of a diff are the same revision."""
+
+
+def identity(repository_id: int, base: str, head: str) -> int:
+    """The number of a diff between two resolved revisions, the same whoever asks; SameRevision for equal ones."""
+    base, head = base.strip(), head.strip()
+    if not base or not head:
+        raise ValueError("a diff has a base and a head")
+    if base == head:
+        raise SameRevision("base and head revisions must be different")
+    return int.from_bytes(sha256(f"{repository_id}:{base}:{head}".encode()).digest()[:7], "big")
+
+
+def snapshot_revision(files: DataFrame) -> str:
+    """A name for a snapshot (path, content) that has no commit: equal for equal files, in any order."""
+    each = F.xxhash64("path", "content", F.col("content").isNull()).cast("decimal(38,0)")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).alias("s"), F.coalesce(F.sum(F.xxhash64(F.lit(7), "path", "content").cast("decimal(38,0)")), F.lit(0)).alias("t")).collect()[0]
+    return sha256(f"{row['n']}:{row['s']}:{row['t']}".encode()).hexdigest()
+
+
 def in_order(files: DataFrame | None = None, hunks: DataFrame | None = None, lines: DataFrame | None = None, symbols: DataFrame | None = None) -> list[DataFrame]:
     """What is given, as it is read: files by path, hunks by start, lines by side and number, symbols by file and name."""
     keys = [(files, ["path"]), (hunks, ["old_start", "new_start"]), (lines, ["side", "line_number"]), (symbols, ["file_id", "name", "symbol_id"])]

@@ -108,16 +108,3 @@ def rendered(nodes: DataFrame, unresolved: DataFrame, external: DataFrame, most:
         return listed.agg(F.coalesce(F.first("entries"), F.expr(f"cast(array() AS {dict(listed.dtypes)['entries']})")).alias(name))
 
     return main.crossJoin(ends(unresolved, "unresolved")).crossJoin(ends(external, "external"))  # one row each
-
-
-def stored(path: str, repository_id: int, diff_id: int, depth: int, compute) -> DataFrame:
-    """The nodes of one analysis (repository, diff, depth): read if it is there, else computed and written. Two writers of one key
-    write the same partition, which the last replaces."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    where = f"{path}/repository_id={repository_id}/diff_id={diff_id}/depth={depth}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        compute().write.mode("overwrite").parquet(where)
-    return spark.read.parquet(where)

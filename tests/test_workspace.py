@@ -2,6 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from codeloom.plans import diff
+from codeloom.publication import Refused
 from codeloom.workspace import Missing, Workspace
 
 TREE = {
@@ -74,6 +78,43 @@ def test_change_to_checklist(space):
     assert {r["kind"] for r in space.recent().collect()} == {"repository", "diff", "review"}
 
 
+def test_depths_side_by_side_and_updates_that_are_refused(space):
+    space.analyse_impact(1, 5, 3)
+    deep, near = (space.impact_summary(1, 5, d).collect()[0] for d in (3, 2))
+    assert deep["potential"] >= near["potential"] and space.results.current("impact", {"repository_id": 1, "diff_id": 5, "depth": 2})["number"] == 1
+    with pytest.raises(Missing):
+        space.impact(1, 5, 4)
+    key = space.review(1, 5).collect()[0]["stable_key"]
+    for bad in (("none", "DONE", None), (key, "LATER", None), (key, "DONE", "none")):
+        with pytest.raises(Refused):
+            space.update_item(1, 5, bad[0], bad[1], entry_key=bad[2])
+    before = [tuple(r) for r in space.review(1, 5).collect()]
+    space.compact_log(1, 5)
+    assert [tuple(r) for r in space.review(1, 5).collect()] == before
+
+
+def test_diffs_by_revision_and_of_snapshots(spark, space):
+    changes = spark.createDataFrame([("shop/price.py", None, "M", 1, 1)], "path string, old_path string, code string, additions int, deletions int")
+    texts = spark.createDataFrame([("shop/price.py", DIFF)], "path string, diff string")
+    first = space.compare_revisions(1, "aaa", "bbb", changes, texts)
+    assert space.compare_revisions(1, "aaa", "bbb", changes.limit(0), texts) == first and space.diff_files(1, first).count() == 1
+    with pytest.raises(diff.SameRevision):
+        space.compare_revisions(1, "aaa", "aaa", changes, texts)
+    head = spark.createDataFrame(list(TREE.items()), "path string, content string")
+    old = dict(TREE) | {"shop/price.py": TREE["shop/price.py"].replace("add(items)", "0", 1), "shop/old_desk.py": TREE["shop/desk.py"] + "# gone\n"}
+    del old["shop/desk.py"]
+    base = spark.createDataFrame(list(old.items()), "path string, content string")
+    made = space.compare_snapshots(1, base, head)
+    rows = {r["path"]: (r["status"], r["old_path"], r["additions"], r["deletions"]) for r in space.diff_files(1, made).collect()}
+    assert rows == {"shop/price.py": ("MODIFIED", None, 1, 1), "shop/desk.py": ("RENAMED", "shop/old_desk.py", 0, 1)}
+    assert [r["name"] for r in space.diff_symbols(1, made).collect()] == ["total"]
+    file_id = space.diff_symbols(1, made).collect()[0]["file_id"]
+    hunk = space.diff_hunks(1, made, file_id).collect()[0]
+    assert (hunk["old_start"], hunk["new_start"]) == (1, 1) and "-    return 0\n+    return add(items)" in hunk["content"]
+    with pytest.raises(diff.SameRevision):
+        space.compare_snapshots(1, head, head.orderBy(F.desc("path")))
+
+
 def test_lenses_are_cut_and_redacted(space):
     texts = {kind: "\n".join(r["text"] for r in space.lens(1, 5, kind).collect()) for kind in ("change", "impact", "review", "unresolved")}
     assert "password=REDACTED" in texts["change"] and "hunter2" not in texts["change"]
