@@ -5,7 +5,7 @@ up every phrase of up to ``words`` words in count-min sketches, one a task, whic
 phrase whose cells all reach ``least`` may be frequent and any other isn't. A second pass counts those exactly: words are numbered
 within a slice of texts by their bytes, phrases by pairs of numbers, so no hash decides what is equal. Parts of a frequent phrase are
 frequent too, so the same pass counts them. Then each cut of a phrase is scored, contained phrases are subsumed by longer ones, and
-the best of each language are kept in two steps (some of each bin of rows, then of all), so that no task holds a language.
+counts by ranges of scores tell which ranges hold the best of each language, so that no task sorts a language.
 
 A sketch has a cell a word of the corpus in each of ``DEPTH`` rows, within ``WIDTHS``, as a task holds it whole. A corpus of far more
 phrases than cells fills it: more phrases are then counted exactly that turn out rare, and the result stays the same.
@@ -31,7 +31,6 @@ WORDS, LEAST, MOST = 3, 10, 2000
 SHARE = 50  # percent of a phrase that a longer one has to have to stand for it
 DEPTH, WIDTHS = 2, (1 << 20, 1 << 26)
 SLICE_BYTES = 4 << 20
-BINS = 32
 COUNTS = "lang string, words int, phrase binary, a long"
 
 _BREAK = np.zeros(256, bool)
@@ -215,11 +214,14 @@ def subsumed(counts: DataFrame, share: int = SHARE) -> DataFrame:
 def mined(docs: DataFrame, words: int = WORDS, least: int = LEAST, most: int = MOST, share: int = SHARE, width: int | None = None, depth: int = DEPTH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``most`` best phrases of each language by score, count and bytes."""
     counts = counted(docs, words, least, width, depth)
-    left = scored(counts, least).join(subsumed(counts, share), ["lang", "phrase"], "left_anti")
+    left = store.saved(scored(counts, least).join(subsumed(counts, share), ["lang", "phrase"], "left_anti"), "scored")
+    # how many stand in each range of scores and counts tells which ranges hold the best; the others are not sorted
+    left = left.withColumn("_range", F.struct(F.expr("score div 1000").alias("s"), F.floor(F.log2("a")).alias("a")))
+    sizes = left.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("lang").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    last = sizes.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_ahead") < most).groupBy("lang").agg(F.min("_range").alias("_last"))
+    some = left.join(F.broadcast(last), "lang").where(F.col("_range") >= F.col("_last"))  # a row a language
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    bins = max(BINS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    some = left.withColumn("_bin", F.pmod(F.xxhash64("phrase"), F.lit(bins)))
-    some = some.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_bin").orderBy(*order))).where(F.col("_place") <= most)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
     total = F.broadcast(counts.where("words = 0").select("lang", F.col("a").alias("n")))  # a row a language
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
