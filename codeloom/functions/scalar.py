@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values as v
+from .folding import casefold
 
 
 def _map(known: dict, key: Column, default) -> Column:
@@ -190,7 +191,7 @@ def file_score(path: Column, query: str) -> Column:
 def symbol_score(name: Column, qualified: Column, query: str) -> Column:
     """struct(score, stanza): 6 qualified name, 5 name, 4 end of the qualified name, 3 start or any case, 2 start in any case, 1 inside."""
     real = qualified.isNotNull() & (qualified != "") & (qualified != name)
-    low, q = F.lower(name), query.casefold()
+    low, q = casefold(name), query.casefold()
     score = F.when(real & (qualified == query), 6).when(real & (qualified == F.concat(name, F.lit("." + query))), 5).when(name == query, 5)
     score = score.when((qualified != "") & qualified.endswith(query), 4).when(name.startswith(query), 3).when(low == q, 3).when(low.startswith(q), 2).when(low.contains(q), 1).otherwise(0)
     insensitive = (low == q) & ~name.startswith(query) & ~F.coalesce(qualified.endswith(query), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..functions import values as v
+from ..functions.folding import casefold
 from ..operators import lines as text
 from ..operators import relational as rel
 from . import trigrams
@@ -35,7 +36,7 @@ def search_symbols(symbols: DataFrame, files: DataFrame, query: str, limit: int
     q = checked_query(query)
     hits = _first(symbols.where(_like("name", q) | _like("qualified_name", q)), ["symbol_id"], candidates)
     hits = hits.join(files.select("file_id", "path"), "file_id").withColumn("rank", s.symbol_score(F.col("name"), F.col("qualified_name"), q)).withColumn("kind_rank", s.kind_rank(F.col("kind")))
-    ordered = [F.desc("rank.score"), F.desc("rank.stanza"), F.desc("kind_rank"), F.lower("name").desc(), F.desc("path"), F.desc("symbol_id")]
+    ordered = [F.desc("rank.score"), F.desc("rank.stanza"), F.desc("kind_rank"), casefold(F.col("name")).desc(), F.desc("path"), F.desc("symbol_id")]
     return rel.page(hits, ordered, limit, offset).select("symbol_id", "name", "qualified_name", "kind", "path", F.col("rank.score").alias("score"))
 
 
@@ -54,7 +55,7 @@ def search_text(files: DataFrame, query: str, case_sensitive: bool = False, limi
     read = files.where("content IS NOT NULL")
     read = read if budget is None else rel.until_spent(read, "size_bytes", ["path"], budget)
     rows = text.lines(read.select("path", "content"))
-    hit = F.col("line").contains(q) if case_sensitive else F.lower("line").contains(q.lower())
+    hit = F.col("line").contains(q) if case_sensitive else casefold(F.col("line")).contains(q.casefold())
     found = _first(rows.where(hit), ["path", "line_number"], most)
     return rel.page(found, ["path", "line_number"], limit, offset).select("path", "line_number", F.substring(F.trim("line"), 1, v.LIMITS["snippet"]).alias("snippet"))
 

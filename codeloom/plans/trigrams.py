@@ -1,6 +1,6 @@
 """Substring search by an index of trigrams, for ``contains`` and ``ILIKE`` alike.
 
-The index has a row (bucket, gram, id) for each three characters in a row that a text of a row has, in lower case, in files by bucket (a
+The index has a row (bucket, gram, id) for each three characters in a row that a text of a row has, its case folded, in files by bucket (a
 hash of the gram) and sorted by gram, so a lookup opens the buckets of its grams only and of these only the row groups that can hold
 them. Rows are dealt by ranges of (bucket, gram, id), so a gram that every text has is spread over many tasks and files. Next to it the
 texts are stored by part (a hash of the id): candidates, the rows that have all grams of a query, name the parts that are read, and only
@@ -17,6 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folding import casefold
 from ..operators.lineage import saved
 
 BUCKETS = PARTS = 64
@@ -24,8 +25,8 @@ FEW = 100_000  # candidates that are broadcast; more are joined by shuffle
 
 
 def grams(text: Column) -> Column:
-    """The distinct runs of three characters of a text in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), 1))
+    """The distinct runs of three characters of a text whose case is folded."""
+    return F.array_distinct(F.regexp_extract_all(casefold(text), F.lit("(?s)(?=(.{3}))"), 1))
 
 
 def _bucket(gram: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import explanation
+from .functions.folding import casefold
 from .operators.lineage import new_folder
 from .plans import linediff, search, similar
 from .queries import ORACLES, query
@@ -62,3 +64,44 @@ def _symbols_by_index(t, text: str):
     folder = new_folder(part.sparkSession, "symbol-index")
     search.index_symbols(symbols, folder)
     return search.search_symbols_by(part.sparkSession, folder, part.select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("path")), text, limit=50)
+
+
+# --- replies and folded names
+
+_REPLIES = """WITH b AS (SELECT doc_id, regexp_replace(substr(text, 1, 1200), '["\\\\{}\\x00-\\x1f]', ' ', 'g') AS body FROM documents),
+r AS (SELECT doc_id, body, CASE doc_id % 9 WHEN 0 THEN '```json' || chr(10) || '{"summary": "' || body || '", "evidence_indices": [1, ' || doc_id || ', true, "x", 2.5, null], "suggested_checks": ["a  b", 7, "", "c", false, "d"], "uncertainty": " "}' || chr(10) || '```'
+  WHEN 1 THEN 'Sure: {"summary": "ok ' || doc_id || '", "evidence_indices": [0]} done' WHEN 2 THEN '{"summary": "  ", "evidence_indices": [1]}' WHEN 3 THEN body WHEN 4 THEN '{"summary": "x", "evidence_indices": "1"}'
+  WHEN 5 THEN '{"summary": 12, "evidence_indices": [false]}' WHEN 6 THEN '{"summary": "x" "y"}' WHEN 7 THEN '{"summary": "a", "evidence_indices": [3,2,1,0,9,8,7,6], "uncertainty": "' || body || '", "suggested_checks": "none"}'
+  ELSE '{"summary": "' || doc_id || '", "evidence_indices": [' || doc_id || '], "suggested_checks": ["' || body || '"]}' END AS reply FROM b),
+t AS (SELECT doc_id, body, reply, regexp_replace(regexp_replace(reply, '^```[a-zA-Z0-9_-]*\\s*', ''), '\\s*```$', '') AS text FROM r),
+i AS (SELECT doc_id, body, CASE WHEN strpos(text, '{') > 0 AND strpos(reverse(text), '}') > 0 THEN substr(text, strpos(text, '{'), length(text) - strpos(text, '{') - strpos(reverse(text), '}') + 2) ELSE '' END AS js FROM t),
+k AS (SELECT doc_id, js, CASE WHEN json_valid(js) THEN js END AS ok FROM i),
+f AS (SELECT doc_id, js, ok, coalesce(trim(regexp_replace(ok ->> '$.summary', '\\s+', ' ', 'g')), '') AS summary, json_type(ok, '$.evidence_indices') AS kind, [x::BIGINT FOR x IN json_extract(ok, '$.evidence_indices[*]') IF json_type(x) IN ('UBIGINT', 'BIGINT')] AS whole,
+  nullif(substr(trim(regexp_replace(coalesce(ok ->> '$.uncertainty', ''), '\\s+', ' ', 'g')), 1, 400), '') AS uncertainty,
+  [substr(trim(regexp_replace(CASE x ->> '$' WHEN 'false' THEN 'False' WHEN 'true' THEN 'True' ELSE x ->> '$' END, '\\s+', ' ', 'g')), 1, 200) FOR x IN (CASE WHEN json_type(ok, '$.suggested_checks') = 'ARRAY' THEN json_extract(ok, '$.suggested_checks[*]') ELSE [] END)] AS checks FROM k),
+e AS (SELECT *, CASE WHEN js = '' THEN 'reply contained no JSON object' WHEN ok IS NULL THEN 'reply was not valid JSON' WHEN summary = '' THEN 'reply had no summary' WHEN kind IS DISTINCT FROM 'ARRAY' THEN 'evidence_indices was not a list' WHEN len(whole) = 0 THEN 'evidence_indices was empty or invalid' END AS error FROM f)
+SELECT doc_id, error, CASE WHEN error IS NULL THEN substr(summary, 1, 700) END AS summary, CASE WHEN error IS NULL THEN array_to_string(whole[1:6], ',') END AS evidence_indices, CASE WHEN error IS NULL THEN uncertainty END AS uncertainty,
+CASE WHEN error IS NULL THEN array_to_string([c FOR c IN checks IF c != ''][1:4], '|') END AS suggested_checks FROM e"""
+
+
+@query(_REPLIES)
+def parsed_replies(t):
+    """Replies around every document: fences, junk, missing parts and wrong types."""
+    number, body = F.col("doc_id").cast("string"), F.regexp_replace(F.substring("text", 1, 1200), r'["\\{}\x00-\x1f]', " ")
+    lit = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    replies = [
+        lit('```json\n{"summary": "', body, '", "evidence_indices": [1, ', number, ', true, "x", 2.5, null], "suggested_checks": ["a  b", 7, "", "c", false, "d"], "uncertainty": " "}\n```'), lit('Sure: {"summary": "ok ', number, '", "evidence_indices": [0]} done'),
+        lit('{"summary": "  ", "evidence_indices": [1]}'), body, lit('{"summary": "x", "evidence_indices": "1"}'), lit('{"summary": 12, "evidence_indices": [false]}'), lit('{"summary": "x" "y"}'),
+        lit('{"summary": "a", "evidence_indices": [3,2,1,0,9,8,7,6], "uncertainty": "', body, '", "suggested_checks": "none"}'), lit('{"summary": "', number, '", "evidence_indices": [', number, '], "suggested_checks": ["', body, '"]}'),
+    ]
+    rows = t("documents").select("doc_id", F.get(F.array(*replies), (F.col("doc_id") % 9).cast("int")).alias("reply"))
+    found = rows.select("doc_id", explanation.parsed(F.col("reply")).alias("e")).select("doc_id", "e.*")
+    return found.withColumns({"evidence_indices": F.array_join(F.col("evidence_indices").cast("array<string>"), ","), "suggested_checks": F.array_join("suggested_checks", "|")})
+
+
+@query("SELECT doc_id, md5(lower(replace(replace(replace(text, 'e', 'ß'), 'a', 'ΑΣ'), 'ß', 'ss'))) AS folded, contains(lower(replace(replace(text, 'a', 'ασ'), 'e', 'ss')), 'tss') AS hit FROM (SELECT doc_id, translate(lower(text), 'ßς', 'ss') AS text FROM documents)".replace("'ΑΣ'), 'ß', 'ss')", "'ασ'), 'ß', 'ss')"))
+def folded_texts(t):
+    """Texts with sharp s and capital sigma: folded, and searched by a query of another case."""
+    plain = F.translate(F.lower("text"), "ßς", "ss")
+    odd = F.replace(F.replace(plain, F.lit("e"), F.lit("ß")), F.lit("a"), F.lit("ΑΣ"))
+    return t("documents").select("doc_id", F.md5(casefold(odd)).alias("folded"), casefold(odd).contains("Tß".casefold()).alias("hit"))

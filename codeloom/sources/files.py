@@ -34,6 +34,50 @@ def read_files(spark: SparkSession, root: str, max_file_bytes: int = MAX_FILE_BY
     return out.withColumn("line_count", F.coalesce(s.line_count(F.col("content")), F.lit(0)))
 
 
+def _entries(spark: SparkSession, root: str, max_files: int, max_bytes: int) -> list[tuple[str, str, int]]:
+    """(location, path below root, bytes) of the files of one repository by path, or LimitExceeded as soon as there are too many or they
+    are too large. Ignored folders are not entered, links to folders not followed, and links to what lies outside left out. Files are
+    listed, not opened, in the file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = system.resolvePath(at)
+    local = system.getScheme() == "file"
+    real = lambda p: jvm.java.io.File(p.toUri().getPath()).getCanonicalPath() if local else p.toUri().getPath()
+    inside, found, size, todo = real(top), [], 0, [("", top)]
+    while todo:
+        prefix, folder = todo.pop()
+        for entry in system.listStatus(folder):
+            where, name = entry.getPath(), entry.getPath().getName()
+            link = local and jvm.java.nio.file.Files.isSymbolicLink(jvm.java.io.File(where.toUri().getPath()).toPath())
+            if entry.isDirectory():
+                if not link and name not in v.IGNORED_DIRECTORIES:
+                    todo.append((f"{prefix}{name}/", where))
+                continue
+            if name in v.IGNORED_FILES or (link and not f"{real(where)}/".startswith(f"{inside}/")):
+                continue
+            size += entry.getLen()
+            found.append((where.toString(), f"{prefix}{name}", entry.getLen()))
+            if len(found) > max_files or size > max_bytes:
+                raise LimitExceeded(f"over {max_files} files or {max_bytes} bytes in {root}")
+    return sorted(found, key=lambda f: f[1])
+
+
+def discover(spark: SparkSession, root: str, max_file_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES, max_bytes: int = MAX_REPOSITORY_BYTES) -> DataFrame:
+    """What ``read_files`` gives, of one repository: the listing stops at the limits, before any content is read, and bounds what the
+    driver holds; then executors read the files that are small enough."""
+    found = _entries(spark, root, max_files, max_bytes)
+    listed = spark.createDataFrame([(w, p, n) for w, p, n in found], "location string, path string, length long")
+    small = [w for w, _, n in found if n <= max_file_bytes]
+    columns = ["path", s.language_of(F.col("path")).alias("language"), F.col("length").cast("int").alias("size_bytes")]
+    if not small:
+        return listed.select(*columns, F.lit(None).cast("string").alias("content"), F.lit(0).alias("line_count"))
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    texts = spark.read.format("binaryFile").load(small).select(plain("path").alias("_at"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    out = listed.withColumn("_at", plain("location")).join(texts, "_at", "left").select(*columns, "content")
+    return out.withColumn("line_count", F.coalesce(s.line_count(F.col("content")), F.lit(0)))
+
+
 def _git(folder: str | None, *args: str) -> str:
     """What git prints. It runs on the driver, before any job, and never runs code of the repository."""
     at = ["-C", folder] if folder else []

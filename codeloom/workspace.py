@@ -56,7 +56,7 @@ class Workspace:
         name = self.spark.range(1).select(s.repository_of(F.lit(url)).alias("r")).select("r.owner", "r.name")
         if name.where("name IS NOT NULL").count() == 0:
             raise ValueError(f"not a repository url: {url}")
-        files = sources.numbered(sources.checked(sources.read_files(self.spark, folder)))
+        files = sources.numbered(sources.discover(self.spark, folder))
         self._write("files", files.withColumn("file_id", F.lit(repository_id << 20).cast("long") + F.col("file_id")), repository_id)
         self._write("repositories", name.withColumns({"url": F.lit(url), "status": F.lit("READY")}), repository_id)
         return self.repository(repository_id)
