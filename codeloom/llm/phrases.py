@@ -29,7 +29,7 @@ from . import store, text
 
 WORDS, LEAST, MOST = 3, 10, 2000
 SHARE = 50  # percent of a phrase that a longer one has to have to stand for it
-DEPTH, WIDTHS = 2, (1 << 20, 1 << 26)
+DEPTH, WIDTHS = 2, (1 << 20, 1 << 25)
 SLICE_BYTES = 4 << 20
 COUNTS = "lang string, words int, phrase binary, a long"
 
@@ -112,18 +112,18 @@ def sketched(docs: DataFrame, words: int, least: int, width: int, depth: int) ->
     """A bit a cell: whether the merged count-min sketch has ``least`` there. Cells stop at ``least``, so a task sends few bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        cells = np.zeros(depth * width, np.uint16)
+        cells = np.zeros(depth * width, np.uint8 if least < 128 else np.uint32)  # no cell counts beyond ``least``
         for part in text.slices(batches, budget=SLICE_BYTES):
             p = Phrases(part, words)
             for k in range(1, words + 1):
                 for at in _cells(p.hashes(k), depth, width):
                     which, n = np.unique(at, return_counts=True)
-                    cells[which] = np.minimum(cells[which] + np.minimum(n, least), least)
-        return cells.astype(np.uint8 if least < 256 else np.uint16)
+                    cells[which] = np.minimum(cells[which] + np.minimum(n, least).astype(cells.dtype), least)
+        return cells
 
-    kind = "u1" if least < 256 else "u2"
+    kind = "u1" if least < 128 else "u4"
     docs = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)  # each task sends a sketch
-    full = store.merged_arrays(docs, make, lambda a, b: np.minimum(a.astype(np.uint32) + b, least), depth * width, kind, "u4", 64, finish=lambda x: (x >= least).astype(np.uint8))
+    full = store.merged_arrays(docs, make, lambda a, b: np.minimum(a + b, least), depth * width, kind, "u4", 64, finish=lambda x: (x >= least).astype(np.uint8))
     return np.packbits(full)
 
 
