@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
@@ -86,11 +86,20 @@ def search_files_by(spark: SparkSession, folder: str, symbols: DataFrame, query:
 
 
 def search(files: DataFrame, symbols: DataFrame, query: str, kind: str = "symbol", **options) -> DataFrame:
+    """A page of one kind of search; ``total`` is the number of its rows."""
     if kind not in TYPES:
         raise ValueError(f"unknown search type {kind}")
     if kind == "symbol":
-        return search_symbols(symbols, files, query, **options)
-    return search_files(files, symbols, query, **options) if kind == "file" else search_text(files, query, **options)
+        found = search_symbols(symbols, files, query, **options)
+    else:
+        found = search_files(files, symbols, query, **options) if kind == "file" else search_text(files, query, **options)
+    return found.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))  # a page
+
+
+def definitions(chosen: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of ``chosen`` symbols with their path and the name of what holds them: what an investigation begins with."""
+    parents = symbols.select(F.col("symbol_id").alias("parent_symbol_id"), s.display_name(F.col("qualified_name"), F.col("name")).alias("parent"))
+    return chosen.join(files.select("file_id", "path"), "file_id").join(parents, "parent_symbol_id", "left")
 
 
 def investigate(edges: DataFrame, symbols: DataFrame, files: DataFrame, symbol_id: int, limit: int = 2400) -> DataFrame:
@@ -100,7 +109,8 @@ def investigate(edges: DataFrame, symbols: DataFrame, files: DataFrame, symbol_i
     rows = touched.join(files.select(F.col("file_id").alias("evidence_file_id"), F.col("path").alias("evidence_path")), "evidence_file_id", "left").join(names("source"), "source_symbol_id", "left").join(names("target"), "target_symbol_id", "left")
     group = F.when(F.col("status") == "EXTERNAL", "external").when(F.col("status") == "UNRESOLVED", "unresolved").when(F.col("type").isin("DEFINES", "EXTENDS", "IMPLEMENTS"), "dependencies")
     group = group.when(F.col("type") == "CALLS", F.when(F.col("source_symbol_id") == symbol_id, "callees").otherwise("callers")).otherwise(F.lower("type"))
-    return rows.withColumn("group", group).orderBy("type", "evidence_path", "start_line").limit(limit)
+    order = [c for c in ("relationship_id",) if c in rows.columns] or ["evidence_path", "start_line", "source_symbol_id", "target_symbol_id", "status"]
+    return rows.withColumn("group", group).orderBy("type", *order).limit(limit)
 
 
 def related_files(investigated: DataFrame, files: DataFrame, limit: int = 100, own: str | None = None) -> DataFrame:

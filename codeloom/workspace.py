@@ -123,6 +123,10 @@ class Workspace:
     def investigation(self, repository_id: int, symbol_id: int) -> DataFrame:
         return search.investigate(self._read("relationships", repository_id), self._read("symbols", repository_id), self._read("files", repository_id), symbol_id)
 
+    def definition(self, repository_id: int, symbol_id: int) -> DataFrame:
+        """The symbol of an investigation, with its path and parent."""
+        return search.definitions(self.symbol(repository_id, symbol_id).drop("repository_id"), self._read("symbols", repository_id), self._read("files", repository_id))
+
     def related_files(self, repository_id: int, symbol_id: int) -> DataFrame:
         """Paths around a symbol with their numbers of symbols and relationships."""
         files = self._read("files", repository_id)

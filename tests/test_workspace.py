@@ -50,6 +50,8 @@ def test_tables(space):
     assert space.imports(1, source="shop").count() == 2 and [r["name"] for r in space.exports(1).collect()] == ["draw"]
     assert {r["target_name"] for r in space.relationships(1, type="calls", source="pay").collect()} == {"total"}
     assert space.search(1, "Cart").collect()[0]["kind"] == "CLASS" and space.search(1, "add(", "text").count() == 2
+    assert [(r["path"], r["parent"]) for r in space.definition(1, rows[0]["symbol_id"]).collect()] == [("shop/cart.py", None)]
+    assert {r["total"] for r in space.search(1, "add(", "text").collect()} == {2}
     assert "callers" in {r["group"] for r in space.investigation(1, rows[0]["symbol_id"]).collect()}
     assert "shop/cart.py" in {r["path"] for r in space.related_files(1, rows[0]["symbol_id"]).collect()} and space.neighbours(1, rows[0]["symbol_id"], 3).count() == 3
 
