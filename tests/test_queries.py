@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codeloom import graph_queries, plan_queries, queries, snapshot_queries  # noqa: F401
+from codeloom import graph_queries, plan_queries, queries, snapshot_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
