@@ -118,39 +118,46 @@ def _bmp(data: memoryview, at: int) -> Found:
     return size, pixels, size - pixels
 
 
-def _ogg(data: memoryview, at: int) -> Found:
-    p, pages = at, 0
-    while p + 27 <= len(data) and bytes(data[p : p + 5]) == b"OggS\0":
+def _ogg(data: memoryview, at: int, dead: set[int]) -> Found:
+    """``dead``: pages of chains that failed; a chain that begins at one of them fails too."""
+    p, walked = at, []
+    while p not in dead and p + 27 <= len(data) and bytes(data[p : p + 5]) == b"OggS\0":
         table = p + 27 + data[p + 26]
         if table > len(data) or (end := table + sum(data[p + 27 : table])) > len(data):
             break
-        p, pages, last = end, pages + 1, data[p + 5] & 4
+        walked.append(p)
+        p, last = end, data[p + 5] & 4
         if last:
             return p - at, 0, p - at
+    dead.update(walked)
     return None
 
 
-def _mp4(data: memoryview, at: int) -> Found:
-    p, body = at, None
-    while p + 8 <= len(data):
+def _mp4(data: memoryview, at: int, dead: set[int]) -> Found:
+    """``dead``: boxes of chains without media data."""
+    p, body, walked = at, None, []
+    while p not in dead and p + 8 <= len(data):
         size, name = struct.unpack_from(">I", data, p)[0], bytes(data[p + 4 : p + 8])
         if size < 8 or p + size > len(data) or name not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"uuid", b"moof", b"sidx", b"mfra"):
             break
         if name == b"mdat":
             body = body or (p + 8 - at, size - 8)
+        walked.append(p)
         p += size
+    if not body:
+        dead.update(walked)
     return (p - at, *body) if body else None
 
 
 #: magic bytes, their offset in the file, type, validator
-FORMATS: list[tuple[bytes, int, str, Callable[[memoryview, int], Found]]] = [
-    (b"RIFF", 0, "audio/wav", lambda d, at: _riff(d, at, b"WAVE")),
-    (b"RIFF", 0, "image/webp", lambda d, at: _riff(d, at, b"WEBP")),
-    (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
-    (b"GIF87a", 0, "image/gif", _gif),
-    (b"GIF89a", 0, "image/gif", _gif),
-    (b"\xff\xd8\xff", 0, "image/jpeg", _jpeg),
-    (b"BM", 0, "image/bmp", _bmp),
+FORMATS: list[tuple[bytes, int, str, Callable[[memoryview, int, set[int]], Found]]] = [
+    (b"RIFF", 0, "audio/wav", lambda d, at, _: _riff(d, at, b"WAVE")),
+    (b"RIFF", 0, "image/webp", lambda d, at, _: _riff(d, at, b"WEBP")),
+    (b"\x89PNG\r\n\x1a\n", 0, "image/png", lambda d, at, _: _png(d, at)),
+    (b"GIF87a", 0, "image/gif", lambda d, at, _: _gif(d, at)),
+    (b"GIF89a", 0, "image/gif", lambda d, at, _: _gif(d, at)),
+    (b"\xff\xd8\xff", 0, "image/jpeg", lambda d, at, _: _jpeg(d, at)),
+    (b"BM", 0, "image/bmp", lambda d, at, _: _bmp(d, at)),
     (b"OggS", 0, "audio/ogg", _ogg),
     (b"ftyp", 4, "video/mp4", _mp4),
 ]
@@ -170,10 +177,11 @@ def _automaton() -> ahocorasick.Automaton:
 def spans(data: bytes) -> list[tuple[str, int, int, int, int]]:
     """(type, offset, length, body_offset, body_length) of the files in ``data``; none lies inside another."""
     view, out, done = memoryview(data), [], 0
+    dead: dict[str, set[int]] = {f[2]: set() for f in FORMATS}
     for last, magic in _automaton().iter(data.decode("latin-1")):
         for known, lead, kind, valid in FORMATS:
             at = last + 1 - len(magic) - lead
-            if known == magic and at >= done and (got := valid(view, at)):
+            if known == magic and at >= done and (got := valid(view, at, dead[kind])):
                 out.append((kind, at, got[0], at + got[1], got[2]))
                 done = at + got[0]
                 break

@@ -74,3 +74,18 @@ def test_files_that_nothing_fits_and_other_columns(spark):
     got = {r["doc_id"]: r for r in media.digests(media.sniffed(df)).collect()}
     assert (got[1]["payload_bytes"], got[1]["media_bytes"], got[1]["media_type"]) == (None, 5, "text/plain")
     assert got[2]["media_sha256"] is None and got[3]["payload_bytes"] == 3 and got[3]["media_type"] == "audio/wav"
+
+
+def test_chains_that_fail_are_walked_once():
+    """Files of many pages or boxes that end without their last one: each page is a beginning, and none is walked again."""
+    import time
+
+    page = b"OggS\0\0" + bytes(20) + b"\x01\x10" + bytes(16)
+    box = b"\0\0\0\x10ftypisom" + bytes(4)
+    began = time.time()
+    assert media.spans(page * 50_000) == [] and media.spans(box * 100_000) == []
+    assert time.time() - began < 5
+    last = b"OggS\0\4" + bytes(20) + b"\x01\x10" + bytes(16)
+    data = page * 3 + b"gap" + page * 2 + last + box * 2 + b"\0\0\0\x0amdatxy" + box
+    found = media.spans(data)
+    assert [(k, a, n) for k, a, n, _, _ in found] == [("audio/ogg", 3 * len(page) + 3, 2 * len(page) + len(last)), ("video/mp4", 5 * len(page) + 3 + len(last), 3 * len(box) + 10)]
