@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..functions import values as v
+from ..operators.lineage import saved
 from ..operators.relational import first_listed, first_wins
 from ..operators.traversal import ranked_bfs
 
@@ -50,6 +51,7 @@ def traversed(root_nodes: DataFrame, edges: DataFrame, symbols: DataFrame, files
     """node, depth, rank, via, via_source, path (steps with file:line), node_type, name, file_path, is_test, impact_class, truncated and
     why; roots have depth 0. At most ``limit`` nodes, roots counted, in the order in which they are found."""
     order = ["through", "priority", "at_file", "at_line", "kind"]
+    root_nodes = saved(root_nodes)  # read for the first level and for the files that lead on
     reach, cut = ranked_bfs(root_nodes.select("node", "rank"), adjacency(edges, symbols, files, root_nodes), min(max_depth, v.LIMITS["depth"]), order, ["at"], limit)
     named = symbols.select(F.concat(F.lit("S"), "symbol_id").alias("node"), s.display_name(F.col("qualified_name"), F.col("name")).alias("name"), "kind", "file_id").join(files.select("file_id", F.col("path").alias("file_path")), "file_id").drop("file_id")
     named = named.union(files.select(F.concat(F.lit("F"), "file_id"), "path", F.lit(None).cast("string"), "path").toDF("node", "name", "kind", "file_path"))
