@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators.lineage import saved
 from .plan_queries import _ITEMS, _ROOTS, MADE, made_edges, made_nodes, made_roots
-from .plans import context, impact, resolve, review, search
+from .plans import context, impact, resolve, review, search, views
 from .queries import query
 
 _CODE = """
@@ -108,3 +108,66 @@ def symbol_definitions(t):
 
     symbols = made_symbols(t)
     return search.definitions(symbols.where("name = 'f8'"), symbols, made_files(t)).select("symbol_id", "name", "qualified_name", "kind", "path", "line_start", "line_end", "parent")
+
+
+# --- imports of scripts, edges of nodes, what a client shows
+
+_SUFFIXES = "(VALUES ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('/index.ts', 5), ('/index.tsx', 6), ('/index.js', 7), ('/index.jsx', 8)) AS x(suffix, priority)"
+
+
+@query(MADE + f""", i AS (SELECT event_id AS import_id, f.repository_id, 'f' || event_id % 97 AS imported_name, CASE event_id % 5 WHEN 0 THEN regexp_replace(path, '/[^/]*$', '') || '/m' || event_id % 200 WHEN 1 THEN 'src/pkg' || event_id % 5 || '/m' || event_id % 200 || '.ts' WHEN 2 THEN 'src/pkg' || event_id % 7 || '/m' || event_id % 200 END AS base
+  FROM events JOIN files f ON f.file_id = 1 + user_id % 150),
+hit AS (SELECT import_id, arg_min(f.file_id, priority) AS target_file_id FROM i, {_SUFFIXES} JOIN files f ON f.path = base || suffix AND f.repository_id = i.repository_id GROUP BY 1)
+SELECT i.import_id, target_file_id, s.symbol_id AS target_symbol_id FROM i LEFT JOIN hit USING (import_id) LEFT JOIN symbols s ON s.file_id = target_file_id AND s.name = imported_name""")
+def script_imports(t):
+    """Imports of scripts: as they stand, with an extension or as a folder's index; packages stay open."""
+    from .plan_queries import made_files, made_symbols
+
+    key = F.col("event_id")
+    number = (key % 200).cast("string")
+    source = F.when(key % 5 == 0, F.concat(F.lit("./m"), number)).when(key % 5 == 1, F.concat(F.lit("../pkg"), (key % 5).cast("string"), F.lit("/m"), number, F.lit(".ts"))).when(key % 5 == 2, F.concat(F.lit("../../src/./pkg"), (key % 7).cast("string"), F.lit("/m"), number)).otherwise("react")
+    rows = t("events").select(key.alias("import_id"), (1 + F.col("user_id") % 150).alias("file_id"), source.alias("source"), F.concat(F.lit("f"), (key % 97).cast("string")).alias("imported_name"), F.lit(None).cast("string").alias("alias"), F.lit("es_module").alias("kind"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    return resolve.resolved_imports(made_files(t), made_symbols(t), rows).select("import_id", "target_file_id", "target_symbol_id")
+
+
+@query(MADE + """, n AS (SELECT symbol_id FROM symbols WHERE name = 'f8') SELECT source_symbol_id AS touched, type, status, evidence_file_id, start_line FROM edges WHERE source_symbol_id IN (SELECT symbol_id FROM n)
+UNION ALL SELECT target_symbol_id, type, status, evidence_file_id, start_line FROM edges WHERE target_symbol_id IN (SELECT symbol_id FROM n) AND source_symbol_id IS DISTINCT FROM target_symbol_id""")
+def touching_edges(t):
+    """The edges of many symbols at once, by two equi-joins."""
+    from .operators import relational
+    from .plan_queries import made_symbols
+
+    nodes = made_symbols(t).where("name = 'f8'").select("symbol_id")
+    return relational.either_end(made_edges(t), nodes, "source_symbol_id", "target_symbol_id", "symbol_id").select("touched", "type", "status", "evidence_file_id", "start_line")
+
+
+@query("""WITH i AS (SELECT CASE p_size % 3 WHEN 0 THEN 'REQUIRED' WHEN 1 THEN 'RECOMMENDED' ELSE 'INFORMATIONAL' END AS priority, ['OPEN', 'DONE', 'SKIPPED'][p_partkey % 3 + 1] AS status, ['CHANGED_CODE', 'AFFECTED_TEST', 'AFFECTED_CALLER', 'UNRESOLVED_IMPACT', 'EXTERNAL_DEPENDENCY'][p_partkey % 5 + 1] AS item_type FROM part)
+SELECT 'all' AS filter, count(*) AS n FROM i UNION ALL SELECT 'required', count(*) FROM i WHERE priority = 'REQUIRED' UNION ALL SELECT 'open', count(*) FROM i WHERE status = 'OPEN' UNION ALL SELECT 'done', count(*) FROM i WHERE status = 'DONE'
+UNION ALL SELECT 'tests', count(*) FROM i WHERE item_type = 'AFFECTED_TEST' UNION ALL SELECT 'callers', count(*) FROM i WHERE item_type = 'AFFECTED_CALLER' UNION ALL SELECT 'unresolved', count(*) FROM i WHERE item_type IN ('UNRESOLVED_IMPACT', 'EXTERNAL_DEPENDENCY')""")
+def filter_counts(t):
+    """How many items each named filter shows."""
+    pick = lambda names, key: F.get(F.array(*[F.lit(x) for x in names]), F.col(key) % len(names))
+    items = t("part").select(pick(("REQUIRED", "RECOMMENDED", "INFORMATIONAL"), "p_size").alias("priority"), pick(("OPEN", "DONE", "SKIPPED"), "p_partkey").alias("status"), pick(("CHANGED_CODE", "AFFECTED_TEST", "AFFECTED_CALLER", "UNRESOLVED_IMPACT", "EXTERNAL_DEPENDENCY"), "p_partkey").alias("item_type"), F.col("p_size").alias("sort"), F.col("p_partkey").alias("stable_key"))
+    parts = [views.filtered_items(items, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("filter"), "n") for name in views.item_filters()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+_LISTED = "SELECT part, md5(string_agg(name, ',' ORDER BY depth, file_path, name, node)) AS names, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY depth, file_path, name, node) AS k FROM shown) WHERE k <= 1000 GROUP BY 1"
+
+
+@query(MADE + _ROOTS + """, shown AS (SELECT CASE WHEN impact_class = 'DIRECT' THEN CASE node_type WHEN 'SYMBOL' THEN 'changed_symbols' ELSE 'changed_files' END WHEN is_test THEN 'tests' ELSE 'potential' END AS part, depth, file_path, name, node FROM (SELECT 'S' || o_orderkey AS node, CASE WHEN o_orderkey % 3 = 0 THEN 'FILE' ELSE 'SYMBOL' END AS node_type, 'n' || o_orderkey AS name, 'p' || o_custkey AS file_path,
+  ['DIRECT', 'POTENTIAL', 'POTENTIAL', 'UNRESOLVED', 'EXTERNAL'][o_orderkey % 5 + 1] AS impact_class, (o_orderkey % 5 + o_custkey % 2)::INT AS depth, o_orderkey % 5 = 2 AND o_custkey % 2 = 0 AS is_test FROM orders) WHERE impact_class IN ('DIRECT', 'POTENTIAL')),
+own AS (SELECT *, coalesce('S' || source_symbol_id, 'F' || evidence_file_id) AS owner FROM edges WHERE status = 'UNRESOLVED'),
+u AS (SELECT evidence_file_id, start_line, min_by(evidence, (start_line, evidence)) AS evidence FROM own WHERE owner IN (SELECT node FROM rt) GROUP BY owner, evidence_file_id, type, start_line ORDER BY 1, 2, 3 LIMIT 500)
+""" + _LISTED + " UNION ALL SELECT 'unresolved', md5(string_agg(evidence, ',' ORDER BY evidence_file_id, start_line, evidence)), count(*) FROM u")
+def impact_rendered(t):
+    """The ordered arrays of an impact, 1000 entries at most each."""
+    nodes = made_nodes(t).where("impact_class IN ('DIRECT', 'POTENTIAL')")
+    ends = impact.open_ends(made_roots(t)[1], made_edges(t), "UNRESOLVED", limit=500)
+    row = saved(impact.rendered(nodes, ends, ends.limit(0)))
+    parts = {"changed_symbols": "name", "changed_files": "name", "potential": "name", "tests": "name", "unresolved": "evidence"}
+    each = F.array(*[F.struct(F.lit(n).alias("part"), F.md5(F.array_join(F.col(f"{n}.{c}"), ",")).alias("names"), F.size(n).cast("long").alias("n")) for n, c in parts.items()])
+    return row.select(F.explode(each).alias("x")).select("x.*").where("n > 0")

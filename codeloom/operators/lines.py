@@ -55,12 +55,13 @@ def hunks(diffs: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
     rows = diffs.select(*keys, F.posexplode(F.split(text, "\n")).alias("n", "line"))
     by = Window.partitionBy(*keys).orderBy("n")
     is_header = F.col("line").rlike(r"^@@ -\d+")
-    rows = rows.withColumn("header", F.when(is_header, F.col("line"))).withColumn("hunk", F.count("header").over(by))
-    rows = rows.where("hunk > 0").withColumn("header", F.last("header", ignorenulls=True).over(by))
-    number = lambda group, default: F.coalesce(F.expr(f"try_cast(regexp_extract(header, '^@@ -(\\\\d+)(?:,(\\\\d+))? \\\\+(\\\\d+)(?:,(\\\\d+))? @@', {group}) AS INT)"), F.lit(default))
-    body = rows.where(~is_header & ~F.col("line").startswith("\\") & (F.col("line") != ""))
+    number = lambda group, default: F.coalesce(F.expr(f"try_cast(regexp_extract(line, '^@@ -(\\\\d+)(?:,(\\\\d+))? \\\\+(\\\\d+)(?:,(\\\\d+))? @@', {group}) AS INT)"), F.lit(default))
+    # a header is parsed where it stands, not on each line below it
+    head = F.struct(F.col("line").alias("header"), number(1, 1).alias("old_start"), number(2, 1).alias("old_count"), number(3, 1).alias("new_start"), number(4, 1).alias("new_count"))
+    rows = rows.withColumn("_head", F.when(is_header, head)).withColumn("hunk", F.count("_head").over(by))
+    rows = rows.where("hunk > 0").withColumn("_head", F.last("_head", ignorenulls=True).over(by))
+    body = rows.where(~is_header & ~F.col("line").startswith("\\") & (F.col("line") != "")).select("*", "_head.*").drop("_head")
     mark = F.substring("line", 1, 1)
-    body = body.withColumns({"old_start": number(1, 1), "old_count": number(2, 1), "new_start": number(3, 1), "new_count": number(4, 1)})
     inside = Window.partitionBy(*keys, "hunk").orderBy("n")
     body = body.withColumn("_old", F.sum(F.when(mark != "+", 1).otherwise(0)).over(inside)).withColumn("_new", F.sum(F.when(mark != "-", 1).otherwise(0)).over(inside))
     side = F.when(mark == "+", "NEW").when(mark == "-", "OLD")
