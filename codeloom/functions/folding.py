@@ -7,22 +7,26 @@ keeps ``ß``, and ``UNICODE_CI`` leaves control characters out of comparisons.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 @cache
-def _special() -> dict[str, str]:
-    """What each character folds to where its lower case is something else, or depends on its place."""
-    every = (chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000)
-    return {c: c.casefold() for c in every if c.casefold() != c.lower()} | {"Σ": "σ"}
+def _special() -> tuple[dict[str, str], dict[str, str]]:
+    """What lower-case characters fold to where that is another character, or several."""
+    every = [c for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and c.casefold() != c]
+    return {c: c.casefold() for c in every if len(c.casefold()) == 1}, {c: c.casefold() for c in every if len(c.casefold()) > 1}
 
 
 def casefold(text: Column) -> Column:
-    """Folded text: one step for plain texts, character by character for those that hold a special one."""
-    special = _special()
-    pairs = F.create_map(*[F.lit(x) for kv in special.items() for x in kv])
-    one_by_one = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), F.lower(c))), "")
-    return F.when(text.rlike("[" + "".join(special) + "]"), one_by_one).otherwise(F.lower(text))
+    """Folded text: lower case, then what differs. Texts within Latin-1 need two replacements; only others go through a translation,
+    and of these only those with one of the rare characters that fold to several through a replacement of each."""
+    single, several = _special()
+    low = F.lower(text)
+    latin = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    folded = F.translate(latin, "".join(single), "".join(single.values()))
+    rare = [c for c in several if c != "ß"]
+    each = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(several[c])), rare, folded)
+    return F.when(~low.rlike(r"[^\x00-\xff]"), latin).when(folded.rlike("[" + "".join(rare) + "]"), each).otherwise(folded)

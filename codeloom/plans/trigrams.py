@@ -2,7 +2,7 @@
 
 The index has a row (bucket, gram, id) for each three characters in a row that a text of a row has, its case folded, in files by bucket (a
 hash of the gram) and sorted by gram, so a lookup opens the buckets of its grams only and of these only the row groups that can hold
-them. Rows are dealt by ranges of (bucket, gram, id), so a gram that every text has is spread over many tasks and files. Next to it the
+them. A bucket is dealt to several tasks and files by the rows' ids, and with it a gram that every text has. Next to it the
 texts are stored by part (a hash of the id): candidates, the rows that have all grams of a query, name the parts that are read, and only
 their texts are compared with the query, by the condition that a scan would use.
 
@@ -21,6 +21,7 @@ from ..functions.folding import casefold
 from ..operators.lineage import saved
 
 BUCKETS = PARTS = 64
+SALTS = 8  # tasks and files of a bucket
 FEW = 100_000  # candidates that are broadcast; more are joined by shuffle
 
 
@@ -38,14 +39,14 @@ def _part(id_: Column) -> Column:
 
 
 def build(rows: DataFrame, id_: str, texts: list[str], folder: str) -> None:
-    """Write the index of the columns ``texts`` of ``rows`` and the rows themselves to ``folder``."""
-    by_column = [rows.select(F.col(id_).alias("id"), F.lit(k).alias("of"), F.explode(grams(F.col(c))).alias("gram")) for k, c in enumerate(texts)]
-    postings = by_column[0]
-    for more in by_column[1:]:
-        postings = postings.unionByName(more)
-    postings = postings.withColumn("bucket", _bucket(F.col("gram"))).repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id")
-    postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    """Write ``rows`` and the index of their columns ``texts`` to ``folder``; the index is made from the rows as they are stored, part by
+    part."""
     rows.withColumn("_part", _part(F.col(id_))).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/rows")
+    stored = rows.sparkSession.read.parquet(f"{folder}/rows")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(c).alias("text")) for k, c in enumerate(texts)]))
+    postings = stored.select(F.col(id_).alias("id"), each.alias("t")).select("id", "t.of", F.explode(grams(F.col("t.text"))).alias("gram"))
+    postings = postings.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    postings.sortWithinPartitions("bucket", "gram", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
 
 
 def query_grams(spark: SparkSession, query: str, wildcards: bool = True) -> list[str]:

@@ -104,4 +104,5 @@ def folded_texts(t):
     """Texts with sharp s and capital sigma: folded, and searched by a query of another case."""
     plain = F.translate(F.lower("text"), "ßς", "ss")
     odd = F.replace(F.replace(plain, F.lit("e"), F.lit("ß")), F.lit("a"), F.lit("ΑΣ"))
-    return t("documents").select("doc_id", F.md5(casefold(odd)).alias("folded"), casefold(odd).contains("Tß".casefold()).alias("hit"))
+    folded = t("documents").select("doc_id", casefold(odd).alias("f"))
+    return folded.select("doc_id", F.md5("f").alias("folded"), F.col("f").contains("Tß".casefold()).alias("hit"))
