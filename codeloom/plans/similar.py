@@ -49,6 +49,20 @@ def similar(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataFrame:
     return scores.select("left_path", "right_path", F.expr("(2000 * _o) div (_ta + _tb)").alias("score")).where(F.col("score") >= least)
 
 
+def classes(files: DataFrame) -> DataFrame:
+    """path, representative: the first path of each content."""
+    named = files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("_h"))
+    return named.join(named.groupBy("_h").agg(F.min("path").alias("representative")), "_h").select("path", "representative")
+
+
+def similar_classes(left: DataFrame, right: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``similar`` between files of different content only, each by the first path of its content, and the two memberships: many equal
+    files make one pair."""
+    members = [saved(classes(side)) for side in (left, right)]
+    first = [side.join(m.select(F.col("representative").alias("path")).distinct(), "path", "left_semi") for side, m in zip((left, right), members, strict=True)]
+    return similar(*first, least), *members
+
+
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """The pairs that are taken if one goes through all by score, left and right path and takes each whose ends are free. In a round all
     pairs go that are the best of both their ends; the first of all is among them."""

@@ -13,17 +13,17 @@ from .queries import ORACLES, query
 _MOVED = "SELECT 'd' || doc_id AS path, text AS content FROM documents", "SELECT 'n' || doc_id AS path, text || chr(10) || 'moved to ' || doc_id AS content FROM documents"
 
 
-@query(f"""WITH f AS (SELECT 0 AS side, * FROM ({_MOVED[0]}) UNION ALL SELECT 1, * FROM ({_MOVED[1]})),
+@query(f"""WITH f AS (SELECT side, min(path) AS path, content FROM (SELECT 0 AS side, * FROM ({_MOVED[0]}) UNION ALL SELECT 1, * FROM ({_MOVED[1]})) GROUP BY side, content),
 l AS (SELECT side, path, line, count(*) AS n FROM (SELECT side, path, unnest(string_split(content, chr(10))) AS line FROM f WHERE content != '') GROUP BY 1, 2, 3),
 w AS (SELECT line, 1000000 // count(*) AS weight FROM l GROUP BY 1), t AS (SELECT side, path, sum(n * weight) AS total FROM l JOIN w USING (line) GROUP BY 1, 2),
 o AS (SELECT a.path AS left_path, b.path AS right_path, sum(least(a.n, b.n) * weight) AS o FROM l a JOIN l b ON a.line = b.line JOIN w ON w.line = a.line WHERE a.side = 0 AND b.side = 1 GROUP BY 1, 2)
 SELECT left_path, right_path, ((2000 * o) // (x.total + y.total))::BIGINT AS score FROM o JOIN t x ON x.side = 0 AND x.path = left_path JOIN t y ON y.side = 1 AND y.path = right_path WHERE (2000 * o) // (x.total + y.total) >= 500""")
 def similar_texts(t):
-    """Every document moved and added to: which are similar, and how much."""
+    """Every document moved and added to: which are similar, and how much; equal documents by the first of them."""
     text, number = F.col("text"), F.col("doc_id").cast("string")
     old = t("documents").select(F.concat(F.lit("d"), number).alias("path"), text.alias("content"))
     new = t("documents").select(F.concat(F.lit("n"), number).alias("path"), F.concat(text, F.lit("\nmoved to "), number).alias("content"))
-    return similar.similar(old, new)
+    return similar.similar_classes(old, new)[0]
 
 
 @query("""WITH e AS (SELECT doc_id, text AS old, 'head' || chr(10) || replace(text, 'e.', 'E.') || chr(10) || 'tail' AS new FROM documents)

@@ -116,6 +116,15 @@ def test_similar_files_and_matching(spark, texts, least):
     assert {(r["left_path"], r["right_path"]) for r in similar.one_to_one(pairs).collect()} == want
 
 
+def test_equal_files_make_one_pair(spark):
+    body = "a\nb\nc"
+    left = spark.createDataFrame([(f"l{k}", body) for k in range(50)] + [("x", "q")], FILES)
+    right = spark.createDataFrame([(f"r{k}", body + "\nd") for k in range(50)], FILES)
+    pairs, a, b = similar.similar_classes(left, right)
+    assert [(r["left_path"], r["right_path"]) for r in pairs.collect()] == [("l0", "r0")]
+    assert a.where("representative = 'l0'").count() == 50 and b.where("representative = 'r0'").count() == 50
+
+
 def test_renames_and_copies(spark):
     body = "\n".join(f"line {k}" for k in range(20))
     other = "\n".join(f"other {k}" for k in range(20))
