@@ -86,7 +86,58 @@ def test_a_bad_section_among_many_is_kept_apart(spark):
 def test_very_long_urls(spark):
     long = "http://h.org/" + "/".join(f"p{k}" for k in range(8000))
     got = urls.judged(spark.createDataFrame([(1, long), (2, long + "/x")], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect()
-    assert {r["template"] for r in got} == {"/p0/p1/p2/p3/p4/<+>"} and all(len(r["path"]) > 40_000 for r in got)
+    assert {r["template"] for r in got} == {long[12:], long[12:] + "/x"} and all(len(r["path"]) > 40_000 for r in got)
+
+
+def verdicts(spark, pages, labels):
+    return urls.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+
+
+def test_labels_that_differ_deep_down(spark):
+    pages = [(i, f"http://h.org/d0/d1/d2/d3/d4/d5/{'spam' if i % 2 else 'news'}/x{i}z") for i in range(400)]
+    got = verdicts(spark, pages, [(i, i % 2) for i in range(200)])
+    assert {(r["path"].split("/")[7], r["verdict"]) for r in got} == {("spam", "block"), ("news", "allow")}
+    assert {r["template"] for r in got} == {"/d0/d1/d2/d3/d4/d5/spam/<*>", "/d0/d1/d2/d3/d4/d5/news/<*>"}
+
+
+def test_sections_with_few_labels_join_their_like(spark):
+    pages = [(i, f"http://h.org/s{i % 30}/x{i}z") for i in range(360)]
+    got = verdicts(spark, pages, [(i, int(i % 30 < 15)) for i in range(90)])
+    assert {(int(r["path"].split("/")[1][1:]) < 15, r["verdict"]) for r in got} == {(True, "block"), (False, "allow")}
+
+
+def test_labels_by_chance_part_no_sections(spark):
+    """One label a section is no evidence that sections differ, whatever the labels; a chain of segments adds none."""
+    pages = [(i, f"http://h.org/s{i}/a/b/c/d/e/f/g") for i in range(100)]
+    got = verdicts(spark, pages, [(i, int(i % 3 == 0)) for i in range(100)])
+    assert {r["verdict"] for r in got} == {"allow"} and {r["template"] for r in got} == {"/<*>/a/b/c/d/e/f/g"}
+    got = verdicts(spark, [(1, "http://h.org/a/b/c/d/e/f/g/h"), (2, "http://i.org/a")], [(1, 1), (2, 0)])
+    assert {r["verdict"] for r in got} == {"allow"}
+
+
+def test_sql_on_odd_trees(spark, tmp_path):
+    """Random trees with ends at inner nodes, wildcards, marks as segments and skewed labels, by SQL level by level."""
+    import random
+
+    import pandas as pd
+
+    draw = random.Random(5)
+    words = ["~", "+3", "=a", "a", "", "7", "*", "<*>", *[f"k{j}" for j in range(12)]]
+    pages, labels = [], []
+    for i in range(3000):
+        parts = [draw.choice(words) for _ in range(draw.choice([0, 1, 1, 2, 3, 4, 9]))]
+        pages.append((i, draw.choice([f"http://{draw.choice('abc')}.org/{'/'.join(parts)}", f"http://d.org/x/y/z/{'/'.join(parts)}", f"http://e.org{'/'.join(parts)}?q", None])))
+        if draw.random() < 0.7:
+            bad = (parts[:1] in (["k1"], ["k2"], ["~"])) or parts[1:2] == ["a"]
+            labels.append((i, int(bad != (draw.random() < 0.1))))
+    pd.DataFrame(pages, columns=["page_id", "url"]).to_parquet(tmp_path / "pages.parquet")
+    pd.DataFrame([(i, 1 - b) for i, b in labels], columns=["doc_id", "quality"]).to_parquet(tmp_path / "labels.parquet")
+    con = duck(str(tmp_path)).execute(urls.ORACLE)
+    names = [d[0] for d in con.description]
+    want = sorted(con.fetchall(), key=str)
+    got = queries.op1_url_filters(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == want
+    assert {r[names.index("verdict")] for r in want if r[names.index("rule")] is None} == {"allow", "block"}
 
 
 def test_names_of_other_columns_do_not_matter(spark):
