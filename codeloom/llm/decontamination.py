@@ -274,10 +274,15 @@ def indexes(items: DataFrame, size: int = INDEX_BYTES) -> Iterator[Index]:
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, item_id, at_word, score, overlap, question_overlap, answer_overlap: one row a document and item."""
-    spark, found = docs.sparkSession, None
+    """doc_id, item_id, at_word, score, overlap, question_overlap, answer_overlap: one row a document and item.
+    What an index finds is saved before the next one is sent, so one index at a time is held."""
+    spark, found, part, shared = docs.sparkSession, None, None, None
     source = docs.select(F.col("doc_id").cast("long"), "text")
     for index in indexes(items, size):
+        if part is not None:
+            part = store.saved(part, "leaks")
+            found = part if found is None else found.union(part)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -289,13 +294,16 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = INDEX_BYTES) -> DataFra
                 yield pa.RecordBatch.from_arrays([ids, items_, *rest], ["doc_id", "item_id", "at_word", "score", "overlap", "question_overlap", "answer_overlap"])
 
         part = source.mapInArrow(scan, "doc_id long, item_id long, at_word long, score double, overlap double, question_overlap double, answer_overlap double")
-        found = part if found is None else found.union(part)
-    return found
+    return part if found is None else found.union(part)
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = INDEX_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no item was found."""
+    """The rows of ``docs`` in which no item was found. What an index leaves is saved before the next one is sent."""
+    shared = None
     for index in indexes(items, size):
+        if shared is not None:
+            docs = store.saved(docs, "clean")
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,19 @@ def test_scores_do_not_depend_on_how_items_are_dealt(spark):
     assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3:] for r in one], [r[3:] for r in many], rtol=1e-5)
 
 
+def test_one_index_at_a_time(spark):
+    """However many indexes the items take, a plan holds one scan: what the ones before found is read from saved tables."""
+    items, docs, _ = corpus(11, 80, 40)
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    for made in (d.clean, d.leaks):
+        for size in (d.INDEX_BYTES, 60_000):
+            plan = made(docs_df, items_df, size)._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("MapInArrow") == 1
+    left = {r["doc_id"] for r in d.clean(docs_df, items_df, 60_000).collect()}
+    assert left == {r["doc_id"] for r in d.clean(docs_df, items_df).collect()} != {k for k, _ in docs}
+
+
 def brute(items, docs):
     """Items of whose word 5-grams a document holds 0.8 or more."""
     words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
