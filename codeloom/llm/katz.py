@@ -511,3 +511,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def held_out(folds: int = 7, at: int = 2):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == at, F.lit(False))
+
+
+def trained_on(folds: int = 7, at: int = 2):
+    """The rows to learn from; a null id is neither learnt from nor held out."""
+    return F.col("doc_id").isNotNull() & ~held_out(folds, at)

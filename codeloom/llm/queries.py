@@ -58,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = katz.fit(docs.where(~katz.held_out()))
+    model = katz.fit(docs.where(katz.trained_on()))
     scored = katz.scored(docs, model).withColumns({"held_out": katz.held_out(), "train_tokens": F.lit(model.train_tokens).cast("long")})
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

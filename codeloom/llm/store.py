@@ -145,13 +145,16 @@ def sifted(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
-    """Write ``df`` to the shared folder as a table of buckets by a column: groups of it need no shuffle when it is read."""
+    """Write ``df`` to the shared folder as a table of buckets by a column: groups of it need no shuffle when it is read.
+    The catalog, which alone takes buckets, forgets the table once it is resolved; its files stay."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.option("compression", "zstd").option("path", path).bucketBy(min(buckets, 50_000), by).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def delete(*tables: DataFrame) -> None:

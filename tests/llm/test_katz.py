@@ -96,6 +96,20 @@ def test_query_improves_on_the_base(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_null_ids_are_not_learnt_and_no_table_is_left(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (None, "z z z z")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = queries.op9_lm_score(spark, str(tmp_path)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    kept = [r for r in rows if r["doc_id"] is not None and not r["held_out"]]
+    assert len(rows) == 3 and kept and all(r["train_tokens"] == 4 * len(kept) for r in rows)
+    assert [(r["n_known"], r["held_out"]) for r in rows if r["doc_id"] is None] == [(1, False)]
+    model = katz.fit(docs)
+    plan = model.trigrams.groupBy("part").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_all_trigrams_are_in_the_table(spark):
     docs = [(1, "a b c a b d e"), (2, "a b f")]
     model = katz.fit(spark.createDataFrame(docs, "doc_id long, text string"))
