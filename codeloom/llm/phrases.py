@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store, text
@@ -211,16 +211,27 @@ def subsumed(counts: DataFrame, share: int = SHARE) -> DataFrame:
     return counts.where("words >= 2").join(most, ["lang", "phrase"]).where(F.col("longer") * 100 >= F.col("a") * share).select("lang", "phrase")
 
 
+def _last_range(rows: DataFrame, by: str, ahead: Column, most: int, carried: list[str] | None = None) -> DataFrame:
+    """lang, ``_last<by>`` and ``_ahead<by>``: the lowest range that begins within the ``most`` highest rows, of which ``ahead`` stand
+    outside, and how many rows are before it."""
+    keys = ["lang", *(carried or [])]
+    sizes = rows.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("lang").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1))
+    inside = sizes.withColumn("_above", F.coalesce(above, F.lit(0)) + ahead).where(F.col("_above") < most)
+    return inside.groupBy(*keys).agg(F.min(by).alias(f"_last{by}"), F.max("_above").alias(f"_ahead{by}"))
+
+
 def mined(docs: DataFrame, words: int = WORDS, least: int = LEAST, most: int = MOST, share: int = SHARE, width: int | None = None, depth: int = DEPTH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``most`` best phrases of each language by score, count and bytes."""
     counts = counted(docs, words, least, width, depth)
     left = store.saved(scored(counts, least).join(subsumed(counts, share), ["lang", "phrase"], "left_anti"), "scored")
-    # how many stand in each range of scores and counts tells which ranges hold the best; the others are not sorted
-    left = left.withColumn("_range", F.struct(F.expr("score div 1000").alias("s"), F.floor(F.log2("a")).alias("a")))
-    sizes = left.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = F.sum("_n").over(Window.partitionBy("lang").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
-    last = sizes.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_ahead") < most).groupBy("lang").agg(F.min("_range").alias("_last"))
-    some = left.join(F.broadcast(last), "lang").where(F.col("_range") >= F.col("_last"))  # a row a language
+    # how many stand in each range of scores tells which range holds the last of the best; within it, each score and range of counts.
+    # Ranges go up as the order does, so that no row of a lower one comes before a row of a higher one
+    left = left.withColumns({"_range": F.expr("score div 1000"), "_fine": F.struct("score", F.floor(F.log2("a")).alias("a"))})
+    last = _last_range(left, "_range", F.lit(0), most)
+    near = left.join(F.broadcast(last), "lang").where(F.col("_range") >= F.col("_last_range"))  # a row a language
+    fine = _last_range(near.where(F.col("_range") == F.col("_last_range")), "_fine", F.col("_ahead_range"), most, ["_ahead_range"])
+    some = near.join(F.broadcast(fine.drop("_ahead_range")), "lang").where((F.col("_range") > F.col("_last_range")) | (F.col("_fine") >= F.col("_last_fine")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
     total = F.broadcast(counts.where("words = 0").select("lang", F.col("a").alias("n")))  # a row a language

@@ -85,3 +85,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_one_text(spark, text):
     df = spark.createDataFrame([(text, "en")], "text string, lang string")
     assert got(phrases.mined(df)) == brute([(text, "en")])
+
+
+def test_a_higher_score_of_a_lower_count_stays(spark):
+    """Scores that share their thousand but not their order of counts: the best are cut by score, not by count."""
+    rows = [(f"a{i} b{i}. " * (12 + i) + f"a{i} x. " * (200 if i == 0 else 2), "en") for i in range(40)]
+    rows += [(f"c{i} d{i}. " * (400 + 3 * i) + f"c{i} y. " * (9 + i % 5 + 60) + f"z d{i}. " * 7, "en") for i in range(40)]
+    rows += [(f"e{i} f{i}. " * (40 + i) + f"e{i} w. " * (i % 9), None) for i in range(60)]
+    for most in (1, 7, 20, 45, 60, 300):
+        assert got(phrases.mined(spark.createDataFrame(rows, "text string, lang string"), most=most)) == brute(rows, most=most)
+
+
+def test_counts_of_one_range_of_scores(spark):
+    rows = [("p q. " * 1000 + "p r. " + "s q. " * 1, "en"), ("g h. " * 5000 + "g i. " * 12, "en"), ("t u. " * 2000 + "t v. " * 4, "en")]
+    for most in (1, 2):
+        assert got(phrases.mined(spark.createDataFrame(rows, "text string, lang string"), most=most)) == brute(rows, most=most)
