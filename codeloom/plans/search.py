@@ -102,15 +102,15 @@ def definitions(chosen: DataFrame, symbols: DataFrame, files: DataFrame) -> Data
     return chosen.join(files.select("file_id", "path"), "file_id").join(parents, "parent_symbol_id", "left")
 
 
-def investigate(edges: DataFrame, symbols: DataFrame, files: DataFrame, symbol_id: int, limit: int = 2400) -> DataFrame:
-    """The edges of a symbol with both names, the evidence path and the group they belong to."""
+def investigate(edges: DataFrame, symbols: DataFrame, files: DataFrame, symbol_id: int, limit: int | None = None) -> DataFrame:
+    """The edges of a symbol with both names, the evidence path and the group they belong to: all, or the first ``limit`` by type."""
     names = lambda end: symbols.select(F.col("symbol_id").alias(f"{end}_symbol_id"), s.display_name(F.col("qualified_name"), F.col("name")).alias(f"{end}_name"))
     touched = edges.where((F.col("source_symbol_id") == symbol_id) | (F.col("target_symbol_id") == symbol_id))
     rows = touched.join(files.select(F.col("file_id").alias("evidence_file_id"), F.col("path").alias("evidence_path")), "evidence_file_id", "left").join(names("source"), "source_symbol_id", "left").join(names("target"), "target_symbol_id", "left")
     group = F.when(F.col("status") == "EXTERNAL", "external").when(F.col("status") == "UNRESOLVED", "unresolved").when(F.col("type").isin("DEFINES", "EXTENDS", "IMPLEMENTS"), "dependencies")
     group = group.when(F.col("type") == "CALLS", F.when(F.col("source_symbol_id") == symbol_id, "callees").otherwise("callers")).otherwise(F.lower("type"))
     order = [c for c in ("relationship_id",) if c in rows.columns] or ["evidence_path", "start_line", "source_symbol_id", "target_symbol_id", "status"]
-    return rows.withColumn("group", group).orderBy("type", *order).limit(limit)
+    return _first(rows.withColumn("group", group), ["type", *order], limit)
 
 
 def related_files(investigated: DataFrame, files: DataFrame, limit: int = 100, own: str | None = None) -> DataFrame:

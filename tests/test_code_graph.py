@@ -84,6 +84,15 @@ def test_search_and_investigation(tree):
     assert "tests/test_ledger.py" in [r["path"] for r in search.related_files(around, files).collect()]
 
 
+def test_a_neighbourhood_is_whole(spark):
+    edges = spark.range(3000).select(F.lit(8).cast("long").alias("source_symbol_id"), (F.col("id") + 100).alias("target_symbol_id"), F.lit("CALLS").alias("type"), F.lit("RESOLVED").alias("status"), F.col("id").alias("evidence_file_id"), F.lit(1).alias("start_line"), F.lit(None).cast("long").alias("target_file_id"))
+    symbols = spark.range(4000).select(F.col("id").alias("symbol_id"), F.lit("f").alias("name"), F.lit("m.f").alias("qualified_name"))
+    files = spark.range(3000).select(F.col("id").alias("file_id"), F.format_string("p%04d", "id").alias("path"))
+    around = search.investigate(edges, symbols, files, 8)
+    assert around.count() == 3000 and search.investigate(edges, symbols, files, 8, limit=10).count() == 10
+    assert search.related_files(around, files, limit=5000).count() == 3000
+
+
 DIFF = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -5,3 +5,4 @@ def f\n a\n-b\n+c\n+++d\n e\n"
 
 
