@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.lineage import saved
+from .operators.lineage import measured_broadcasts, saved
 from .plan_queries import _ITEMS, _ROOTS, MADE, made_edges, made_nodes, made_roots
 from .plans import context, impact, resolve, review, search, views
 from .queries import query
@@ -32,6 +32,7 @@ _USES = _CODE + """, uses AS (SELECT file_id, 5 AS line, 1 AS place, 'f' || p AS
 def made_code(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files with content, symbols, and import bindings."""
     key, p = F.col("p_partkey"), 1 + F.col("p_partkey") * 7 % 250
+    measured_broadcasts(t("part").sparkSession)
     i, q = key.cast("string"), p.cast("string")
     text = F.concat_ws("\n", F.concat(F.lit("from pkg.m"), q, F.lit(" import f"), q, F.lit(", K"), q), F.lit(""), F.concat(F.lit("class K"), i, F.lit(":")), F.lit("    def run(self, x):"), F.concat(F.lit("        return f"), q, F.lit("(x) + self.go(x)")), F.lit(""),
                        F.concat(F.lit("def f"), i, F.lit("(x):")), F.concat(F.lit("    value = K"), q, F.lit(".run(K"), q, F.lit("())")), F.concat(F.lit("    return h"), i, F.lit("(value)  # done")), F.lit("# K1(x) is no call"), F.concat(F.lit("def h"), i, F.lit("(x):")), F.lit("    return x"))

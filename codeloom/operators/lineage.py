@@ -38,3 +38,10 @@ def saved(df: DataFrame) -> DataFrame:
     path = new_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Tables are broadcast by the size that their exchange measured, not by an estimate from files: rows that are made of few or well
+    compressed bytes (exploded lines, ids) are estimated at a small part of what they take in memory."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -250,3 +250,11 @@ def test_checklists_list_steps_and_hide_secrets(spark):
     assert (callers["total"], len(callers["entries"]), callers["note"]) == (290, 200, "Showing the first 200 of 290 entries.")
     assert [e["entry_key"] for e in callers["entries"][:3]] == ["S10", "S11", "S12"]
     assert [tuple(x) for x in callers["entries"][0]["path_steps"]] == [("S10", "CALLS", "S1", "b.py:4")] and callers["entries"][1]["path_steps"] == []
+
+
+def test_resolvers_broadcast_by_measured_sizes_only(spark, tree):
+    """Exploded lines of files whose table is small on disk are not broadcast by its size: the plan has no broadcast before it runs."""
+    files, _, symbols, imports, _ = tree
+    bound = resolve.bindings(resolve.resolved_imports(files, symbols, imports))
+    for edges in (resolve.calls(files, symbols, bound), resolve.references(files, symbols, bound), resolve.tests(files, bound), resolve.extends(files, symbols, bound)):
+        assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
