@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import best
 from .intervals import contained as intervals_by_bin
 from .lineage import saved
 
@@ -48,7 +49,8 @@ def contained(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start:
 
 def innermost(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start: str, end: str, point_id: Keys, interval_id: str) -> DataFrame:
     """The innermost interval of each point: latest start, then earliest end, then least id."""
-    return first_wins(contained(points, intervals, on, at, start, end), point_id, [F.negative(start), end, interval_id])
+    order = [F.negative(start), F.col(end), F.col(interval_id)]
+    return first_wins(best(points, intervals, on, at, start, end, order), point_id, [F.negative(start), end, interval_id])
 
 
 def capped_per_key(df: DataFrame, keys: Keys, order: list[str], limit: int) -> DataFrame:
