@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import values as v
 
@@ -48,22 +51,30 @@ def call_sites(code: DataFrame, script: bool = False) -> DataFrame:
     return hits.withColumn("receiver", F.when(F.col("kind") == "method", F.col("receiver")))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def running(values: pa.Array) -> pa.Array:
+    """The running sums of each array of numbers."""
+    at = np.asarray(values.offsets) - values.offsets[0].as_py()
+    sums = np.concatenate([[0], np.cumsum(np.asarray(values.flatten(), dtype=np.int64))])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sums[1:] - np.repeat(sums[at[:-1]], np.diff(at)), pa.int64()))
+
+
 def hunks(diffs: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
     """Numbered lines of unified diffs: header, hunk, place (in the diff), side (OLD, NEW, or null for context), old_line, new_line, text.
 
-    File headers stand before the first ``@@``; within hunks every ``+`` and ``-`` counts."""
-    rows = diffs.select(*keys, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    by = Window.partitionBy(*keys).orderBy("n")
-    is_header = F.col("line").rlike(r"^@@ -\d+")
-    number = lambda group, default: F.coalesce(F.expr(f"try_cast(regexp_extract(line, '^@@ -(\\\\d+)(?:,(\\\\d+))? \\\\+(\\\\d+)(?:,(\\\\d+))? @@', {group}) AS INT)"), F.lit(default))
-    # a header is parsed where it stands, not on each line below it
-    head = F.struct(F.col("line").alias("header"), number(1, 1).alias("old_start"), number(2, 1).alias("old_count"), number(3, 1).alias("new_start"), number(4, 1).alias("new_count"))
-    rows = rows.withColumn("_head", F.when(is_header, head)).withColumn("hunk", F.count("_head").over(by))
-    rows = rows.where("hunk > 0").withColumn("_head", F.last("_head", ignorenulls=True).over(by))
-    body = rows.where(~is_header & ~F.col("line").startswith("\\") & (F.col("line") != "")).select("*", "_head.*").drop("_head")
+    File headers stand before the first ``@@``; within hunks every ``+`` and ``-`` counts. A diff is one row, so its lines are numbered
+    where it stands and nothing is shuffled."""
+    pieces = diffs.select(*keys, F.split(text, r"\n(?=@@ -\d)").alias("_p"))
+    pieces = pieces.select(*keys, "_p", running(F.transform("_p", lambda p: F.size(F.split(p, "\n")))).alias("_ends"), F.get("_p", F.lit(0)).rlike(r"^@@ -\d").alias("_bare"))
+    rows = pieces.select(*keys, "_bare", F.posexplode(F.arrays_zip("_p", "_ends")).alias("_at", "_x")).select(*keys, (F.col("_at") + F.col("_bare").cast("int")).cast("long").alias("hunk"), F.split("_x._p", "\n").alias("_l"), "_x._ends")
+    number = lambda group, default: F.coalesce(F.expr(f"try_cast(regexp_extract(header, '^@@ -(\\\\d+)(?:,(\\\\d+))? \\\\+(\\\\d+)(?:,(\\\\d+))? @@', {group}) AS INT)"), F.lit(default))
+    kept = lambda line, at: (at > 0) & ~line.startswith("\\") & (line != "")
+    ones = lambda other: running(F.transform("_l", lambda line, at: (kept(line, at) & (F.substring(line, 1, 1) != other)).cast("int")))
+    rows = rows.where("hunk > 0").select(*keys, "hunk", F.get("_l", F.lit(0)).alias("header"), (F.col("_ends") - F.size("_l")).cast("int").alias("_ahead"), "_l", ones("+").alias("_o"), ones("-").alias("_w"))
+    rows = rows.withColumns({"old_start": number(1, 1), "old_count": number(2, 1), "new_start": number(3, 1), "new_count": number(4, 1)})
+    body = rows.select(*[c for c in rows.columns if c not in ("_l", "_o", "_w")], F.posexplode(F.arrays_zip("_l", "_o", "_w")).alias("_n", "_x"))
+    body = body.select("*", F.col("_x._l").alias("line"), F.col("_x._o").alias("_old"), F.col("_x._w").alias("_new"), (F.col("_ahead") + F.col("_n")).alias("n")).where(kept(F.col("line"), F.col("_n")))
     mark = F.substring("line", 1, 1)
-    inside = Window.partitionBy(*keys, "hunk").orderBy("n")
-    body = body.withColumn("_old", F.sum(F.when(mark != "+", 1).otherwise(0)).over(inside)).withColumn("_new", F.sum(F.when(mark != "-", 1).otherwise(0)).over(inside))
     side = F.when(mark == "+", "NEW").when(mark == "-", "OLD")
     return body.select(
         *keys, "hunk", F.col("n").alias("place"), "header", "old_start", "old_count", "new_start", "new_count", side.alias("side"),

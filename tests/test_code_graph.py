@@ -103,6 +103,28 @@ def test_hunks_number_their_lines(spark):
     assert [(r["side"], r["line_number"]) for r in lines.changed_lines(lines.hunks(df, ["file_id"])).collect()] == [("OLD", 6), ("NEW", 6), ("NEW", 7)]
 
 
+def test_hunks_are_numbered_where_they_stand(spark):
+    """Many diffs in a batch, bare ones, empty ones and marks of no newline: equal to a plain loop, and without an exchange."""
+    import random
+    import re
+
+    r = random.Random(3)
+    texts = ["\n".join(r.choice(["--- a/x", "+a", "-b", " c", "", "\\ No newline", "@@ -3,2 +4,3 @@ f", "@@ -7 +9 @@", "@@ -x", "é", "@@ -1"]) for _ in range(r.randint(0, 30))) for _ in range(200)]
+    want = []
+    for key, text in enumerate(texts):
+        hunk = 0
+        for place, line in enumerate(text.split("\n")):
+            if re.match(r"@@ -\d", line):
+                m = re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", line)
+                hunk, old, new = hunk + 1, int(m[1]) if m else 1, int(m[2]) if m else 1
+            elif hunk and line and line[0] != "\\":
+                want.append((key, hunk, place, None if line[0] == "+" else old, None if line[0] == "-" else new, line[1:]))
+                old, new = old + (line[0] != "+"), new + (line[0] != "-")
+    numbered = lines.hunks(spark.createDataFrame([*enumerate(texts), (999, None)], "k long, diff string"), ["k"])
+    assert sorted(tuple(x) for x in numbered.select("k", "hunk", "place", "old_line", "new_line", "text").collect()) == sorted(want, key=lambda x: x[:3])
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
 def test_diff_impact_and_review(spark, tree):
     files, _, symbols, _, edges = tree
     ids = {r["path"]: r["file_id"] for r in files.collect()}
