@@ -9,6 +9,7 @@ from .lineage import saved
 from .relational import first_wins, numbered
 
 SMALL = 10_000  # rows of a level that one task numbers and a join broadcasts; more are numbered by ranges
+SENT = 100_000  # found nodes (a node, its parent and a number each) that a join broadcasts
 
 
 def _ranked(rows: DataFrame, order: list[str], ahead: int) -> tuple[DataFrame, int]:
@@ -27,8 +28,10 @@ def ranked_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[s
 
     Nodes are ranked from 1 in the order in which a queue would find them: roots by their rank, then level by level by the rank of the
     first discoverer, the edge's ``order`` and the node. A node is taken at its least depth. At most ``limit`` nodes, roots counted, are
-    kept; the rest of a level goes as it is found, and no level is expanded after that. Levels are saved one by one, visited nodes leave
-    by an anti-join, and the path grows with the frontier, so no second pass is needed."""
+    kept; the rest of a level goes as it is found, and no level is expanded after that. Levels are saved one by one, and visited nodes leave
+    by an anti-join. A level has far more edges than nodes: of all edges only the least parent of each node is kept, a number, by a hash
+    aggregate. The edges between a node and that parent are then read again, and the path is added to the first of them, so no task sorts
+    edges with their paths."""
     order, carried, types = order or ["kind"], carried or [], dict(edges.dtypes)
     node = dict(roots.dtypes)["node"]
     fields = {"source": node, "kind": types["kind"], "target": node} | {c: types[c] for c in carried}
@@ -44,14 +47,20 @@ def ranked_bfs(roots: DataFrame, edges: DataFrame, max_depth: int, order: list[s
     for depth in range(1, max_depth + 1):
         if truncated or not n:
             break
-        lead = frontier.select(F.col("node").alias("source"), F.col("rank").alias("_parent"), "root", "path")
-        out = (F.broadcast(lead) if n <= SMALL else lead).join(edges, "source")
-        found = out.select(
-            F.col("target").alias("node"), F.lit(depth).alias("depth"), "_parent", *[F.col(c).alias(f"_by_{c}") for c in order],
-            "root", F.col("kind").cast("string").alias("via"), F.col("source").alias("via_source"), F.concat("path", F.array(F.struct(*fields))).alias("path"),
-        )
+        lead = frontier.select(F.col("node").alias("source"), F.col("rank").alias("_parent"))
+        near = (F.broadcast(lead) if n <= SMALL else lead).join(edges.select("source", "target"), "source")
+        best = near.groupBy(F.col("target").alias("node")).agg(F.min("_parent").alias("_parent")).join(seen.select("node"), "node", "left_anti")
+        best = saved(best.join(F.broadcast(lead) if n <= SMALL else lead, "_parent").withColumnRenamed("source", "_from"))
+        first = F.broadcast(best) if best.count() <= SENT else best.hint("shuffle_hash")
+        out = first.join(edges, (F.col("source") == F.col("_from")) & F.col("target").eqNullSafe(F.col("node")))
+        out = out.select("node", "_parent", *[F.col(c).alias(f"_by_{c}") for c in order], F.struct(*fields).alias("_step"))
         by = ["_parent", *[f"_by_{c}" for c in order]]
-        found = first_wins(found.join(seen.select("node"), "node", "left_anti"), ["node"], by)
+        behind = frontier.select(F.col("rank").alias("_parent"), "root", "path")
+        found = first_wins(out, ["node"], by).join(F.broadcast(behind) if n <= SMALL else behind, "_parent")
+        found = found.select(
+            "node", F.lit(depth).alias("depth"), *by, "root", F.col("_step.kind").cast("string").alias("via"),
+            F.col("_step.source").alias("via_source"), F.concat("path", F.array("_step")).alias("path"),
+        )
         found, n = _ranked(found, [*by, "node"], total)
         truncated = limit is not None and total + n > limit
         frontier = found.where(F.col("rank") <= limit).select(*columns) if truncated else found.select(*columns)
