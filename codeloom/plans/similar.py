@@ -5,12 +5,15 @@ as both hold a line) over the weight of both, in thousandths. Pairs are found th
 lines: a file of similarity ``least`` shares more than its commonest lines can weigh together, so only the others, its rarest, are
 looked up (a prefix filter, which loses no pair). So a line that every file holds joins nothing.
 
+Only digests of lines are dealt, never texts or lines: a file is a row of its lines' weights, and two files are compared where their rows
+meet.
+
 Cases: null contents have no lines; empty files are similar to none; equal paths on both sides are as any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import saved
@@ -20,47 +23,69 @@ LEAST = 500
 UNIT = 1_000_000
 
 
-def _digests(files: DataFrame) -> DataFrame:
-    """path, line, n: how often each line stands in a file."""
-    lines = files.where("content IS NOT NULL AND content != ''").select("path", F.explode(F.split("content", "\n")).alias("line"))
-    return lines.groupBy("path", F.xxhash64("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+def _digests() -> Column:
+    """The digests of a file's lines."""
+    return F.when(F.col("content") != "", F.transform(F.split("content", "\n"), lambda x: F.xxhash64(x))).otherwise(F.expr("cast(array() AS array<long>)"))
+
+
+def _weighed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """side, path, total, bag: the lines (weight, line, n) of each file, commonest first; of files (path, lines)."""
+    counted = [f.repartition("path").select("path", F.explode("lines").alias("line")).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(k)) for k, f in enumerate((left, right))]
+    both = saved(counted[0].unionByName(counted[1]))
+    weights = both.groupBy("line").agg(F.count(F.lit(1)).alias("_files")).select("line", F.floor(F.lit(UNIT) / F.col("_files")).cast("long").alias("weight"))
+    bag = F.array_sort(F.collect_list(F.struct("weight", "line", "n"))).alias("bag")
+    return saved(both.join(weights, "line").groupBy("side", "path").agg(F.sum(F.col("n") * F.col("weight")).alias("total"), bag))
 
 
 def _rarest(weighed: DataFrame, least: int) -> DataFrame:
     """The lines of each file, rarest first, until the rest can't make up the least overlap, least / (2000 - least) of the whole."""
-    by = Window.partitionBy("path").orderBy("weight", "line")  # a file's lines
-    rest = F.sum(F.col("n") * F.col("weight")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of this line and commoner ones
-    return weighed.withColumn("rest", rest).where(F.col("rest") * (2000 - least) >= F.col("total") * least).select("path", "line")
+    none = F.struct(F.lit(0).cast("long").alias("rest"), F.lit(0).alias("skipped"))
 
+    def step(at: Column, x: Column) -> Column:
+        rest = at["rest"] + x["n"] * x["weight"]  # of this line and commoner ones
+        return F.struct(rest.alias("rest"), (at["skipped"] + (rest * (2000 - least) < F.col("total") * least).cast("int")).alias("skipped"))
+
+    kept = F.slice("bag", F.aggregate("bag", none, step)["skipped"] + 1, F.size("bag"))
+    return weighed.select("path", F.explode(kept).alias("_x")).select("path", "_x.line")
 
-def similar(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataFrame:
-    """``left`` and ``right`` (path, content) -> left_path, right_path, score (thousandths, from ``least``)."""
-    both = saved(_digests(left).withColumn("side", F.lit(0)).unionByName(_digests(right).withColumn("side", F.lit(1))))
-    weights = both.groupBy("line").agg(F.count(F.lit(1)).alias("_files")).select("line", F.floor(F.lit(UNIT) / F.col("_files")).cast("long").alias("weight"))
-    weighed = both.join(weights, "line")
-    totals = weighed.groupBy("side", "path").agg(F.sum(F.col("n") * F.col("weight")).alias("total"))
-    weighed = saved(weighed.join(totals, ["side", "path"]))
-    side = lambda k, name: weighed.where(F.col("side") == k).drop("side")
-    a, b = side(0, "left"), side(1, "right")
-    pairs = _rarest(a, least).withColumnRenamed("path", "left_path").join(_rarest(b, least).withColumnRenamed("path", "right_path"), "line").select("left_path", "right_path").distinct()
-    shared = pairs.join(a.select(F.col("path").alias("left_path"), "line", F.col("n").alias("_a"), "weight", F.col("total").alias("_ta")), "left_path")
-    shared = shared.join(b.select(F.col("path").alias("right_path"), "line", F.col("n").alias("_b"), F.col("total").alias("_tb")), ["right_path", "line"])
-    scores = shared.groupBy("left_path", "right_path", "_ta", "_tb").agg(F.sum(F.least("_a", "_b") * F.col("weight")).alias("_o"))
-    return scores.select("left_path", "right_path", F.expr("(2000 * _o) div (_ta + _tb)").alias("score")).where(F.col("score") >= least)
 
+def _overlap(a: str, b: str) -> Column:
+    """The weight that two bags share: the lines of both in one order, where a line of both stands twice."""
+    ordered = F.array_sort(F.transform(F.concat(a, b), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), x["weight"].alias("weight"))))
+    none = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"))
 
-def classes(files: DataFrame) -> DataFrame:
-    """path, representative: the first path of each content."""
-    named = files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("_h"))
-    return named.join(named.groupBy("_h").agg(F.min("path").alias("representative")), "_h").select("path", "representative")
+    def step(at: Column, x: Column) -> Column:
+        both = F.when(at["line"] == x["line"], F.least(at["n"], x["n"]) * x["weight"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(x["line"].alias("line"), x["n"].alias("n"), (at["sum"] + both).alias("sum"))
+
+    return F.aggregate(ordered, none, step)["sum"]
+
+
+def _similar(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """``similar`` of files (path, lines)."""
+    weighed = _weighed(left, right)
+    a, b = [weighed.where(F.col("side") == k).select(F.col("path").alias(f"{name}_path"), F.col("bag").alias(f"_{name}"), F.col("total").alias(f"_t{name}")) for k, name in enumerate(("left", "right"))]
+    prefix = [_rarest(weighed.where(F.col("side") == k), least).withColumnRenamed("path", f"{name}_path") for k, name in enumerate(("left", "right"))]
+    pairs = prefix[0].join(prefix[1], "line").select("left_path", "right_path").distinct()
+    shared = pairs.join(a, "left_path").join(b, "right_path").withColumn("_o", _overlap("_left", "_right"))
+    return shared.select("left_path", "right_path", F.expr("(2000 * _o) div (_tleft + _tright)").alias("score")).where(F.col("score") >= least)
+
+
+def similar(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataFrame:
+    """``left`` and ``right`` (path, content) -> left_path, right_path, score (thousandths, from ``least``)."""
+    return _similar(*[side.select("path", _digests().alias("lines")) for side in (left, right)], least)
 
 
 def similar_classes(left: DataFrame, right: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``similar`` between files of different content only, each by the first path of its content, and the two memberships: many equal
-    files make one pair."""
-    members = [saved(classes(side)) for side in (left, right)]
-    first = [side.join(m.select(F.col("representative").alias("path")).distinct(), "path", "left_semi") for side, m in zip((left, right), members, strict=True)]
-    return similar(*first, least), *members
+    """``similar`` between files of different content only, each by the first path of its content, and the two memberships (path,
+    representative): many equal files make one pair."""
+    first, members = [], []
+    for side in (left, right):
+        named = side.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("_h"), _digests().alias("lines"))
+        each = saved(named.groupBy("_h").agg(F.min("path").alias("representative"), F.first("lines").alias("lines")))
+        first.append(each.select(F.col("representative").alias("path"), "lines"))
+        members.append(named.select("path", "_h").join(each.select("_h", "representative"), "_h").select("path", "representative"))
+    return _similar(*first, least), *members
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:

@@ -139,6 +139,24 @@ def test_equal_files_make_one_pair(spark):
     assert a.where("representative = 'l0'").count() == 50 and b.where("representative = 'r0'").count() == 50
 
 
+def test_texts_are_not_joined_to_compare_them(spark, texts, monkeypatch):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    monkeypatch.setattr(similar, "saved", cut)
+    left, right = texts[0][:60], [(f"n{p}", t) for p, t in texts[1][:60]]
+    left += [("f000b", left[0][1]), ("f001b", left[1][1]), ("none", None)]
+    pairs, members, _ = similar.similar_classes(spark.createDataFrame(left, FILES), spark.createDataFrame(right, FILES), 500)
+    plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+    assert plans and not [p for p in plans if "Join" in p and "content" in p]
+    first = lambda side: {t or "": min(p for p, u in side if (u or "") == (t or "")) for _, t in side}
+    assert {(r["left_path"], r["right_path"]): r["score"] for r in pairs.collect()} == brute([(p, t) for t, p in first(left).items()], [(p, t) for t, p in first(right).items()], 500)
+    assert {r["path"]: r["representative"] for r in members.collect()} == {p: first(left)[t or ""] for p, t in left}
+
+
 def test_renames_and_copies(spark):
     body = "\n".join(f"line {k}" for k in range(20))
     other = "\n".join(f"other {k}" for k in range(20))
