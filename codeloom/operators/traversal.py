@@ -1,4 +1,4 @@
-"""Bounded breadth-first traversal with the path of evidence to each node, one join a level."""
+"""Bounded breadth-first traversal with the path of evidence to each node, joins a level."""
 
 from __future__ import annotations
 
