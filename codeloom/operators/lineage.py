@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark import StorageLevel
@@ -40,6 +42,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of steps that are saved (it acts when the driver's heap is collected)."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def measured_broadcasts(spark: SparkSession) -> None:
     """Tables are broadcast by the size that their exchange measured, not by an estimate from files: rows that are made of few or well
     compressed bytes (exploded lines, ids) are estimated at a small part of what they take in memory."""

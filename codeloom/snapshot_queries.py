@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import explanation
 from .functions.folding import casefold
-from .operators.lineage import new_folder
+from .operators.lineage import new_folder, release
 from .plans import linediff, search, similar
 from .queries import ORACLES, query
 
@@ -32,7 +32,8 @@ def line_diffs(t):
     """Every document edited: the hunks of the line diff, applied to the old text, give the new one."""
     edited = F.concat_ws("\n", F.lit("head"), F.replace("text", F.lit("e."), F.lit("E.")), F.lit("tail"))
     old, new = t("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), t("documents").select(F.col("doc_id").alias("path"), edited.alias("content"))
-    hunks = linediff.saved(linediff.unified(linediff.script(old, new)))
+    hunks = linediff.saved(linediff.hunks(old, new))
+    release(hunks.sparkSession)
     growth = hunks.groupBy("path").agg(F.sum(F.col("new_count") - F.col("old_count")).alias("growth"))
     return linediff.applied(old, hunks).join(growth, "path", "left").select(F.col("path").alias("doc_id"), F.md5("content").alias("digest"), F.coalesce("growth", F.lit(0)).cast("long").alias("growth"))
 

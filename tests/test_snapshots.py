@@ -90,6 +90,19 @@ def test_a_diff_takes_no_round_over_all_lines(spark):
     assert [r["line"] for r in rows if r["mark"] == "-"] == ["p", "old", "q"]
 
 
+@pytest.mark.parametrize("context", [0, 1, 3])
+def test_hunks_of_a_script_and_of_its_texts_are_the_same(spark, texts, context):
+    a, b = (spark.createDataFrame(t, FILES) for t in texts)
+    made = linediff.hunks(a, b, context)
+    rows = made.collect()
+    assert rows and sorted(rows) == sorted(linediff.unified(linediff.script(a, b), context).collect())
+    after, by_path = dict(texts[1]), {}
+    for h in rows:
+        by_path.setdefault(h["path"], []).append(h)
+    assert {p: apply(dict(texts[0])[p] or "", h) for p, h in by_path.items()} == {p: after[p] or "" for p in by_path}
+    assert linediff.hunks(a, b, context)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the two texts
+
+
 def brute(left, right, least):
     def bag(t):
         out = {}
