@@ -7,12 +7,13 @@ slot shared by two words only makes them look less rare). A line needs its rares
 two matching lines share one of these. A word that no other line holds joins nothing and is not sent.
 
 A pair belongs to the first prefix word that both lines hold, so each is judged once and no pair is ever written. The
-sets that share a prefix word are a block; blocks are judged as they stream out of a sort, twice. First without the
-words: the length filter, the positional filter (words that can still be common), a parity filter (64 bits; each word
-that only one line holds flips one) and unequal preceding prefix words, all lossless, leave the sets that may have a
-partner in the block. Their words are then read again, and the sets compared in numpy; each leaves the number of its
-links and its earliest partner. A block of more than ``CHUNK`` sets is cut into chunks, and each two chunks are a block
-of their own, so no task holds a whole hot block; a set then goes to n / ``CHUNK`` of them.
+sets that share a prefix word are a block; blocks are judged twice. First without the words: the length filter, the
+positional filter (words that can still be common), a parity filter (64 bits of the words after the shared one; each that
+only one line holds flips one, and all words before it are such) and unequal preceding prefix words, all lossless, leave
+the sets that may have a partner in the block. Here the sets of some thousand blocks go to the shuffle together, by
+ranges of keys, many to a row. Then the words are read again, and the sets compared in numpy as they stream out of a sort;
+each leaves the number of its links and its earliest partner. A block of more than ``CHUNK`` sets is cut into chunks, and
+each two chunks are a block of their own, so no task holds a whole hot block; a set then goes to n / ``CHUNK`` of them.
 
 Cases: null and empty texts have no lines to match; blank lines are never removed; a line of one to three words matches
 only the same set; null ids come first; rows of equal doc_id are told apart by their text, and of equal rows all but
@@ -28,7 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import counts, store, text
@@ -40,6 +42,10 @@ SEEN = 1 << 21  # sets that a task remembers
 CHUNK = 1024  # sets of a block that are compared at once
 PAIRS = 1 << 20  # pairs, and words of pairs, held at a time
 ROWS = 1 << 17  # rows of blocks that are judged at a time
+BUCKET = 1 << 16  # entries of a bucket, about
+PACKED = 1 << 19  # entries that a task packs at once
+ENTRY = np.dtype([("key", "<i4"), ("size", "<i4"), ("place", "<i4"), ("prev", "<i4"), ("set_hash", "<i8"), ("parity", "<i8")])
+BLOCKS = "block long, info long, prev int, set_hash long, parity long"
 MOST_CHUNKS = 1 << 16  # of a block; beyond, chunks are larger
 HOT_LINES = 10_000  # a set of more lines is joined by broadcast: at most one in so many lines is such a set
 _LOWEST = -(2**63)
@@ -93,15 +99,19 @@ def rarity(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
     return store.merged_arrays(docs.select("text"), count, np.add, slots, "<u4", "<u8", SEGMENTS, level)
 
 
-def _classes(line: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the set, size and parity bits of each line."""
+def _classes(line: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the set and size of each line."""
     size = np.bincount(line, minlength=n)
-    cuts = np.flatnonzero(np.diff(line, prepend=-1))
-    total, bits = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    total = np.zeros(n, np.uint64)
     if len(line):
+        cuts = np.flatnonzero(np.diff(line, prepend=-1))
         total[line[cuts]] = np.add.reduceat(text.mix(word + text._ODD[1]), cuts)
-        bits[line[cuts]] = np.bitwise_xor.reduceat(np.uint64(1) << (text.mix(word ^ text._ODD[2]) & np.uint64(63)), cuts)
-    return text.mix(total + size.astype(np.uint64) * text._ODD[3]), size, bits
+    return text.mix(total + size.astype(np.uint64) * text._ODD[3]), size
+
+
+def _bit(key: np.ndarray) -> np.ndarray:
+    """The parity bit of a key, whether or not it is marked as one of large blocks."""
+    return np.uint64(1) << (text.mix((key & ((1 << 31) - 1)).astype(np.uint64) ^ text._ODD[2]) & np.uint64(63))
 
 
 def _prefix_size(size: np.ndarray) -> np.ndarray:
@@ -115,12 +125,12 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return _identified(docs).groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
 def signed(known: DataFrame, level, chunk: int) -> DataFrame:
-    """doc_id, text_hash, line_number, set_hash, size, parity, the keys of the prefix and the place of the first of all lines with words.
-    A task gives the keys of a set once, and no keys with other lines of it.
+    """doc_id, text_hash, line_number, set_hash, size, parity (of the keys that other lines may hold), the keys of the prefix and the
+    place of the first of all lines with words. A task gives the keys of a set once, and no keys with other lines of it.
     Keys of slots with more than ``chunk`` words are negative: only they can have large blocks."""
     hot = math.floor(8 * math.log2(chunk))
 
@@ -130,16 +140,21 @@ def signed(known: DataFrame, level, chunk: int) -> DataFrame:
             words = text.words_of(piece.column(1))
             breaks, of, number = _breaks(words.buf, words.doc_byte)
             line, word, key, rare = _distinct(np.searchsorted(breaks, words.start, side="right") - 1, words.hashes(), level.value)
-            set_hash, size, bits = _classes(line, word, len(of))
+            set_hash, size = _classes(line, word, len(of))
             have = np.flatnonzero(size)
             some, first = np.unique(set_hash[have], return_index=True)
             new = ~np.isin(some, seen)
             fresh = np.zeros(len(of), bool)
             fresh[have[first[new]]] = True
             seen = some if len(seen) > SEEN else np.concatenate([seen, some[new]])
-            place = np.arange(len(line)) - np.searchsorted(line, line)
-            sent = (place < _prefix_size(size)[line]) & (rare > 1) & fresh[line] & (size[line] >= 4)  # different sets of fewer words never match
-            sent[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            held = size[have]
+            begin = np.cumsum(held) - held
+            place = np.arange(len(line)) - np.repeat(begin, held)
+            shared = rare > 1
+            shared[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            bits = np.bitwise_xor.reduceat(np.where(shared, _bit(key), np.uint64(0)), begin) if len(have) else np.zeros(0, np.uint64)
+            sent = shared & np.repeat(fresh[have] & (held >= 4), held)  # different sets of fewer words never match
+            sent &= place < np.repeat(_prefix_size(held), held)
             own = np.where(rare >= hot, key - (1 << 31), key)[sent].astype(np.int32)
             offsets = pa.array(np.append(0, np.cumsum(np.bincount(line[sent], minlength=len(of))[have])), pa.int32())
             keys = pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32()))
@@ -147,23 +162,87 @@ def signed(known: DataFrame, level, chunk: int) -> DataFrame:
             at = np.flatnonzero(sent)
             skipped[line[at[::-1]]] = place[at[::-1]]
             ids = [piece.column(k).take(pa.array(of[have])) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[have], pa.int32()), text.as_i64(set_hash[have]), pa.array(size[have], pa.int32()), text.as_i64(bits[have]), keys, pa.array(skipped[have], pa.int32())], ["doc_id", "text_hash", "line_number", "set_hash", "size", "parity", "keys", "skipped"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[have], pa.int32()), text.as_i64(set_hash[have]), pa.array(size[have], pa.int32()), text.as_i64(bits), keys, pa.array(skipped[have], pa.int32())], ["doc_id", "text_hash", "line_number", "set_hash", "size", "parity", "keys", "skipped"])
 
     return known.mapInArrow(sign, "doc_id long, text_hash long, line_number int, set_hash long, size int, parity long, keys array<int>, skipped int")
 
 
-def _dealt(entries: DataFrame, chunk: int) -> DataFrame:
-    """``entries`` (key, size, place, prev, set_hash, parity) -> block, info, prev, set_hash, parity. A block is a key and the two
-    chunks whose sets it compares; ``info`` holds size, place and which of the two chunks the set is in."""
-    large = entries.where("key < 0").groupBy("key").agg(F.least(F.ceil(F.count(F.lit(1)) / chunk), F.lit(MOST_CHUNKS)).cast("int").alias("chunks")).where("chunks > 1")
-    large = store.saved(large, "line-large")
-    rest = ["prev", "set_hash", "parity"]
-    base, info = F.shiftleft(F.col("key").cast("long"), 32), F.shiftleft(F.col("size").cast("long"), 32) + F.shiftleft(F.col("place"), 1)
-    whole = counts.joined_by_size(entries, large.select("key"), ["key"], "left_anti").select(base.alias("block"), info.alias("info"), *rest)
+def _entries(batch: pa.RecordBatch) -> np.ndarray:
+    """Of lines (set_hash, keys, size, parity, skipped): each key of the prefixes, its place, the key before it (``prev``) and the
+    bits of the keys after it (``parity``)."""
+    keys, size, parity, skipped = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy()
+    n, key = pc.list_value_length(keys).to_numpy().astype(np.int64), keys.flatten().to_numpy()
+    begin, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(key)) - begin[row]
+    seen = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(_bit(key.astype(np.int64)))])
+    out = np.zeros(len(key), ENTRY)
+    out["key"], out["size"], out["place"], out["set_hash"] = key, size[row], skipped[row] + nth, batch.column(0).to_numpy()[row]
+    out["prev"][1:] = np.where(nth[1:] > 0, key[:-1], 0)
+    out["parity"] = (parity ^ seen[begin])[row] ^ seen[1:]
+    return out
+
+
+def _columns(found: np.ndarray) -> pa.RecordBatch:
+    """block, info, prev, set_hash, parity: ``block`` holds the key, ``info`` size and place."""
+    block, info = found["key"].astype(np.int64) << 32, found["size"].astype(np.int64) << 32 | found["place"].astype(np.int64) << 1
+    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(info), *(pa.array(found[c]) for c in ("prev", "set_hash", "parity"))], ["block", "info", "prev", "set_hash", "parity"])
+
+
+def _with_keys(rows: DataFrame) -> DataFrame:
+    return rows.where("size(keys) > 0").select("set_hash", "keys", "size", "parity", "skipped")
+
+
+def hot_entries(rows: DataFrame) -> DataFrame:
+    """The entries of keys that can have large blocks, a row each."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _entries(b)
+            yield _columns(found[found["key"] < 0])
+
+    return _with_keys(rows.where(F.exists("keys", lambda k: k < 0))).mapInArrow(each, BLOCKS)
+
+
+def packed_entries(rows: DataFrame, buckets: int, apart) -> DataFrame:
+    """bucket, entries: those of all keys but the ``apart`` (None: but the hot), many to a row. A bucket is a range of keys."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            whole = np.concatenate(held)
+            held.clear()
+            at = whole["key"].astype(np.int64) & ((1 << 31) - 1)
+            order = np.argsort(at)
+            whole, bucket = whole[order], at[order] * buckets >> 31
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+            # byte by byte: the high bytes of keys, sizes and places are alike
+            parts = [whole[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "entries"])
+
+        for b in batches:
+            found = _entries(b)
+            held.append(found[found["key"] >= 0 if apart is None else ~np.isin(found["key"], apart.value)])
+            if sum(map(len, held)) >= PACKED:
+                yield packed()
+        if held:
+            yield packed()
+
+    return _with_keys(rows).mapInArrow(pack, "bucket int, entries binary")
+
+
+def _unpacked(part: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY).reshape(-1)
+
+
+def _chunked(rows: DataFrame, large: DataFrame, only: bool) -> DataFrame:
+    """The entries of the ``large`` blocks, of which ``block`` is a key and the two chunks whose sets it compares; ``info`` also
+    holds which of the two chunks the set is in. Without ``only``: those of all hot keys."""
     own = F.pmod(F.xxhash64("set_hash", F.lit(3)), F.col("chunks")).cast("int")
-    cut = counts.joined_by_size(entries.where("key < 0"), large, ["key"], "inner").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    block = base + F.shiftleft(F.least("own", "other").cast("long"), 16) + F.greatest("own", "other")
-    return whole.union(cut.select(block.alias("block"), (info + (F.col("own") > F.col("other")).cast("int")).alias("info"), *rest))
+    cut = counts.joined_by_size(hot_entries(rows), large, ["block"], "inner").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    block = F.col("block") + F.shiftleft(F.least("own", "other").cast("long"), 16) + F.greatest("own", "other")
+    cut = cut.select(block.alias("block"), (F.col("info") + (F.col("own") > F.col("other")).cast("int")).alias("info"), "prev", "set_hash", "parity")
+    return cut if only else cut.union(counts.joined_by_size(hot_entries(rows), large.select("block"), ["block"], "left_anti"))
 
 
 @dataclass
@@ -193,11 +272,14 @@ class Entries:
         return Entries(table.take(pa.array(order)), number[order], block & 0xFFFF == block >> 16 & 0xFFFF, info >> 32, info >> 1 & 0x7FFFFFFF, info & 1, prev, parity)
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Where a pair passes the parity filter, the positional filter (from the shared word on) and has no common word just before."""
+        """Where a pair passes the parity filter, the positional filter (from the shared word on) and has no common word just before.
+        If the block's word is the first that both have, all words before it are of one line only, so fewer of those after it are."""
         both = self.size[a] + self.size[b]
-        at = np.flatnonzero(9 * np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64) <= both)
+        common = -(-4 * both // 9)
+        apart = both - 2 * common - self.place[a] - self.place[b]  # at most so many words after the shared one are of one line only
+        at = np.flatnonzero(np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64) <= apart)
         a, b = a[at], b[at]
-        keep = 9 * np.minimum(self.size[a] - self.place[a], self.size[b] - self.place[b]) >= 4 * both[at]
+        keep = np.minimum(self.size[a] - self.place[a], self.size[b] - self.place[b]) >= common[at]
         return at[keep & ((self.prev[a] != self.prev[b]) | (self.prev[a] == 0))]
 
 
@@ -242,20 +324,56 @@ def _streamed(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block")
 
 
-def promising(dealt: DataFrame) -> DataFrame:
-    """The rows of blocks that may have a partner there which no earlier block has."""
+def promising(rows: DataFrame, n_entries: int, chunk: int) -> DataFrame:
+    """The entries of blocks that may have a partner there which no earlier block has. Those of large blocks are cut into chunks and
+    sorted as rows; all others come as buckets of whole blocks."""
+    held = rows.select(F.explode("keys").alias("key")).where("key < 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = held.select("key", F.least(F.ceil(F.col("n") / chunk), F.lit(MOST_CHUNKS)).cast("int").alias("chunks")).where("chunks > 1")
+    large = store.saved(large.select(F.shiftleft(F.col("key").cast("long"), 32).alias("block"), "chunks"), "line-large")
+    n_large = large.limit(counts.BROADCAST_ROWS + 1).count()
+    few = n_large <= counts.BROADCAST_ROWS
+    apart = None
+    if few:
+        known = large.select(F.shiftright("block", 32).cast("int")).toArrow().column(0).to_numpy()
+        apart = rows.sparkSession.sparkContext.broadcast(known.astype(np.int32))
+
+    def judged(e: Entries) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(e.block), bool)
+        for a, b in _pairs(e.block, e.size, e.side, e.inside):
+            ok = e.possible(a, b)
+            found[a[ok]] = True
+            found[b[ok]] = True
+        if found.any():
+            yield from e.table.filter(pa.array(found)).combine_chunks().to_batches()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in _blocks(batches, ROWS):
-            found = np.zeros(len(e.block), bool)
-            for a, b in _pairs(e.block, e.size, e.side, e.inside):
-                ok = e.possible(a, b)
-                found[a[ok]] = True
-                found[b[ok]] = True
-            if found.any():
-                yield from e.table.filter(pa.array(found)).combine_chunks().to_batches()
-
-    return _streamed(dealt).mapInArrow(judge, dealt.schema)
+            yield from judged(e)
+
+    def judge_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != last and sum(map(len, held)) >= ROWS:
+                    yield from sorted_(held)
+                last = bucket
+                held.append(_unpacked(part.as_buffer()))
+        if held:
+            yield from sorted_(held)
+
+    def sorted_(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        whole = np.concatenate(held)
+        held.clear()
+        whole = whole[np.argsort(whole["key"])]
+        yield from judged(Entries.of(pa.Table.from_batches([_columns(whole)])))
+
+    buckets = max(1, n_entries // BUCKET)
+    packed = packed_entries(rows, buckets, apart).repartition("bucket").sortWithinPartitions("bucket")
+    out = packed.mapInArrow(judge_packed, BLOCKS)
+    if few and not n_large:
+        return out
+    return out.union(_streamed(_chunked(rows, large, few)).mapInArrow(judge, BLOCKS))
 
 
 def _narrow(word: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -277,8 +395,8 @@ def _mark(doc_id: np.ndarray, text_hash: np.ndarray, number: np.ndarray) -> np.n
     return text.mix(number.astype(np.uint64) * text._ODD[3] ^ text.mix(doc_id.view(np.uint64) + text.mix(text_hash.view(np.uint64))))
 
 
-def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
-    """set_hash, doc_id, text_hash, line_number, words by rarity and the first of these (head) of the ``wanted`` sets (set_hash, first: doc_id, text_hash,
+def words_of_sets(known: DataFrame, wanted: DataFrame, level, repeated: bool) -> DataFrame:
+    """set_hash, doc_id, text_hash, line_number and words by rarity of the ``wanted`` sets (set_hash, first: doc_id, text_hash,
     line_number), read at the line given, and of a few others. A sketch tells which lines need not be read; the fuller it is, the
     more are, with the same results."""
 
@@ -300,22 +418,15 @@ def words_of_sets(known: DataFrame, wanted: DataFrame, level) -> DataFrame:
             chosen = buf[np.repeat(breaks[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             words = text.words_of(pa.Array.from_buffers(pa.large_binary(), len(asked), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int64).tobytes()), pa.py_buffer(chosen.tobytes())]))
             line, word, key, _ = _distinct(words.doc, words.hashes(), level.value)
-            set_hash, _, _ = _classes(line, word, len(asked))
+            set_hash, _ = _classes(line, word, len(asked))
             have, first = np.unique(line, return_index=True)
             narrow = _narrow(word, key).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
             lists = pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer((np.append(first, len(line)) * WORD_BYTES).astype(np.int32).tobytes()), pa.py_buffer(narrow.tobytes())])
-            n = _prefix_size(np.diff(np.append(first, len(line))))
-            cut = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            heads = pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer((np.append(0, np.cumsum(n)) * WORD_BYTES).astype(np.int32).tobytes()), pa.py_buffer(narrow[cut].tobytes())])
-            more = []
-            for k in range(2):
-                bits = np.uint64(1) << (text.mix(word ^ text._ODD[3 + k]) & np.uint64(63))
-                more.append(text.as_i64(np.bitwise_xor.reduceat(bits, first) if len(first) else bits))
             own = asked[have]
-            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), *more, heads, lists], [*_PLACED, "parity_2", "parity_3", "head", "words"])
+            yield pa.RecordBatch.from_arrays([text.as_i64(set_hash[have]), pa.array(ids[of[own]]), pa.array(hashes[of[own]]), pa.array(number[own], pa.int32()), lists], [*_PLACED, "words"])
 
-    found = store.saved(known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, parity_2 long, parity_3 long, head binary, words binary"), "line-words")
-    return found.dropDuplicates(_PLACED) if _repeated(known) else found
+    found = store.saved(known.mapInArrow(collect, "set_hash long, doc_id long, text_hash long, line_number int, words binary"), "line-words")
+    return found.dropDuplicates(_PLACED) if repeated else found
 
 
 def _at(row: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -394,34 +505,9 @@ class _Some(_Sets):
         return out
 
 
-def first_blocks(promising_: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows that may have a partner whose first common word is that of the block: by the words' prefixes and more parity bits."""
-    rows = promising_.join(words.select(*_PLACED, "parity_2", "parity_3", "head"), _PLACED).select(*promising_.columns, "parity_2", "parity_3", "head")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e in _blocks(batches, ROWS >> 2):
-            more = [e.table[c].to_numpy().view(np.uint64) for c in ("parity_2", "parity_3")]
-            heads, found = _Sets(*_wide(e.table["head"])), np.zeros(len(e.block), bool)
-            for a, b in _pairs(e.block, e.size, e.side, e.inside):
-                ok = e.possible(a, b)
-                a, b = a[ok], b[ok]
-                apart = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in (e.parity, *more))
-                ok = 9 * apart <= 3 * (e.size[a] + e.size[b])  # a word that only one holds flips one bit of each
-                for p in more:
-                    ok &= 9 * np.bitwise_count(p[a] ^ p[b]).astype(np.int64) <= e.size[a] + e.size[b]
-                a, b = a[ok], b[ok]
-                ok = heads.first_common(a, b, e.place)
-                found[a[ok]] = True
-                found[b[ok]] = True
-            if found.any():
-                yield from e.table.drop(["parity_2", "parity_3", "head"]).filter(pa.array(found)).combine_chunks().to_batches()
-
-    return _streamed(rows).mapInArrow(judge, promising_.schema)
-
-
 def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
     """set_hash, n_links, earliest (doc_id, text_hash, line_number) of the sets with links."""
-    rows = promising_.join(store.sifted(words.select(*_PLACED, "words"), promising_, ["set_hash"]), _PLACED)
+    rows = promising_.join(words, _PLACED)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in _blocks(batches, ROWS >> 4):
@@ -468,25 +554,23 @@ def verified(promising_: DataFrame, words: DataFrame) -> DataFrame:
     return got.groupBy("set_hash").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "text_hash", "line_number")).alias("earliest"))
 
 
-def linked(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, slots: int, chunk: int, repeated: bool) -> tuple[DataFrame, DataFrame]:
     """(lines: doc_id, text_hash, line_number, set_hash), (set_hash, n (lines), n_links, earlier: the first of the set's lines and those
     of similar sets) of the sets of more than one line or with links."""
     spark, known = docs.sparkSession, _identified(docs)
     level = spark.sparkContext.broadcast(rarity(known, slots))
-    rows = store.saved(signed(known, level, chunk), "lines")
+    counted = Observation()
+    rows = store.saved(signed(known, level, chunk).observe(counted, F.sum(F.size("keys")).alias("n")), "lines")
+    n_entries = counted.get["n"] or 0
     place = F.struct("doc_id", "text_hash", "line_number")
     sets = store.saved(rows.groupBy("set_hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-sets")
     store.release(spark)
-    before = F.concat(F.array(F.lit(0)), F.slice("keys", 1, F.size("keys") - 1))
-    entries = rows.where("size(keys) > 0").select("set_hash", "size", "parity", "skipped", F.posexplode(F.arrays_zip("keys", before.alias("prevs"))).alias("nth", "p"))
-    entries = entries.select(F.col("p.keys").alias("key"), (F.col("skipped") + F.col("nth")).alias("place"), F.col("p.prevs").alias("prev"), "set_hash", "size", "parity")
-    some = store.saved(promising(_dealt(entries, chunk)), "line-promising")
+    some = store.saved(promising(rows, n_entries, chunk), "line-promising")
     store.release(spark)
     wanted = store.sifted(sets.select("set_hash", "first"), some, ["set_hash"]).join(some.select("set_hash").distinct(), "set_hash", "left_semi")
     wanted = store.saved(wanted, "line-wanted")
-    words = words_of_sets(known, wanted, level)
+    words = words_of_sets(known, wanted, level, repeated)
     some = some.join(wanted.select("set_hash", "first.*"), "set_hash")
-    some = store.saved(first_blocks(some, words), "line-first")
     links = store.saved(verified(some, words), "line-links")
     store.release(spark)
     told = sets.where("n > 1").select("set_hash", "n", F.lit(0).cast("long").alias("n_links"), F.col("first").alias("earlier"))
@@ -495,9 +579,9 @@ def linked(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> tuple[Dat
     return rows.select("doc_id", "text_hash", "line_number", "set_hash"), told
 
 
-def removals(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
+def removals(docs: DataFrame, slots: int, chunk: int, repeated: bool) -> DataFrame:
     """doc_id, text_hash, removed (line numbers from 0, ascending), n_links (between the text's lines' sets and others), for texts with either."""
-    lines, told = linked(docs, slots, chunk)
+    lines, told = linked(docs, slots, chunk, repeated)
     told = store.saved(told, "line-told")
     lines = store.sifted(lines, told, ["set_hash"])
     many = told.where(F.col("n") > HOT_LINES)
@@ -505,7 +589,7 @@ def removals(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFra
     seldom = counts.joined_by_size(lines, many.select("set_hash"), ["set_hash"], "left_anti").join(told.where(F.col("n") <= HOT_LINES), "set_hash")
     columns = ["doc_id", "text_hash", "line_number", "n_links", (F.col("earlier") < F.struct("doc_id", "text_hash", "line_number")).alias("removed")]
     placed = often.select(*columns).union(seldom.select(*columns))
-    if _repeated(docs):  # a row repeated with its id has its lines twice
+    if repeated:  # a row repeated with its id has its lines twice
         placed = placed.distinct()
     gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_number")))).alias("removed")
     return placed.groupBy("doc_id", "text_hash").agg(gone, F.sum("n_links").alias("n_links")).where("size(removed) > 0 OR n_links > 0")
@@ -514,11 +598,12 @@ def removals(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFra
 def _told(docs: DataFrame, rows: DataFrame, names: dict[str, str], slots: int, chunk: int) -> DataFrame:
     """``rows`` (with id, hash and, by line, the numbers of those that are not blank, under ``names``) with the lines to remove and
     the links of each row of ``docs``."""
-    gone = store.saved(removals(docs, slots, chunk), "removals").select(*[F.col(a).alias(names[b]) for a, b in (("doc_id", "id"), ("text_hash", "hash"), ("removed", "removed"), ("n_links", "n_links"))])
+    repeated = _repeated(docs)
+    gone = store.saved(removals(docs, slots, chunk, repeated), "removals").select(*[F.col(a).alias(names[b]) for a, b in (("doc_id", "id"), ("text_hash", "hash"), ("removed", "removed"), ("n_links", "n_links"))])
     rows = rows.join(gone, [names["id"], names["hash"]], "left")
     none = F.array().cast("array<int>")
     removed = F.coalesce(names["removed"], none)
-    if _repeated(docs):
+    if repeated:
         rows = rows.withColumn(names["nth"], F.row_number().over(Window.partitionBy(names["id"], names["hash"]).orderBy(F.lit(1))))
         removed = F.when(F.col(names["nth"]) == 1, removed).otherwise(F.coalesce(names["held"], none))
     return rows.withColumns({names["removed"]: removed, names["n_links"]: F.coalesce(names["n_links"], F.lit(0))})
@@ -534,7 +619,7 @@ def judged(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame
     """doc_id, n_lines, n_removed, n_links, removed of every document."""
     docs = docs.select("doc_id", "text")
     names, made = _named(docs)
-    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n")))
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)
     rows = _told(docs, docs.withColumns(made).withColumn("n_lines", n_lines).drop("text"), names, slots, chunk)
     removed = F.col(names["removed"])
     return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), F.col(names["n_links"]).alias("n_links"), removed.alias("removed"))

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import linedup, queries
+from codeloom.llm import counts, linedup, queries, store
 
 from .conftest import ODD
 
@@ -111,3 +111,27 @@ def test_many_near_copies_of_one_line(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_removed"], r["n_links"]) for r in linedup.judged(df, chunk=200).collect()}
     assert got == {k: (int(k > 0), 1499) for k, _ in rows}
+
+
+def test_long_lines_with_words_in_common_are_settled_without_their_words(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{i}" for i in rng.sample(range(3000), 200))) for k in range(150)]
+    rows.append((150, rows[0][1] + " w1 w2 w3"))
+    tables, plain = {}, store.saved
+
+    def saved(df, name, *more):
+        tables[name] = plain(df, name, *more)
+        return tables[name]
+
+    monkeypatch.setattr(store, "saved", saved)
+    df = hashed(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted(map(tuple, linedup.judged(df).collect()), key=str) == brute(rows)
+    n_keys = sum(len(r["keys"]) for r in tables["lines"].collect())
+    assert n_keys > 5000 and 2 <= tables["line-promising"].count() < n_keys / 4  # by bits of whole lines, most stay
+
+
+def test_large_blocks_that_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(counts, "BROADCAST_ROWS", 0)
+    rows = made(1)
+    df = hashed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, linedup.judged(df, 1 << 8, 4).collect()), key=str) == brute(rows)
