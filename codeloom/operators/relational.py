@@ -36,10 +36,14 @@ def lookup_by_priority(df: DataFrame, candidates: Column, table: DataFrame, key:
     return df.join(best, id_, "left")
 
 
+def singles(table: DataFrame, keys: Keys, values: list[str]) -> DataFrame:
+    """keys and values of the rows that are alone in their key."""
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in values]).where("_n = 1").drop("_n")
+
+
 def unique_match(df: DataFrame, table: DataFrame, keys: Keys, value: str) -> DataFrame:
     """Left lookup that binds only where exactly one row of ``table`` has the key."""
-    single = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
-    return df.join(single, keys, "left")
+    return df.join(singles(table, keys, [value]), keys, "left")
 
 
 def contained(points: DataFrame, intervals: DataFrame, on: Keys, at: str, start: str, end: str) -> DataFrame:
