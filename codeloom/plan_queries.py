@@ -226,7 +226,7 @@ def import_targets(t):
 @query(MADE + _IMPORTS + """, b AS (SELECT target.file_id, imported_name AS name, import_id, min(symbol_id) AS symbol FROM target JOIN symbols s ON s.file_id = target.target_file_id AND s.name = imported_name GROUP BY 1, 2, 3)
 SELECT file_id, name, arg_max(symbol, import_id) AS bound_symbol_id FROM b GROUP BY 1, 2""")
 def import_bindings(t):
-    return resolve.bindings(resolve.resolved_imports(made_files(t), made_symbols(t), made_imports(t))).select("file_id", "name", "bound_symbol_id")
+    return resolve.bindings(resolve.resolved_imports(made_files(t), made_symbols(t), made_imports(t), first=True)).select("file_id", "name", "bound_symbol_id")
 
 
 @query(MADE + _IMPORTS + """SELECT DISTINCT import_id, CASE WHEN target_file_id IS NOT NULL THEN 'RESOLVED' WHEN source LIKE '.%' THEN 'UNRESOLVED' ELSE 'EXTERNAL' END AS status, concat_ws('.', source, imported_name) AS evidence FROM target""")

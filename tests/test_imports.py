@@ -77,3 +77,34 @@ def test_named_default_and_open_imports(spark):
     ]
     without = {r["import_id"]: (r["target_file_id"], r["target_symbol_id"], r["path"]) for r in got.where("import_id IN (3, 6, 7, 9, 10, 13, 4)").collect()}
     assert without == {3: (2, None, "a.ts"), 4: (3, None, "a.ts"), 6: (None, None, "a.ts"), 7: (None, None, "a.ts"), 9: (None, None, "b.py"), 10: (None, None, "a.py"), 13: (2, None, "a.ts")}
+
+
+def joined(plan) -> list[int]:
+    """The rows that each join of a plan that ran has made."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if kind.endswith("JoinExec") else []
+    return own + [n for p in inner for n in joined(p)]
+
+
+def test_bindings_make_no_pairs(spark, hot, large):
+    folder, con = hot
+    want = con.execute(queries.ORACLES["import_bindings"]).fetchall()
+    made = queries.QUERIES["import_bindings"](spark, folder).select("file_id", "name", "bound_symbol_id")
+    rows, written = shuffled(spark, lambda: made)
+    assert rows == sorted(want, key=str) and rows
+    rows_of_joins = joined(made._jdf.queryExecution().executedPlan())
+    assert rows_of_joins and max(rows_of_joins) <= 2 * (N_IMPORTS + N_SYMBOLS) and written < 10 * (N_IMPORTS + N_SYMBOLS)
+
+
+def test_bindings_of_first_symbols_are_those_of_all(spark):
+    files = spark.createDataFrame([(1, "a.ts"), (2, "b.ts"), (3, "c.ts"), (4, "d.py"), (5, "e.py")], "file_id long, path string")
+    symbols = spark.createDataFrame([(12, 2, "x", "CLASS", True), (11, 2, "x", "METHOD", False), (13, 3, "x", "FUNCTION", True), (21, 4, "y", "CLASS", None), (20, 4, "y", "METHOD", None)], "symbol_id long, file_id long, name string, kind string, exported boolean")
+    rows = [(1, 1, "./c", "x", None, "es_module"), (2, 1, "./b", "x", None, "es_module"), (3, 1, "./gone", "x", None, "es_module"), (4, 1, "./b", None, "z", "es_module"), (5, 1, "./c", "x", "z", "es_module"), (6, 1, "./c", None, "w", "es_module"), (7, 5, "d", "y", None, "python_from_import"), (8, 5, "d", "y", "q", "python_from_import")]
+    imports = spark.createDataFrame(rows, "import_id long, file_id long, source string, imported_name string, alias string, kind string")
+    want = [(1, "w", 13, "FUNCTION"), (1, "x", 11, "METHOD"), (1, "z", 13, "FUNCTION"), (5, "q", 20, "METHOD"), (5, "y", 20, "METHOD")]
+    for first in (False, True):
+        got = resolve.bindings(resolve.resolved_imports(files, symbols, imports, first=first))
+        assert sorted(tuple(r) for r in got.select("file_id", "name", "bound_symbol_id", "bound_kind").collect()) == want
+    once = resolve.resolved_imports(files, symbols, imports, first=True)
+    assert sorted(r["import_id"] for r in once.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
